@@ -1,7 +1,7 @@
 """License scans by template-markup matching.
 
 A template is a license text with two kinds of markup: ``<<optional>> ... <<end>>`` may be left out, and
-``<<any n>>`` stands for up to n words of the reader's own. It is compiled to an automaton over tokens whose
+``<<any n>>`` stands for up to n words of the writer's own, ``<<version n>>`` for one to n numbers. It is compiled to an automaton over tokens whose
 edges are words, optional regions (edges without a word) and bounded gaps. A text is accepted where a path
 reads its words without a break: mandatory wording has to match exactly, markup may vary.
 
@@ -33,27 +33,31 @@ TEMPLATES = (
         "mit",
         "<<optional>> the mit license <<optional>> mit <<end>> <<end>> <<optional>> copyright <<any 20>> <<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software",
     ),
-    ("apache", "licensed under the apache license <<optional>> version <<any 2>> <<end>> <<optional>> the license <<end>>"),
-    ("gpl", "licensed under the gnu general public license <<optional>> version <<any 2>> <<end>>"),
+    ("apache", "licensed under the apache license <<optional>> version <<version 2>> <<end>> <<optional>> the license <<end>>"),
+    ("gpl", "licensed under the gnu general public license <<optional>> version <<version 2>> <<end>>"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by <<any 2>>"),
-    ("cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<any 2>>"),
-    ("cc-by-sa", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by sa <<any 2>>"),
-    ("cc-by", "licensed under a creative commons attribution <<any 2>> <<optional>> international <<end>> license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial <<any 2>> <<optional>> international <<end>> license"),
+    ("cc-by", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by <<version 2>>"),
+    ("cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<version 2>>"),
+    ("cc-by-sa", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by sa <<version 2>>"),
+    ("cc-by", "licensed under a creative commons attribution <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 2>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     ),
-    ("mpl", "subject to the terms of the mozilla public license <<optional>> v <<any 2>> <<end>>"),
+    ("mpl", "subject to the terms of the mozilla public license <<optional>> v <<version 2>> <<end>>"),
     ("proprietary", "all rights reserved"),
 )
 
 
+#: An edge that reads a word of digits; no word is empty.
+NUMBER = b""
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """States are numbers; ``steps[s]`` has (word or None for any word, next state); ``last`` accepts."""
+    """States are numbers; ``steps[s]`` has (word, None for any word or ``NUMBER``, next state); ``last`` accepts."""
 
     label: str
     steps: tuple[tuple[tuple[bytes | None, int], ...], ...]
@@ -69,7 +73,7 @@ class Automaton:
             word, after = words[i], set()
             for s in states:
                 for w, t in self.steps[s]:
-                    if w is None or w == word:
+                    if w == word or w is None or w == NUMBER and word.isdigit():
                         after.add(t)
             if not after:
                 break
@@ -97,14 +101,15 @@ def compiled(label: str, template: str) -> Automaton:
             opened.append(here)
         elif mark == "<<end>>":
             free[opened.pop()].add(here)
-        elif mark.startswith("<<any"):
+        elif mark.startswith(("<<any", "<<version")):
+            name, most = mark.strip("<>").split()
             exits = [here]
-            for _ in range(int(mark[5:-2])):
+            for _ in range(int(most)):
                 then = state()
-                words[here].append((None, then))
+                words[here].append((None if name == "any" else NUMBER, then))
                 exits.append(then)
                 here = then
-            for e in exits[:-1]:
+            for e in exits[name == "version" : -1]:
                 free[e].add(here)
         else:
             then = state()
@@ -141,7 +146,7 @@ def _places(auto: Automaton, words: list[bytes], where: dict[bytes, list[int]])
     if auto.needed not in where:
         return []
     opening = {w for s in auto.start for w, _ in auto.steps[s]}
-    starts = range(len(words)) if None in opening else sorted(i for w in opening for i in where.get(w, ()))
+    starts = range(len(words)) if opening & {None, NUMBER} else sorted(i for w in opening for i in where.get(w, ()))
     return [(i, e) for i in starts if (e := auto.match(words, i)) >= 0]
 
 
