@@ -6,11 +6,13 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
    that follow it, which fixes every string of LENGTH bytes that starts in it.
 2. *Dictionary.* Equal phrases are grouped; the occurrence with the smallest key leads. All strings that start in
    other occurrences are repeats, so that repetitive text is settled here, a row for each phrase.
-3. *Order of the dictionary's suffixes.* Only leading phrases can still share strings with each other. A suffix
-   is looked at to a depth of LENGTH bytes, no further. Any string of LENGTH bytes holds the least K-gram hash of
-   the LENGTH - K + 1 grams in it: grams that lead nowhere but to one document end there, and around the others the
-   suffixes are sorted by their first LENGTH bytes (as 128-bit hashes) and meet their equals.
-4. *Cut.* Phrases without the lead and strings with a smaller equal give the spans of each document.
+3. *Finer phrases.* Only leading phrases can still share strings with each other, and only around K-grams that
+   several documents have in theirs: any string of LENGTH bytes holds the least K-gram hash of the grams in it.
+   The strings around such grams are cut at grams into short phrases, which are settled like the long ones.
+4. *Order of the dictionary's suffixes.* What still leads are short phrases at the borders of repeats. Their
+   suffixes are sorted by the first LENGTH bytes (as hashes of 96 bits) and meet their equals; no deeper order is
+   asked for.
+5. *Cut.* Phrases of both kinds without the lead and strings with a smaller equal give the spans of each document.
 
 Sorting is spread by ranges of hash values. Every sorter gets at most one key's entries from each sender,
 which keep the rest, so that a passage in every third document is no hot key. Texts are read in slices of
@@ -39,7 +41,8 @@ from .workspace import Workspace
 LENGTH, K = 50, 24
 TRIGGER, PHRASE, SHORTEST = 16, 256, 64
 SLICE = 4 << 20
-GROUP = 2_000_000
+#: Entries that a sorter holds, about, and that a sender gathers before it settles what it can.
+GROUP = 500_000
 _RNG = np.random.default_rng(50)
 _TABLES = _RNG.integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2)]
@@ -235,18 +238,65 @@ def _shared_grams(book: DataFrame, groups: int) -> DataFrame:
             pick = pick[told[pick] == 0]
             out_doc.append(doc[pick])
             out_h.append(h[pick])
-        return pa.table([np.concatenate(out_doc), np.concatenate(out_h).view(np.int64)], schema=pa.schema([("doc", pa.int64()), ("gram", pa.int64())]))
+        return _listed(np.concatenate(out_doc), np.concatenate(out_h).view(np.int64), "grams")
 
-    return book.select("doc", "grams").mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, gram long")
+    return book.select("doc", "grams").mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, grams array<long>")
 
 
-def _repeats(rows: DataFrame, length: int, groups: int) -> DataFrame:
-    """(doc, at): starts of strings that a smaller document has too. rows: (doc, text, grams)."""
+def _listed(doc: np.ndarray, value: np.ndarray, name: str) -> pa.Table:
+    """A row for each document with its values."""
+    order = np.argsort(doc, kind="stable")
+    doc, value = doc[order], value[order]
+    firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(doc)).astype(np.int32)), pa.array(value))
+    return pa.table([pa.array(doc[firsts]), lists], names=["doc", name])
+
+
+def _units(rows: DataFrame, length: int) -> DataFrame:
+    """(key, doc, first, n, context): short phrases of the n strings from ``first`` on. rows: (doc, text, leading, grams)."""
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("context", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for part in pieces(batch):
+                out: list[list] = [[], [], [], [], []]
+                for doc, text, leading, wanted in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    raw = text.encode()
+                    view, strings = np.frombuffer(raw, np.uint8), len(raw) - length + 1
+                    if strings <= 0:
+                        continue
+                    at, grams = anchors(view, length)
+                    near = at[np.isin(grams, np.array(wanted, np.int64).view(np.uint64))]
+                    edge = np.zeros(len(raw) + 1, np.int32)
+                    np.add.at(edge, np.maximum(0, near - (length - K)), 1)
+                    np.add.at(edge, near + 1, -1)
+                    open_ = np.cumsum(edge)[:strings] > 0
+                    led, firsts = set(leading), {}
+                    for first, end, key in _keyed_phrases(raw, view, length):
+                        if firsts.setdefault(key, first) not in led:
+                            open_[first:end] = False
+                    where = np.flatnonzero(open_)
+                    if not len(where):
+                        continue
+                    border = np.zeros(len(raw), bool)
+                    border[at[grams & np.uint64(1) == 0]] = True
+                    begins = np.flatnonzero(np.append(True, (np.diff(where) != 1) | border[where[1:]]))
+                    sizes = np.diff(np.append(begins, len(where)))
+                    for first, n in zip(where[begins].tolist(), sizes.tolist(), strict=True):
+                        context = raw[first : first + n + length - 1]
+                        for column, value in zip(out, (digest(context), doc, first, n, context), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "key binary, doc long, first int, n int, context binary")
+
+
+def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
+    """(doc, repeats): starts of strings that a smaller document has too. units: (doc, first, context)."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(h):
-            return
         order, new, low, _ = _groups(h, h2, doc)
         h, h2, doc, at = h[order], h2[order], doc[order], at[order]
         yield from _send(h, h2, doc, at, doc > low[np.cumsum(new) - 1], groups)
@@ -255,56 +305,63 @@ def _repeats(rows: DataFrame, length: int, groups: int) -> DataFrame:
         parts, size = [], 0
         for batch in batches:
             for piece in pieces(batch):
-                for doc, text, grams in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                    view = np.frombuffer(text.encode(), np.uint8)
-                    places, found = anchors(view, length)
-                    places = places[np.isin(found, np.array(grams, np.int64).view(np.uint64))]
-                    edge = np.zeros(len(view) + 2, np.int32)
-                    np.add.at(edge, np.maximum(0, places - (length - K)), 1)
-                    np.add.at(edge, places + 1, -1)
-                    at = np.flatnonzero(np.cumsum(edge)[: max(0, len(view) - length + 1)])
-                    if not len(at):
-                        continue
-                    for i in range(0, len(view), SLICE):
-                        here = at[(at >= i) & (at < i + SLICE)]
-                        if len(here):
-                            part = view[i : i + SLICE + length - 1]
-                            parts.append((mix(_windows(part, length)[here - i]), mix(_windows(part, length, 1)[here - i]), np.full(len(here), doc, np.int64), here.astype(np.uint32)))
-                            size += len(here)
-                        if size >= GROUP // 2:
-                            yield from flush(parts)
-                            parts, size = [], 0
+                contexts = piece.column(2).to_pylist()
+                sizes = np.array([len(c) for c in contexts], np.int64)
+                ends = np.cumsum(sizes)
+                view = np.frombuffer(b"".join(contexts), np.uint8)
+                # strings of the joined contexts that lie in one of them
+                inside = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
+                begin = np.repeat(ends - sizes, np.maximum(sizes - length + 1, 0))
+                step = np.arange(len(inside)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
+                spots = begin + step
+                if not len(spots):
+                    continue
+                doc, first = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+                parts.append((mix(_windows(view, length)[spots]), (mix(_windows(view, length, 1)[spots]) >> np.uint64(32)).astype(np.uint32), doc[inside], (first[inside] + step).astype(np.uint32)))
+                size += len(spots)
+                if size >= GROUP:
+                    yield from flush(parts)
+                    parts, size = [], 0
         if size:
             yield from flush(parts)
 
     def meet(table: pa.Table) -> pa.Table:
         known, rest = table.filter(table["known"]), table.filter(pc.invert(table["known"]))
         out_doc, out_at = [_unpacked(known["doc"], np.int64)], [_unpacked(known["at"], np.uint32)]
-        h, h2, doc, at = _unpacked(rest["h"]), _unpacked(rest["h2"]), _unpacked(rest["doc"], np.int64), _unpacked(rest["at"], np.uint32)
+        h, h2, doc, at = _unpacked(rest["h"]), _unpacked(rest["h2"], np.uint32), _unpacked(rest["doc"], np.int64), _unpacked(rest["at"], np.uint32)
         if len(h):
             order, new, low, _ = _groups(h, h2, doc)
             pick = order[doc[order] > low[np.cumsum(new) - 1]]
             out_doc.append(doc[pick])
             out_at.append(at[pick])
-        return pa.table([np.concatenate(out_doc), np.concatenate(out_at).astype(np.int32)], schema=pa.schema([("doc", pa.int64()), ("at", pa.int32())]))
+        return _listed(np.concatenate(out_doc), np.concatenate(out_at).astype(np.int32), "repeats")
+
+    return units.mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, repeats array<int>")
 
-    return rows.mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, at int")
 
+def spans_of(raw: bytes, leading: set[int], repeats: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
+    """Maximal removed runs, a row [first, end) for each.
 
-def spans_of(raw: bytes, leading: set[int], repeats: np.ndarray, length: int) -> np.ndarray:
-    """Maximal removed runs, a row [first, end) for each. leading: first borders of phrases with the lead."""
+    leading: first borders of phrases with the lead; repeats: starts of strings; units: rows (first, n) of strings in a row.
+    """
     view, firsts = np.frombuffer(raw, np.uint8), {}
     edge = np.zeros(len(raw) + 2, np.int32)
     for first, end, key in _keyed_phrases(raw, view, length):
         if firsts.setdefault(key, first) not in leading:
             edge[first] += 1
             edge[min(end + length - 1, len(raw))] -= 1
-    np.add.at(edge, repeats, 1)
-    np.add.at(edge, repeats + length, -1)
+    for first, n in ((repeats, 1), (units[:, 0], units[:, 1])):
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + n - 1 + length, -1)
     gone = np.diff(np.concatenate([[0], np.cumsum(edge)[: len(raw)] > 0, [0]]).astype(np.int8))
     return np.stack([np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)], 1)
 
 
+def _cut(raw: bytes, leading: list | None, repeats: list | None, units: list | None, length: int) -> np.ndarray:
+    """``spans_of`` from columns, in which null is none."""
+    return spans_of(raw, set(leading or ()), np.array(repeats or (), np.int64), np.array(units or (), np.int64).reshape(-1, 2), length)
+
+
 def without(raw: bytes, spans: np.ndarray) -> bytes:
     out, at = [], 0
     for first, end in spans.tolist():
@@ -328,7 +385,7 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 
 
 def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows of ``df`` as (_key, _text, judged, leading, repeats): what ``spans_of`` needs beside the text."""
+    """The rows of ``df`` as (_key, _text, judged, leading, repeats, units): what ``spans_of`` needs beside the text."""
     work = Workspace(df.sparkSession, "suffix")
     keyed = df.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
     rows = keyed.filter("doc is not null and _text is not null").select("doc", F.col("_text").alias("text"))
@@ -342,14 +399,24 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     book = work.put("dictionary", _parse(rows, length).groupBy("key").agg(led.alias("p")).select("p.*"))
     total = book.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 8
     shared = work.put("grams", _shared_grams(book, max(1, -(-total // GROUP))))
-    groups = max(1, -(-shared.count() * (length - K + 1) // (2 * GROUP)))
-    wanted = shared.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
-    repeats = work.put("repeats", _repeats(rows.join(wanted, "doc").select("doc", "text", "grams"), length, groups))
-    leading = book.groupBy("doc").agg(F.collect_list("first").alias("leading"))
-    found = repeats.groupBy("doc").agg(F.collect_list("at").alias("repeats"))
-    spans = work.put("spans", leading.join(found, "doc", "full"))
-    work.drop("dictionary", "grams", "repeats")
-    return keyed.join(spans, "doc", "left").select("_key", "_text", judged.alias("judged"), "leading", "repeats")
+    leading = work.put("leading", book.groupBy("doc").agg(F.collect_list("first").alias("leading")))
+    work.drop("dictionary")
+    wanted = shared.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    units = work.put("units", _units(rows.join(wanted, "doc").join(leading, "doc").select("doc", "text", "leading", "grams"), length))
+    leads = work.put("leads", units.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select(F.col("key").alias("k"), "lead"))
+    known = units.join(leads, F.col("key") == F.col("k"), "left").withColumn("gone", F.coalesce(F.col("doc") > F.col("lead"), F.lit(False)))
+    settled = work.put("settled", known.select("doc", "first", "n", F.when(~F.col("gone"), F.col("context")).alias("context")))
+    work.drop("grams", "units", "leads")
+    left = settled.filter("context is not null")
+    strings = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    repeats = work.put("repeats", _repeats(left.select("doc", "first", "context"), length, max(1, -(-strings // GROUP))))
+    short = settled.filter("context is null").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("units"))
+    found = repeats.groupBy("doc").agg(F.flatten(F.collect_list("repeats")).alias("repeats"))
+    spans = work.put("spans", leading.join(found, "doc", "full").join(short, "doc", "full"))
+    work.drop("leading", "settled", "repeats")
+    return keyed.join(spans, "doc", "left").select(
+        "_key", "_text", judged.alias("judged"), "leading", "repeats", F.expr("flatten(transform(units, u -> array(u.first, u.n)))").alias("units")
+    )
 
 
 _RESULT = "n_bytes long, n_removed long, spans array<struct<first: long, end: long>>, kept_sha256 string"
@@ -374,9 +441,9 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
         for batch in batches:
             for part in pieces(batch):
                 out: list[tuple] = []
-                for k, t, judged, leading, found in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                for k, t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                     raw = (t or "").encode()
-                    cut = spans_of(raw, set(leading or ()), np.array(found or (), np.int64), length) if judged else np.empty((0, 2), np.int64)
+                    cut = _cut(raw, *found, length) if judged else np.empty((0, 2), np.int64)
                     kept = without(raw, cut)
                     out.append((k, len(raw), len(raw) - len(kept), [{"first": a, "end": b} for a, b in cut.tolist()], hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -395,10 +462,10 @@ def rewrite(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for t, judged, leading, found in zip(*(part.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                for t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True):
                     raw = (t or "").encode()
                     if judged:
-                        cut = spans_of(raw, set(leading or ()), np.array(found or (), np.int64), length)
+                        cut = _cut(raw, *found, length)
                         t = without(raw, whole_characters(raw, cut)).decode() if t is not None else None
                     out.append(t)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(schema[0].type), pa.array(out, pa.string())], schema=schema)

@@ -13,7 +13,7 @@ _KEEP = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes(b if b in _KEEP else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 #: Texts are handed on in pieces of about this size, so that a batch of long texts stays in bounds.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def blank_words(text: str | None) -> list[bytes]:
