@@ -170,7 +170,7 @@ def _send(h: np.ndarray, h2: np.ndarray | None, doc: np.ndarray, at: np.ndarray,
         here = np.flatnonzero(known == flag)
         if not len(here):
             continue
-        by = mix(doc[here].view(np.uint64)) if flag else h[here]
+        by = mix(doc[here].view(np.uint64) if flag else h[here])  # sampled hashes are small: mixed anew
         g = (((by >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(g, kind="stable")
         here, g = here[order], g[order]
@@ -238,18 +238,9 @@ def _shared_grams(book: DataFrame, groups: int) -> DataFrame:
             pick = pick[told[pick] == 0]
             out_doc.append(doc[pick])
             out_h.append(h[pick])
-        return _listed(np.concatenate(out_doc), np.concatenate(out_h).view(np.int64), "grams")
+        return pa.table([np.concatenate(out_doc), np.concatenate(out_h).view(np.int64)], names=["doc", "gram"])
 
-    return book.select("doc", "grams").mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, grams array<long>")
-
-
-def _listed(doc: np.ndarray, value: np.ndarray, name: str) -> pa.Table:
-    """A row for each document with its values."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(doc)).astype(np.int32)), pa.array(value))
-    return pa.table([pa.array(doc[firsts]), lists], names=["doc", name])
+    return book.select("doc", "grams").mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, gram long")
 
 
 def _units(rows: DataFrame, length: int) -> DataFrame:
@@ -293,7 +284,7 @@ def _units(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
-    """(doc, repeats): starts of strings that a smaller document has too. units: (doc, first, context)."""
+    """(doc, at): starts of strings that a smaller document has too. units: (doc, first, context)."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -334,9 +325,9 @@ def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
             pick = order[doc[order] > low[np.cumsum(new) - 1]]
             out_doc.append(doc[pick])
             out_at.append(at[pick])
-        return _listed(np.concatenate(out_doc), np.concatenate(out_at).astype(np.int32), "repeats")
+        return pa.table([np.concatenate(out_doc), np.concatenate(out_at).astype(np.int32)], names=["doc", "at"])
 
-    return units.mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, repeats array<int>")
+    return units.mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, at int")
 
 
 def spans_of(raw: bytes, leading: set[int], repeats: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
@@ -401,7 +392,7 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     shared = work.put("grams", _shared_grams(book, max(1, -(-total // GROUP))))
     leading = work.put("leading", book.groupBy("doc").agg(F.collect_list("first").alias("leading")))
     work.drop("dictionary")
-    wanted = shared.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    wanted = shared.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
     units = work.put("units", _units(rows.join(wanted, "doc").join(leading, "doc").select("doc", "text", "leading", "grams"), length))
     leads = work.put("leads", units.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select(F.col("key").alias("k"), "lead"))
     known = units.join(leads, F.col("key") == F.col("k"), "left").withColumn("gone", F.coalesce(F.col("doc") > F.col("lead"), F.lit(False)))
@@ -411,7 +402,7 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     strings = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     repeats = work.put("repeats", _repeats(left.select("doc", "first", "context"), length, max(1, -(-strings // GROUP))))
     short = settled.filter("context is null").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("units"))
-    found = repeats.groupBy("doc").agg(F.flatten(F.collect_list("repeats")).alias("repeats"))
+    found = repeats.groupBy("doc").agg(F.collect_list("at").alias("repeats"))
     spans = work.put("spans", leading.join(found, "doc", "full").join(short, "doc", "full"))
     work.drop("leading", "settled", "repeats")
     return keyed.join(spans, "doc", "left").select(
@@ -448,7 +439,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
                     out.append((k, len(raw), len(raw) - len(kept), [{"first": a, "end": b} for a, b in cut.tolist()], hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    out = rows.mapInArrow(run, f"k {kind}, {_RESULT}" + ", kept binary" * with_bytes)
+    out = Workspace(df.sparkSession, "suffix").put("result", rows.mapInArrow(run, f"k {kind}, {_RESULT}" + ", kept binary" * with_bytes))
     return out.withColumnRenamed("k", key)
 
 

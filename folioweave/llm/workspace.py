@@ -10,7 +10,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step runs: shuffle files go when the job that wrote them has ended, so that the jobs of one operator do
+#: not add up on disk; and rows with texts go to Python in small batches.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def eager_shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as the job that wrote them has ended, so that jobs of one operator do not add up on disk."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def step_settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Workspace:
@@ -49,7 +52,7 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        with eager_shuffle_cleanup(self.spark):
+        with step_settings(self.spark):
             df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
