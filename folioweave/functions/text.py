@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
 #: White space as browsers and Unicode count it; Java's plain \\s leaves out the no-break kinds.
-SPACE = r"[\s\p{Z}﻿]"
+SPACE = r"[\s\p{Z}\x{FEFF}]"
 
 #: Words after a comma that end a cited title.
 TITLE_ENDS = ("ed.", "edition", "chapter", "chap.", "ch.", "vol", "vols", "book", "bk", "part", "pt", "tom", "tome", "lib", "p.", "pp.")
@@ -30,7 +30,7 @@ ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 @pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "̀" <= c <= "ͯ"))
+    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not 0x300 <= ord(c) <= 0x36F))
 
 
 @pandas_udf(StringType())
@@ -48,7 +48,7 @@ def squashed(s: Column) -> Column:
 
 def fold(s: Column) -> Column:
     """Without accents, lower case, words that a line end broke rejoined."""
-    return F.regexp_replace(F.lower(_decomposed(s)), rf"(\p{{L}})[-­]{SPACE}+(\p{{Ll}})", "$1$2")
+    return F.regexp_replace(F.lower(_decomposed(s)), rf"(\p{{L}})[-\x{{AD}}]{SPACE}+(\p{{Ll}})", "$1$2")
 
 
 def like_pattern(q: str) -> str:
