@@ -123,13 +123,13 @@ def _keyed_phrases(raw: bytes, view: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def _parse(rows: DataFrame, length: int) -> DataFrame:
-    """(key, doc, first, grams): each different phrase of each document once, with the grams in it."""
-    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("first", pa.int32()), ("grams", pa.binary())])
+    """(key, doc, first, grams, of): each different phrase of each document once, with the grams in it; of: how many the document has."""
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("first", pa.int32()), ("grams", pa.binary()), ("of", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode()
                     view, seen = np.frombuffer(raw, np.uint8), set()
@@ -140,11 +140,12 @@ def _parse(rows: DataFrame, length: int) -> DataFrame:
                     for (first, _, key), low, high in zip(found, lows, highs, strict=True):
                         if key not in seen:
                             seen.add(key)
-                            for column, value in zip(out, (key, doc, first, grams[low:high].tobytes()), strict=True):
+                            for column, value in zip(out, (key, doc, first, grams[low:high].tobytes()), strict=False):
                                 column.append(value)
+                    out[4] += [len(seen)] * len(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "key binary, doc long, first int, grams binary")
+    return rows.mapInArrow(run, "key binary, doc long, first int, grams binary, of int")
 
 
 def _packed(x: np.ndarray | None) -> bytes:
@@ -244,7 +245,7 @@ def _shared_grams(book: DataFrame, groups: int) -> DataFrame:
 
 
 def _units(rows: DataFrame, length: int) -> DataFrame:
-    """(key, doc, first, n, context): short phrases of the n strings from ``first`` on. rows: (doc, text, leading, grams)."""
+    """(key, doc, first, n, context): short phrases of the n strings from ``first`` on. rows: (doc, text, whole, leading, grams)."""
     schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,7 @@ def _units(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 out: list[list] = [[], [], [], [], []]
-                for doc, text, leading, wanted in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                for doc, text, whole, leading, wanted in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                     raw = text.encode()
                     view, strings = np.frombuffer(raw, np.uint8), len(raw) - length + 1
                     if strings <= 0:
@@ -263,10 +264,11 @@ def _units(rows: DataFrame, length: int) -> DataFrame:
                     np.add.at(edge, np.maximum(0, near - (length - K)), 1)
                     np.add.at(edge, near + 1, -1)
                     open_ = np.cumsum(edge)[:strings] > 0
-                    led, firsts = set(leading), {}
-                    for first, end, key in _keyed_phrases(raw, view, length):
-                        if firsts.setdefault(key, first) not in led:
-                            open_[first:end] = False
+                    if not whole:
+                        led, firsts = set(leading), {}
+                        for first, end, key in _keyed_phrases(raw, view, length):
+                            if firsts.setdefault(key, first) not in led:
+                                open_[first:end] = False
                     where = np.flatnonzero(open_)
                     if not len(where):
                         continue
@@ -274,10 +276,10 @@ def _units(rows: DataFrame, length: int) -> DataFrame:
                     border[at[grams & np.uint64(1) == 0]] = True
                     begins = np.flatnonzero(np.append(True, (np.diff(where) != 1) | border[where[1:]]))
                     sizes = np.diff(np.append(begins, len(where)))
-                    for first, n in zip(where[begins].tolist(), sizes.tolist(), strict=True):
-                        context = raw[first : first + n + length - 1]
-                        for column, value in zip(out, (digest(context), doc, first, n, context), strict=True):
-                            column.append(value)
+                    firsts, ends = where[begins], where[begins] + sizes + length - 1
+                    contexts = [raw[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+                    for column, values in zip(out, (map(digest, contexts), [doc] * len(contexts), firsts.tolist(), sizes.tolist(), contexts), strict=True):
+                        column += values
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, "key binary, doc long, first int, n int, context binary")
@@ -330,14 +332,14 @@ def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
     return units.mapInArrow(send, _SENT_SQL).groupBy("g").applyInArrow(meet, "doc long, at int")
 
 
-def spans_of(raw: bytes, leading: set[int], repeats: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
+def spans_of(raw: bytes, leading: set[int] | None, repeats: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
     """Maximal removed runs, a row [first, end) for each.
 
-    leading: first borders of phrases with the lead; repeats: starts of strings; units: rows (first, n) of strings in a row.
+    leading: first borders of phrases with the lead, None if all have it; repeats: starts of strings; units: rows (first, n) of strings in a row.
     """
     view, firsts = np.frombuffer(raw, np.uint8), {}
     edge = np.zeros(len(raw) + 2, np.int32)
-    for first, end, key in _keyed_phrases(raw, view, length):
+    for first, end, key in _keyed_phrases(raw, view, length) if leading is not None else ():
         if firsts.setdefault(key, first) not in leading:
             edge[first] += 1
             edge[min(end + length - 1, len(raw))] -= 1
@@ -348,9 +350,11 @@ def spans_of(raw: bytes, leading: set[int], repeats: np.ndarray, units: np.ndarr
     return np.stack([np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)], 1)
 
 
-def _cut(raw: bytes, leading: list | None, repeats: list | None, units: list | None, length: int) -> np.ndarray:
+def _cut(raw: bytes, whole: bool | None, leading: list | None, repeats: list | None, units: list | None, length: int) -> np.ndarray:
     """``spans_of`` from columns, in which null is none."""
-    return spans_of(raw, set(leading or ()), np.array(repeats or (), np.int64), np.array(units or (), np.int64).reshape(-1, 2), length)
+    if whole and not repeats and not units:
+        return np.empty((0, 2), np.int64)
+    return spans_of(raw, None if whole else set(leading or ()), np.array(repeats or (), np.int64), np.array(units or (), np.int64).reshape(-1, 2), length)
 
 
 def without(raw: bytes, spans: np.ndarray) -> bytes:
@@ -376,7 +380,7 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 
 
 def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows of ``df`` as (_key, _text, judged, leading, repeats, units): what ``spans_of`` needs beside the text."""
+    """The rows of ``df`` as (_key, _text, judged, whole, leading, repeats, units): what ``spans_of`` needs beside the text."""
     work = Workspace(df.sparkSession, "suffix")
     keyed = df.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
     rows = keyed.filter("doc is not null and _text is not null").select("doc", F.col("_text").alias("text"))
@@ -386,14 +390,16 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
         keyed = keyed.join(first, "doc", "left")
         judged = judged & F.coalesce(F.sha2("_text", 256) == F.col("chosen"), F.lit(False))
         rows = keyed.filter(judged).select("doc", F.col("_text").alias("text")).dropDuplicates(["doc"])
-    led = F.min_by(F.struct("doc", "first", "grams"), "doc")
+    led = F.min_by(F.struct("doc", "first", "grams", "of"), "doc")
     book = work.put("dictionary", _parse(rows, length).groupBy("key").agg(led.alias("p")).select("p.*"))
     total = book.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 8
     shared = work.put("grams", _shared_grams(book, max(1, -(-total // GROUP))))
-    leading = work.put("leading", book.groupBy("doc").agg(F.collect_list("first").alias("leading")))
+    # a document all of whose phrases lead need not name them
+    named = book.groupBy("doc").agg((F.count("*") == F.max("of")).alias("whole"), F.collect_list("first").alias("leading"))
+    leading = work.put("leading", named.select("doc", "whole", F.when(~F.col("whole"), F.col("leading")).alias("leading")))
     work.drop("dictionary")
     wanted = shared.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
-    units = work.put("units", _units(rows.join(wanted, "doc").join(leading, "doc").select("doc", "text", "leading", "grams"), length))
+    units = work.put("units", _units(rows.join(wanted, "doc").join(leading, "doc").select("doc", "text", "whole", "leading", "grams"), length))
     leads = work.put("leads", units.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select(F.col("key").alias("k"), "lead"))
     known = units.join(leads, F.col("key") == F.col("k"), "left").withColumn("gone", F.coalesce(F.col("doc") > F.col("lead"), F.lit(False)))
     settled = work.put("settled", known.select("doc", "first", "n", F.when(~F.col("gone"), F.col("context")).alias("context")))
@@ -406,7 +412,7 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     spans = work.put("spans", leading.join(found, "doc", "full").join(short, "doc", "full"))
     work.drop("leading", "settled", "repeats")
     return keyed.join(spans, "doc", "left").select(
-        "_key", "_text", judged.alias("judged"), "leading", "repeats", F.expr("flatten(transform(units, u -> array(u.first, u.n)))").alias("units")
+        "_key", "_text", judged.alias("judged"), "whole", "leading", "repeats", F.expr("flatten(transform(units, u -> array(u.first, u.n)))").alias("units")
     )
 
 
@@ -432,7 +438,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
         for batch in batches:
             for part in pieces(batch):
                 out: list[tuple] = []
-                for k, t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                for k, t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
                     raw = (t or "").encode()
                     cut = _cut(raw, *found, length) if judged else np.empty((0, 2), np.int64)
                     kept = without(raw, cut)
@@ -453,7 +459,7 @@ def rewrite(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                for t, judged, *found in zip(*(part.column(i).to_pylist() for i in range(1, 7)), strict=True):
                     raw = (t or "").encode()
                     if judged:
                         cut = _cut(raw, *found, length)
