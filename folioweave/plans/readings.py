@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions import bible, thml
+from ..functions import bible, editions, thml, volumes
 from ..operators import reading, scans
 from ..sources import books
 from .model import Library
@@ -214,3 +217,82 @@ def _(lib: Library) -> DataFrame:
         return s.map(thml.tidy_title)
 
     return lib.books.where("title like 'red%'").select("id", F.lower(tidy(F.upper("title"))).alias("l"), "title").select("id", F.regexp_replace("l", " r", " R").alias("title"))
+
+
+def _div(level: int, title: str, body: str, id_: str = "", short: str = "") -> str:
+    return f'<div{level} id="{id_}" title="{title}" shorttitle="{short}">{body}</div{level}>'
+
+
+_VOLUME = (
+    "<ThML.body>"
+    + _div(1, "CLEMENT OF ROME", _div(2, "Introductory Note", "<p>by the editor</p>") + _div(2, "First Epistle", _div(3, "The salutation.", "<p>The church (Ps. 118).</p>", short="Chapter I") + _div(3, "Praise.", "<p>Two.</p>", short="Chapter II")))
+    + _div(1, "IRENAEUS", _div(2, "Against Heresies: Book I", _div(3, "Chapter I", "<p>One.</p>")) + _div(2, "Against Heresies: Book II", _div(3, "Chapter I", "<p>Two.</p>")))
+    + "</ThML.body>"
+)
+
+
+def _pages(found: DataFrame) -> DataFrame:
+    return found.select("book_id", "page_number", "printed", _text(F.col("parts")).alias("place"))
+
+
+_VOLUME_PAGES = """SELECT x.b AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES ('v-first-epistle', 1, 'Chapter I', 'chapter 1'), ('v-first-epistle', 2, 'Chapter II', 'chapter 2'),
+  ('v-against-heresies', 1, 'Book I, Chapter I', 'book 1/chapter 1'), ('v-against-heresies', 2, 'Book II, Chapter I', 'book 2/chapter 1')) AS x(b, n, l, p)"""
+
+
+@query("x29_works_of_a_volume", _VOLUME_PAGES)
+def _(lib: Library) -> DataFrame:
+    return _pages(books.volume_pages(lib.spark.createDataFrame([("v.xml", _VOLUME)], "path string, xml string")))
+
+
+@query("w13_merged_books", "SELECT 'v-against-heresies' AS book_id, CAST(2 AS BIGINT) AS pages, 'Irenaeus' AS author")
+def _(lib: Library) -> DataFrame:
+    rules = {"v": {"within": [("irenaeus", "Irenaeus")]}}
+    found = books.volume_pages(lib.spark.createDataFrame([("v.xml", _VOLUME)], "path string, xml string"), rules)
+    return found.where("book_id = 'v-against-heresies'").groupBy("book_id").agg(F.count("*").alias("pages"), F.first("author").alias("author"))
+
+
+@query("x31_summa_pages", "SELECT 'summa-theologiae' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed FROM (VALUES (1, 'I-II q. 1'), (2, 'I-II q. 1 a. 1'), (3, 'I-II q. 1 a. 2')) AS x(n, l)")
+def _(lib: Library) -> DataFrame:
+    articles = "".join(_div(4, "", f"<h4>Whether {n}</h4><p>Objection.</p>", f"FS_Q1_A{n}") for n in (1, 2))
+    xml = "<ThML.body>" + _div(1, "I-II", _div(2, "Treatise", _div(3, "Of the end", "<p>Prologue.</p>" + articles, "FS_Q1")), "FS") + "</ThML.body>"
+    return books.summa_pages(lib.spark.createDataFrame([("s.xml", xml)], "path string, xml string")).select("book_id", "page_number", "printed")
+
+
+@query("x32_bible_pages", "SELECT 'douay-rheims' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Genesis 1', 'book 1/chapter 1'), (2, 'Tobias 1', 'book 17/chapter 1'), (3, '1 Machabees 1', 'book 45/chapter 1')) AS x(n, l, p)")
+def _(lib: Library) -> DataFrame:
+    chapter = lambda id_: _div(3, "", '<scripture passage="1:1" /><sup>1</sup>text', f"{id_}.1")
+    xml = "<ThML.body>" + _div(1, "Old Testament", _div(2, "Genesis", chapter("Gen"), "Gen") + _div(2, "1 Machabees", chapter("iMac"), "iMac") + _div(2, "Tobias", chapter("Tob"), "Tob")) + "</ThML.body>"
+    return _pages(books.bible_pages(lib.spark.createDataFrame([("d.xml", xml)], "path string, xml string")))
+
+
+def _prose(n: int) -> str:
+    return "<p>" + " ".join(f"word{i}" for i in range(n)) + "</p>"
+
+
+@query("s04_epub", "SELECT 'ethics' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Book I, Chapter 1', 'book 1/chapter 1'), (2, 'Book I, Chapter 2', 'book 1/chapter 2'), (3, 'Book II, Chapter 1', 'book 2/chapter 1')) AS x(n, l, p)")
+def _(lib: Library) -> DataFrame:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("c1_Ethics_Book_I.xhtml", f"<html><body><p>Part 1</p>{_prose(40)}<p>Part 2</p>{_prose(40)}</body></html>")
+        z.writestr("c2_Ethics_Book_II.xhtml", f"<html><body><p>Part 1</p>{_prose(40)}</body></html>")
+    return _pages(books.epub_pages(lib.spark.createDataFrame([("Ethics.epub", bytearray(data.getvalue()))], "path string, content binary"), "Aristotle"))
+
+
+@query("w12_segments", "SELECT CAST(x.n AS INT) AS n, x.l AS printed FROM (VALUES (1, 'Contents'), (2, 'Chapter 1'), (3, 'Chapter 2')) AS x(n, l)")
+def _(lib: Library) -> DataFrame:
+    table = "".join(f"<p>Chap. {n}. Of things.</p>{_prose(40)}" for n in (1, 2))
+    text = "".join(f"<p>Chapter {n}</p>{_prose(200)}" for n in (1, 2))
+    pages = editions.edition_pages("Work", [("W.xhtml", f"<body><h2>Contents</h2>{table}{text}</body>")])
+    return lib.spark.createDataFrame([(i, p["printed"]) for i, p in enumerate(pages, 1)], "n int, printed string")
+
+
+@query("s06_songs_and_prose", "SELECT 'consolation' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Book I, Song I', 'book 1/metre 1'), (2, 'Book I, Prose I', 'book 1/prose 1')) AS x(n, l, p)")
+def _(lib: Library) -> DataFrame:
+    html = '<body><h2>BOOK I.</h2><h3>SONG I.<br> A Complaint.</h3><div class="poem"><span>line</span></div><h3>I.</h3><p>While I was pondering.</p><h2>EPILOGUE.</h2></body>'
+    return _pages(books.song_pages(lib.spark.createDataFrame([("c.html", html)], "path string, html string"), "consolation", "The Consolation", "Boethius"))
+
+
+@query("w09_chapter_gaps", "SELECT CAST(x.n AS INT) AS n, x.c AS chapters FROM (VALUES (0, '48'), (1, '49'), (2, '50'), (3, ''), (4, '60,61')) AS x(n, c)")
+def _(lib: Library) -> DataFrame:
+    found = volumes.book_chapters(["Chapter XLVIII.", "Without a number", "Chapter L.", "Without", "Chapters LX, LXI."])
+    return lib.spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(found)], "n int, chapters string")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import thml
+from ..functions import editions, thml, volumes
 
 SCAN = "map<string, array<struct<page: int, blocks: array<struct<label: string, html: string, reading_order: int, bbox: array<double>>>>>>"
 
@@ -51,6 +51,70 @@ def thml_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
 
+_CITATION = "struct<author: string, title: string, location: string, raw: string, reference_book_id: string>"
+PAGES = f"""path string, book_id string, title string, author string, page_number int, printed string, parts array<struct<type: string, value: int>>, also array<array<struct<type: string, value: int>>>,
+  blocks array<struct<label: string, html: string, citations: array<{_CITATION}>>>""".replace("\n", " ")
+
+
+def _place(place: list[tuple[str, int]]) -> list[dict]:
+    return [{"type": t, "value": v} for t, v in place]
+
+
+def _rows(path: str, book: dict) -> Iterator[tuple]:
+    """The pages of a book, numbered from 1."""
+    for n, p in enumerate(book["pages"], 1):
+        blocks = [{"label": label, "html": html, "citations": [{k: v for k, v in c.items() if k != "passages"} for c in cites]} for label, html, cites in p["blocks"]]
+        yield path, book["book_id"], book["title"], book["author"], n, p["printed"], _place(p["parts"]), [_place(x) for x in p["also"]], blocks
+
+
+def _books(files: DataFrame, column: str, read) -> DataFrame:
+    names = [c.strip().split(" ")[0] for c in "path, book_id, title, author, page_number, printed, parts, also, blocks".split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f[column], strict=True):
+                yield pd.DataFrame([row for book in read(path, content) for row in _rows(path, book)], columns=names)
+
+    return files.select("path", column).mapInPandas(run, PAGES)
+
+
+def volume_pages(files: DataFrame, authors: dict[str, dict] | None = None) -> DataFrame:
+    """Pages of all works in volumes (path, xml); the file's name is the volume's. authors: rules by volume (``volumes.author``)."""
+    return _books(files, "xml", lambda path, xml: volumes.volume_books(file_stem(path), xml, (authors or {}).get(file_stem(path))))
+
+
+def single_work_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:
+    """Pages of files (path, xml) that are one work each."""
+    return _books(files, "xml", lambda path, xml: [{"book_id": book_id, "title": title, "author": author, "pages": volumes.single_book(xml, title)}])
+
+
+def summa_pages(files: DataFrame, book_id: str = "summa-theologiae") -> DataFrame:
+    return _books(files, "xml", lambda path, xml: [{"book_id": book_id, "title": "Summa Theologiae", "author": "Thomas Aquinas", "pages": volumes.summa_pages(xml)}])
+
+
+def bible_pages(files: DataFrame, book_id: str = "douay-rheims") -> DataFrame:
+    return _books(files, "xml", lambda path, xml: [{"book_id": book_id, "title": "The Holy Bible", "author": "Bible", "pages": volumes.bible_pages(xml)}])
+
+
+def epub_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def epub_pages(files: DataFrame, author: str, **reading) -> DataFrame:
+    """Pages of EPUB files (path, content), a work each; the file's name gives id and title."""
+
+    def read(name: str, content: bytes) -> list[dict]:
+        title = file_stem(name).replace("_", " ")
+        return [{"book_id": re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-"), "title": title, "author": author, "pages": editions.edition_pages(title, editions.epub_documents(content), **reading)}]
+
+    return _books(files, "content", read)
+
+
+def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:
+    """Pages of HTML editions (path, html) of songs and prose."""
+    return _books(files, "html", lambda path, html: [{"book_id": book_id, "title": title, "author": author, "pages": editions.song_pages(html, title)}])
+
+
 def marked_blocks(blocks: DataFrame) -> DataFrame:
     """(key, html, footnotes) of (key, thml): citations in the text numbered, each with its footnote."""
     kind = "array<struct<identifier: string, kind: string, raw: string, citations: array<struct<author: string, title: string, location: string, raw: string, reference_book_id: string>>>>"
