@@ -28,7 +28,7 @@ from .text import blank_words, map_batches
 from .workspace import Workspace
 
 WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2.0
-FAN = 20_000
+FAN = 1_000
 SEED = 5
 
 

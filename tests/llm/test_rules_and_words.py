@@ -160,7 +160,7 @@ def brute_targets(sizes):
     return out
 
 
-@pytest.mark.parametrize("fan", [20_000, 4])
+@pytest.mark.parametrize("fan", [1_000, 4])
 def test_mixing(spark, fan):
     rnd = random.Random(6)
     docs = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 3, 20, 90]))), rnd.choice(["a", "a", "a", "b", "c", "é", None, "Z", "tiny"])) for i in range(400)]
