@@ -44,12 +44,17 @@ def set_matches(places: DataFrame, groups: DataFrame, of: DataFrame | None = Non
 def prefix_matches(places: DataFrame, groups: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(book_id, page_number, citation_id): groups that begin with all of a row's parts.
 
-    Rows of one part and longer ones are joined apart, the latter on two parts, so that the key of most rows is
-    narrow; deeper parts are a condition on the joined row.
+    With ``of`` the book is part of the key and one join on the first part does. Without it rows of one part and
+    longer ones are joined apart, the latter on two parts, so that the key of most rows is narrow. Deeper
+    parts are a condition on the joined row.
     """
-    one = _joined(places.where(F.size("parts") == 1), groups, of, 1)
-    two = _joined(places.where(F.size("parts") >= 2), groups, of, 2).where(F.slice("parts", F.lit(1), F.size("row")) == F.col("row"))
-    return one.unionByName(two).select("book_id", "page_number", "citation_id")
+    begins = F.slice("parts", F.lit(1), F.size("row")) == F.col("row")
+    if of is not None:
+        met = _joined(places, groups, of, 1).where(begins)
+    else:
+        one = _joined(places.where(F.size("parts") == 1), groups, None, 1)
+        met = one.unionByName(_joined(places.where(F.size("parts") >= 2), groups, None, 2).where(begins))
+    return met.select("book_id", "page_number", "citation_id")
 
 
 def counted(citations: DataFrame, aliases: DataFrame, checks: DataFrame) -> DataFrame:

@@ -12,15 +12,19 @@ def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
     """(author, title, id): works that different (author, title) pairs may mean.
 
     A work's author has one of the key names of the cited one: pairs are joined on those tokens, which loses none,
-    and titles are compared in the pairs that meet.
+    and titles are compared in the pairs that meet. Works of the same author and title (editions, copies) are
+    compared once.
     """
     asked = F.when(X.cited_title(F.col("title")) != "", X.cited_title(F.col("title"))).otherwise(F.col("title"))
     pairs = cited.select("author", "title").distinct().select("author", "title", X.key_names(F.col("author")).alias("names"), X.title_forms(asked).alias("forms"))
-    known = works.select("id", X.surnames(F.col("author")).alias("names"), X.title_forms(F.col("title")).alias("work_forms"))
+    known = works.select(F.col("author").alias("w_author"), F.col("title").alias("w_title")).distinct()
+    known = known.select("w_author", "w_title", X.surnames(F.col("w_author")).alias("names"), X.title_forms(F.col("w_title")).alias("w_forms"))
     keys = pairs.select("author", "title", "forms", F.explode(F.array_distinct("names")).alias("token"))
-    names = known.select("id", "work_forms", F.explode(F.array_distinct("names")).alias("token"))
-    met = keys.join(names, "token").dropDuplicates(["author", "title", "id"])
-    return met.where(X.same_title(F.col("forms"), F.col("work_forms"))).select("author", "title", "id")
+    names = known.select("w_author", "w_title", "w_forms", F.explode(F.array_distinct("names")).alias("token"))
+    met = keys.join(names, "token").dropDuplicates(["author", "title", "w_author", "w_title"])
+    same = met.where(X.same_title(F.col("forms"), F.col("w_forms"))).select("author", "title", "w_author", "w_title")
+    ids = works.select("id", F.col("author").alias("w_author"), F.col("title").alias("w_title"))
+    return same.join(ids, ["w_author", "w_title"]).select("author", "title", "id")
 
 
 def match_cited_books(citations: DataFrame, books: DataFrame, queued: DataFrame) -> tuple[DataFrame, DataFrame]:
