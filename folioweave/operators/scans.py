@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,14 +133,32 @@ def _neighbours(sure: list[bool], order: range) -> dict[int, int | None]:
 
 
 def printed_numbers(pages: DataFrame) -> DataFrame:
-    """(book_id, page, printed): a book's pages are numbered together, as what a page prints depends on all others."""
+    """(book_id, page, printed): a book's pages are numbered together, as what a page prints depends on all others.
 
-    def number(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("page")
-        found = numbering(book.page.tolist(), [list(map(int, x)) for x in book.numbers], [r if isinstance(r, str) else "" for r in book.roman])
-        return pd.DataFrame({"book_id": book.book_id, "page": book.page, "printed": found})
-
-    return candidates(pages).groupBy("book_id").applyInPandas(number, "book_id string, page int, printed string")
+    Books are streamed through their partition in order, many to a batch, so that small books cost little.
+    """
+    rows = candidates(pages).select("book_id", F.col("page").cast("int").alias("page"), "numbers", "roman")
+    ordered = rows.repartition("book_id").sortWithinPartitions("book_id", "page")
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((r["book_id"], r["page"], r["numbers"] or [], r["roman"] or "") for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+        for book, group in groupby(every, key=lambda r: r[0]):
+            found = list(group)
+            printed = numbering([r[1] for r in found], [r[2] for r in found], [r[3] for r in found])
+            out += [(book, r[1], p) for r, p in zip(found, printed, strict=True)]
+            if len(out) >= 10_000:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    return ordered.mapInArrow(number, "book_id string, page int, printed string")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    book, page, printed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(book, pa.string()), pa.array(page, pa.int32()), pa.array(printed, pa.string())], names=["book_id", "page", "printed"])
 
 
 _MARK = r"[.*+?^${}()|\[\]\\]"

@@ -129,3 +129,38 @@ def _(lib: Library) -> DataFrame:
 @query("x47_part_columns", "SELECT id, part1_type, part1_value, part2_type, part2_value, part3_type, part3_value FROM m_groups")
 def _(lib: Library) -> DataFrame:
     return lib.groups.select("id", *P.part_columns(F.col("parts"), 3))
+
+
+@query("x01_fold", "SELECT id, lower(strip_accents('ÉLAN vïtal ' || title)) AS t FROM m_books")
+def _(lib: Library) -> DataFrame:
+    return lib.books.select("id", X.fold(F.concat(F.lit("ÉLAN vï- tal "), "title")).alias("t"))
+
+
+@query("x09_same_author", "SELECT id, true AS same, false AS other FROM m_books")
+def _(lib: Library) -> DataFrame:
+    named = lib.books.select("id", F.col("title").alias("a"), F.concat(F.lit("Rev. "), "title").alias("b"), F.lit("St. Thomas Aquinas").alias("c"))
+    return named.select("id", X.same_author(F.col("a"), F.col("b")).alias("same"), X.same_author(F.col("a"), F.col("c")).alias("other"))
+
+
+@query("x11_same_title", "SELECT id, true AS same, false AS other FROM m_books")
+def _(lib: Library) -> DataFrame:
+    forms = lib.books.select("id", X.title_forms(F.concat(F.lit("The "), "title", F.lit(", vol. 3"))).alias("a"), X.title_forms(F.concat("title", F.lit(": a study"))).alias("b"), X.title_forms(F.lit("Outlines of Dogma")).alias("c"))
+    return forms.select("id", X.same_title(F.col("a"), F.col("b")).alias("same"), X.same_title(F.col("a"), F.col("c")).alias("other"))
+
+
+@query("x16_citable_numbers", "SELECT book_id, page_number, CAST(printed AS BIGINT) AS number FROM m_pages WHERE regexp_matches(printed, '^[0-9]+$')")
+def _(lib: Library) -> DataFrame:
+    return lib.pages.select("book_id", "page_number", X.guarded_number(F.col("printed")).cast("long").alias("number")).where("number is not null")
+
+
+@query("x37_distinct_locations", """SELECT citation_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT citation_id, part1_type AS t, part1_value AS v FROM m_groups UNION SELECT citation_id, part2_type, part2_value FROM m_groups WHERE part2_type IS NOT NULL
+UNION SELECT citation_id, part3_type, part3_value FROM m_groups WHERE part3_type IS NOT NULL) AS x GROUP BY citation_id""")
+def _(lib: Library) -> DataFrame:
+    from ..operators.citing import locations_of
+
+    return locations_of(lib.groups).select("citation_id", F.size(P.distinct_locations(F.col("locations"))).cast("long").alias("n"))
+
+
+@query("s18_json_rows", "SELECT json_object('id', id, 'title', title, 'author', author) AS row FROM m_books")
+def _(lib: Library) -> DataFrame:
+    return lib.books.select(F.to_json(F.struct("id", "title", "author")).alias("row"))
