@@ -152,11 +152,11 @@ def _(lib: Library) -> DataFrame:
 
 
 def _linkable(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Citations that name their source's own work in another form, books of the same writers, and what is queued."""
+    """Citations that name their source's own work in another form, or one that nobody has, books of the same writers, and what is queued."""
     writer = F.concat(F.lit("scribe"), (F.col("author_id") % 9).cast("string"))
     of = lib.books.select(F.col("id").alias("_s"), F.col("title").alias("_t"), writer.alias("_w"))
     named = lib.citations.join(of, F.col("source_book_id") == F.col("_s"))
-    cited = named.select("id", F.concat(F.lit("J. "), "_w").alias("author"), F.concat(F.lit("The "), "_t", F.lit(" of old, vol. 2")).alias("title"), "location", "reference_book_id")
+    cited = named.select("id", F.concat(F.lit("J. "), "_w").alias("author"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("A Lost Treatise on the "), "_t")).otherwise(F.concat(F.lit("The "), "_t", F.lit(" of old, vol. 2"))).alias("title"), "location", "reference_book_id")
     books = lib.books.select("id", F.concat(F.initcap(writer), F.lit(", A.")).alias("author"), F.concat("title", F.lit(" of old: a study")).alias("title"))
     queued = lib.queue.select("id", "author", "title")
     return cited, books, queued
