@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,20 +56,36 @@ BASE = Policy("base", ("few_words", "repeated_phrases"))
 POLICIES = {p.version: p for p in (BASE, Policy("v1", tuple(r.name for r in RULES)))}
 
 
+#: Texts of more words are counted in arrays: a list of windows would take a hundred bytes a word.
+LONG = 100_000
+
+
 def count_repeated(words: list[bytes]) -> int:
     """Words inside a window of three words that the text has twice or more, first ones included."""
-    if len(words) < 4:
-        return 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
+    n = len(words) - 2
+    if n < 2:
         return 0
-    often = {w for w, n in Counter(windows).items() if n > 1}
-    total, end = 0, 0  # words before end are counted
-    for i, w in enumerate(windows):
-        if w in often:
-            total += i + 3 - max(i, end)
-            end = i + 3
-    return total
+    if n > LONG:
+        often = _often(words)
+    else:
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        if len(set(windows)) == n:
+            return 0
+        times = Counter(windows)
+        often = np.fromiter((times[w] > 1 for w in windows), bool, n)
+    hit = np.zeros(n + 2, bool)
+    for i in range(3):
+        hit[i : i + n] |= often
+    return int(hit.sum())
+
+
+def _often(words: list[bytes]) -> np.ndarray:
+    """Whether each window comes again; pairs and triples are numbered, so the count is exact."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    _, pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
+    _, which, times = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    return times[which] > 1
 
 
 def measure(text: str | None) -> tuple[int, ...]:

@@ -38,6 +38,12 @@ def test_odd_markup_ends():
     for bad in ("<" * 500, "<p '" * 300, '<a "' * 300, "<!--" * 300, "</div>" * 300 + "x", "<div>" * 3000 + "deep", "<script>" * 50, "&#xD800; &bogus; &#0;", "<p\x00>a"):
         html.blocks(bad)
     assert html.blocks("<div><article>a</div>b</article>c")[0] == ["a"]
+    assert html.blocks("<p>a</p><!-- open > b")[0] == ["a"] and html.blocks("<p>a</p> b < c")[0] == ["a", "b < c"]
+
+
+def test_long_odd_markup_takes_linear_time():
+    for bad in ('<a "' * 50_000, "</section>" * 50_000 + "<div>" * 50_000, "<div>" * 30_000 + "</x>" * 30_000, '<span class="ad">x' * 20_000, "<" * 100_000, "<!-- " * 50_000):
+        html.blocks(bad)
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -38,6 +38,16 @@ def test_quality_ledger(spark):
         assert r.fail_bits & 3 == (r.n_words < 50) + 2 * (100 * r.n_repeat_words > 50 * r.n_words)
 
 
+def test_long_texts_are_counted_alike(monkeypatch):
+    rnd = random.Random(8)
+    for n in (0, 3, 4, 50, 400):
+        words = [rnd.choice([b"a", b"b", b"c", b"dd"]) for _ in range(n)]
+        short = quality.count_repeated(words)
+        monkeypatch.setattr(quality, "LONG", 0)
+        assert quality.count_repeated(words) == short
+        monkeypatch.undo()
+
+
 def test_quality_policies_and_ablation(spark):
     df = spark.createDataFrame([(1, "few words"), (2, " ".join(f"word{i}" for i in range(60))), (3, "again and " * 60), (4, None)], "doc_id long, text string")
     book = quality.ledger(df)
