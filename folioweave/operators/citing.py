@@ -6,11 +6,11 @@ pushes down to the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import has_all
-from ..functions.text import guarded_number
+from ..functions.text import guarded_number, page_text
 from .filters import withheld
 
 
@@ -138,3 +138,24 @@ def invalidated(cache: DataFrame, pages: DataFrame, groups: DataFrame, changed:
     """The cache rows that stay after citations ``changed`` (book_id, citation_id): those of pages they cite by number go."""
     hit = number_matches(pages, groups, changed).select("book_id", "page_number").distinct()
     return cache.join(hit, ["book_id", "page_number"], "left_anti")
+
+
+def insight_sources(listed: DataFrame, pages: DataFrame, blocks: DataFrame, most: int = 10, radius: int = 2) -> DataFrame:
+    """(book_id, page_number, rank, source_book_id, source_page, footnotes, context): what a summary of a page's citations is made from.
+
+    listed: the citations that pages list. Sources are citing pages in the order they are first cited in reading
+    order, at most ``most`` of them; context is the text of the pages around each, a heading before every page.
+    """
+    at = F.struct("source_book_id", "source_page", "citation_id")
+    marks = F.array_sort(F.collect_list(F.when(F.col("footnote") != "", F.struct(F.col("citation_id").alias("o"), "footnote"))))
+    sources = listed.groupBy("book_id", "page_number", "source_book_id", "source_page").agg(F.min(at).alias("first"), F.array_distinct(F.transform(marks, lambda m: m["footnote"])).alias("footnotes"))
+    ranked = sources.withColumn("rank", F.row_number().over(Window.partitionBy("book_id", "page_number").orderBy("first"))).where(F.col("rank") <= most)
+    asked = ranked.select("source_book_id", "source_page").distinct()
+    near = context_pages(asked, pages, radius)
+    text = blocks.groupBy("book_id", "page_number").agg(page_text(F.array_sort(F.collect_list(F.struct("position", "label", "html")))).alias("text"))
+    heading = F.concat(F.lit("[scan page "), F.col("page_number").cast("string"), F.when(F.col("printed") != "", F.concat(F.lit(", printed page "), "printed")).otherwise(""), F.lit("]"), F.when(F.col("page_number") == F.col("source_page"), " (the citing page)").otherwise(""))
+    words = text.select("book_id", F.col("page_number").alias("_n"), "text")
+    told = near.join(words, (F.col("source_book_id") == F.col("book_id")) & (F.col("page_number") == F.col("_n")), "left")
+    page = told.select("source_book_id", "source_page", "page_number", F.concat(heading, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    context = page.groupBy("source_book_id", "source_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "t"))), lambda p: p["t"]), "\n\n").alias("context"))
+    return ranked.drop("first").join(context, ["source_book_id", "source_page"], "left").withColumn("context", F.coalesce("context", F.lit("")))

@@ -416,6 +416,17 @@ def _(lib: Library) -> DataFrame:
     return lib.citations.withColumn("k", k).where("k <= 10").select("source_book_id", "id")
 
 
+@query("o11_insight_sources", f"""WITH {_LISTED}, hidden AS ({_HIDDEN}), s AS (SELECT l.book_id, l.page_number, c.source_book_id, c.source_page, min(c.id) AS first FROM listed l JOIN m_citations c ON c.id = l.citation_id WHERE c.source_book_id NOT IN (SELECT book_id FROM hidden) GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY source_book_id, source_page, first) AS rank FROM s),
+n AS (SELECT r.book_id, r.page_number, r.rank, count(p.page_number) AS n FROM r LEFT JOIN m_pages p ON p.book_id = r.source_book_id AND p.page_number BETWEEN greatest(1, r.source_page - 2) AND r.source_page + 2 GROUP BY 1, 2, 3)
+SELECT r.book_id, r.page_number, CAST(r.rank AS INT) AS rank, r.source_book_id, r.source_page, CAST(n.n AS BIGINT) AS context_pages FROM r JOIN n ON n.book_id = r.book_id AND n.page_number = r.page_number AND n.rank = r.rank WHERE r.rank <= 10""")
+def _(lib: Library) -> DataFrame:
+    listed = citing.citations_of_pages(lib.pages, lib.places, lib.groups, lib.citations, aliases(lib), lib.checks)
+    found = citing.insight_sources(listed, lib.pages, lib.blocks)
+    n = F.size(F.regexp_extract_all("context", F.lit(r"\[scan page \d+"), F.lit(0))).cast("long")
+    return found.select("book_id", "page_number", "rank", "source_book_id", "source_page", n.alias("context_pages"))
+
+
 # set operations
 
 

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from folioweave.functions import bible, readers
 from folioweave.operators import reading, scans
