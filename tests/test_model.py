@@ -202,3 +202,23 @@ def test_appends_and_deletes(spark):
     assert {r.name: r.id for r in new.collect()} == {"x": 7, "a": 8, "b": 9}
     up = writes.upserted(table, spark.createDataFrame([(7, None), (8, "n")], "id long, name string"), ["id"], ("name",))
     assert {r.id: r.name for r in up.collect()} == {7: "x", 8: "n"}
+
+
+def test_works_of_the_fathers(spark):
+    from folioweave.functions.aliases import FATHERS
+
+    john, epistle = "npnf107-lectures-or-tractates-on-the-gospel-according-to-st-john", "npnf107-ten-homilies-on-the-first-epistle-of-john"
+    rows = [
+        ("Augustine", "De Civit. Dei", "", "npnf102-city-of-god"),
+        ("St. Augustine", "De  Trin.", "", "npnf103-on-the-holy-trinity"),
+        ("John Damascene", "De Fide Orth", "", "npnf209-an-exact-exposition-of-the-orthodox-faith"),
+        ("Augustine", "De Fide et Symbolo", "", "npnf103-a-treatise-on-faith-and-the-creed"),
+        ("Augustine", "Tract.", "cv in Joan", john),
+        ("Augustine", "Tract.", "ix in Ep. i Joan", epistle),
+        ("Augustine", "Tract.", "li", None),
+        ("Augustine", "In prim. canon. Joan. Tract.", "iv", epistle),
+        ("Pseudo-Augustine", "De Trin.", "", None),
+        ("Hilary", "De Trin.", "", None),
+    ]
+    df = spark.createDataFrame(rows, "author string, title string, location string, want string")
+    assert [(r.author, r.title) for r in linkage.first_rule(df, FATHERS).collect() if r.work != r.want] == []
