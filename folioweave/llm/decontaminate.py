@@ -196,6 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that are not contaminated; the key must be unique and not null."""
-    bad = contamination(docs, benchmark, key, text, **options).filter("contaminated").select(F.col(key).alias("_bad"))
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+    """The rows of ``docs``, with their own columns, that are not contaminated; a row is judged by its text, whatever its key, and rows without a key are kept or go like others."""
+    # the verdict is the text's; the key is in the name so that copies under many keys are spread
+    name = F.concat(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    bad = contamination(docs.select(name.alias("_name"), F.col(text).alias("_read")), benchmark, "_name", "_read", **options).filter("contaminated").select(F.col("_name").alias("_bad")).distinct()
+    return docs.join(bad, name == F.col("_bad"), "left_anti")

@@ -11,7 +11,7 @@ at most, goes on to the next level of the tree, and the last one is drawn. Large
 first, so that a small one is left. Chance comes from hashes of keys, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source comes last and is a source
-of its own; repeated rows are documents of their own, equal ones in any order; a source without words
+of its own; repeated rows, and rows without a key, are documents of their own, equal ones in any order; a source without words
 has target 0; columns other than the three are ignored; an empty table gives an empty one.
 """
 
@@ -32,12 +32,12 @@ FAN = 1_000
 SEED = 5
 
 
-def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(k, source, size): the number of words ``[^\\x20\\x09-\\x0D]+`` of each row."""
-    rows = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """(k, source, size[, row]): the number of words ``[^\\x20\\x09-\\x0D]+`` of each row."""
+    rows = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
     kind = rows.schema[0].dataType.simpleString()
-    schema = pa.schema([("k", rows.select("k").limit(0).toArrow().schema[0].type), ("source", pa.string()), ("size", pa.int64())])
-    return map_batches(rows, lambda c: {"k": c["k"], "source": c["source"], "size": [len(blank_words(t)) for t in c["text"]]}, schema, f"k {kind}, source string, size long")
+    schema = pa.schema([("k", rows.select("k").limit(0).toArrow().schema[0].type), ("source", pa.string()), ("size", pa.int64()), *([("row", pa.int64())] if row else [])])
+    return map_batches(rows, lambda c: c | {"size": [len(blank_words(t)) for t in c["text"]]}, schema, f"k {kind}, source string, size long" + ", row long" * bool(row))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -116,17 +116,18 @@ def _level(rows: DataFrame, level: int, seed: int, kind: str, fan: int) -> DataF
             p = np.where(still, _chance(seed, "last", source, g).random(len(p)) < p, p).astype(float)
             still = np.zeros(len(p), bool)
         later = pa.array([-(-x // fan) for x in table["groups"].to_pylist()], pa.int64())
-        return pa.table([table["k"], table["source"], table["size"], pa.array(p), table["n"], later, pa.array(still)], names=["k", "source", "size", "p", "n", "groups", "open"])
+        rest = [table["row"]] if "row" in table.column_names else []
+        return pa.table([table["k"], table["source"], table["size"], pa.array(p), table["n"], later, pa.array(still), *rest], names=["k", "source", "size", "p", "n", "groups", "open", *["row"] * len(rest)])
 
     spread = rows.withColumn("tie", F.xxhash64("k", F.lit(seed))).withColumn("g", F.pmod(F.xxhash64("k", F.lit(seed + 1 + level)), F.col("groups")))
-    return spread.groupBy("source", "g").applyInArrow(settle, _ROW.format(kind=kind))
+    return spread.groupBy("source", "g").applyInArrow(settle, _ROW.format(kind=kind) + ", row long" * ("row" in rows.columns))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = SEED, fan: int = FAN) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken) of each row."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = SEED, fan: int = FAN, row: str | None = None) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken[, row]) of each row; row: a column of longs that tells rows apart."""
     spark = df.sparkSession
     work = Workspace(spark, "mixing")
-    rows = work.put("sizes", sizes(df, key, text, source))
+    rows = work.put("sizes", sizes(df, key, text, source, row))
     kind = rows.schema[0].dataType.simpleString()
     counted = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / fan).alias("groups"))
     counted = work.put("sources", counted)
@@ -138,7 +139,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     )
     # a document without words is settled as it is
     fraction = F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0))
-    now = each.select("k", "source", "size", fraction.alias("p"), F.floor("rate").cast("long").alias("n"), "groups")
+    now = each.select("k", "source", "size", fraction.alias("p"), F.floor("rate").cast("long").alias("n"), "groups", *(["row"] if row else []))
     settled, level = [], 0
     while True:
         done = work.put(f"level={level}", _level(now, level, seed, kind, fan))
@@ -150,4 +151,4 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     for s in settled[1:]:
         out = out.unionByName(s)
     out = out.withColumn("copies", F.col("n") + F.col("p").cast("long")).drop("groups")
-    return out.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("k").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("k").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("row").alias(row)] if row else []))

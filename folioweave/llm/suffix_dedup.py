@@ -379,10 +379,11 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows of ``df`` as (_key, _text, judged, whole, leading, repeats, units): what ``spans_of`` needs beside the text."""
+def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` as (_key, _text, judged, whole, leading, repeats, units, _0, ...): what ``spans_of`` needs beside the text; and the columns ``carry``."""
+    others = [f"_{i}" for i in range(len(carry))]
     work = Workspace(df.sparkSession, "suffix")
-    keyed = df.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
+    keyed = df.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"), *(F.col(c).alias(o) for c, o in zip(carry, others, strict=True)))
     rows = keyed.filter("doc is not null and _text is not null").select("doc", F.col("_text").alias("text"))
     judged = F.col("doc").isNotNull()
     if rows.groupBy("doc").count().filter("count > 1").limit(1).count():
@@ -412,7 +413,7 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     spans = work.put("spans", leading.join(found, "doc", "full").join(short, "doc", "full"))
     work.drop("leading", "settled", "repeats")
     return keyed.join(spans, "doc", "left").select(
-        "_key", "_text", judged.alias("judged"), "whole", "leading", "repeats", F.expr("flatten(transform(units, u -> array(u.first, u.n)))").alias("units")
+        "_key", "_text", judged.alias("judged"), "whole", "leading", "repeats", F.expr("flatten(transform(units, u -> array(u.first, u.n)))").alias("units"), *others
     )
 
 
@@ -449,11 +450,16 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     return out.withColumnRenamed("k", key)
 
 
-def rewrite(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, kept_text): each row's text without its repeated runs, drawn in to whole characters; the key must be unique."""
+def rewrite(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept_text, columns of carry) of each row: its text without its repeated runs, drawn in to whole characters.
+
+    Rows without a key, repeated ones and different texts under one key have a row each, with their own columns.
+    """
     kind = df.select(key).schema[0].dataType.simpleString()
-    rows = duplicate_spans(df, key, text, length)
-    schema = pa.schema([("k", rows.select("_key").limit(0).toArrow().schema[0].type), ("kept_text", pa.string())])
+    rows = duplicate_spans(df, key, text, length, carry)
+    others = rows.select("_key", *rows.columns[7:]).limit(0).toArrow().schema
+    schema = pa.schema([("k", others[0].type), ("kept_text", pa.string()), *(others.field(i) for i in range(1, len(others)))])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[7:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,6 +471,6 @@ def rewrite(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
                         cut = _cut(raw, *found, length)
                         t = without(raw, whole_characters(raw, cut)).decode() if t is not None else None
                     out.append(t)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema[0].type), pa.array(out, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema[0].type), pa.array(out, pa.string()), *(part.column(i).cast(schema[i - 5].type) for i in range(7, part.num_columns))], schema=schema)
 
-    return rows.mapInArrow(run, f"k {kind}, kept_text string").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, kept_text string{kinds}").toDF(key, "kept_text", *carry)
