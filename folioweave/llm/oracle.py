@@ -38,12 +38,16 @@ its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)""",
+    # units end at marks or line feeds; a run of repeated ones goes if it has 15 words (lines.LEAST)
     "op3_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-l AS (SELECT r, doc_id, i, x[i] AS line FROM (SELECT r, doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d WHERE text IS NOT NULL)),
-u AS (SELECT r, doc_id, i, line, array_to_string(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''), chr(32)) AS norm FROM l),
-k AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM u),
-g AS (SELECT r, sum(CASE WHEN norm <> '' THEN 1 ELSE 0 END) AS n_units, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY r)
+x AS (SELECT r, doc_id, regexp_extract_all(text, '[^.!?,;:\n]*[.!?,;:\n]+|[^.!?,;:\n]+') AS x FROM d WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+p AS (SELECT r, doc_id, i, x[i] AS piece FROM (SELECT r, doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM x)),
+u AS (SELECT *, list_filter(regexp_split_to_array(translate(regexp_replace(piece, '[.!?,;:\n]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM p),
+k AS (SELECT r, i, piece, len(w) AS n, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, chr(32)) ORDER BY doc_id, i) > 1 AS again FROM u),
+b AS (SELECT *, sum(CASE WHEN n > 0 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM k),
+s AS (SELECT *, (again OR n = 0) AND sum(CASE WHEN again THEN n ELSE 0 END) OVER (PARTITION BY r, run) >= 15 AS gone FROM b),
+g AS (SELECT r, count(*) FILTER (n > 0) AS n_units, count(*) FILTER (n > 0 AND gone) AS n_removed, string_agg(piece, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)""",
     "op8_url_filter": rf"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
