@@ -1,52 +1,67 @@
 """Benchmark decontamination by winnowed fingerprints.
 
-Words of both sides become integers of the benchmark's vocabulary (0: a word that no item has). Of every
-``WINDOW`` consecutive k-gram hashes the smallest is kept; K + WINDOW - 1 = SPAN, so that each shared span of
-SPAN words shares a kept fingerprint. Fingerprints of documents are joined with those of the items where
-the text lies, and each meeting is extended word by word in both directions: runs of SPAN words or more are
-hits, which makes the result exact. Items of fewer than SPAN words are one k-gram of their own length.
+Of every ``WINDOW`` consecutive k-gram hashes the smallest is kept; K + WINDOW - 1 = SPAN, so that each window of SPAN words
+has one kept fingerprint, the same on both sides. Three tables are made of the benchmark: its fingerprints, its different windows (a
+row for each window of words, however many items open with it), and which items have a window. A document's windows whose fingerprint
+the benchmark has are joined to the benchmark's windows by the digest of all their words, so a meeting is confirmed by the join
+itself and a document's window meets one row at most; hits that overlap grow into runs. Items of fewer than SPAN words
+are one window of their own length.
 
-The item side of the join is sent to the executors in blocks of at most ``block_bytes`` of text; a
-benchmark of several blocks costs a pass over the documents for each, and the passes' runs are merged by
-document, so that neither the driver nor an executor ever holds more than one block.
+The fingerprints reach the documents as a filter of bits: at most ``FILTER_BYTES``, whatever the benchmark's size, and built by
+aggregation. A full filter lets more windows through to the join, and drops none. Texts do not travel, and windows travel only if they pass the filter.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; repeated rows get the
 same result each; items without words or without an id hit nothing; an item id counts once however many
-rows it has; empty tables on either side are allowed; only the key and text columns are looked at.
+rows it has; very long texts are read whole, and only their hits are kept; empty tables on either side are allowed;
+only the key and text columns are looked at.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import map_batches, mix, plain_words
+from .workspace import Workspace
 
 SPAN, K = 13, 8
 WINDOW = SPAN - K + 1
-BLOCK_BYTES = 4 << 20
+#: The largest filter, and its bits for each fingerprint while it may still grow.
+FILTER_BYTES, FILTER_BITS = 32 << 20, 32
+#: Words whose hashes a task remembers.
+WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Hashes(dict):
+    """Words to 64-bit hashes; starts again when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 def _grams(ids: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive ids."""
+    """A hash of each k consecutive words."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    words, h = ids.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)
+    h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = h * _ODD + words[i : i + n]
-    return mix(h)
+        h = h * _ODD + ids[i : i + n]
+    return mix(h + np.uint64(k))
 
 
 def _winnow(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest (of equal ones the last) hash of each window."""
+    """Of each window the place of its smallest hash, of equal ones the last."""
     n = len(h) - window + 1
     if n <= 0:
         return np.empty(0, np.int64)
@@ -55,136 +70,111 @@ def _winnow(h: np.ndarray, window: int) -> np.ndarray:
         later = h[i : i + n] <= best
         best[later] = h[i : i + n][later]
         at[later] = np.flatnonzero(later) + i
-    return np.unique(at)
-
-
-class Items:
-    """The fingerprints of a block of items: hash to (item, position), for SPAN and for each shorter length."""
-
-    def __init__(self, rows: list[tuple[object, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.names: list[str] = []
-        self.ids: list[np.ndarray] = []
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for name, text in rows:
-            words = plain_words(text)
-            if name is None or not words:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            item, k = len(self.ids), K if len(ids) >= SPAN else len(ids)
-            h = _grams(ids, k)
-            for p in _winnow(h, WINDOW) if len(ids) >= SPAN else (0,):
-                self.at[SPAN if len(ids) >= SPAN else len(ids)][int(h[p])].append((item, int(p)))
-            self.names.append(str(name))
-            self.ids.append(ids)
-        self.at = {k: dict(v) for k, v in self.at.items()}
-        self.sorted = {k: np.sort(np.array(list(v), np.uint64)) for k, v in self.at.items()}
-
-    def runs(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Maximal hit runs [first, end) of a document, not yet merged, and the items they come from."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        found: list[tuple[int, int]] = []
-        names: set[str] = set()
-        if not ids.any():
-            return found, names
-        for span, at in self.at.items():
-            h = _grams(ids, K if span == SPAN else span)
-            places = _winnow(h, WINDOW) if span == SPAN else np.arange(len(h))
-            if not len(places):
-                continue
-            known, seen = self.sorted[span], h[places]
-            i = np.minimum(np.searchsorted(known, seen), len(known) - 1)
-            ends: dict[tuple[int, int], int] = {}  # of the last run on a diagonal
-            for p in places[known[i] == seen].tolist():
-                for item, q in at[int(h[p])]:
-                    if p < ends.get((item, p - q), 0):
-                        continue
-                    first, end = self._extend(ids, p, self.ids[item], q, ends.get((item, p - q), 0))
-                    if end > first:
-                        ends[item, p - q] = end
-                    if end - first >= span:
-                        found.append((first, end))
-                        names.add(self.names[item])
-        return found, names
-
-    @staticmethod
-    def _extend(doc: np.ndarray, p: int, item: np.ndarray, q: int, low: int) -> tuple[int, int]:
-        """The maximal run of equal words through doc[p] and item[q]; empty if they differ there."""
-        back = min(p - low, q)
-        a, b = doc[p - back : p][::-1], item[q - back : q][::-1]
-        left = int(np.argmin(np.append(a == b, False)))
-        ahead = min(len(doc) - p, len(item) - q)
-        right = int(np.argmin(np.append(doc[p : p + ahead] == item[q : q + ahead], False)))
-        return p - left, p + right
-
-
-def item_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items on the driver, a block at a time."""
-    rows = benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = -(-total // block_bytes) or 1
-    for i in range(parts):
-        part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == i)
-        block, size = [], 0
-        for r in part.toLocalIterator():
-            block.append((r.k, r.t))
-            size += len(r.t)
-            if size >= block_bytes:
-                yield block
-                block, size = [], 0
-        if block or not i:
-            yield block
-
-
-_RUNS = "n_words long, firsts array<long>, ends array<long>, names array<string>"
-
-
-def _scan(docs: DataFrame, items, with_key: list[str], hits_only: bool) -> DataFrame:
-    """(key columns, n_words, firsts, ends, names) of documents against one block."""
-    plain = [f"k{i}" for i in range(len(with_key))]
-    kept = docs.select(*(F.col(c).alias(n) for c, n in zip(with_key, plain, strict=True)), F.col("_text").alias("text"))
-    arrow = kept.select(*plain).limit(0).toArrow().schema
-    schema = pa.schema([*arrow, ("n_words", pa.int64()), ("firsts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("names", pa.list_(pa.string()))])
+    return at
+
+
+def fingerprints(ids: np.ndarray, span: int) -> np.ndarray:
+    """The fingerprint of each window of ``span`` words: its least k-gram, or a short window as a whole."""
+    if span < SPAN:
+        return _grams(ids, span)
+    h = _grams(ids, K)
+    return h[_winnow(h, WINDOW)]
+
+
+def digests(words: list[bytes], places: list[int], span: int) -> list[bytes]:
+    """128-bit digests of the windows of ``span`` words that start at ``places``."""
+    return [xxhash.xxh3_128_digest(b" ".join(words[p : p + span])) for p in places]
+
+
+def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, span, fingerprint, digest): each different window of each item."""
+    rows = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).filter("item is not null and text is not null")
+    schema = pa.schema([("item", pa.string()), ("span", pa.int32()), ("fingerprint", pa.int64()), ("digest", pa.binary())])
+
+    def work(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        hashes = _Hashes()
+        for item, t in zip(cols["item"], cols["text"], strict=True):
+            if words := plain_words(t):
+                span = min(SPAN, len(words))
+                prints = fingerprints(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), span)
+                out["item"] += [item] * len(prints)
+                out["span"] += [span] * len(prints)
+                out["fingerprint"] += prints.view(np.int64).tolist()
+                out["digest"] += digests(words, range(len(prints)), span)
+        return out
+
+    return map_batches(rows, work, schema, "item string, span int, fingerprint long, digest binary").distinct()
+
+
+def print_filter(windows: DataFrame, most: int = FILTER_BYTES) -> tuple[np.ndarray, int]:
+    """(words of bits, log2 of the number of bits) of the fingerprints, two bits each; summed by Spark, at most ``most`` bytes."""
+    prints = windows.select("fingerprint").distinct()
+    n = prints.count()
+    size = max(6, min((n * FILTER_BITS - 1).bit_length(), most.bit_length() + 2))
+    places = prints.select(F.explode(F.array(F.shiftrightunsigned("fingerprint", 64 - size), F.col("fingerprint").bitwiseAND((1 << size) - 1))).alias("p"))
+    held = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[held["w"].to_numpy()] = held["bits"].to_numpy()
+    return out.view(np.uint64), size
+
+
+def passing(prints: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    """Which fingerprints the filter has, and perhaps a few others."""
+    ok = np.ones(len(prints), bool)
+    for p in (prints >> np.uint64(64 - size), prints & np.uint64((1 << size) - 1)):
+        ok &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _scan(rows: DataFrame, known: Broadcast, spans: list[int]) -> DataFrame:
+    """(k, row, n_words, found): the windows of each document that the filter lets through. rows: (k, row, text)."""
+    hit = pa.list_(pa.struct([("at", pa.int32()), ("span", pa.int32()), ("digest", pa.binary())]))
+    schema = pa.schema([("k", rows.select("k").limit(0).toArrow().schema[0].type), ("row", pa.int64()), ("n_words", pa.int64()), ("found", hit)])
+    hashes = _Hashes()
+
+    def found(words: list[bytes]) -> Iterator[dict[str, object]]:
+        ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        for span in spans:
+            places = np.flatnonzero(passing(fingerprints(ids, span), *known.value)).tolist()
+            for p, d in zip(places, digests(words, places, span), strict=True):
+                yield {"at": p, "span": span, "digest": d}
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        block = items.value
-        rows = []
-        for i, t in enumerate(cols["text"]):
-            words = plain_words(t)
-            found, names = block.runs(words) if words else ([], set())
-            if found or not hits_only:
-                rows.append((*(cols[p][i] for p in plain), len(words), [a for a, _ in found], [b for _, b in found], sorted(names)))
-        return dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in schema.names}
+        words = [plain_words(t) for t in cols["text"]]
+        return {"k": cols["k"], "row": cols["row"], "n_words": list(map(len, words)), "found": [list(found(w)) for w in words]}
 
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, kept.select(*plain).schema, strict=True))
-    return map_batches(kept, work, schema, f"{kinds}, {_RUNS}")
+    kind = rows.schema[0].dataType.simpleString()
+    return map_batches(rows, work, schema, f"k {kind}, row long, n_words long, found array<struct<at: int, span: int, digest: binary>>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: Words that lie in any of the hits, which are sorted by their start.
+_HIT = "aggregate(array_sort(hits), named_struct('n', 0L, 'to', 0L), (s, h) -> named_struct('n', s.n + greatest(0L, h.at + h.span - greatest(h.at, s.to)), 'to', greatest(s.to, cast(h.at + h.span AS bigint))), s -> s.n)"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(key, n_words, n_hit, n_items, item_ids, items_sha256, contaminated) of each document row."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Items(b)) for b in item_blocks(benchmark, item_key, item_text, block_bytes)]
-    rows = docs.select(F.col(key).alias("k0"), F.col(text).alias("_text"))
-    if len(blocks) == 1:
-        found = _scan(rows, blocks[0], ["k0"], False)
-    else:
-        marked = rows.withColumn("k1", F.sha2(F.coalesce("_text", F.lit("")), 256))
-        hits = reduce(DataFrame.unionByName, [_scan(marked, b, ["k0", "k1"], True) for b in blocks])
-        merged = hits.groupBy(F.col("k0").alias("d0"), F.col("k1").alias("d1")).agg(
-            F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("names")).alias("names")
-        )
-        counted = _scan(marked, sc.broadcast(Items([])), ["k0", "k1"], False).select("k0", "k1", "n_words")
-        same = F.col("k0").eqNullSafe(F.col("d0")) & (F.col("k1") == F.col("d1"))
-        blank = {"firsts": "array<long>", "ends": "array<long>", "names": "array<string>"}
-        found = counted.join(merged, same, "left").select("k0", "n_words", *(F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in blank.items()))
-    hit = "aggregate(array_sort(arrays_zip(firsts, ends)), named_struct('n', 0L, 'to', 0L), (s, r) -> named_struct('n', s.n + greatest(0L, r.ends - greatest(r.firsts, s.to)), 'to', greatest(s.to, r.ends)), s -> s.n)"
-    return found.select(
-        F.col("k0").alias(key),
-        "n_words",
-        F.expr(hit).alias("n_hit"),
-        F.array_sort(F.array_distinct("names")).alias("item_ids"),
-    ).select(
+    spark = docs.sparkSession
+    work = Workspace(spark, "winnow")
+    windows = work.put("windows", item_windows(benchmark, item_key, item_text))
+    spans = sorted(r.span for r in windows.select("span").distinct().collect())
+    known = spark.sparkContext.broadcast(print_filter(windows, filter_bytes))
+    rows = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    scanned = work.put("scanned", _scan(rows, known, spans))
+    met = scanned.filter("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.at", "f.span", "f.digest")
+    # which windows are the benchmark's, a row each, and by which items: equal sets of items are one set
+    asked = met.select(F.col("digest").alias("d")).distinct()
+    of = windows.join(asked, F.col("digest") == F.col("d"), "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = work.put("named", of.select(F.col("digest").alias("d"), F.xxhash64("items").alias("set"), "items"))
+    hits = met.join(named.select("d", "set"), F.col("digest") == F.col("d"))
+    by_row = work.put("hits", hits.groupBy("row").agg(F.collect_set(F.struct("at", "span")).alias("hits"), F.collect_set("set").alias("sets")))
+    sets = named.groupBy("set").agg(F.first("items").alias("items")).withColumnRenamed("set", "_set")
+    items = by_row.select("row", F.explode("sets").alias("set")).join(sets, F.col("set") == F.col("_set")).select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    judged = work.put("judged", by_row.select("row", F.expr(_HIT).alias("n_hit")).join(items, "row").withColumnRenamed("row", "_row"))
+    work.drop("windows", "named", "hits")
+    out = scanned.select("k", "row", "n_words").join(judged, F.col("row") == F.col("_row"), "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")).select(
         key,
         "n_words",
         "n_hit",
@@ -200,4 +190,6 @@ def keep(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     # the verdict is the text's; the key is in the name so that copies under many keys are spread
     name = F.concat(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.coalesce(F.col(key).cast("string"), F.lit("")))
     bad = contamination(docs.select(name.alias("_name"), F.col(text).alias("_read")), benchmark, "_name", "_read", **options).filter("contaminated").select(F.col("_name").alias("_bad")).distinct()
+    # written first: how large it is decides how it meets the documents
+    bad = Workspace(docs.sparkSession, "winnow").put("bad", bad)
     return docs.join(bad, name == F.col("_bad"), "left_anti")
