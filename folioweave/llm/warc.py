@@ -10,8 +10,8 @@ others are revisits that name it and carry no payload. Archives go to the shared
 other attempt of a task uses: a task that runs again leaves an archive that no index row names.
 
 Defined results: a null html is an empty payload; rows without a key are responses unless a keyed row has
-the same payload; repeated rows are records of their own, those with the largest key all responses; extra
-columns are ignored; an empty table gives an empty index.
+the same payload; repeated rows are records of their own, those with the largest key all responses; very long pages are
+one record each, held whole by one task; extra columns are ignored; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .workspace import Workspace
 LEAST = 1000
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: A read task gets about ``RANGE_BYTES``; of a set that would make more tasks than this, larger shares.
+TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -169,4 +171,7 @@ def read(index: DataFrame, with_html: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t, _ in columns], schema=schema)
                 i = j
 
-    return index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in columns))
+    # index rows are small beside what they name, so the number of tasks comes from the bytes to read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = min(TASKS, -(-total // RANGE_BYTES)) or 1
+    return index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in columns))
