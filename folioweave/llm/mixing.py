@@ -6,11 +6,15 @@ copies: the whole part for certain, the rest as a probability. Two probabilities
 move between the two documents, by chance and without bias, until one of them is integral. The sum
 of expected words stays what it was, so a source ends within one document of its target.
 
-The pairs settle in groups of at most about ``FAN`` rows of one source; what is left of each group, one document
+The pairs settle in groups of about ``FAN`` rows of one source, dealt by a hash of key and text (of the row's place in the
+table where it has no key); what is left of each group, one document
 at most, goes on to the next level of the tree, and the last one is drawn. Large documents settle
 first, so that a small one is left. Chance comes from hashes of keys, so reruns agree.
 
-Defined results: null and empty texts have size 0 and take nothing; a null source comes last and is a source
+Sources are few beside documents: their table, a row each, is sorted in one task, which holds for some millions.
+
+Defined results: null and empty texts have size 0 and take nothing; very long texts only count their words, and a source of one
+such text takes all or nothing of its fraction; a null source comes last and is a source
 of its own; repeated rows, and rows without a key, are documents of their own, equal ones in any order; a source without words
 has target 0; columns other than the three are ignored; an empty table gives an empty one.
 """
@@ -18,6 +22,7 @@ has target 0; columns other than the three are ignored; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +38,11 @@ SEED = 5
 
 
 def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
-    """(k, source, size[, row]): the number of words ``[^\\x20\\x09-\\x0D]+`` of each row."""
-    rows = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
+    """(k, source, size, salt[, row]): the number of words ``[^\\x20\\x09-\\x0D]+`` of each row; salt deals rows that share a key."""
+    rows = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text)).alias("salt"), *([F.col(row).alias("row")] if row else []))
     kind = rows.schema[0].dataType.simpleString()
-    schema = pa.schema([("k", rows.select("k").limit(0).toArrow().schema[0].type), ("source", pa.string()), ("size", pa.int64()), *([("row", pa.int64())] if row else [])])
-    return map_batches(rows, lambda c: c | {"size": [len(blank_words(t)) for t in c["text"]]}, schema, f"k {kind}, source string, size long" + ", row long" * bool(row))
+    schema = pa.schema([("k", rows.select("k").limit(0).toArrow().schema[0].type), ("source", pa.string()), ("size", pa.int64()), ("salt", pa.int64()), *([("row", pa.int64())] if row else [])])
+    return map_batches(rows, lambda c: c | {"size": [len(blank_words(t)) for t in c["text"]]}, schema, f"k {kind}, source string, size long, salt long" + ", row long" * bool(row))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -96,7 +101,7 @@ def pivot(size: np.ndarray, p: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return p
 
 
-_ROW = "k {kind}, source string, size long, p double, n long, groups long, open boolean"
+_ROW = "k {kind}, source string, size long, salt long, p double, n long, groups long, open boolean"
 
 
 def _level(rows: DataFrame, level: int, seed: int, kind: str, fan: int) -> DataFrame:
@@ -117,9 +122,9 @@ def _level(rows: DataFrame, level: int, seed: int, kind: str, fan: int) -> DataF
             still = np.zeros(len(p), bool)
         later = pa.array([-(-x // fan) for x in table["groups"].to_pylist()], pa.int64())
         rest = [table["row"]] if "row" in table.column_names else []
-        return pa.table([table["k"], table["source"], table["size"], pa.array(p), table["n"], later, pa.array(still), *rest], names=["k", "source", "size", "p", "n", "groups", "open", *["row"] * len(rest)])
+        return pa.table([table["k"], table["source"], table["size"], table["salt"], pa.array(p), table["n"], later, pa.array(still), *rest], names=["k", "source", "size", "salt", "p", "n", "groups", "open", *["row"] * len(rest)])
 
-    spread = rows.withColumn("tie", F.xxhash64("k", F.lit(seed))).withColumn("g", F.pmod(F.xxhash64("k", F.lit(seed + 1 + level)), F.col("groups")))
+    spread = rows.withColumn("tie", F.xxhash64("k", "salt", F.lit(seed))).withColumn("g", F.pmod(F.xxhash64("k", "salt", F.lit(seed + 1 + level)), F.col("groups")))
     return spread.groupBy("source", "g").applyInArrow(settle, _ROW.format(kind=kind) + ", row long" * ("row" in rows.columns))
 
 
@@ -139,16 +144,14 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     )
     # a document without words is settled as it is
     fraction = F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0))
-    now = each.select("k", "source", "size", fraction.alias("p"), F.floor("rate").cast("long").alias("n"), "groups", *(["row"] if row else []))
-    settled, level = [], 0
+    now = each.select("k", "source", "size", "salt", fraction.alias("p"), F.floor("rate").cast("long").alias("n"), "groups", *(["row"] if row else []))
+    settled, level = [now.filter("p = 0")], 0  # nothing to draw: these rows do not travel
+    now = now.filter("p > 0")
     while True:
         done = work.put(f"level={level}", _level(now, level, seed, kind, fan))
-        settled.append(done.filter("not open"))
+        settled.append(done.filter("not open").drop("open"))
         now, level = done.filter("open").drop("open"), level + 1
         if not now.limit(1).count():
             break
-    out = settled[0]
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    out = out.withColumn("copies", F.col("n") + F.col("p").cast("long")).drop("groups")
+    out = reduce(DataFrame.unionByName, settled).withColumn("copies", F.col("n") + F.col("p").cast("long")).drop("groups")
     return out.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("k").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("row").alias(row)] if row else []))
