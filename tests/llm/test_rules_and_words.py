@@ -81,8 +81,8 @@ def brute_contamination(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 8])
+def test_contamination(spark, filter_bytes):
     rnd = random.Random(4)
     say = lambda n: [rnd.choice(["the", "of", "a", "to", "in", "is"]) + rnd.choice(["", "x", "É", "9"]) for _ in range(n)]
     items = [(i, " ".join(say(rnd.choice([1, 5, 12, 13, 14, 30])))) for i in range(25)] + [(50, None), (51, "--"), (None, "null id item words"), (3, "second row of item three, with thirteen words in it and a few more")]
@@ -96,8 +96,8 @@ def test_contamination(spark, block_bytes):
             w += x[a : a + rnd.randint(5, 40)] + say(3)
         docs.append((10 + i, rnd.choice([" ", ", ", "\n"]).join(w).title()))
     docs += [docs[20], docs[20], (None, docs[21][1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit(1)).withColumn("k0", F.lit(1))
-    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit(1)).withColumn("row", F.lit(1))
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), filter_bytes=filter_bytes).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got], key=str) == brute_contamination(docs, items)
 
 
@@ -108,13 +108,70 @@ def test_contamination_of_empty_tables(spark):
     assert decontaminate.keep(docs, items).columns == docs.columns
 
 
+def test_contamination_by_a_common_opening_and_of_long_texts(spark):
+    opening = " ".join(f"stock{i}" for i in range(20))
+    items = [(i, f"{opening} question {i} asks for the number that comes after {i} and why") for i in range(2000)]
+    docs = [(1, (opening + " ") * 200), (2, " ".join(f"w{i}" for i in range(300_000)) + " " + items[7][1]), (3, items[9][1])]
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (4000, 2000, True)
+    assert (got[2].n_hit, got[2].n_items, got[2].contaminated) == (32, 2000, False)
+    assert (got[3].n_hit, got[3].n_words, got[3].contaminated) == (32, 32, True)
+
+
+def brute_units(docs, least=15):
+    """Rows (doc, n_units, n_removed, kept); earlier occurrences are looked for one by one."""
+    cut = [[(k, p, WORD.findall(lower(p).rstrip(".!?,;:\n"))) for p in re.findall(r"[^.!?,;:\n]*[.!?,;:\n]+|[^.!?,;:\n]+", t or "")] for k, t in docs]
+    seen, again = set(), {}
+    for _, j in sorted((k, j) for j, (k, t) in enumerate(docs) if k is not None and t is not None):
+        for i, (*_, w) in enumerate(cut[j]):
+            again[j, i] = bool(w) and tuple(w) in seen
+            seen.add(tuple(w))
+    out = []
+    for j, ((k, t), found) in enumerate(zip(docs, cut, strict=True)):
+        gone, i = set(), 0
+        while i < len(found):
+            e = i
+            while e < len(found) and (again.get((j, e)) or not found[e][2]):
+                e += 1
+            if sum(len(found[x][2]) for x in range(i, e)) >= least:
+                gone |= set(range(i, e))
+            i = max(e, i + 1)
+        out.append((k, sum(bool(w) for *_, w in found), sum(bool(found[x][2]) for x in gone), None if t is None else "".join(p for x, (_, p, _) in enumerate(found) if x not in gone)))
+    return sorted(out, key=str)
+
+
+def cleared(spark, docs, **options):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("kept", F.lit(1)).withColumn("digest", F.lit(2))
+    got = lines.deduplicate(df, **options).collect()
+    texts = dict(docs)
+    for r in got:
+        if r.doc_id is not None and r.kept is not None and list(dict(docs).values()).count(texts[r.doc_id]) >= 1 and sum(k == r.doc_id for k, _ in docs) == 1:
+            assert lines.without(texts[r.doc_id], [(s["first"], s["end"]) for s in r.spans]) == r.kept
+    return sorted(((r.doc_id, r.n_units, r.n_removed, r.kept) for r in got), key=str)
+
+
 def test_lines(spark):
-    docs = [(2, "Same  line\nown line of two\n\nsame line "), (1, "a\nSAME line"), (3, None), (4, ""), (5, "a\nA\nb"), (5, "a\nA\nb"), (None, "a\nsame line")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(0)).withColumn("tag", F.lit(0))
-    got = sorted(((r.doc_id, r.n_units, r.n_removed, r.kept) for r in lines.deduplicate(df).collect()), key=str)
-    want = [(1, 2, 0, "a\nSAME line"), (2, 3, 2, "own line of two\n"), (3, 0, 0, None), (4, 0, 0, ""), (5, 3, 2, "b"), (5, 3, 2, "b"), (None, 2, 0, "a\nsame line")]
-    assert got == sorted(want, key=str)
-    assert lines.deduplicate(df.limit(0)).count() == 0
+    docs = [(1, "a\nSAME line"), (2, "own line of two\n  same   LINE\n\nsame line."), (3, None), (4, ""), (None, "a\nsame line"), (6, "...,\n\n;")]
+    assert cleared(spark, docs, least=1) == brute_units(docs, 1)
+    assert [r for r in cleared(spark, docs) if r[2]] == []
+    assert lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_passages_inside_lines(spark):
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("bcdfg") + rnd.choice("aeio") + str(rnd.randrange(60))
+    prose = lambda n: "".join(word() + rnd.choice([" ", " ", " ", " ", ", ", ". ", "\n", ";\n\n"]) for _ in range(n))
+    passages = [prose(60) for _ in range(3)]
+    docs = [(i, prose(rnd.randint(5, 40)) + ". " + rnd.choice(passages).upper() + "! " + prose(rnd.randint(5, 40)) if i % 2 else prose(rnd.randint(1, 120))) for i in range(40)]
+    docs += [(100 + i, docs[1][1]) for i in range(4)]
+    got = cleared(spark, docs)
+    assert got == brute_units(docs)
+    assert all(r[3] == "" for r in got if r[0] >= 100) and sum(r[2] > 0 for r in got) > 15
+    # exact repeats of a row are one document; a text of one long unit, and one of many
+    long = "x " * 100_000
+    rows = [(1, docs[1][1]), (2, docs[1][1]), (2, docs[1][1]), (3, long), (4, long), (5, "a b, " * 60_000)]
+    rows = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, len(r.kept)) for r in rows if r.doc_id != 1) == [(2, rows[0].n_units, 0)] * 2 + [(3, 0, 200_000), (4, 1, 0), (5, 59_999, 4)]
 
 
 def test_licenses(spark):
@@ -170,6 +227,21 @@ def brute_targets(sizes):
     return out
 
 
+def test_long_hosts_repeats_and_equal_rules(spark):
+    import time
+
+    rows = [(1, "http://" + "a." * 20_000 + "example.org/es/" + "x" * 50_000), (2, "http://" + "a." * 20_000 + "com/de/"), (3, "http://x.a.b/cd"), (3, "http://x.a.b/cd"), (None, "http://b/c")]
+    rules = [("b", "/cd", "allow"), ("a.b", "/c", "block"), ("b", "/c", "allow"), ("b", "/c", "block")]
+    began = time.perf_counter()
+    got = [(r.page_id, r.rule, r.verdict) for r in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "example.org/es/", "block"), (2, "com/de/", "block"), (3, None, "allow"), (3, None, "allow"), (None, None, "allow")], key=str)
+    assert time.perf_counter() - began < 30
+    held = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = [(r.page_id, r.rule, r.verdict) for r in urls.verdicts(spark.createDataFrame(rows[2:], "page_id long, url string"), held).collect()]
+    # a.b/c is longer than b/cd by a character; of the two rules b/c the block wins
+    assert sorted(got, key=str) == sorted([(3, "a.b/c", "block"), (3, "a.b/c", "block"), (None, "b/c", "block")], key=str)
+
+
 @pytest.mark.parametrize("fan", [1_000, 4])
 def test_mixing(spark, fan):
     rnd = random.Random(6)
@@ -202,3 +274,13 @@ def test_pivot_keeps_sums_and_expectations():
         assert abs((q * size).sum() - (p * size).sum()) < 1e-9 and ((q > 0) & (q < 1)).sum() <= 1
         total += q
     assert np.abs(total / 4000 - p).max() < 0.04
+
+
+def test_mixing_of_rows_without_a_key(spark):
+    """Rows that share a key are dealt to many groups; the empty ones do not travel."""
+    docs = [(None, f"w{i} " * (i % 7), "a") for i in range(3000)] + [(5, f"v{i} " * 3, "b") for i in range(1500)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4), fan=100).collect()
+    assert len(rows) == len(docs) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
+    for s in "ab":
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 6
