@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import editions, thml, volumes
+from ..operators.editions import documents_of
+from ..operators.editions import pages as pages_of_editions
 
 SCAN = "map<string, array<struct<page: int, blocks: array<struct<label: string, html: string, reading_order: int, bbox: array<double>>>>>>"
 
 
-def scans(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, page, blocks) of recognised scans, a JSON file for each book: its first entry is the book."""
-    whole = spark.read.text(path, wholetext=True)
+def scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(book_id, page, blocks) of recognised scans, a JSON file (or line) for each book: its first entry is the book."""
+    whole = spark.read.text(path, wholetext=not lines)
     first = whole.select(F.get(F.map_entries(F.from_json("value", SCAN)), F.lit(0)).alias("e"))
     return first.select(F.col("e.key").alias("book_id"), F.explode("e.value").alias("p")).select("book_id", "p.page", "p.blocks")
 
@@ -100,14 +102,18 @@ def epub_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def epub_pages(files: DataFrame, author: str, **reading) -> DataFrame:
-    """Pages of EPUB files (path, content), a work each; the file's name gives id and title."""
+def edition_pages(documents: DataFrame, author: str, **reading) -> DataFrame:
+    """Pages of works in documents (path, document, name, xhtml); the path's name gives id and title."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
+    title = F.replace(stem, F.lit("_"), F.lit(" "))
+    found = pages_of_editions(documents, title, **reading)
+    book_id = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return found.select("path", book_id.alias("book_id"), title.alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
-    def read(name: str, content: bytes) -> list[dict]:
-        title = file_stem(name).replace("_", " ")
-        return [{"book_id": re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-"), "title": title, "author": author, "pages": editions.edition_pages(title, editions.epub_documents(content), **reading)}]
 
-    return _books(files, "content", read)
+def epub_pages(files: DataFrame, author: str, **reading) -> DataFrame:
+    """Pages of EPUB files (path, content), a work each."""
+    return edition_pages(documents_of(files), author, **reading)
 
 
 def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 
 from folioweave.functions import editions, volumes
+from folioweave.operators import editions as operators
 from folioweave.sources import books
 
 
@@ -135,28 +136,62 @@ def words(n, stem="text"):
     return "<p>" + " ".join(f"{stem}{i}" for i in range(n)) + "</p>"
 
 
-def cited(documents, **reading):
-    return [(p["printed"], p["parts"]) for p in editions.edition_pages("Work", documents, **reading)]
+def cited(spark, works, **reading):
+    """(printed, parts) of each work's pages, all works read by one job."""
+    rows = [(f"w{i}", d, name, html) for i, documents in enumerate(works) for d, (name, html) in enumerate(documents)]
+    found = books.edition_pages(spark.createDataFrame(rows, "path string, document int, name string, xhtml string"), "A", **reading).collect()
+    by = [sorted((r for r in found if r.path == f"w{i}"), key=lambda r: r.page_number) for i in range(len(works))]
+    assert all([r.page_number for r in x] == list(range(1, len(x) + 1)) for x in by)
+    return [[(r.printed, [(p.type, p.value) for p in r.parts]) for r in x] for x in by]
 
 
-def test_leaves():
-    found, notes = editions.leaves(
+def test_leaves(spark):
+    page = (
         '<body><p>Part 2 </p><h3>Chapter 3</h3><p><b>4</b> If then there is some end of the things that we do and wish for, and so on and on it goes.</p><p><span id="Chapter_5"><b>5</b></span> Forms</p><p> <br/> 6</p><p>BOOK SECOND. CHAPTER I.</p><p>1882</p><p>C.</p>'
         '<p><span class="pagenum">[1]</span><i>Good</i> aims<sup class="mw-ref"><a href="#n1">[1]</a></sup>.</p><ol class="references"><li id="n1" data-mw-footnote-number="1"><span class="reference-text">By Eudoxus.</span></li></ol><h2>External links</h2><p>gone</p></body>'
     )
-    assert [(x.book, x.chapter) for x in found] == [(None, 2), (None, 3), (None, 4), (None, 5), (None, 6), (2, 1), (None, None), (None, None), (None, None)]
-    assert [x.heading for x in found[:3]] == [True, True, False] and found[-1].html == "<i>Good</i> aims<sup>1</sup>." and found[-1].notes == ["n1"] and notes == {"n1": ("1", "By Eudoxus.")}
+    found = list(editions.leaves(page))
+    rows = [(i, f["text"], f["heading"], f["bold"], f["anchor"]) for i, f in enumerate(found)]
+    marks = operators.marked(spark.createDataFrame(rows, "leaf int, text string, heading boolean, bold string, anchor string")).orderBy("leaf").collect()
+    assert [(r.book, r.chapter) for r in marks] == [(None, 2), (None, 3), (None, 4), (None, 5), (None, 6), (2, 1), (None, None), (None, None), (None, None)]
+    assert [r.heading for r in marks[:3]] == [True, True, False] and found[-1]["html"] == "<i>Good</i> aims<sup>1</sup>." and found[-1]["refs"] == ["n1"]
+    assert list(editions.notes(page)) == [{"id": "n1", "number": "1", "html": "By Eudoxus."}]
 
 
-def test_edition_pages():
-    assert cited([("W_Book_I.xhtml", f"<p>Part 1</p>{words(40)}<p>Part 2</p>{words(40)}"), ("W_Book_II.xhtml", f"<p>Part 1</p>{words(40)}")]) == [("Book I, Chapter 1", [("book", 1), ("chapter", 1)]), ("Book I, Chapter 2", [("book", 1), ("chapter", 2)]), ("Book II, Chapter 1", [("book", 2), ("chapter", 1)])]
-    assert cited([("W.xhtml", f"<h2>Preface</h2>{words(40)}<p>1</p>{words(40)}<p>2</p>{words(40)}")]) == [("Preface", []), ("Chapter 1", [("chapter", 1)]), ("Chapter 2", [("chapter", 2)])]
+def test_edition_pages(spark):
     table = "".join(f"<p>Chap. {n}. Of things.</p>{words(40, 'summary')}" for n in (1, 2, 3))
     text = "".join(f"<p>Chapter {n}</p>{words(200)}" for n in (1, 2, 3))
-    assert [p for p, _ in cited([("W.xhtml", f"<h2>Contents</h2>{table}{text}")])] == ["Contents", "Chapter 1", "Chapter 2", "Chapter 3"]
-    assert [p for p, _ in cited([("W_Book_I.xhtml", f"{words(150)}<p><b>2</b> More.</p>{words(40)}")])] == ["Book I, Chapter 1", "Book I, Chapter 2"]
+    held = f"<p>Dedication</p>{words(20)}<p>Book IV.</p>{words(5)}<p>Chapter I.</p>{words(40)}<p>Chapter II.</p>{words(3)}<p>Chapter III.</p>{words(40)}"
+    works = [
+        [("W_Book_I.xhtml", f"<p>Part 1</p>{words(40)}<p>Part 2</p>{words(40)}"), ("W_Book_II.xhtml", f"<p>Part 1</p>{words(40)}")],
+        [("W.xhtml", f"<h2>Preface</h2>{words(40)}<p>1</p>{words(40)}<p>2</p>{words(40)}")],
+        [("W.xhtml", f"<h2>Contents</h2>{table}{text}")],
+        [("W_Book_I.xhtml", f"{words(150)}<p><b>2</b> More.</p>{words(40)}")],
+        [("W.xhtml", held)],
+        [("W.xhtml", f"<p>Few</p>{words(3)}"), ("V.xhtml", ""), ("X.xhtml", f"<p>5.</p>{words(4)}")],
+    ]
+    got = cited(spark, works)
+    assert got[0] == [("Book I, Chapter 1", [("book", 1), ("chapter", 1)]), ("Book I, Chapter 2", [("book", 1), ("chapter", 2)]), ("Book II, Chapter 1", [("book", 2), ("chapter", 1)])]
+    assert got[1] == [("Preface", []), ("Chapter 1", [("chapter", 1)]), ("Chapter 2", [("chapter", 2)])]
+    assert [p for p, _ in got[2]] == ["Contents", "Chapter 1", "Chapter 2", "Chapter 3"]
+    assert [p for p, _ in got[3]] == ["Book I, Chapter 1", "Book I, Chapter 2"]
+    # the dedication and the book's line join chapter 1, the three words of chapter 2 too
+    assert [p for p, _ in got[4]] == ["Book IV, Chapter 1", "Book IV, Chapter 3"]
+    assert [p for p, _ in got[5]] == ["Introduction", "Chapter 5"]
     marked = f"<p>Book I.</p><p>Book II.</p>{words(40, 'contents')}<p>CHAPTER I.</p>{words(40)}<p>BOOK SECOND. CHAPTER I.</p>{words(40)}"
-    assert [p for p, _ in cited([("W.xhtml", marked)], starts_at=r"^CHAPTER I\.$", first_book=1)] == ["Book I.", "Book I, Chapter 1", "Book II, Chapter 1"]
+    assert [p for p, _ in cited(spark, [[("W.xhtml", marked)]], starts_at=r"^CHAPTER I\.$", first_book=1)[0]] == ["Book I.", "Book I, Chapter 1", "Book II, Chapter 1"]
+
+
+def test_notes_of_editions(spark):
+    note = lambda i: f'<li id="n{i}"><span class="reference-text">Note {i} &amp; more.</span></li>'
+    ref = lambda i: f'<sup class="mw-ref"><a href="#n{i}">[{i}]</a></sup>'
+    html = f"<p>Chapter 1</p><p>{'word ' * 40}{ref(2)}</p><p>Chapter 2</p><p>{'word ' * 40}{ref(1)}{ref(2)}{ref(9)}</p><ol class='references'>{note(1)}{note(2)}</ol>"
+    rows = books.edition_pages(spark.createDataFrame([("x/A_&_B.epub", 0, "d.xhtml", html)], "path string, document int, name string, xhtml string"), "A").orderBy("page_number").collect()
+    assert [[(b.label, b.html) for b in r.blocks if b.label != "Text"] for r in rows] == [
+        [("PageHeader", "<p>A &amp; B</p>"), ("SectionHeader", "<h3>Chapter 1</h3>"), ("Footnote", "<p><sup>2</sup> Note 2 &amp; more.</p>")],
+        [("PageHeader", "<p>A &amp; B</p>"), ("SectionHeader", "<h3>Chapter 2</h3>"), ("Footnote", "<p><sup>1</sup> Note 1 &amp; more.</p>")],
+    ]
+    assert [(r.book_id, r.title) for r in rows] == [("a-b", "A & B")] * 2
 
 
 def test_epub_files(spark, tmp_path):
