@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -22,6 +23,8 @@ CONFUSED = frozenset(("38", "83", "56", "65", "17", "71", "08", "80", "09", "90"
 #: Scores and costs of the numbering. A page that reads the number, nearly reads it, reads others; a
 #: small and a large change of the offset, and what is small (twice that where a scan shows two pages).
 READS, NEARLY, OTHERS, NEAR_COST, FAR_COST, NEAR = 2, 1, -1, 4, 30, 12
+#: Pages and their share with two numbers from which scans show two pages; pages beyond the outermost sure one.
+TWIN_PAGES, TWIN_SHARE, EDGE = 10, 0.4, 2
 
 _ROMAN_PAGE = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 
@@ -47,89 +50,81 @@ def candidates(pages: DataFrame) -> DataFrame:
     )
 
 
-def nearly(read: int, wanted: int) -> bool:
-    """Whether one digit that scanning confuses makes the difference."""
-    a, b = str(read), str(wanted)
-    wrong = [x + y for x, y in zip(a, b, strict=False) if x != y]
-    return len(a) == len(b) and len(wrong) == 1 and wrong[0] in CONFUSED
+_ALIKE = np.zeros((10, 10), bool)
+_ALIKE[[int(x[0]) for x in CONFUSED], [int(x[1]) for x in CONFUSED]] = True
+
+
+def nearly(read: int, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted numbers differ from the one read in one digit that scanning confuses."""
+    places = 10 ** np.arange(len(str(read)))
+    wanted = np.atleast_1d(wanted)
+    a, b = read // places % 10, wanted[:, None] // places % 10
+    as_long = (wanted >= (places[-1] if read > 9 else 0)) & (wanted < 10 * places[-1])
+    return as_long & ((a != b).sum(1) == 1) & ((a == b) | _ALIKE[a, b]).all(1)
+
+
+def _gains(at: np.ndarray, numbers: list[list[int]], offsets: np.ndarray) -> np.ndarray:
+    """What each page (row) says for each offset (column)."""
+    out = np.zeros((len(at), len(offsets)), np.int64)
+    for i, read in enumerate(numbers):
+        want = at[i] + offsets
+        each = [np.select([want == c, nearly(c, want)], [READS, NEARLY], OTHERS) for c in read]
+        out[i] = np.max(each, 0) if each else 0
+    return out
+
+
+def _likeliest(gains: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The path of columns with the greatest gains less the costs of its changes; of equal ones that which stays."""
+    here = np.arange(gains.shape[1])
+    total, came = gains[0], []
+    for gain in gains[1:]:
+        reached = total[None, :] - costs
+        best = reached.argmax(1)
+        best = np.where(reached[here, here] >= reached[here, best], here, best)
+        came.append(best)
+        total = reached[here, best] + gain
+    path = [int(total.argmax())]
+    for best in reversed(came):
+        path.append(int(best[path[-1]]))
+    return np.array(path[::-1])
+
+
+def _filled(value: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Pages whose number holds: sure ones, ones that fit between their sure neighbours, and up to two beside the first or the last."""
+    n, here = len(value), np.arange(len(value))
+    last = np.maximum.accumulate(np.where(sure, here, -1))
+    coming = np.minimum.accumulate(np.where(sure, here, n)[::-1])[::-1]
+    before, after = np.append(-1, last[:-1]), np.append(coming[1:], n)
+    led, followed = before >= 0, after < n
+    fits = (~led | (value > value[before])) & (~followed | (value < value[np.minimum(after, n - 1)]))
+    beside = np.where(led, ~followed & (here - before <= EDGE), followed & (after - here <= EDGE) & (value >= 1))
+    return sure | (fits & ((led & followed) | beside))
 
 
 def numbering(page: list[int], numbers: list[list[int]], roman: list[str]) -> list[str]:
     """The printed number of each page of a book, '' where there is none.
 
-    A printed number is the scan's plus an offset that changes seldom: the offsets are those of the likeliest path
-    through all pages (a Viterbi search over offsets, vectorised over them). Pages that read their number are
-    sure; others get theirs if it lies between sure neighbours, or next to the first or last one.
+    A printed number is the scan's plus an offset that changes seldom, so the offsets are those of the likeliest path through
+    all pages: pages gain by what they read, changes of the offset cost. Pages that read their number are sure; others
+    get theirs if it fits between sure neighbours, or next to the first or last one, and no other page has it.
     """
-    n = len(page)
-    full = [x for x in numbers if x]
-    twin = len(full) >= 10 and sum(any(c + 1 in x for c in x) for x in full) >= 0.4 * len(full)
-    at = np.array([2 * p if twin else p for p in page], np.int64)
-    if twin:
-        numbers = [list(dict.fromkeys(c - 1 if c - 1 in x else c for c in x)) for x in numbers]
-    offsets = np.array(sorted({c - int(a) for x, a in zip(numbers, at, strict=True) for c in x}), np.int64)
     blank = [r or "" for r in roman]
+    read = [set(x) for x in numbers if x]
+    twin = len(read) >= TWIN_PAGES and sum(any(c + 1 in x for c in x) for x in read) >= TWIN_SHARE * len(read)
+    at = np.array(page, np.int64) * (2 if twin else 1)
+    if twin:  # both numbers of a scan stand for its left page
+        numbers = [sorted({c - (c - 1 in x) for c in x}) for x in numbers]
+    offsets = np.unique([c - int(a) for x, a in zip(numbers, at, strict=True) for c in x]).astype(np.int64)
     if not len(offsets):
         return blank
-
-    def seen(i: int) -> np.ndarray:
-        if not numbers[i]:
-            return np.zeros(len(offsets), np.int64)
-        out = np.full(len(offsets), OTHERS, np.int64)
-        for k, o in enumerate(offsets.tolist()):
-            want = int(at[i]) + o
-            if want in numbers[i]:
-                out[k] = READS
-            elif any(nearly(c, want) for c in numbers[i]):
-                out[k] = NEARLY
-        return out
-
-    emitted = [seen(i) for i in range(n)]
-    reach, k = NEAR * (2 if twin else 1), np.arange(len(offsets))
-    apart = np.abs(offsets[:, None] - offsets[None, :])
-    cost = np.where((apart > 0) & (apart <= reach), NEAR_COST, np.iinfo(np.int32).max)
-    score, back = emitted[0].copy(), []
-    for i in range(1, n):
-        top = int(np.argmax(score))
-        hop = score[None, :] - cost
-        via = np.argmax(hop, 1)
-        best, source = score.copy(), k.copy()
-        better = hop[k, via] > best
-        best[better], source[better] = hop[k, via][better], via[better]
-        jump = score[top] - FAR_COST > best
-        best[jump], source[jump] = score[top] - FAR_COST, top
-        back.append(source)
-        score = best + emitted[i]
-    path = [int(np.argmax(score))]
-    for source in reversed(back):
-        path.append(int(source[path[-1]]))
-    path.reverse()
-    value = [int(a) + int(offsets[p]) for a, p in zip(at, path, strict=True)]
-    sure = [bool(e[p] > 0) and v >= 1 for e, p, v in zip(emitted, path, value, strict=True)]
-    show = lambda v: f"{v}-{v + 1}" if twin else str(v)
-    left, right = _neighbours(sure, range(n)), _neighbours(sure, range(n - 1, -1, -1))
-    out = []
-    for i, v in enumerate(value):
-        before, after = left[i], right[i]
-        low = before is None or v > value[before]
-        high = after is None or v < value[after]
-        inside = before is not None and after is not None
-        edge = (before is None and after is not None and after - i <= 2 and v >= 1) or (after is None and before is not None and i - before <= 2)
-        out.append(show(v) if sure[i] or (low and high and (inside or edge)) else blank[i])
-    times: dict[str, int] = {}
-    for v in out:
-        times[v] = times.get(v, 0) + 1
-    return [blank[i] if v and times[v] > 1 and not sure[i] else v for i, v in enumerate(out)]
-
-
-def _neighbours(sure: list[bool], order: range) -> dict[int, int | None]:
-    """For each place the last sure one before it, in the given order."""
-    out, last = {}, None
-    for i in order:
-        out[i] = last
-        if sure[i]:
-            last = i
-    return out
+    apart = np.abs(offsets[:, None] - offsets)
+    gains = _gains(at, numbers, offsets)
+    path = _likeliest(gains, np.select([apart == 0, apart <= NEAR * (1 + twin)], [0, NEAR_COST], FAR_COST))
+    value = at + offsets[path]
+    sure = (gains[np.arange(len(at)), path] > 0) & (value >= 1)
+    shown = [(f"{v}-{v + 1}" if twin else str(v)) if ok else b for v, ok, b in zip(value.tolist(), _filled(value, sure), blank, strict=True)]
+    times = Counter(shown)
+    return [x if times[x] == 1 or ok else b for x, ok, b in zip(shown, sure, blank, strict=True)]
 
 
 def printed_numbers(pages: DataFrame) -> DataFrame:
@@ -243,4 +238,4 @@ def answered_citations(answers: DataFrame) -> DataFrame:
     read = answers.select("book_id", "page", F.from_json("answer", ANSWER.replace("\n", " ")).alias("a"))
     notes = read.select("book_id", "page", F.posexplode("a.footnotes").alias("f", "note"))
     cited = notes.select("book_id", "page", F.col("note.identifier").alias("footnote"), "f", F.posexplode("note.citations").alias("c", "cit"))
-    return cited.select("book_id", "page", "footnote", (F.col("f") * 1000 + F.col("c")).alias("n"), "cit.author", "cit.title", "cit.location", "cit.raw", F.col("cit.locationsCited").alias("locations"))
+    return cited.select("book_id", "page", "footnote", (F.shiftleft(F.col("f").cast("long"), 31) + F.col("c")).alias("n"), "cit.author", "cit.title", "cit.location", "cit.raw", F.col("cit.locationsCited").alias("locations"))
