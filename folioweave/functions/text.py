@@ -95,6 +95,18 @@ def to_roman(n: Column) -> Column:
     return F.when(n >= 1, out)
 
 
+#: Words that stay small inside a title.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with")
+
+
+def tidy_title(s: Column) -> Column:
+    """Without "(EIGHT ARTICLES)"; all capitals become title case."""
+    bare = F.trim(F.regexp_replace(s, r"(?i)\s*\((?:[A-Z-]+|\d+) ARTICLES?\)\s*\z", ""))
+    pieces = F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}[\p{L}']*|[^\p{L}]+"), F.lit(0))
+    cased = F.transform(pieces, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
+    return F.when(bare == F.upper(bare), F.array_join(cased, "")).otherwise(bare)
+
+
 def tokens(s: Column) -> Column:
     """Words of a title or a name, folded."""
     parts = F.split(F.regexp_replace(fold(s), "&", " and "), "[^a-z0-9]+")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import readers
+from ..functions import bible, readers, thml, volumes
 from ..functions.text import is_summa
 from ..schema import PARTS_SQL
 
@@ -55,3 +55,58 @@ def summa_places(citations: DataFrame, order: tuple[str, ...] = ("source_page",
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, _PLACES)], names=["id", "places"])
 
     return sorted_.mapInArrow(run, f"id long, places {_PLACES_SQL}")
+
+
+def read_texts(df: DataFrame, read: Callable[[str], object], kind: pa.DataType, sql: str) -> DataFrame:
+    """(id, found) of (id, text): what a reader of one text finds, in Arrow batches; a text that comes again in a batch is read once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(1).dictionary_encode()
+            found = pa.array([read(t or "") for t in known.dictionary.to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), found.take(known.indices)], names=["id", "found"])
+
+    return df.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"id long, found {sql}")
+
+
+def divisions(df: DataFrame) -> DataFrame:
+    """(id, found) of (id, text): label, type and value of the numbered division that a title names, or null."""
+
+    def read(title: str) -> dict | None:
+        found = thml.division(title, "")
+        return dict(zip(("label", "type", "value"), found, strict=True)) if found else None
+
+    return read_texts(df, read, pa.struct([("label", pa.string()), ("type", pa.string()), ("value", pa.int32())]), "struct<label: string, type: string, value: int>")
+
+
+def work_references(df: DataFrame) -> DataFrame:
+    """(id, found) of (id, text): author, title and location of each work that a reference names."""
+    names = ("author", "title", "location")
+    return read_texts(df, lambda t: [dict(zip(names, r, strict=True)) for r in thml.work_references(t)], pa.list_(pa.struct([(n, pa.string()) for n in names])), "array<struct<author: string, title: string, location: string>>")
+
+
+def passages(df: DataFrame) -> DataFrame:
+    """(id, found) of (id, text): book, chapter and verses of the passages that a scripture mark names."""
+    kind = pa.list_(pa.struct([("book", pa.int32()), ("chapter", pa.int32()), ("verses", pa.list_(pa.int32()))]))
+    return read_texts(df, lambda t: [{"book": b, "chapter": c, "verses": v} for b, c, v in bible.marked_passages(t)], kind, "array<struct<book: int, chapter: int, verses: array<int>>>")
+
+
+def bible_books(df: DataFrame) -> DataFrame:
+    """(id, found) of (id, text): the number of the book of the Bible that a printed name means, or null."""
+    return read_texts(df, bible.printed_book, pa.int32(), "int")
+
+
+def chapter_gaps(titles: DataFrame) -> DataFrame:
+    """(book_id, position, chapters) of (book_id, position, title): the chapters each title names; one that names none takes the one that its neighbours leave out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([volumes.chapter_numbers(t or "") for t in b.column(2).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["book_id", "position", "chapters"])
+
+    named = titles.select("book_id", F.col("position").cast("int").alias("position"), "title").mapInArrow(run, "book_id string, position int, chapters array<int>")
+    order = Window.partitionBy("book_id").orderBy("position")
+    before = F.coalesce(F.last(F.array_max("chapters"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.first(F.array_min("chapters"), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    gap = (F.size("chapters") == 0) & (after - before == 2)
+    return named.select("book_id", "position", F.when(gap, F.array(before + 1)).otherwise(F.col("chapters")).alias("chapters"))

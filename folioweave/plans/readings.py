@@ -7,9 +7,7 @@ import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions import bible, editions, thml, volumes
 from ..operators import reading, scans
 from ..sources import books
 from .model import Library
@@ -38,40 +36,25 @@ def _(lib: Library) -> DataFrame:
 
 @query("x20_marked_passages", "SELECT id, CAST(50 AS INT) AS book, CAST(source_page AS INT) AS chapter, CAST(source_page + 3 AS INT) AS last_verse FROM m_citations")
 def _(lib: Library) -> DataFrame:
-    kind = ArrayType(StructType([StructField("book", IntegerType()), StructField("chapter", IntegerType()), StructField("verses", ArrayType(IntegerType()))]))
-
-    @F.pandas_udf(kind)
-    def passages(s):
-        return s.map(lambda x: [{"book": b, "chapter": c, "verses": v} for b, c, v in bible.marked_passages(x or "")])
-
     page = F.col("source_page").cast("string")
     marks = F.concat(F.lit("vul|John|"), page, F.lit("|"), page, F.lit("|0|"), (F.col("source_page") + 3).cast("string"))
-    one = F.get(F.col("p"), F.lit(0))
-    return lib.citations.select("id", passages(marks).alias("p")).select("id", one["book"].alias("book"), one["chapter"].alias("chapter"), F.element_at(one["verses"], -1).alias("last_verse"))
+    one = F.get(F.col("found"), F.lit(0))
+    return reading.passages(lib.citations.select("id", marks.alias("text"))).select("id", one["book"].alias("book"), one["chapter"].alias("chapter"), F.element_at(one["verses"], -1).alias("last_verse"))
 
 
-@query("x19_bible_names", "SELECT id, CAST(9 + source_page % 4 AS INT) AS book FROM m_citations")
+@query("x19_bible_names", "SELECT id, CASE WHEN source_page % 6 < 4 THEN CAST(9 + source_page % 6 AS INT) WHEN source_page % 6 = 4 THEN CAST(26 AS INT) END AS book FROM m_citations")
 def _(lib: Library) -> DataFrame:
-    @F.pandas_udf(IntegerType())
-    def number(s):
-        return s.map(bible.printed_book)
-
-    return lib.citations.select("id", number(F.concat((F.col("source_page") % 4 + 1).cast("string"), F.lit(" Kings"))).alias("book"))
+    """Four books of Kings, a short name and one that is no book of the Bible."""
+    kind = F.col("source_page") % 6
+    name = F.when(kind < 4, F.concat((kind + 1).cast("string"), F.lit(" Kings"))).when(kind == 4, "Ecclus.").otherwise("Ep")
+    return reading.bible_books(lib.citations.select("id", name.alias("text"))).select("id", F.col("found").alias("book"))
 
 
 @query("x21_work_references", "SELECT id, 'De Trin.' AS title, 'Lib. ' || CAST(source_page AS VARCHAR) || ', 3' AS location FROM m_citations")
 def _(lib: Library) -> DataFrame:
-    kind = StructType([StructField("author", StringType()), StructField("title", StringType()), StructField("location", StringType())])
-
-    @F.udf(kind)
-    def read(s):
-        found = thml.work_references(s)
-        return found[0] if found else None
-
-    # a few hundred different texts: read once each and joined back
-    texts = lib.citations.select("id", F.concat(F.lit("De Trin. Lib. "), F.col("source_page").cast("string"), F.lit(", 3")).alias("t"))
-    known = texts.select("t").distinct().select("t", read("t").alias("r"))
-    return texts.join(known, "t").select("id", "r.title", "r.location")
+    texts = lib.citations.select("id", F.concat(F.lit("De Trin. Lib. "), F.col("source_page").cast("string"), F.lit(", 3")).alias("text"))
+    one = F.get("found", F.lit(0))
+    return reading.work_references(texts).select("id", one["title"].alias("title"), one["location"].alias("location"))
 
 
 @query("x22_marked_text", "SELECT CAST(id AS VARCHAR) AS key, 'As Damascene says (De Fide Orth. ' || CAST(source_page AS VARCHAR) || ', 2)<sup>1</sup> and (Ps. 118)<sup>2</sup>' AS html, CAST(2 AS INT) AS n FROM m_citations")
@@ -141,14 +124,14 @@ def _(lib: Library) -> DataFrame:
     return scans.blocks(_scan(lib)).select("book_id", "page_number", "position", "label")
 
 
-@query("s02_scan_json", "SELECT 'b1' AS book_id, CAST(page_number AS INT) AS page, printed AS html FROM m_pages WHERE book_id = 'b1'")
+@query("s02_scan_json", "SELECT book_id, CAST(page_number AS INT) AS page, printed AS html FROM m_pages")
 def _(lib: Library) -> DataFrame:
-    """One book is written as a scan's JSON and read again."""
+    """All books are written as the JSON of scans, a line each, and read again."""
     path = _shared(lib, "scan")
     page = F.struct(F.col("page_number").alias("page"), F.array(F.struct(F.lit("Text").alias("label"), F.col("printed").alias("html"), F.lit(0).alias("reading_order"), F.array(F.lit(0.0)).alias("bbox"))).alias("blocks"))
-    book = lib.pages.where("book_id = 'b1'").groupBy("book_id").agg(F.collect_list(page).alias("pages"))
-    book.select(F.to_json(F.create_map("book_id", "pages")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-    return books.scans(lib.spark, path).select("book_id", "page", F.get("blocks", F.lit(0))["html"].alias("html"))
+    book = lib.pages.groupBy("book_id").agg(F.collect_list(page).alias("pages"))
+    book.select(F.to_json(F.create_map("book_id", "pages")).alias("value")).write.mode("overwrite").text(path)
+    return books.scans(lib.spark, path, lines=True).select("book_id", "page", F.get("blocks", F.lit(0))["html"].alias("html"))
 
 
 @query("s03_thml_divs", "SELECT CAST(x.n AS INT) AS div, CAST(x.p AS INT) AS parent, x.t AS title FROM (VALUES (0, -1, 'City of God'), (1, 0, 'Book I'), (2, 1, 'Chapter 1'), (3, 0, 'Book II')) AS x(n, p, t)")
@@ -194,29 +177,33 @@ def _(lib: Library) -> DataFrame:
     return found.select("book_id", "page", "title", F.size("locations").alias("n"))
 
 
-@query("x28_divisions", "SELECT id, 'chapter' AS type, CAST(source_page AS INT) AS value FROM m_citations")
+@query(
+    "x28_divisions",
+    """SELECT id, CASE WHEN source_page % 5 < 2 THEN 'chapter' WHEN source_page % 5 = 2 THEN 'book' END AS type, CASE WHEN source_page % 5 < 4 THEN CAST(source_page AS INT) END AS value FROM m_citations""",
+)
 def _(lib: Library) -> DataFrame:
+    """Divisions of other kinds are cited by chapter; a bare number has no type; the fifth title names none."""
     from ..functions.text import to_roman
 
-    kind = StructType([StructField("type", StringType()), StructField("value", IntegerType())])
-
-    @F.udf(kind)
-    def read(s):
-        found = thml.division(s, "")
-        return (found[1], found[2]) if found else None
-
-    texts = lib.citations.select("id", F.concat(F.lit("Homily "), to_roman(F.col("source_page")), F.lit(". On")).alias("t"))
-    known = texts.select("t").distinct().select("t", read("t").alias("r"))
-    return texts.join(known, "t").select("id", "r.type", "r.value")
+    page, kind = F.col("source_page"), F.col("source_page") % 5
+    title = F.when(kind == 0, F.concat(F.lit("Homily "), to_roman(page), F.lit(". On"))).when(kind == 1, F.concat(F.lit("Chapter "), page.cast("string"))).when(kind == 2, F.concat(F.lit("BOOK "), to_roman(page)))
+    title = title.when(kind == 3, F.concat(to_roman(page), F.lit("."))).otherwise("Of the soul")
+    found = reading.divisions(lib.citations.select("id", title.alias("text")))
+    return found.select("id", "found.type", "found.value")
 
 
-@query("x30_tidy_titles", "SELECT id, regexp_replace(title, ' r', ' R') AS title FROM m_books WHERE title LIKE 'red%'")
+@query(
+    "x30_tidy_titles",
+    """SELECT id, CASE WHEN length(title) % 3 = 0 THEN title ELSE n || ' of the ' || n END AS title
+FROM (SELECT id, title, array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS n FROM m_books) AS x""",
+)
 def _(lib: Library) -> DataFrame:
-    @F.pandas_udf(StringType())
-    def tidy(s):
-        return s.map(thml.tidy_title)
+    """Every title: some as they are, the others in capitals, half of those with a count of articles."""
+    from ..functions.text import tidy_title
 
-    return lib.books.where("title like 'red%'").select("id", F.lower(tidy(F.upper("title"))).alias("l"), "title").select("id", F.regexp_replace("l", " r", " R").alias("title"))
+    size = F.length("title")
+    loud = F.concat(F.upper("title"), F.lit(" OF THE "), F.upper("title"), F.when(size % 2 == 0, " (EIGHT ARTICLES)").otherwise(""))
+    return lib.books.select("id", tidy_title(F.when(size % 3 == 0, F.col("title")).otherwise(loud)).alias("title"))
 
 
 def _div(level: int, title: str, body: str, id_: str = "", short: str = "") -> str:
@@ -278,12 +265,17 @@ def _(lib: Library) -> DataFrame:
     return _pages(books.epub_pages(lib.spark.createDataFrame([("Ethics.epub", bytearray(data.getvalue()))], "path string, content binary"), "Aristotle"))
 
 
-@query("w12_segments", "SELECT CAST(x.n AS INT) AS n, x.l AS printed FROM (VALUES (1, 'Contents'), (2, 'Chapter 1'), (3, 'Chapter 2')) AS x(n, l)")
+@query(
+    "w12_segments",
+    """SELECT id AS book_id, CAST(i AS INT) AS page_number, CASE WHEN i = 1 THEN 'Contents' ELSE 'Chapter ' || CAST(i - 1 AS VARCHAR) END AS printed
+FROM (SELECT id, unnest(range(1, length(title) % 4 + 3)) AS i FROM m_books) AS x""",
+)
 def _(lib: Library) -> DataFrame:
-    table = "".join(f"<p>Chap. {n}. Of things.</p>{_prose(40)}" for n in (1, 2))
-    text = "".join(f"<p>Chapter {n}</p>{_prose(200)}" for n in (1, 2))
-    pages = editions.edition_pages("Work", [("W.xhtml", f"<body><h2>Contents</h2>{table}{text}</body>")])
-    return lib.spark.createDataFrame([(i, p["printed"]) for i, p in enumerate(pages, 1)], "n int, printed string")
+    """A document for each book: a table of contents with summaries, then the chapters it lists."""
+    chapters = lambda mark, words: F.array_join(F.transform(F.sequence(F.lit(1), F.length("title") % 4 + 1), lambda n: F.concat(F.lit(f"<p>{mark} "), n.cast("string"), F.lit(f".</p>{_prose(words)}"))), "")
+    html = F.concat(F.lit("<body><h2>Contents</h2>"), chapters("Chap.", 40), chapters("Chapter", 200), F.lit("</body>"))
+    documents = lib.books.select(F.col("id").alias("path"), F.lit(0).alias("document"), F.lit("W.xhtml").alias("name"), html.alias("xhtml"))
+    return books.edition_pages(documents, "").select("book_id", "page_number", "printed")
 
 
 @query("s06_songs_and_prose", "SELECT 'consolation' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Book I, Song I', 'book 1/metre 1'), (2, 'Book I, Prose I', 'book 1/prose 1')) AS x(n, l, p)")
@@ -292,7 +284,18 @@ def _(lib: Library) -> DataFrame:
     return _pages(books.song_pages(lib.spark.createDataFrame([("c.html", html)], "path string, html string"), "consolation", "The Consolation", "Boethius"))
 
 
-@query("w09_chapter_gaps", "SELECT CAST(x.n AS INT) AS n, x.c AS chapters FROM (VALUES (0, '48'), (1, '49'), (2, '50'), (3, ''), (4, '60,61')) AS x(n, c)")
+@query(
+    "w09_chapter_gaps",
+    """SELECT id AS book_id, CAST(v.p AS INT) AS position, CASE v.p WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN CAST(n + 1 AS VARCHAR) WHEN 2 THEN CAST(n + 2 AS VARCHAR) WHEN 3 THEN '' ELSE CAST(n + 12 AS VARCHAR) || ',' || CAST(n + 13 AS VARCHAR) END AS chapters
+FROM (SELECT id, length(title) AS n FROM m_books) AS x CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(p)""",
+)
 def _(lib: Library) -> DataFrame:
-    found = volumes.book_chapters(["Chapter XLVIII.", "Without a number", "Chapter L.", "Without", "Chapters LX, LXI."])
-    return lib.spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(found)], "n int, chapters string")
+    """Five titles of each book: the second names no chapter and takes the one left out, the fourth has too wide a gap."""
+    from ..functions.text import to_roman
+
+    n = F.length("title")
+    titles = F.array(
+        F.concat(F.lit("Chapter "), to_roman(n), F.lit(".")), F.lit("Without a number"), F.concat(F.lit("Chapter "), to_roman(n + 2), F.lit(".")), F.lit("Without"), F.concat(F.lit("Chapters "), to_roman(n + 12), F.lit(", "), to_roman(n + 13), F.lit("."))
+    )
+    found = reading.chapter_gaps(lib.books.select(F.col("id").alias("book_id"), F.posexplode(titles).alias("position", "title")))
+    return found.select("book_id", "position", F.array_join(F.transform("chapters", lambda c: c.cast("string")), ",").alias("chapters"))
