@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints: the session's own, a temporary one only where none is set (tests, one machine)."""
+    """A folder for checkpoints: the session's own; a temporary one only on one machine where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioweave-"))
