@@ -16,8 +16,10 @@ STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only on one machine where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="folioweave-")
         spark.conf.set("spark.checkpoint.dir", found)

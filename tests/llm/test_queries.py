@@ -12,6 +12,7 @@ from folioweave.llm import quality
 from folioweave.llm.oracle import ORACLE_SQL
 from folioweave.llm.queries import QUERIES
 
+from .test_near import brute as brute_near
 from .test_rules_and_words import PLAIN, WORD, brute_contamination, brute_measure, brute_targets, lower
 from .test_simhash import brute_components, brute_print
 from .test_suffix import brute as brute_suffix
@@ -106,8 +107,7 @@ def test_pipeline(spark, documents, tmp_path):
         assert i == 4 or docs.columns == list(corpus_pipeline.COLUMNS)
     first, second, third, fourth, last = stages
     assert set(first) == {d for d, t, *_ in documents if brute_quality(t)}
-    groups = dict(brute_components([(d, brute_print(r.text)) for d, r in first.items()]))
-    assert set(second) == {d for d in first if groups[d] == d}
+    assert set(second) == brute_near([(d, r.text) for d, r in first.items()])
     cut = {d: sha for d, *_, sha in brute_suffix([(d, r.text) for d, r in second.items()])}
     for d, r in third.items():
         raw = second[d].text.encode()
