@@ -110,6 +110,23 @@ def status_rank(status: Column, order: Sequence[str]) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(len(order))).cast("int")
 
 
+def gate(df: DataFrame, checks: DataFrame, column: str = "id") -> DataFrame:
+    """The rows with ``gate``: 451 for those of a withheld book, else 200."""
+    hidden = withheld(checks).select(F.col("book_id").alias("_hidden"))
+    return df.join(hidden, df[column] == hidden["_hidden"], "left").withColumn("gate", F.when(F.col("_hidden").isNotNull(), 451).otherwise(200)).drop("_hidden")
+
+
+def checked_int(raw: Column, fallback: int, low: int, high: int) -> Column:
+    """``int_param`` of a column: null where the value is refused."""
+    n = F.when(raw.rlike(r"^-*[0-9]{1,18}\z"), F.regexp_replace(raw, "^-+", "-").try_cast("long"))
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(fallback).cast("long")).when(n.between(low, high), n)
+
+
+def checked_enum(raw: Column, fallback: str, allowed: Sequence[str]) -> Column:
+    """``enum_param`` of a column: null where the value is refused."""
+    return F.when(F.coalesce(raw, F.lit("")) == "", fallback).when(raw.isin(*allowed), raw)
+
+
 class NotShown(ValueError):
     """The book is withheld."""
 

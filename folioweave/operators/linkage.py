@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def same_books(pairs: DataFrame) -> DataFrame:
+    """The pairs (author, title, w_author, w_title, ...) with ``same``: whether a citation's author and title mean the work."""
+    asked = F.when(X.cited_title(F.col("title")) != "", X.cited_title(F.col("title"))).otherwise(F.col("title"))
+    read = pairs.select("*", X.title_forms(asked).alias("_c"), X.title_forms(F.col("w_title")).alias("_o"))
+    return read.withColumn("same", X.same_author(F.col("author"), F.col("w_author")) & X.same_title(F.col("_c"), F.col("_o"))).drop("_c", "_o")
+
+
 def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
     """(author, title, id): works that different (author, title) pairs may mean.
 

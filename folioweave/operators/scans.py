@@ -10,7 +10,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -63,6 +63,13 @@ def nearly(read: int, wanted: np.ndarray) -> np.ndarray:
     return as_long & ((a != b).sum(1) == 1) & ((a == b) | _ALIKE[a, b]).all(1)
 
 
+def near_numbers(read: Column, wanted: Column) -> Column:
+    """``nearly`` of two columns."""
+    a, b = F.split(read.cast("string"), ""), F.split(wanted.cast("string"), "")
+    wrong = F.filter(F.zip_with(a, b, lambda x, y: F.concat(x, y)), lambda x: F.substring(x, 1, 1) != F.substring(x, 2, 1))
+    return (F.size(a) == F.size(b)) & (F.size(wrong) == 1) & F.coalesce(F.get(wrong, F.lit(0)).isin(*sorted(CONFUSED)), F.lit(False))
+
+
 def _gains(at: np.ndarray, numbers: list[list[int]], offsets: np.ndarray) -> np.ndarray:
     """What each page (row) says for each offset (column)."""
     out = np.zeros((len(at), len(offsets)), np.int64)

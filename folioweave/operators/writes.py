@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def inserted(df: DataFrame, path: str) -> None:
+    """Rows added to a table."""
+    df.write.mode("append").parquet(path)
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """All rows of a table gone; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
 def replace_by_key(df: DataFrame, path: str, key: str = "book_id") -> None:
     """Each key that ``df`` has gets its rows, all others stay: dynamic overwrite of the key's partitions."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

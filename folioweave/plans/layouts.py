@@ -9,7 +9,7 @@ from ..operators import citing, insights, layout, linkage, writes
 from ..schema import PARTS_SQL
 from .model import Library
 from .registry import query
-from .relational import aliases
+from .relational import _CITES, _COUNTED, _HIDDEN, aliases
 
 _VOLUMES = """f AS (SELECT book_id, page_number, id, part1_type AS t, part1_value AS v FROM m_places),
 num AS (SELECT book_id, t, v, row_number() OVER (PARTITION BY book_id ORDER BY pg, i) AS volume FROM (SELECT book_id, t, v, page_number AS pg, id AS i, row_number() OVER (PARTITION BY book_id, t, v ORDER BY page_number, id) AS k FROM f) AS x WHERE k = 1),
@@ -19,6 +19,10 @@ pl AS (SELECT book_id, page_number, t || ':' || CAST(v AS VARCHAR) AS part FROM
 vols AS (SELECT DISTINCT n.book_id, CAST(n.volume AS INT) AS volume, n.t AS part_type, n.v AS part_value, pl.page_number FROM pl JOIN num n ON n.book_id = pl.book_id AND coalesce(n.t || ':' || CAST(n.v AS VARCHAR) = pl.part, n.volume = 1))"""
 
 
+def _folder(lib: Library, name: str) -> str:
+    return f"{lib.spark.sparkContext.getCheckpointDir()}/{name}-{lib.spark.sparkContext.applicationId}-{id(lib)}"
+
+
 def volumes(lib: Library) -> DataFrame:
     return layout.volumes(lib.pages, lib.places)
 
@@ -54,7 +58,13 @@ def _(lib: Library) -> DataFrame:
     return layout.page_layout(lib.pages, volumes(lib))
 
 
-@query("w04_page_order")
+@query(
+    "w04_page_order",
+    f"""WITH {_VOLUMES}, {_LAYOUT}, {_COUNTED}, {_CITES}, cnt AS (SELECT book_id, page_number, CAST(count(DISTINCT citation_id) AS BIGINT) AS n FROM cites GROUP BY 1, 2),
+opn AS (SELECT DISTINCT book_id, page_number FROM vols WHERE volume = 1), has AS (SELECT DISTINCT book_id FROM opn)
+SELECT m.book_id, m.page_number, CAST(1 AS INT) AS kind, CAST(0 AS INT) AS volume, m.printed, coalesce(cnt.n, 0) AS cited_by FROM m_pages m JOIN lay ON lay.book_id = m.book_id LEFT JOIN cnt ON cnt.book_id = m.book_id AND cnt.page_number = m.page_number
+LEFT JOIN opn ON opn.book_id = m.book_id AND opn.page_number = m.page_number LEFT JOIN has ON has.book_id = m.book_id WHERE lay.layout <> 'volume' OR has.book_id IS NULL OR opn.book_id IS NOT NULL""",
+)
 def _(lib: Library) -> DataFrame:
     """Page orders with volume marks and counts of all books; books of fewer pages per volume list pages only."""
     counts = citing.cited_counts(lib.pages, lib.places, lib.groups, citing.counted(lib.citations, aliases(lib), lib.checks))
@@ -108,7 +118,20 @@ def _(lib: Library) -> DataFrame:
     return named.select("book_id", F.col("id").alias("slug"))
 
 
-@query("w16_path_to_page")
+_AS_TEXT = "concat_ws('/', {t}.part1_type || ' ' || CAST({t}.part1_value AS VARCHAR), {t}.part2_type || ' ' || CAST({t}.part2_value AS VARCHAR), {t}.part3_type || ' ' || CAST({t}.part3_value AS VARCHAR))"
+
+
+@query(
+    "w16_path_to_page",
+    """WITH one AS (SELECT book_id, page_number * 10000000 + id AS pos, page_number, part1_type || ' ' || CAST(part1_value AS VARCHAR) AS a, part2_type || ' ' || CAST(part2_value AS VARCHAR) AS b, part3_type || ' ' || CAST(part3_value AS VARCHAR) AS c FROM m_places),
+e AS (SELECT book_id, page_number, pos, 1 AS depth, '' AS up, a AS path, b IS NULL AS exact FROM one UNION ALL SELECT book_id, page_number, pos, 2, a, a || '/' || b, c IS NULL FROM one WHERE b IS NOT NULL
+  UNION ALL SELECT book_id, page_number, pos, 3, a || '/' || b, a || '/' || b || '/' || c, true FROM one WHERE c IS NOT NULL),
+toc AS (SELECT book_id, depth, up, path, coalesce(min_by(page_number, pos) FILTER (WHERE exact), min_by(page_number, pos)) AS page_number, min(pos) AS reached FROM e GROUP BY 1, 2, 3, 4),
+l1 AS (SELECT m.book_id, m.page_number AS page, max_by(t.path, t.reached) AS p FROM m_pages m LEFT JOIN toc t ON t.book_id = m.book_id AND t.depth = 1 AND t.page_number <= m.page_number GROUP BY 1, 2),
+l2 AS (SELECT l1.book_id, l1.page, l1.p, max_by(t.path, t.reached) AS q FROM l1 LEFT JOIN toc t ON t.book_id = l1.book_id AND t.depth = 2 AND t.up = l1.p AND t.page_number <= l1.page GROUP BY 1, 2, 3),
+l3 AS (SELECT l2.book_id, l2.page, l2.p, l2.q, max_by(t.path, t.reached) AS r FROM l2 LEFT JOIN toc t ON t.book_id = l2.book_id AND t.depth = 3 AND t.up = l2.q AND t.page_number <= l2.page GROUP BY 1, 2, 3, 4)
+SELECT book_id, page, coalesce(r, q, p, '') AS path FROM l3""",
+)
 def _(lib: Library) -> DataFrame:
     entries = layout.contents(lib.places, lib.pages)
     found = layout.path_to_page(entries, lib.pages.select("book_id", F.col("page_number").alias("page")))
@@ -129,7 +152,13 @@ def _(lib: Library) -> DataFrame:
     return found.select(F.col("of").alias("citation_id"), "book", "chapter", "verse").distinct()
 
 
-@query("j21_place_on_page")
+@query(
+    "j21_place_on_page",
+    f"""WITH g AS (SELECT g.id, c.reference_book_id AS book_id, {_AS_TEXT.format(t="g")} AS place FROM m_groups g JOIN m_citations c ON c.id = g.citation_id WHERE c.reference_book_id IS NOT NULL),
+p AS (SELECT p.book_id, p.page_number * 10000000 + p.id AS pos, {_AS_TEXT.format(t="p")} AS parts FROM m_places p), d AS (SELECT DISTINCT book_id, place FROM g),
+m AS (SELECT d.book_id, d.place, bool_or(starts_with(d.place || '/', p.parts || '/')) AS there, min_by(p.parts, p.pos) FILTER (WHERE starts_with(p.parts || '/', d.place || '/')) AS under FROM d JOIN p ON p.book_id = d.book_id GROUP BY 1, 2)
+SELECT g.id, g.book_id, g.place, CASE WHEN m.there THEN g.place ELSE m.under END AS snapped FROM g LEFT JOIN m ON m.book_id = g.book_id AND m.place = g.place""",
+)
 def _(lib: Library) -> DataFrame:
     of = lib.citations.where("reference_book_id is not null").select(F.col("id").alias("citation_id"), F.col("reference_book_id").alias("book_id"))
     asked = lib.groups.join(of, "citation_id").select("id", "book_id", F.col("parts").alias("place"))
@@ -162,16 +191,32 @@ def _linkable(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cited, books, queued
 
 
-@query("j18_fuzzy_links")
+#: The rows of ``_linkable``, and which works of one writer have the same title or one as near as 0.93.
+_LINKED = """c AS (SELECT m.id, b.title AS t, b.author_id % 9 AS w, m.id % 4 = 0 AS lost FROM m_citations m JOIN m_books b ON b.id = m.source_book_id WHERE m.reference_book_id IS NULL),
+k AS (SELECT id AS book_id, title AS t, author_id % 9 AS w FROM m_books), u AS (SELECT DISTINCT t, w FROM k),
+same AS (SELECT a.t, a.w, b.t AS other FROM u a JOIN u b ON b.w = a.w WHERE a.t = b.t OR length(a.t) + 7 >= 12 AND jaro_winkler_similarity(a.t || ' of old', b.t || ' of old a study') >= 0.93),
+links AS (SELECT c.id AS citation_id, min(k.book_id) AS book_id FROM c JOIN same s ON s.t = c.t AND s.w = c.w JOIN k ON k.t = s.other AND k.w = s.w WHERE NOT c.lost GROUP BY 1)"""
+
+
+@query("j18_fuzzy_links", f"WITH {_LINKED} SELECT citation_id, book_id FROM links")
 def _(lib: Library) -> DataFrame:
     return linkage.match_cited_books(*_linkable(lib))[0]
 
 
-@query("j19_to_look_for")
+@query("j19_to_look_for", f"WITH {_LINKED} SELECT id, 'J. scribe' || CAST(w AS VARCHAR) AS author, CASE WHEN lost THEN 'A Lost Treatise on the ' || t ELSE 'The ' || t || ' of old, vol. 2' END AS title FROM c WHERE id NOT IN (SELECT citation_id FROM links)")
 def _(lib: Library) -> DataFrame:
     return linkage.match_cited_books(*_linkable(lib))[1].select("id", "author", "title")
 
 
+@query("x13_same_book", "SELECT m.id, m.id % 4 <> 0 AS same FROM m_citations m JOIN m_books b ON b.id = m.source_book_id")
+def _(lib: Library) -> DataFrame:
+    """Whether each citation means its own source: a lost treatise is not that book."""
+    cited, books, _ = _linkable(lib)
+    of = lib.citations.select(F.col("id").alias("_c"), F.col("source_book_id").alias("_b"))
+    pairs = cited.join(of, F.col("id") == F.col("_c")).join(books.select(F.col("id").alias("_k"), F.col("author").alias("w_author"), F.col("title").alias("w_title")), F.col("_b") == F.col("_k"))
+    return linkage.same_books(pairs.select("id", "author", "title", "w_author", "w_title")).select("id", "same")
+
+
 @query("j23_archive_plan")
 def _(lib: Library) -> DataFrame:
     copies = lib.citations.select(
@@ -200,10 +245,30 @@ def _(lib: Library) -> DataFrame:
     return insights.checked_consolidation(lib.insights, merged)[1]
 
 
+@query("s11_bulk_insert", "SELECT book_id, page_number, printed FROM m_pages")
+def _(lib: Library) -> DataFrame:
+    """Two inserts into one table; Spark writes in parallel parts, which stand for chunks."""
+    path = _folder(lib, "inserted")
+    for rest in (0, 1):
+        writes.inserted(lib.pages.where(F.pmod(F.xxhash64("book_id"), F.lit(2)) == rest), path)
+    return lib.spark.read.parquet(path).select("book_id", "page_number", "printed")
+
+
+@query("s17_clear_counts", "SELECT book_id, CAST(count(*) AS BIGINT) AS n FROM m_pages WHERE page_number > 1 GROUP BY 1")
+def _(lib: Library) -> DataFrame:
+    """A cache of counts is cleared whole, so that only what is counted after it is there."""
+    path = _folder(lib, "counts")
+    counts = lambda df: df.groupBy("book_id").agg(F.count("*").alias("n"))
+    writes.inserted(counts(lib.pages), path)
+    writes.cleared(lib.spark, path)
+    writes.inserted(counts(lib.pages.where("page_number > 1")), path)
+    return lib.spark.read.parquet(path)
+
+
 @query("s12_replace_by_key", "SELECT book_id, page_number, printed FROM m_pages WHERE page_number < 4 OR book_id = 'b1'")
 def _(lib: Library) -> DataFrame:
     """Some books' pages are written again over all of them; their partitions alone are replaced."""
-    path = f"{lib.spark.sparkContext.getCheckpointDir() or lib.spark.conf.get('spark.sql.warehouse.dir')}/pages-{lib.spark.sparkContext.applicationId}-{id(lib)}"
+    path = _folder(lib, "pages")
     keyed = lambda df: df.withColumn("part", F.pmod(F.xxhash64("book_id"), F.lit(16)))
     keyed(lib.pages).write.mode("overwrite").partitionBy("part").parquet(path)
     again = keyed(lib.pages.where("page_number < 4 or book_id = 'b1'"))

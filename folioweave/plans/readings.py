@@ -119,6 +119,14 @@ def _(lib: Library) -> DataFrame:
     return scans.candidates(_scan(lib)).select("book_id", "page", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
 
 
+@query("x38_confused_digits", "SELECT id, id % 3 = 0 AS near FROM m_citations")
+def _(lib: Library) -> DataFrame:
+    """A last digit 3 read as 8, which scans do, as 4, which they do not, and with a digit too many."""
+    n = F.col("source_page") * 10 + 3
+    other = F.when(F.col("id") % 3 == 0, n + 5).when(F.col("id") % 3 == 1, n + 1).otherwise(n * 10 + 8)
+    return lib.citations.select("id", scans.near_numbers(n, other).alias("near"))
+
+
 @query("x40_blocks", "SELECT book_id, CAST(n AS INT) AS page_number, CAST(v.p AS INT) AS position, v.l AS label FROM (SELECT book_id, unnest(range(page_number * 3 - 2, page_number * 3 + 1)) AS n FROM m_pages) AS x CROSS JOIN (VALUES (0, 'PageHeader'), (1, 'Text')) AS v(p, l)")
 def _(lib: Library) -> DataFrame:
     return scans.blocks(_scan(lib)).select("book_id", "page_number", "position", "label")

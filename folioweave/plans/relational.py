@@ -137,6 +137,23 @@ def _(lib: Library) -> DataFrame:
 # joins
 
 
+@query(
+    "f19_checked_params",
+    """SELECT id, CASE id % 4 WHEN 0 THEN 20 WHEN 1 THEN CASE WHEN id % 150 BETWEEN 1 AND 100 THEN id % 150 END END AS length, CASE WHEN id % 3 = 0 THEN 'all' WHEN id % 3 = 1 THEN 'matched' END AS match FROM m_queue""",
+)
+def _(lib: Library) -> DataFrame:
+    """Paging and enum parameters of a request for each row: left out, in or out of range, no numbers, unknown words."""
+    n, kind = F.col("id") % 150, F.col("id") % 4
+    raw = F.when(kind == 0, "").when(kind == 1, n.cast("string")).when(kind == 2, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.concat(n.cast("string"), F.lit(" pages")))
+    word = F.when(F.col("id") % 3 == 1, "matched").when(F.col("id") % 3 == 2, "Matched ")
+    return lib.queue.select("id", filters.checked_int(raw, 20, 1, 100).alias("length"), filters.checked_enum(word, "all", ("all", "matched", "unmatched")).alias("match"))
+
+
+@query("f20_withheld_gate", f"SELECT id, CAST(CASE WHEN id IN ({_HIDDEN}) THEN 451 ELSE 200 END AS INT) AS gate FROM m_books")
+def _(lib: Library) -> DataFrame:
+    return filters.gate(lib.books, lib.checks).select("id", "gate")
+
+
 @query("j01_role_playing_joins", "SELECT c.id, s.title AS source_title, r.title AS reference_title FROM m_citations c LEFT JOIN m_books s ON s.id = c.source_book_id LEFT JOIN m_books r ON r.id = c.reference_book_id")
 def _(lib: Library) -> DataFrame:
     s = lib.books.select(F.col("id").alias("_s"), F.col("title").alias("source_title"))
