@@ -3,10 +3,11 @@
 A template is a license text with two kinds of markup: ``<<optional>> ... <<end>>`` may be left out, and
 ``<<any n>>`` stands for up to n words of the writer's own, ``<<version n>>`` for one to n numbers. It is compiled to an automaton over tokens whose
 edges are words, optional regions (edges without a word) and bounded gaps. A text is accepted where a path
-reads its words without a break: mandatory wording has to match exactly, markup may vary.
+reads its words without a break: mandatory wording has to match exactly, markup may vary. Wording right after a word that denies
+it ("not licensed under ...") is not taken.
 
 Phrases are templates of plain words; they give the base labels. Defined results: null and empty texts have
-no words, no labels and score 0; repeated rows are scanned each; columns other than key and text are
+no words, no labels and score 0; repeated rows are scanned each; very long texts are scanned whole, from the words that open a template; columns other than key and text are
 ignored; an empty table gives an empty one. Words are those of ``text.plain_words``.
 """
 
@@ -25,30 +26,83 @@ from .text import map_batches, plain_words
 #: The phrases of the base labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Published notices and licenses, with markup. A label may have several templates.
+_VERSION = "<<optional>> <<optional>> v <<end>> <<optional>> version <<end>> <<version 2>> <<end>>"
+_COPYRIGHT = "<<optional>> copyright <<any 20>> <<end>>"
+_NO_WARRANTY = (
+    "<<optional>> and <<any 6>> <<end>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the <<any 8>> "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+    "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 1>> redistributions of source code must retain the above copyright notice this list of "
+    "conditions and the following disclaimer <<any 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+#: Published licenses and notices with markup, by label; the score is that of a text with the wording. Licenses are whole,
+#: with their disclaimers; of the long ones it is the notice that their authors prescribe for files.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
     (
         "mit",
-        "<<optional>> the mit license <<optional>> mit <<end>> <<end>> <<optional>> copyright <<any 20>> <<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software",
+        1.0,
+        f"<<optional>> the <<end>> <<optional>> mit license <<optional>> mit <<end>> <<end>> {_COPYRIGHT} permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        1.0,
+        f"<<optional>> isc license <<end>> {_COPYRIGHT} permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any 4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<any 4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    ("bsd", 1.0, f"{_BSD} this software is provided by <<any 8>> {_NO_WARRANTY}"),
+    ("bsd", 1.0, f"{_BSD} <<any 1>> neither the name of <<any 12>> may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by <<any 8>> {_NO_WARRANTY}"),
+    (
+        "unlicense",
+        1.0,
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "zlib",
+        1.0,
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "<<any 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<any 1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<any 1>> this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "apache",
+        1.0,
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 <<optional>> txt <<end>> <<optional>> html <<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ),
-    ("apache", "licensed under the apache license <<optional>> version <<version 2>> <<end>> <<optional>> the license <<end>>"),
-    ("gpl", "licensed under the gnu general public license <<optional>> version <<version 2>> <<end>>"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by <<version 2>>"),
-    ("cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<version 2>>"),
-    ("cc-by-sa", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by sa <<version 2>>"),
-    ("cc-by", "licensed under a creative commons attribution <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 2>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "gpl",
+        1.0,
+        "is free software you can redistribute it and or modify it under the terms of the gnu <<optional>> lesser <<end>> <<optional>> affero <<end>> general public license as published by the free software foundation either version <<version 2>> of the license or at your option any later version <<optional>> <<any 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>> lesser <<end>> <<optional>> affero <<end>> general public license for more details <<end>>",
     ),
-    ("mpl", "subject to the terms of the mozilla public license <<optional>> v <<version 2>> <<end>>"),
-    ("proprietary", "all rights reserved"),
+    ("mpl", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http <<optional>> s <<end>> <<optional>> www <<end>> mozilla org mpl 2 0"),
+    ("mit", 0.9, "spdx license identifier mit"),
+    ("isc", 0.9, "spdx license identifier isc"),
+    ("bsd", 0.9, "spdx license identifier bsd <<version 1>> clause"),
+    ("unlicense", 0.9, "spdx license identifier unlicense"),
+    ("zlib", 0.9, "spdx license identifier zlib"),
+    ("apache", 0.9, "spdx license identifier apache <<version 2>>"),
+    ("gpl", 0.9, "spdx license identifier <<optional>> l <<end>> gpl <<version 2>> <<optional>> only <<end>> <<optional>> or later <<end>>"),
+    ("gpl", 0.9, "spdx license identifier <<optional>> lgpl <<end>> <<optional>> agpl <<end>> <<version 2>> <<optional>> only <<end>> <<optional>> or later <<end>>"),
+    ("mpl", 0.9, "spdx license identifier mpl <<version 2>>"),
+    ("mit", 0.8, "released under the mit license"),
+    ("mit", 0.8, "licensed under the mit license"),
+    ("apache", 0.8, f"licensed under the apache license {_VERSION} <<optional>> the license <<end>>"),
+    ("gpl", 0.8, f"licensed under the gnu general public license {_VERSION}"),
+    ("gpl", 0.8, "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("cc-by", 0.8, "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by <<version 2>>"),
+    ("cc-by-nc", 0.8, "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<version 2>>"),
+    ("cc-by-sa", 0.8, "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by sa <<version 2>>"),
+    ("cc-by", 0.8, "licensed under a creative commons attribution <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
+    ("cc-by-nc", 0.8, "licensed under a creative commons attribution noncommercial <<optional>> <<version 2>> <<end>> <<optional>> international <<end>> license"),
+    ("mpl", 0.8, f"subject to the terms of the mozilla public license {_VERSION}"),
+    ("proprietary", 0.5, "all rights reserved"),
 )
+#: Words that deny what follows them.
+DENIALS = frozenset((b"not", b"never", b"nor"))
+#: The score of a text that only has a license's name.
+NAMED = 0.5
 
 
 #: An edge that reads a word of digits; no word is empty.
@@ -133,7 +187,7 @@ def compiled(label: str, template: str) -> Automaton:
 
 @cache
 def automata() -> tuple[Automaton, ...]:
-    return tuple(compiled(label, t) for label, t in TEMPLATES)
+    return tuple(compiled(label, t) for label, _, t in TEMPLATES)
 
 
 @cache
@@ -160,7 +214,8 @@ def scan(text: str | None) -> dict[str, object]:
             if w in wanted:
                 where.setdefault(w, []).append(i)
     base = [(i, label) for auto, label in _phrases() for i, _ in _places(auto, words, where)]
-    spans = [(a, e, auto.label) for auto in automata() for a, e in _places(auto, words, where)] if where else []
+    found = [(a, e, auto.label, score) for auto, (_, score, _) in zip(automata(), TEMPLATES, strict=True) for a, e in _places(auto, words, where) if not (a and words[a - 1] in DENIALS)] if where else []
+    spans = [x[:3] for x in found]
     labels = {x for _, x in base}
     every = labels | {x for *_, x in spans}
     return {
@@ -170,8 +225,7 @@ def scan(text: str | None) -> dict[str, object]:
         "last_word": max((i for i, _ in base), default=None),
         "base_labels": ",".join(sorted(labels)),
         "labels": ",".join(sorted(every)),
-        # certain where a template's whole wording was read, half where there is only a name
-        "score": 1.0 if spans else 0.5 if base else 0.0,
+        "score": max([x[3] for x in found], default=NAMED if base else 0.0),
         "spans": sorted(spans),
     }
 
