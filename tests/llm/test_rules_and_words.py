@@ -175,7 +175,7 @@ def test_passages_inside_lines(spark):
 
 
 def test_licenses(spark):
-    full = next(t for x, t in licenses.TEMPLATES if "hereby" in t and x == "mit")
+    full = next(t for x, _, t in licenses.TEMPLATES if "hereby" in t and x == "mit")
     plain = re.sub(r"<<any \d+>>", "2020 J. Doe", re.sub(r"<<(optional|end)>>", "", full))
     texts = [None, "", "MIT License", "the MIT-license, and mit license", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", plain, plain.replace("hereby", "here"), plain.replace("mit license", ""), "mit\u00e9 license"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("x"))
@@ -188,10 +188,70 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and 0 <= r.score <= 1
     assert got[6].labels == "cc-by-nc" and got[4].labels == "apache" and got[5].labels == "gpl"
-    assert got[7].score == 1.0 and got[8].score == 0.5 and got[9].score == 1.0 and got[9].base_labels == ""
+    assert got[7].score == 1.0 and got[8].score == 0.5 and got[9].score == 1.0 and got[9].base_labels == "" and got[4].score == 0.8
     assert licenses.licenses(df.limit(0)).count() == 0
 
 
+def pattern(template):
+    """A template as a regular expression over words that each end in a space."""
+    out = []
+    for mark in re.findall(r"<<[^>]*>>|[^<\s]+", template):
+        kind = mark.strip("<>").split()
+        if not mark.startswith("<<"):
+            out.append(re.escape(mark) + " ")
+        elif kind[0] in ("optional", "end"):
+            out.append("(?:" if kind[0] == "optional" else ")?")
+        else:
+            out.append(rf"(?:\S+ ){{0,{kind[1]}}}" if kind[0] == "any" else rf"(?:\d+ ){{1,{kind[1]}}}")
+    return re.compile(r"(?<!\S)" + "".join(out))
+
+
+def brute_labels(text):
+    """(labels of templates, score) by regular expressions at every word."""
+    words = PLAIN.findall(lower(text))
+    line, found = "".join(w + " " for w in words), []
+    starts = [0]
+    for w in words[:-1]:
+        starts.append(starts[-1] + len(w) + 1)
+    for label, score, t in licenses.TEMPLATES:
+        p = pattern(t)
+        found += [(label, score) for i, at in enumerate(starts) if words and p.match(line, at) and not (i and words[i - 1] in ("not", "never", "nor"))]
+    return sorted({x for x, _ in found}), max((x for _, x in found), default=0.0)
+
+
+def filled(template, rnd):
+    """A text that a template accepts, with or without its optional parts."""
+    out, skip = [], []
+    for mark in re.findall(r"<<[^>]*>>|[^<\s]+", template):
+        kind = mark.strip("<>").split()
+        if mark == "<<optional>>":
+            skip.append(bool(skip and skip[-1]) or rnd.random() < 0.5)
+        elif mark == "<<end>>":
+            skip.pop()
+        elif not (skip and skip[-1]):
+            out += [mark] if not mark.startswith("<<") else [rnd.choice(["acme", "inc", "2020"]) for _ in range(rnd.randint(0, int(kind[1])))] if kind[0] == "any" else ["2"] * rnd.randint(1, int(kind[1]))
+    return out
+
+
+def test_license_labels_and_scores_by_regular_expressions(spark):
+    rnd = random.Random(6)
+    texts = []
+    for label, _, t in licenses.TEMPLATES:
+        for _ in range(3):
+            w = filled(t, rnd)
+            texts += [(label, "Before it. " + " ".join(w).title() + ", and after"), (None, "It is not " + " ".join(w))]
+            at = rnd.randrange(len(w))
+            texts.append((None, " ".join(w[:at] + [rnd.choice(["", "another", w[at] + "x"])] + w[at + 1 :])))
+    texts += [(None, t) for t in TEXTS]
+    rows = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(texts):
+        labels, score = brute_labels(t)
+        r = rows[i]
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | set(labels), t
+        assert r.score == max(score, 0.5 if base else 0.0) and (label is None or label in labels), t
+
+
 def test_automata():
     auto = licenses.compiled("x", "a <<optional>> b <<optional>> c <<end>> <<end>> d <<any 2>> e")
     for text, ok in {"a d e": 1, "a b d e": 1, "a b c d q e": 1, "a c d e": 0, "a b d q q e": 1, "a d q q q e": 0, "b d e": 0, "a b c d": 0}.items():
