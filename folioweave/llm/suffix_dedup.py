@@ -19,8 +19,9 @@ which keep the rest, so that a passage in every third document is no hot key. Te
 ``SLICE`` bytes with the bytes around them.
 
 Defined results: null and empty texts have no bytes; a text without a key is left as it is and removes
-nothing; exact repeats of a row share its result; of different texts under one key the least by SHA-256 takes part
-and the others are left alone; columns other than key and text are ignored; an empty table gives an empty one.
+nothing; exact repeats of a row share its result; different texts under one key are judged each, and cut by smaller keys only, never
+by each other (texts are then numbered in the order of their keys, which costs two more passes); very long texts are read whole, in slices; columns
+other than key and text are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import mix, pieces
@@ -195,21 +196,21 @@ def _groups(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return order, new, np.minimum.reduceat(d, firsts), np.maximum.reduceat(d, firsts)
 
 
-def _shared_grams(book: DataFrame, groups: int) -> DataFrame:
-    """(doc, gram): grams of leading phrases that several documents have, for each of the documents."""
+def _shared_grams(book: DataFrame, groups: int, shift: int) -> DataFrame:
+    """(doc, gram): grams of leading phrases that several documents have, for each of the documents. ``doc >> shift`` tells documents apart."""
 
     def flush(grams: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, doc = np.concatenate(grams), np.concatenate(docs)
         if not len(h):
             return
-        order, new, low, high = _groups(h, h, doc)
+        order, new, low, high = _groups(h, h, doc >> shift)
         h, doc, group = h[order], doc[order], np.cumsum(new) - 1
         several = (low < high)[group]
         # what is settled here goes on as known; the groups' sorter hears of it from two entries
         two = np.flatnonzero(low < high)
         firsts = np.flatnonzero(new)[two]
         tell = np.concatenate([h[firsts]] * 2)
-        h, doc = np.concatenate([h, tell]), np.concatenate([doc, low[two], high[two]])
+        h, doc = np.concatenate([h, tell]), np.concatenate([doc, low[two] << shift, high[two] << shift])
         known = np.append(several, np.zeros(len(tell), bool))
         told = np.append(np.zeros(len(several), np.uint8), np.ones(len(tell), np.uint8))
         yield from _send(h, None, doc, told, known, groups)
@@ -234,7 +235,7 @@ def _shared_grams(book: DataFrame, groups: int) -> DataFrame:
         h, doc, told = _unpacked(rest["h"]), _unpacked(rest["doc"], np.int64), _unpacked(rest["at"], np.uint8)
         out_doc, out_h = [_unpacked(known["doc"], np.int64)], [_unpacked(known["h"])]
         if len(h):
-            order, new, low, high = _groups(h, h, doc)
+            order, new, low, high = _groups(h, h, doc >> shift)
             pick = order[(low < high)[np.cumsum(new) - 1]]
             pick = pick[told[pick] == 0]
             out_doc.append(doc[pick])
@@ -285,14 +286,14 @@ def _units(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "key binary, doc long, first int, n int, context binary")
 
 
-def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
-    """(doc, at): starts of strings that a smaller document has too. units: (doc, first, context)."""
+def _repeats(units: DataFrame, length: int, groups: int, shift: int) -> DataFrame:
+    """(doc, at): starts of strings that a smaller document (``doc >> shift``) has too. units: (doc, first, context)."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new, low, _ = _groups(h, h2, doc)
+        order, new, low, _ = _groups(h, h2, doc >> shift)
         h, h2, doc, at = h[order], h2[order], doc[order], at[order]
-        yield from _send(h, h2, doc, at, doc > low[np.cumsum(new) - 1], groups)
+        yield from _send(h, h2, doc, at, (doc >> shift) > low[np.cumsum(new) - 1], groups)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -323,8 +324,8 @@ def _repeats(units: DataFrame, length: int, groups: int) -> DataFrame:
         out_doc, out_at = [_unpacked(known["doc"], np.int64)], [_unpacked(known["at"], np.uint32)]
         h, h2, doc, at = _unpacked(rest["h"]), _unpacked(rest["h2"], np.uint32), _unpacked(rest["doc"], np.int64), _unpacked(rest["at"], np.uint32)
         if len(h):
-            order, new, low, _ = _groups(h, h2, doc)
-            pick = order[doc[order] > low[np.cumsum(new) - 1]]
+            order, new, low, _ = _groups(h, h2, doc >> shift)
+            pick = order[(doc[order] >> shift) > low[np.cumsum(new) - 1]]
             out_doc.append(doc[pick])
             out_at.append(at[pick])
         return pa.table([np.concatenate(out_doc), np.concatenate(out_at).astype(np.int32)], names=["doc", "at"])
@@ -379,35 +380,66 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _numbered(keyed: DataFrame, work: Workspace) -> tuple[DataFrame, int]:
+    """The rows with a number for ``doc``, another one for each text under a key, and by how many bits it is shifted for the key's own.
+
+    Different (key, text) pairs are numbered in their order, by ranges, so a key that many texts share is spread; a key's
+    own number is its first. Rows without a key or a text have none.
+    """
+    tag = F.sha2("_text", 256)
+    pairs = keyed.filter("doc is not null and _text is not null").select("doc", tag.alias("tag")).distinct()
+    placed = work.put("placed", pairs.repartitionByRange("doc", "tag").sortWithinPartitions("doc", "tag").withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("size"))
+    before = sizes.select("_part", (F.sum("size").over(Window.orderBy("_part")) - F.col("size")).alias("before"))  # a row for each range
+    numbers = placed.join(before, part == F.col("_part")).select("doc", "tag", (F.col("before") + place).alias("n"))
+    own = numbers.groupBy(F.col("doc").alias("_of")).agg(F.min("n").alias("first"))
+    named = work.put("numbers", numbers.join(own, F.col("doc") == F.col("_of")).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "first", (F.col("n") - F.col("first")).alias("nth")))
+    first, nth = named.agg(F.max("first"), F.max("nth")).first()
+    shift = max(1, nth.bit_length())
+    if first.bit_length() + shift > 62:
+        raise ValueError(f"{nth + 1} texts under one key are too many to be numbered")
+    ids = named.select("_doc", "_tag", (F.shiftleft("first", shift) + F.col("nth")).alias("_id"))
+    joined = keyed.join(ids, (F.col("doc") == F.col("_doc")) & (tag == F.col("_tag")), "left")
+    return joined.withColumn("doc", F.col("_id")).drop("_doc", "_tag", "_id"), shift
+
+
 def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``df`` as (_key, _text, judged, whole, leading, repeats, units, _0, ...): what ``spans_of`` needs beside the text; and the columns ``carry``."""
     others = [f"_{i}" for i in range(len(carry))]
     work = Workspace(df.sparkSession, "suffix")
     keyed = df.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"), *(F.col(c).alias(o) for c, o in zip(carry, others, strict=True)))
     rows = keyed.filter("doc is not null and _text is not null").select("doc", F.col("_text").alias("text"))
-    judged = F.col("doc").isNotNull()
+    shift, led = 0, F.min_by(F.struct("doc", "first", "grams", "of"), "doc")
     if rows.groupBy("doc").count().filter("count > 1").limit(1).count():
-        first = rows.groupBy("doc").agg(F.min(F.sha2("text", 256)).alias("chosen"))
-        keyed = keyed.join(first, "doc", "left")
-        judged = judged & F.coalesce(F.sha2("_text", 256) == F.col("chosen"), F.lit(False))
-        rows = keyed.filter(judged).select("doc", F.col("_text").alias("text")).dropDuplicates(["doc"])
-    led = F.min_by(F.struct("doc", "first", "grams", "of"), "doc")
-    book = work.put("dictionary", _parse(rows, length).groupBy("key").agg(led.alias("p")).select("p.*"))
+        keyed, shift = _numbered(keyed, work)
+        rows = keyed.filter("doc is not null").select("doc", F.col("_text").alias("text")).dropDuplicates(["doc"])
+    order = F.shiftright("doc", shift)
+    judged = F.col("doc").isNotNull()
+    if shift:
+        # every text of the smallest document that has a phrase leads it
+        parsed = work.put("parsed", _parse(rows, length))
+        least = parsed.groupBy(F.col("key").alias("_phrase")).agg(F.min(order).alias("_least"))
+        book = parsed.join(least, F.col("key") == F.col("_phrase")).filter(order == F.col("_least")).select("doc", "first", "grams", "of")
+    else:
+        book = _parse(rows, length).groupBy("key").agg(led.alias("p")).select("p.*")
+    book = work.put("dictionary", book)
+    work.drop("parsed")
     total = book.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 8
-    shared = work.put("grams", _shared_grams(book, max(1, -(-total // GROUP))))
+    shared = work.put("grams", _shared_grams(book, max(1, -(-total // GROUP)), shift))
     # a document all of whose phrases lead need not name them
     named = book.groupBy("doc").agg((F.count("*") == F.max("of")).alias("whole"), F.collect_list("first").alias("leading"))
     leading = work.put("leading", named.select("doc", "whole", F.when(~F.col("whole"), F.col("leading")).alias("leading")))
     work.drop("dictionary")
     wanted = shared.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
     units = work.put("units", _units(rows.join(wanted, "doc").join(leading, "doc").select("doc", "text", "whole", "leading", "grams"), length))
-    leads = work.put("leads", units.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select(F.col("key").alias("k"), "lead"))
-    known = units.join(leads, F.col("key") == F.col("k"), "left").withColumn("gone", F.coalesce(F.col("doc") > F.col("lead"), F.lit(False)))
+    leads = work.put("leads", units.groupBy("key").agg(F.min(order).alias("lead"), F.max(order).alias("last")).filter("lead < last").select(F.col("key").alias("k"), "lead"))
+    known = units.join(leads, F.col("key") == F.col("k"), "left").withColumn("gone", F.coalesce(order > F.col("lead"), F.lit(False)))
     settled = work.put("settled", known.select("doc", "first", "n", F.when(~F.col("gone"), F.col("context")).alias("context")))
     work.drop("grams", "units", "leads")
     left = settled.filter("context is not null")
     strings = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeats = work.put("repeats", _repeats(left.select("doc", "first", "context"), length, max(1, -(-strings // GROUP))))
+    repeats = work.put("repeats", _repeats(left.select("doc", "first", "context"), length, max(1, -(-strings // GROUP)), shift))
     short = settled.filter("context is null").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("units"))
     found = repeats.groupBy("doc").agg(F.collect_list("at").alias("repeats"))
     spans = work.put("spans", leading.join(found, "doc", "full").join(short, "doc", "full"))
