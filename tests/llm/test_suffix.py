@@ -78,10 +78,18 @@ def test_empty_table_and_extra_columns(spark):
     assert {r.doc_id: r.n_removed for r in sd.deduplicate(df).collect()} == {1: 0, 2: 60}
 
 
-def test_texts_under_one_key(spark):
+def test_texts_under_one_key(spark, monkeypatch):
     a, b = "a fine day it was " * 9, "b another day it was " * 9
-    rows = sd.deduplicate(spark.createDataFrame([(1, a), (1, b), (2, a), (2, b)], "doc_id long, text string")).collect()
-    assert len(rows) == 4 and {r.n_removed for r in rows if r.doc_id == 1} == {0}
+    docs = [(1, a), (1, b), (2, a), (2, a + " zz"), (3, b), (None, a), (4, None), (4, ""), (2, a)]
+    assert ran(spark, docs) == brute(docs)
+    assert [r[2] for r in ran(spark, docs) if r[0] == 2] == [len(a)] * 3
+    for seed, size in ((11, None), (12, 200)):  # texts share keys, some a third of all
+        if size:
+            monkeypatch.setattr(sd, "GROUP", size)
+        docs = [(-5 if i % 3 == 0 else i // 4, t) for i, t in corpus(seed, 50)]
+        assert ran(spark, docs) == brute(docs)
+    kept = sd.rewrite(spark.createDataFrame([(1, a, 1), (1, b, 2), (2, b, 3), (2, "x" + a, 4)], "doc_id long, text string, n int"), carry=("n",)).collect()
+    assert {r.n: r.kept_text for r in kept} == {1: a, 2: b, 3: "", 4: "x"}
 
 
 def test_slices_do_not_matter(monkeypatch):
