@@ -222,3 +222,16 @@ def test_works_of_the_fathers(spark):
     ]
     df = spark.createDataFrame(rows, "author string, title string, location string, want string")
     assert [(r.author, r.title) for r in linkage.first_rule(df, FATHERS).collect() if r.work != r.want] == []
+
+
+def test_insights_by_the_rarest_word(spark):
+    pages = [(1, "The nature of the soul; see S. Th. I."), (2, "The soul of the world"), (3, "the THE the"), (4, ""), (5, None), (6, "natural soul")]
+    keywords = [(1, "the nature"), (2, "The  Soul"), (3, "s.th."), (4, "soul"), (5, "of the"), (6, "???"), (7, "ab"), (8, None), (9, "the nature"), (10, "soul")]
+    df = spark.createDataFrame(pages, "page_id long, text string")
+    learned = spark.createDataFrame([(i, 1 if i == 10 else 4) for i, _ in keywords], "id long, score int")
+    words = spark.createDataFrame(keywords + [(4, "nature")], "id long, keyword string")
+    got = sorted((r.page_id, r.insight_id) for r in insights.for_pages(df, learned, words).collect())
+    kept = [(p, i) for p, t in pages for i, k in keywords + [(4, "nature")] if t and k and i != 10]
+    has = spark.createDataFrame([(p, i, dict(pages)[p], k) for p, i, k in {(p, i, k) for p, i in kept for j, k in keywords + [(4, "nature")] if j == i}], "p long, i long, t string, k string")
+    want = sorted({(r.p, r.i) for r in has.where(X.has_keyword(F.col("t"), F.col("k"))).collect()})
+    assert got == want and (1, 1) in got and (2, 2) in got and (1, 3) in got and (3, 1) not in got
