@@ -1,4 +1,4 @@
-"""Latin and English names under which works of the Fathers are cited, as ordered rules for ``linkage.first_rule``."""
+"""Latin and English names under which works of the Fathers, Aristotle and two later authors are cited, as ordered rules for ``linkage.first_rule``."""
 
 from __future__ import annotations
 
@@ -60,11 +60,52 @@ _AUGUSTINE = (
 )
 _DAMASCENE = (("npnf209-an-exact-exposition-of-the-orthodox-faith", r"^de fide orth", None),)
 
+ARISTOTLE = r"^(?:the\s+)?(?:philosopher|aristot(?:le|\.)?)\.?$"
+BOETHIUS = r"^(?:st\.?\s+)?boethius\.?$"
+AQUINAS = r"^(?:(?:st\.?|s\.|saint)\s+)?(?:thom(?:as|\.)?(?:\s+(?:of\s+)?aquinas)?|aquinas)\.?$"
+
+#: Aristotle's works, as above.
+_ARISTOTLE = (
+    ("aristotle-eudemian-ethics", r"^eth(?:ic)?\.?\s*eud", None),
+    ("aristotle-nicomachean-ethics", r"^(?:ethic|ethics\b|eth\.?\s*ni[ch]|ni[ch]+(?:om)?\.?\s*eth|nicomachean|vic\.?\s*ethic)", None),
+    ("aristotle-metaphysics", r"^met(?:aph(?:ysics|ysica|ys)?)?\.?$", None),
+    ("aristotle-on-the-soul", r"^de anim(?:a|\.)?$", None),
+    ("aristotle-rhetoric", r"^rhet(?:oric|or)?\.?$", None),
+    ("aristotle-physics", r"^phys(?:ics|ica|ic)?\b\.?", None),
+    ("aristotle-politics", r"^pol(?:it(?:ics|ic)?)?\.?$", None),
+    ("aristotle-topics", r"^top(?:ic|ics)?\.?$", None),
+    ("aristotle-posterior-analytics", r"^(?:poster|post\.?\s*analyt|an\.?\s*post)", None),
+    ("aristotle-prior-analytics", r"^prior", None),
+    ("aristotle-categories", r"^(?:categ|praedic)", None),
+    ("aristotle-on-interpretation", r"^(?:\d+\s+)?peri\s*herm|^de\s*interp", None),
+    ("aristotle-on-sophistical-refutations", r"^(?:de\s*soph|elench)", None),
+    ("aristotle-on-the-heavens", r"^de\s*c(?:oel|œl|ael|eel)", None),
+    ("aristotle-on-the-generation-of-animals", r"^de\s*gener(?:at)?\.?\s*anim", None),
+    ("aristotle-on-generation-and-corruption", r"^de\s*gener(?:at)?\.?(?:\s*et\s*corr.*)?$", None),
+    ("aristotle-on-the-parts-of-animals", r"^de\s*part\.?\s*anim", None),
+    ("aristotle-history-of-animals", r"^(?:de\s*)?hist\.?\s*anim|^h\.\s*a\.$|^historia\s*animalium", None),
+    ("aristotle-on-memory-and-reminiscence", r"^de\s*memor", None),
+    ("aristotle-on-sleep-and-sleeplessness", r"^de\s*somn(?:o|\.)?\s*et\s*vig", None),
+    ("aristotle-on-longevity-and-shortness-of-life", r"^de\s*long", None),
+    ("aristotle-on-sense-and-the-sensible", r"^de\s*sensu", None),
+    ("aristotle-on-prophesying-by-dreams", r"^divin", None),
+    ("aristotle-poetics", r"^poet", None),
+    ("aristotle-on-virtues-and-vices", r"^de\s*virt", None),
+)
+_BOETHIUS = (("boethius-consolation-of-philosophy", r"^de\s*consol", None),)
+_CONTRA_GENTILES = (("summa-contra-gentiles", r"^(?:summa\s*)?(?:contra|cont\.?|c\.)\s*gent", None),)
+
 #: What a place starts with in works that the volumes hold as parts of another, by their title pattern.
 PREFIXES = {r"^de pr(?:a|ae)ed(?:est)?\.? sanct": [("book", 1)], r"^de (?:dono )?persev": [("book", 2)]}
 
-FATHERS = [
-    (book, {"author": author, "title": title} | ({"location": where} if where else {}))
-    for author, works in ((AUGUSTINE, _AUGUSTINE), (DAMASCENE, _DAMASCENE))
-    for book, title, where in works
-]
+#: How places are read in works whose pages do not tell.
+TYPES = {"boethius-consolation-of-philosophy": ["book", "prose"]}
+
+
+def _rules(author: str, works: tuple) -> list[tuple[str, dict[str, str]]]:
+    return [(book, {"author": author, "title": title} | ({"location": where} if where else {})) for book, title, where in works]
+
+
+FATHERS = _rules(AUGUSTINE, _AUGUSTINE) + _rules(DAMASCENE, _DAMASCENE)
+PHILOSOPHER = _rules(ARISTOTLE, _ARISTOTLE)
+MEDIEVALS = _rules(BOETHIUS, _BOETHIUS) + _rules(AQUINAS, _CONTRA_GENTILES)

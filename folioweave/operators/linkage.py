@@ -68,15 +68,22 @@ def relinked(groups: DataFrame, replaced: DataFrame) -> DataFrame:
 def first_rule(df: DataFrame, rules: list[tuple[str, dict[str, str]]], name: str = "work") -> DataFrame:
     """``name``: of ordered rules (value, {column: pattern}) the first whose patterns all match, ignoring case.
 
-    The rules are code, not data, so they become one expression over the row; nothing is joined.
+    The rules are code, not data, so they become one flat expression over the row; nothing is joined. Spaces are drawn
+    together, and patterns of several rules are matched, once a row.
     """
-    pick = F.lit(None).cast("string")
-    for value, patterns in reversed(rules):
-        hit = F.lit(True)
-        for column, pattern in patterns.items():
-            hit = hit & F.coalesce(X.squashed(F.col(column)).rlike(f"(?i){pattern}"), F.lit(False))
-        pick = F.when(hit, F.lit(value)).otherwise(pick)
-    return df.withColumn(name, pick)
+    tests = [(c, p) for _, patterns in rules for c, p in patterns.items()]
+    columns = list(dict.fromkeys(c for c, _ in tests))
+    shared = {t: f"_m{i}" for i, t in enumerate(dict.fromkeys(t for t in tests if tests.count(t) > 1))}
+    hit = lambda c, p: F.coalesce(F.rlike(F.col(f"_s_{c}"), F.lit(f"(?i){p}")), F.lit(False))
+    read = df.withColumns({f"_s_{c}": X.squashed(F.col(c)) for c in columns}).withColumns({m: hit(*t) for t, m in shared.items()})
+    pick = F
+    for value, patterns in rules:
+        met = F.lit(True)
+        for t in patterns.items():
+            met = met & (F.col(shared[t]) if t in shared else hit(*t))
+        pick = pick.when(met, F.lit(value))
+    chosen = F.lit(None).cast("string") if pick is F else pick
+    return read.withColumn(name, chosen).drop(*[f"_s_{c}" for c in columns], *shared.values())
 
 
 def archive_plan(copies: DataFrame, queued_urls: DataFrame, book_ids: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bible, readers, thml, volumes
+from ..functions.aliases import PREFIXES, TYPES
 from ..functions.text import is_summa
 from ..schema import PARTS_SQL
+from .linkage import first_rule
 
 _PLACES = pa.list_(pa.list_(pa.struct([("type", pa.string()), ("value", pa.int32())])))
 _PLACES_SQL = f"array<{PARTS_SQL}>"
@@ -22,15 +24,43 @@ def _arrow(places: list[readers.Place]) -> list[list[dict[str, object]]]:
 
 
 def father_places(df: DataFrame) -> DataFrame:
-    """(id, places) of (id, location, raw, title, types): the places that citations of a divided work give."""
+    """(id, places) of (id, location, raw, title, types): the places that citations of a divided work give.
+
+    Columns that may be there: ``pattern`` finds the title in a raw text that spells it otherwise, ``prefix`` goes before
+    the places that are read, ``work`` is returned with them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)
-            found = [_arrow(readers.father_places(readers.location_text(loc or "", raw or "", title or ""), types or [])) for loc, raw, title, types in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _PLACES)], names=["id", "places"])
-
-    return df.select(F.col("id").cast("long").alias("id"), "location", "raw", "title", "types").mapInArrow(run, f"id long, places {_PLACES_SQL}")
+            found = []
+            for loc, raw, title, types, pattern, prefix in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True):
+                before = [(p["type"], p["value"]) for p in prefix or []]
+                read = readers.father_places(readers.location_text(loc or "", raw or "", title or "", pattern), (types or [])[len(before) :])
+                found.append(_arrow([before + place for place in read]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _PLACES)], names=["id", "work", "places"])
+
+    with_work = "work" in df.columns
+    for name, kind in (("pattern", "string"), ("prefix", PARTS_SQL), ("work", "string")):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    read = df.select(F.col("id").cast("long").alias("id"), "work", "location", "raw", "title", "types", "pattern", "prefix").mapInArrow(run, f"id long, work string, places {_PLACES_SQL}")
+    return read if with_work else read.drop("work")
+
+
+def works_cited(citations: DataFrame, rules: list[tuple[str, dict[str, str]]], divided: DataFrame) -> DataFrame:
+    """(id, work, places) of citations (id, author, title, location, raw) of the works that ordered rules name.
+
+    divided: (work, types), the part types of each work's pages (``places.division_types``); a work read otherwise has its own in
+    ``aliases.TYPES``, one that is part of another its first parts in ``aliases.PREFIXES``. Works that are not there have no places.
+    Citations of no work go last, as a filter before would have the rules evaluated twice.
+    """
+    parts = lambda title: F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in PREFIXES[title]]).cast(PARTS_SQL) if title in PREFIXES else F.lit(None).cast(PARTS_SQL)
+    types = lambda work: F.array(*map(F.lit, TYPES[work])) if work in TYPES else F.lit(None).cast("array<string>")
+    about = F.array(*[F.struct(F.lit(work).alias("work"), F.lit(p["title"]).alias("pattern"), parts(p["title"]).alias("prefix"), types(work).alias("own")) for work, p in rules])
+    ruled = first_rule(citations, [(str(i), patterns) for i, (_, patterns) in enumerate(rules)], "_rule")
+    named = ruled.select("id", "title", "location", "raw", F.get(about, F.col("_rule").cast("int")).alias("_about")).select("id", "title", "location", "raw", "_about.*")
+    known = named.join(divided.select("work", F.col("types").alias("_types")), "work", "left").withColumn("types", F.coalesce("own", "_types"))
+    return father_places(known).where("work is not null")
 
 
 def summa_places(citations: DataFrame, order: tuple[str, ...] = ("source_page", "id")) -> DataFrame:

@@ -217,7 +217,15 @@ def _(lib: Library) -> DataFrame:
     return linkage.same_books(pairs.select("id", "author", "title", "w_author", "w_title")).select("id", "same")
 
 
-@query("j23_archive_plan")
+@query(
+    "j23_archive_plan",
+    """WITH c AS (SELECT id AS ord, 'https://archive.example/details/item' || CAST(id % 500 AS VARCHAR) AS archive_url, 'f' || CAST(id % 250 AS VARCHAR) AS stem, CASE WHEN id % 9 = 0 THEN '.txt' ELSE '.pdf' END AS kind FROM m_citations),
+i AS (SELECT archive_url, min_by(stem, ord) AS stem, min_by(kind, ord) AS kind, min(ord) AS ord, count(*) AS citations FROM c GROUP BY 1),
+m AS (SELECT *, archive_url IN (SELECT 'https://archive.example/details/item' || CAST(id AS VARCHAR) FROM m_queue WHERE id < 100000) AS queued, stem IN (SELECT 'f' || id[2:] FROM m_books WHERE length(id) < 3) AS book FROM i),
+n AS (SELECT *, sum(CASE WHEN NOT queued AND NOT book AND kind = '.pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY stem, kind ORDER BY ord) AS nth FROM m)
+SELECT archive_url, 'https://archive.example/download/' || stem || kind AS pdf_url, stem || kind AS file_name, citations,
+  CASE WHEN queued THEN 'already queued' WHEN book AND nth = 0 THEN 'already a book' WHEN book THEN 'already queued' WHEN kind <> '.pdf' THEN 'no .pdf file name' WHEN nth > 1 THEN 'already queued' ELSE 'queue' END AS decision FROM n""",
+)
 def _(lib: Library) -> DataFrame:
     copies = lib.citations.select(
         F.col("id").alias("ord"), F.concat(F.lit("https://archive.example/details/item"), (F.col("id") % 500).cast("string")).alias("archive_url"), F.concat(F.lit("https://archive.example/download/f"), (F.col("id") % 250).cast("string"), F.when(F.col("id") % 9 == 0, ".txt").otherwise(".pdf")).alias("pdf_url")
@@ -233,7 +241,14 @@ def _(lib: Library) -> DataFrame:
     return linkage.find_or_create_authors(lib.citations.select(F.col("author").alias("name")), lib.author_names, lib.authors)
 
 
-@query("a14_insight_groups")
+@query(
+    "a14_insight_groups",
+    """WITH RECURSIVE w AS (SELECT id, keyword1 AS k FROM m_insights UNION SELECT id, keyword2 FROM m_insights),
+few AS (SELECT k FROM w GROUP BY k HAVING count(*) <= 30), near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM w a JOIN w b ON b.k = a.k WHERE a.k IN (SELECT k FROM few)),
+far(id, other) AS (SELECT a, b FROM near UNION SELECT f.id, n.b FROM far f JOIN near n ON n.a = f.other),
+roots AS (SELECT i.id, coalesce(min(f.other), i.id) AS root FROM m_insights i LEFT JOIN far f ON f.id = i.id GROUP BY 1)
+SELECT id, root, CAST((row_number() OVER (PARTITION BY root ORDER BY id) - 1) // 30 AS INT) AS chunk FROM roots""",
+)
 def _(lib: Library) -> DataFrame:
     words = lib.insights.select("id", F.col("keyword1").alias("keyword")).union(lib.insights.select("id", "keyword2"))
     return insights.consolidation_groups(lib.insights, words)

@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import aliases
 from ..operators import reading, scans
 from ..sources import books
 from .model import Library
@@ -101,6 +102,38 @@ def _(lib: Library) -> DataFrame:
     return reading.father_places(df).select("id", _all(F.col("places")).alias("places"))
 
 
+#: Citations as printed: author, title, the title as extracted, the work and its first parts, types after those.
+_PRINTED = (
+    ("Aristotle", "Eth. Eudem.", "Eth. Eudem.", "aristotle-eudemian-ethics", "", "book/chapter"),
+    ("The Philosopher", "Ethic.", "Ethic.", "aristotle-nicomachean-ethics", "", "book/chapter"),
+    ("Aristot.", "De Gener. Animal.", "De Gener. Animal.", "aristotle-on-the-generation-of-animals", "", "book/chapter"),
+    ("Aristotle", "De Gener.", "De Gener.", "aristotle-on-generation-and-corruption", "", "book/chapter"),
+    ("Boethius", "De Consol.", "De Consolatione", "boethius-consolation-of-philosophy", "", "book/prose"),
+    ("St. Thomas", "Contra Gent.", "Summa Contra Gentiles", "summa-contra-gentiles", "", "book/chapter"),
+    ("St. Augustine", "De Dono Persev.", "De Dono Persev.", "npnf105-a-treatise-on-the-predestination-of-the-saints", "book 2", "chapter"),
+    ("Athanasius", "Contra Gentes", "Contra Gentes", None, "", "book/chapter"),
+)
+_AS_VALUES = ", ".join(f"({i}, '{work}', '{first}', '{types}')" for i, (*_, work, first, types) in enumerate(_PRINTED) if work)
+
+
+@query(
+    "j20_works_cited",
+    f"""SELECT c.id, x.w AS work, CASE WHEN x.f <> '' THEN x.f || '/' || x.t || ' ' || CAST(c.source_page AS VARCHAR)
+  ELSE split_part(x.t, '/', 1) || ' ' || CAST(c.source_page AS VARCHAR) || '/' || split_part(x.t, '/', 2) || ' 4' END AS places
+FROM m_citations c JOIN (VALUES {_AS_VALUES}) AS x(i, w, f, t) ON x.i = c.id % {len(_PRINTED)}""",
+)
+def _(lib: Library) -> DataFrame:
+    """Every citation under a Latin name; a third have their place in the raw text only."""
+    row = F.get(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("author", "short", "title"), p[:3], strict=True)]) for p in _PRINTED]), (F.col("id") % len(_PRINTED)).cast("int"))
+    place = F.concat(F.col("source_page").cast("string"), F.lit(", 4"))
+    printed = lib.citations.select("id", row.alias("p"), F.when(F.col("id") % 3 == 0, "").otherwise(place).alias("location"), place.alias("place"))
+    printed = printed.select("id", "p.author", "p.title", "location", F.concat("p.short", F.lit(" "), "place").alias("raw"))
+    rules = aliases.FATHERS + aliases.PHILOSOPHER + aliases.MEDIEVALS
+    works = sorted({w for w, _ in rules} - set(aliases.TYPES))
+    divided = lib.spark.createDataFrame([(w, ["book", "chapter"]) for w in works], "work string, types array<string>")
+    return reading.works_cited(printed, rules, divided).select("id", "work", _all(F.col("places")).alias("places"))
+
+
 def _scan(lib: Library) -> DataFrame:
     """Each book's pages with a running head that prints page + 6, every fifth one unread."""
     head = F.when(F.col("page_number") % 5 == 0, F.lit("<p>no number here</p>")).otherwise(F.concat(F.lit("<p>[ "), (F.col("page_number") + 6).cast("string"), F.lit(" ]</p>")))
@@ -142,18 +175,22 @@ def _(lib: Library) -> DataFrame:
     return books.scans(lib.spark, path, lines=True).select("book_id", "page", F.get("blocks", F.lit(0))["html"].alias("html"))
 
 
-@query("s03_thml_divs", "SELECT CAST(x.n AS INT) AS div, CAST(x.p AS INT) AS parent, x.t AS title FROM (VALUES (0, -1, 'City of God'), (1, 0, 'Book I'), (2, 1, 'Chapter 1'), (3, 0, 'Book II')) AS x(n, p, t)")
+def _files(lib: Library, suffix: str, column: str, *pieces: str) -> DataFrame:
+    """A file for each book, named after it: the given pieces with the book's title between them."""
+    return lib.books.select(F.concat("id", F.lit(suffix)).alias("path"), F.concat_ws("", *[x for p in pieces for x in (F.lit(p), F.col("title"))][:-1]).alias(column))
+
+
+@query("s03_thml_divs", "SELECT m.id || '.xml' AS path, CAST(x.n AS INT) AS div, CAST(x.p AS INT) AS parent, replace(x.t, '@', m.title) AS title FROM m_books m CROSS JOIN (VALUES (0, -1, '@'), (1, 0, 'Book I of @'), (2, 1, 'Chapter 1'), (3, 0, 'Book II')) AS x(n, p, t)")
 def _(lib: Library) -> DataFrame:
-    xml = '<ThML.body><div1 title="City of God"><div2 title="Book I"><p>a</p><div3 title="Chapter 1"><p>b</p></div3></div2><div2 title="Book II"/></div1></ThML.body>'
-    return books.thml_divs(lib.spark.createDataFrame([("v", xml)], "path string, xml string")).select("div", "parent", "title")
+    files = _files(lib, ".xml", "xml", '<ThML.body><div1 title="', '"><div2 title="Book I of ', '"><p>a</p><div3 title="Chapter 1"><p>b</p></div3></div2><div2 title="Book II"/></div1></ThML.body>')
+    return books.thml_divs(files).select("path", "div", "parent", "title")
 
 
-@query("s05_text_edition", "SELECT x.b AS book, x.p AS paragraph FROM (VALUES ('I', 'First paragraph.'), ('I', 'Second.'), ('II', 'Third.')) AS x(b, p)")
+@query("s05_text_edition", "SELECT m.id || '.txt' AS path, x.b AS book, CASE x.p WHEN 'First' THEN 'First paragraph of ' || m.title || '.' ELSE x.p END AS paragraph FROM m_books m CROSS JOIN (VALUES ('I', 'First'), ('I', 'Second.'), ('II', 'Third.')) AS x(b, p)")
 def _(lib: Library) -> DataFrame:
-    path = _shared(lib, "edition")
-    text = "front\n\nBOOK I\n\nFirst\nparagraph.\n\nSecond.\n\nBOOK II\n\nThird.\n\nTHE END\n\nlicense"
-    lib.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return books.text_edition(lib.spark, path).select("book", "paragraph")
+    """An edition for each book, as read from files."""
+    files = _files(lib, ".txt", "text", "front\n\nBOOK I\n\nFirst\nparagraph of ", ".\n\nSecond.\n\nBOOK II\n\nThird.\n\nTHE END\n\nlicense")
+    return books.edition_texts(files).select("path", "book", "paragraph")
 
 
 @query("j24_placed_footnotes", "SELECT c.id, CASE WHEN c.source_page % 2 = 0 THEN 3 END AS position FROM m_citations c")
@@ -220,7 +257,7 @@ def _div(level: int, title: str, body: str, id_: str = "", short: str = "") -> s
 
 _VOLUME = (
     "<ThML.body>"
-    + _div(1, "CLEMENT OF ROME", _div(2, "Introductory Note", "<p>by the editor</p>") + _div(2, "First Epistle", _div(3, "The salutation.", "<p>The church (Ps. 118).</p>", short="Chapter I") + _div(3, "Praise.", "<p>Two.</p>", short="Chapter II")))
+    + _div(1, "CLEMENT OF ROME", _div(2, "Introductory Note", "<p>by the editor</p>") + _div(2, "Epistle on @", _div(3, "The salutation.", "<p>The church (Ps. 118).</p>", short="Chapter I") + _div(3, "Praise.", "<p>Two.</p>", short="Chapter II")))
     + _div(1, "IRENAEUS", _div(2, "Against Heresies: Book I", _div(3, "Chapter I", "<p>One.</p>")) + _div(2, "Against Heresies: Book II", _div(3, "Chapter I", "<p>Two.</p>")))
     + "</ThML.body>"
 )
@@ -230,34 +267,43 @@ def _pages(found: DataFrame) -> DataFrame:
     return found.select("book_id", "page_number", "printed", _text(F.col("parts")).alias("place"))
 
 
-_VOLUME_PAGES = """SELECT x.b AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES ('v-first-epistle', 1, 'Chapter I', 'chapter 1'), ('v-first-epistle', 2, 'Chapter II', 'chapter 2'),
-  ('v-against-heresies', 1, 'Book I, Chapter I', 'book 1/chapter 1'), ('v-against-heresies', 2, 'Book II, Chapter I', 'book 2/chapter 1')) AS x(b, n, l, p)"""
+def _volumes(lib: Library) -> DataFrame:
+    """A volume for each book, its first work with the book's title."""
+    return _files(lib, ".xml", "xml", *_VOLUME.split("@"))
+
+
+_VOLUME_PAGES = """SELECT m.id || '-' || replace(x.b, '@', regexp_replace(lower(m.title), '[^a-z0-9]+', '-', 'g')) AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place
+FROM m_books m CROSS JOIN (VALUES ('epistle-on-@', 1, 'Chapter I', 'chapter 1'), ('epistle-on-@', 2, 'Chapter II', 'chapter 2'),
+  ('against-heresies', 1, 'Book I, Chapter I', 'book 1/chapter 1'), ('against-heresies', 2, 'Book II, Chapter I', 'book 2/chapter 1')) AS x(b, n, l, p)"""
 
 
 @query("x29_works_of_a_volume", _VOLUME_PAGES)
 def _(lib: Library) -> DataFrame:
-    return _pages(books.volume_pages(lib.spark.createDataFrame([("v.xml", _VOLUME)], "path string, xml string")))
+    return _pages(books.volume_pages(_volumes(lib)))
 
 
-@query("w13_merged_books", "SELECT 'v-against-heresies' AS book_id, CAST(2 AS BIGINT) AS pages, 'Irenaeus' AS author")
+@query("w13_merged_books", "SELECT id || '-against-heresies' AS book_id, CAST(2 AS BIGINT) AS pages, CASE WHEN id = 'b1' THEN 'Irenaeus' ELSE 'Unknown' END AS author FROM m_books")
 def _(lib: Library) -> DataFrame:
-    rules = {"v": {"within": [("irenaeus", "Irenaeus")]}}
-    found = books.volume_pages(lib.spark.createDataFrame([("v.xml", _VOLUME)], "path string, xml string"), rules)
-    return found.where("book_id = 'v-against-heresies'").groupBy("book_id").agg(F.count("*").alias("pages"), F.first("author").alias("author"))
+    """Two books of one work in each volume are merged; the rules of one volume name its authors."""
+    found = books.volume_pages(_volumes(lib), {"b1": {"within": [("irenaeus", "Irenaeus")]}})
+    return found.where("book_id like '%-against-heresies'").groupBy("book_id").agg(F.count("*").alias("pages"), F.first("author").alias("author"))
 
 
-@query("x31_summa_pages", "SELECT 'summa-theologiae' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed FROM (VALUES (1, 'I-II q. 1'), (2, 'I-II q. 1 a. 1'), (3, 'I-II q. 1 a. 2')) AS x(n, l)")
+@query("x31_summa_pages", "SELECT m.id || '.xml' AS path, CAST(x.n AS INT) AS page_number, x.l AS printed FROM m_books m CROSS JOIN (VALUES (1, 'I-II q. 1'), (2, 'I-II q. 1 a. 1'), (3, 'I-II q. 1 a. 2')) AS x(n, l)")
 def _(lib: Library) -> DataFrame:
+    """An edition of the Summa for each book."""
     articles = "".join(_div(4, "", f"<h4>Whether {n}</h4><p>Objection.</p>", f"FS_Q1_A{n}") for n in (1, 2))
-    xml = "<ThML.body>" + _div(1, "I-II", _div(2, "Treatise", _div(3, "Of the end", "<p>Prologue.</p>" + articles, "FS_Q1")), "FS") + "</ThML.body>"
-    return books.summa_pages(lib.spark.createDataFrame([("s.xml", xml)], "path string, xml string")).select("book_id", "page_number", "printed")
+    xml = "<ThML.body>" + _div(1, "I-II", _div(2, "Treatise", _div(3, "Of @", "<p>Prologue.</p>" + articles, "FS_Q1")), "FS") + "</ThML.body>"
+    return books.summa_pages(_files(lib, ".xml", "xml", *xml.split("@"))).select("path", "page_number", "printed")
 
 
-@query("x32_bible_pages", "SELECT 'douay-rheims' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Genesis 1', 'book 1/chapter 1'), (2, 'Tobias 1', 'book 17/chapter 1'), (3, '1 Machabees 1', 'book 45/chapter 1')) AS x(n, l, p)")
+@query("x32_bible_pages", "SELECT m.id || '.xml' AS path, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM m_books m CROSS JOIN (VALUES (1, 'Genesis 1', 'book 1/chapter 1'), (2, 'Tobias 1', 'book 17/chapter 1'), (3, '1 Machabees 1', 'book 45/chapter 1')) AS x(n, l, p)")
 def _(lib: Library) -> DataFrame:
-    chapter = lambda id_: _div(3, "", '<scripture passage="1:1" /><sup>1</sup>text', f"{id_}.1")
+    """An edition of the Bible for each book."""
+    chapter = lambda id_: _div(3, "", '<scripture passage="1:1" /><sup>1</sup>text @', f"{id_}.1")
     xml = "<ThML.body>" + _div(1, "Old Testament", _div(2, "Genesis", chapter("Gen"), "Gen") + _div(2, "1 Machabees", chapter("iMac"), "iMac") + _div(2, "Tobias", chapter("Tob"), "Tob")) + "</ThML.body>"
-    return _pages(books.bible_pages(lib.spark.createDataFrame([("d.xml", xml)], "path string, xml string")))
+    found = books.bible_pages(_files(lib, ".xml", "xml", *xml.split("@")))
+    return found.select("path", "page_number", "printed", _text(F.col("parts")).alias("place"))
 
 
 def _prose(n: int) -> str:
@@ -286,10 +332,12 @@ def _(lib: Library) -> DataFrame:
     return books.edition_pages(documents, "").select("book_id", "page_number", "printed")
 
 
-@query("s06_songs_and_prose", "SELECT 'consolation' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Book I, Song I', 'book 1/metre 1'), (2, 'Book I, Prose I', 'book 1/prose 1')) AS x(n, l, p)")
+@query("s06_songs_and_prose", "SELECT m.id || '.html' AS path, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM m_books m CROSS JOIN (VALUES (1, 'Book I, Song I', 'book 1/metre 1'), (2, 'Book I, Prose I', 'book 1/prose 1')) AS x(n, l, p)")
 def _(lib: Library) -> DataFrame:
-    html = '<body><h2>BOOK I.</h2><h3>SONG I.<br> A Complaint.</h3><div class="poem"><span>line</span></div><h3>I.</h3><p>While I was pondering.</p><h2>EPILOGUE.</h2></body>'
-    return _pages(books.song_pages(lib.spark.createDataFrame([("c.html", html)], "path string, html string"), "consolation", "The Consolation", "Boethius"))
+    """An edition of songs and prose for each book."""
+    files = _files(lib, ".html", "html", '<body><h2>BOOK I.</h2><h3>SONG I.<br> A Complaint.</h3><div class="poem"><span>line</span></div><h3>I.</h3><p>While I was pondering ', ".</p><h2>EPILOGUE.</h2></body>")
+    found = books.song_pages(files, "consolation", "The Consolation", "Boethius")
+    return found.select("path", "page_number", "printed", _text(F.col("parts")).alias("place"))
 
 
 @query(

@@ -24,8 +24,13 @@ def scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def text_edition(spark: SparkSession, path: str) -> DataFrame:
-    """(path, book, position, paragraph) of plain-text editions: from the first "BOOK n" line to "THE END", paragraphs by blank lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("t"))
+    """``edition_texts`` of plain-text files."""
+    return edition_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def edition_texts(files: DataFrame) -> DataFrame:
+    """(path, book, position, paragraph) of editions (path, text): from the first "BOOK n" line to "THE END", paragraphs by blank lines."""
+    whole = files.select("path", F.regexp_replace("text", "\r\n?", "\n").alias("t"))
     body = F.regexp_extract("t", r"(?ms)^(BOOK [IVXLC\d]+\b.*?)(?:^\s*THE END\b.*)?\z", 1)
     each = whole.select("path", F.posexplode(F.split(body, r"\n[ \t]*\n+")).alias("position", "raw"))
     kept = each.withColumn("paragraph", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("paragraph <> ''")
