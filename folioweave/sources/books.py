@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import editions, thml, volumes
+from ..functions.volume_authors import VOLUME_AUTHORS
 from ..operators.editions import documents_of
 from ..operators.editions import pages as pages_of_editions
 
@@ -85,9 +86,9 @@ def _books(files: DataFrame, column: str, read) -> DataFrame:
     return files.select("path", column).mapInPandas(run, PAGES)
 
 
-def volume_pages(files: DataFrame, authors: dict[str, dict] | None = None) -> DataFrame:
+def volume_pages(files: DataFrame, authors: dict[str, dict] = VOLUME_AUTHORS) -> DataFrame:
     """Pages of all works in volumes (path, xml); the file's name is the volume's. authors: rules by volume (``volumes.author``)."""
-    return _books(files, "xml", lambda path, xml: volumes.volume_books(file_stem(path), xml, (authors or {}).get(file_stem(path))))
+    return _books(files, "xml", lambda path, xml: volumes.volume_books(file_stem(path), xml, authors.get(file_stem(path))))
 
 
 def single_work_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:

@@ -220,3 +220,14 @@ def test_songs_and_prose(spark):
     assert pages[2]["blocks"][2][1] == "<h3>Song I. Malice.</h3>" and pages[2]["blocks"][-1][1] == "<p><sup>B</sup> On Fortune.</p>"
     rows = books.song_pages(spark.createDataFrame([("f", SONGS)], "path string, html string"), "consolation", "C", "Boethius").collect()
     assert [r.page_number for r in rows] == [1, 2, 3]
+
+
+def test_authors_of_the_volumes():
+    from folioweave.functions.volume_authors import VOLUME_AUTHORS
+
+    who = lambda volume, title, *within: volumes.author(VOLUME_AUTHORS.get(volume, {}), title, within)
+    assert who("anf01", "Epistle to Polycarp", "IGNATIUS") == "Ignatius of Antioch"
+    assert who("anf01", "The Martyrdom of Polycarp", "POLYCARP") == "Church of Smyrna"
+    assert who("anf08", "Pantænus, the Alexandrian Philosopher.", "Remains") == "Pantaenus"
+    assert [who(v, "A Treatise") for v in ("npnf108", "npnf109", "npnf114", "npnf202", "x")] == ["Augustine of Hippo", "John Chrysostom", "John Chrysostom", None, None]
+    assert who("npnf211", "Institutes", "THE WORKS OF JOHN CASSIAN") == "John Cassian" and who("npnf209", "On the Trinity", "x") == "Hilary of Poitiers"

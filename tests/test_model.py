@@ -235,3 +235,25 @@ def test_insights_by_the_rarest_word(spark):
     has = spark.createDataFrame([(p, i, dict(pages)[p], k) for p, i, k in {(p, i, k) for p, i in kept for j, k in keywords + [(4, "nature")] if j == i}], "p long, i long, t string, k string")
     want = sorted({(r.p, r.i) for r in has.where(X.has_keyword(F.col("t"), F.col("k"))).collect()})
     assert got == want and (1, 1) in got and (2, 2) in got and (1, 3) in got and (3, 1) not in got
+
+
+def test_works_and_places_cited(spark):
+    from folioweave.functions.aliases import FATHERS, MEDIEVALS, PHILOSOPHER
+    from folioweave.operators import reading
+
+    rows = [
+        (1, "Aristotle", "Eth. Eudem.", "ii, 3", "", "aristotle-eudemian-ethics", ["book 2/chapter 3"]),
+        (2, "the Philosopher", "Metaph.", "", "Metaph. xii, 7", "aristotle-metaphysics", ["book 12/chapter 7"]),
+        (3, "Aristotle", "De  Cœl.", "i", "", "aristotle-on-the-heavens", ["book 1"]),
+        (4, "Boethius", "De Consol. Phil.", "iii, 11", "", "boethius-consolation-of-philosophy", ["book 3/prose 11"]),
+        (5, "S. Thom.", "Summa Contra Gentiles", "", "Contra Gent. Lib. III. c. lxix.", "summa-contra-gentiles", ["book 3/chapter 69"]),
+        (6, "Athanasius", "Contra Gentes", "1", "", None, None),
+        (7, "Augustine", "De Dono Persev.", "c. 4", "", "npnf105-a-treatise-on-the-predestination-of-the-saints", ["book 2/chapter 4"]),
+        (8, None, None, None, None, None, None),
+        (9, "Aristotle", "Analytics", "i", "", None, None),
+        (10, "Aristotle", "Poet.", "4", "", "aristotle-poetics", []),
+    ]
+    df = spark.createDataFrame(rows, "id long, author string, title string, location string, raw string, want string, places array<string>")
+    divided = spark.createDataFrame([(w, ["book", "chapter"]) for w in {r[5] for r in rows if r[5]} if w not in ("boethius-consolation-of-philosophy", "aristotle-poetics")], "work string, types array<string>")
+    got = {r.id: (r.work, ["/".join(f"{p.type} {p.value}" for p in place) for place in r.places]) for r in reading.works_cited(df.drop("want", "places"), FATHERS + PHILOSOPHER + MEDIEVALS, divided).collect()}
+    assert got == {r[0]: (r[5], r[6]) for r in rows if r[5]}
