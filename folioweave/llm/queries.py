@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licenses, lines, mixing, quality, simhash, suffix_dedup, urls, warc
+from . import alignment, decontaminate, html, licenses, lines, mixing, quality, simhash, suffix_dedup, urls, warc
 from .workspace import Workspace
 
 
@@ -64,7 +64,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_main_text, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_warc)
+    for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_main_text, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_warc, op11_token_alignment)
 }
