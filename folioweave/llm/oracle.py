@@ -60,4 +60,21 @@ last AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
 SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN last.last IS NULL OR p.page_id = last.last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN last.last IS NOT NULL AND p.page_id <> last.last THEN last.last END AS refers_to
 FROM p LEFT JOIN last ON p.html = last.html AND p.n >= 1000""",
+    # levels by whole counts; sums and products in 128 bits
+    "op13_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s, (VALUES (1), (2), (3), (4)) AS v(k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+sc AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cut JOIN g l ON l.lang = cut.lang AND l.phrase = x JOIN g r ON r.lang = cut.lang AND r.phrase = y),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM sc) WHERE o = 1),
+sub AS (SELECT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - z + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS z FROM c WHERE k > 2))),
+big AS (SELECT lang, phrase, max(a) AS longer FROM sub GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN big USING (lang, phrase) WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
