@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, count
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -39,14 +39,15 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HOT = 1 << 18
 #: Texts of about this many bytes share their words.
 BATCH_BYTES = 32 << 20
-_CHUNK, _REMEMBERED, _ROWS = 1 << 16, 500_000, 20_000
+_CHUNK, _ROWS = 1 << 16, 20_000
 #: A fixed value: the expression that splits text before the merges of byte-level BPE.
 _BYTE_BPE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_ENDS = re.compile(r"(?<=\S)(?= )")
 _BROKEN = re.compile(r"\s |\s\Z")
 _MARK = "▁"
 
-Word = tuple[list[int], list[int], list[int], list[int]]
+#: Of one side: the ids of all words' tokens, their ends within their words, and where each word's tokens begin.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def words_of(text: str) -> list[str]:
@@ -55,7 +56,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Pair:
-    """The two tokenizers, with the bytes of each token; remembers a bounded number of words."""
+    """The two tokenizers, with the bytes of each token."""
 
     def __init__(self, a_path: str, b_path: str):
         import json
@@ -66,69 +67,57 @@ class Pair:
         model = json.loads(Path(a_path).read_text())
         special = {t["id"] for t in model["added_tokens"]}
         by_char = _byte_of_char()
-        self.a_bytes = {i: bytes(by_char[c] for c in t) for t, i in model["model"]["vocab"].items() if i not in special}
+        ranks = {bytes(by_char[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in special}
         # ids of a byte-level vocabulary are in the order of its merges, which makes them ranks
-        self._a = tiktoken.Encoding("a", pat_str=_BYTE_BPE, mergeable_ranks={t: i for i, t in self.a_bytes.items()}, special_tokens={})
+        self._a = tiktoken.Encoding("a", pat_str=_BYTE_BPE, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
+        names = {i: t for t, i in ranks.items()}
+        self._names = ([names.get(i, b"") for i in range(max(names) + 1)], [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)])
+        self._sizes = [np.array([len(n) for n in side], np.int64) for side in self._names]
         #: Whether no piece goes on behind a space, so that words can be tokenised alone.
         self.by_words = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self._known: dict[str, Word | None] = {}
 
-    def _encoded(self, text: str) -> Word | None:
-        """(ids, ends) of both for a text that starts with a space; None if the tokens of one do not join to it."""
-        raw, out = text.encode(), []
+    def _encoded(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both for a text that starts with a space; None if the tokens of one do not join to it."""
+        raw, a = text.encode(), self._a.encode_ordinary(text)
         # a lone space is nothing to the second, which adds one to what is not empty
         b = self._b.encode(text[1:]) if len(text) > 1 else [self._b.piece_to_id(_MARK)]
-        for ids, names in ((self._a.encode_ordinary(text), self.a_bytes), (b, self.b_bytes)):
-            parts = [names[i] for i in ids]
-            if b"".join(parts) != raw:
-                return None
-            out += [ids, list(accumulate(map(len, parts)))]
-        return tuple(out)
-
-    def words(self, wanted: Iterable[str]) -> list[Word | None]:
-        wanted = list(wanted)
-        if len(self._known) > _REMEMBERED:
-            self._known.clear()
-        new, size = [], 0
-        for w in wanted:
-            if w in self._known:
-                continue
+        whole = all(b"".join(map(names.__getitem__, ids)) == raw for ids, names in zip((a, b), self._names, strict=True))
+        return (a, b) if whole else None
+
+    def words(self, wanted: list[str]) -> tuple[np.ndarray, Side, Side]:
+        """Whether each word's tokens join to it, and both sides. Words that may stand before any other are tokenised many at a time."""
+        joins = np.ones(len(wanted), bool)
+        sides: tuple[list, list] = ([], [])
+
+        def learn(begin: int, end: int) -> None:
+            found = self._encoded("".join(wanted[begin:end])) if begin < end else ([], [])
+            if found is None and end - begin > 1:
+                for i in range(begin, end):
+                    learn(i, i + 1)
+                return
+            if found is None:
+                joins[begin], found = False, ([], [])
+            borders = np.cumsum([len(w.encode()) for w in wanted[begin:end]])
+            for side, ids, sizes in zip(sides, found, self._sizes, strict=True):
+                ids = np.array(ids, np.int32)
+                ends = np.cumsum(sizes[ids])
+                last = np.searchsorted(ends, borders) + 1 if len(ids) else np.zeros(end - begin, np.int64)
+                n = np.diff(last, prepend=0)
+                side.append((ids, (ends - np.repeat(np.concatenate([[0], borders[:-1]]), n)).astype(np.int32) if len(ids) else ids, n))
+
+        begin, size = 0, 0
+        for i, w in enumerate(wanted):
             if w[-1].isspace():  # what comes behind it would change its tokens
-                self._known[w] = self._encoded(w)
-                continue
-            new.append(w)
-            size += len(w)
-            if size > _CHUNK:
-                self._learn(new)
-                new, size = [], 0
-        self._learn(new)
-        return [self._known[w] for w in wanted]
-
-    def _learn(self, new: list[str]) -> None:
-        """Tokenises words in one text, as they would stand in any."""
-        if not new:
-            return
-        found = self._encoded("".join(new)) if len(new) > 1 else None
-        if found is None:
-            for w in new:
-                self._known[w] = self._encoded(w)
-            return
-        borders = list(accumulate(len(w.encode()) for w in new))
-        sides = []
-        for ids, ends in (found[:2], found[2:]):
-            at, begin, own = 0, 0, []
-            for border in borders:
-                to = at
-                while ends[to] < border:
-                    to += 1
-                own.append((ids[at : to + 1], [e - begin for e in ends[at : to + 1]]))
-                at, begin = to + 1, border
-            sides.append(own)
-        for w, a, b in zip(new, *sides, strict=True):
-            self._known[w] = (*a, *b)
+                learn(begin, i)
+                learn(i, i + 1)
+                begin, size = i + 1, 0
+            elif (size := size + len(w)) > _CHUNK:
+                learn(begin, i + 1)
+                begin, size = i + 1, 0
+        learn(begin, len(wanted))
+        return joins, *(tuple(np.concatenate([np.empty(0, np.int32), *column]) for column in zip(*side, strict=True)) for side in sides)
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -147,6 +136,18 @@ def pair(a_path: str, b_path: str) -> Pair:
 _INTS = pa.list_(pa.int32())
 
 
+def _lists(values: np.ndarray, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _chosen(side: Side, words: np.ndarray) -> Side:
+    """The tokens of some of the words."""
+    ids, ends, n = side
+    starts = np.cumsum(n) - n
+    at = np.repeat(starts[words] - (np.cumsum(n[words]) - n[words]), n[words]) + np.arange(n[words].sum())
+    return ids[at], ends[at], n[words]
+
+
 def tokenised(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of two kinds for each batch of texts: one (batch, docs) with the keys and the numbers of the words of its texts, and one (batch, w, times, a, a_ends, b, b_ends) for each word."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -156,24 +157,22 @@ def tokenised(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
 
     def batch(name: int, keys: list, texts: list[str | None], both: Pair) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
-        docs = [[number.setdefault(w, len(number)) for w in (words_of(t) if both.by_words else [f" {t}"])] if t else [] for t in texts]
-        known = both.words(number)
-        if any(w is None for w in known):  # what does not join takes its text along; the other words are numbered anew
-            listed, number, kept = list(number), {}, known
-            docs = [[] if any(kept[w] is None for w in d) else [number.setdefault(listed[w], len(number)) for w in d] for d in docs]
-            known = both.words(number)
-        numbers = [pa.array(d, pa.int32()) for d in docs]
-        times = np.bincount(np.concatenate([np.empty(0, np.int32), *(d.to_numpy() for d in numbers)]), minlength=len(known))
-        n_tokens = [np.array([len(w[side]) for w in known], np.int64) for side in (0, 2)]
-        sums = [pa.array([int(n[d.to_numpy()].sum()) for d in numbers], pa.int64()) for n in n_tokens]
-        listed = pa.StructArray.from_arrays([pa.array(keys, arrow_key), *sums, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, docs)]), pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *numbers]))], fields=list(doc))
+        docs = [np.fromiter((number.setdefault(w, len(number)) for w in (words_of(t) if both.by_words else [f" {t}"])), np.int32) if t else np.empty(0, np.int32) for t in texts]
+        joins, *sides = both.words(list(number))
+        if not joins.all():  # what does not join takes its text along; the other words are numbered anew
+            docs = [d if joins[d].all() else d[:0] for d in docs]
+            left = np.unique(np.concatenate(docs))
+            docs = [np.searchsorted(left, d).astype(np.int32) for d in docs]
+            sides = [_chosen(side, left) for side in sides]
+        times = np.bincount(np.concatenate([np.empty(0, np.int32), *docs]), minlength=len(sides[0][2]))
+        sums = [pa.array([int(side[2][d].sum()) for d in docs], pa.int64()) for side in sides]
+        listed = pa.StructArray.from_arrays([pa.array(keys, arrow_key), *sums, _lists(np.concatenate([np.empty(0, np.int32), *docs]), [len(d) for d in docs])], fields=list(doc))
         whole = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), whole, *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
-        for i in range(0, len(known), _ROWS):
-            part = known[i : i + _ROWS]
-            columns = [pa.array(list(c), _INTS) for c in zip(*part, strict=True)]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.nulls(n, schema.field("docs").type), pa.array(range(i, i + n), pa.int32()), pa.array(times[i : i + n], pa.int64()), *columns], schema=schema)
+        columns = [_lists(side[c], side[2]) for side in sides for c in (0, 1)]
+        for i in range(0, len(times), _ROWS):
+            n = min(_ROWS, len(times) - i)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.nulls(n, schema.field("docs").type), pa.array(range(i, i + n), pa.int32()), pa.array(times[i : i + n], pa.int64()), *(c.slice(i, n) for c in columns)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, keys, texts, size = pair(a_path, b_path), [], [], 0
@@ -224,9 +223,13 @@ def _packed(high: Column, low: Column) -> Column:
 def groups_of() -> Column:
     """Of (a, a_ends, b, b_ends, cuts, marks) the groups as ``a1,a2|b1;a3|b2,b3``."""
     ids = lambda c: F.array_join(c.cast("array<string>"), ",")
-    last = lambda side, k: F.when(k < 0, 0).otherwise(F.array_position(f"{side}_ends", F.get("cuts", k)).cast("int"))
-    part = lambda side, k: ids(F.slice(side, last(side, k - 1) + 1, last(side, k) - last(side, k - 1)))
-    looked_for = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), lambda k: F.concat(part("a", k), F.lit("|"), part("b", k)))
+
+    # a side's ids in one text with its groups apart
+    def split(side: str) -> Column:
+        marked = F.transform(f"{side}_ends", lambda e, i: F.concat(F.get(side, i).cast("string"), F.when(F.array_contains("cuts", e), ";").otherwise(",")))
+        return F.split(F.array_join(marked, ""), ";")
+
+    looked_for = F.slice(F.zip_with(split("a"), split("b"), lambda x, y: F.concat(x, F.lit("|"), y)), 1, F.size("cuts"))
 
     # the numbers of the tokens that end at a cut, from the marks of B there
     at_cut = lambda m, r: (m["number"] >= _SIDE) & F.coalesce(F.get("marks", r - 1)["end"] == m["end"], F.lit(False))
@@ -254,11 +257,13 @@ def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOK
     links = with_links(words)
     n = work.put("counts", counts(links.select("link", "times")))
     known = F.broadcast(n.orderBy(F.desc("n"), "link").limit(hot).withColumnRenamed("link", "_link"))
-    met = links.select("batch", "w", "link").join(known, F.col("link") == F.col("_link"), "left")
+    few = n.limit(hot + 1).count() <= hot
+    met = links.select("batch", "w", "link").join(known, F.col("link") == F.col("_link"), "inner" if few else "left")
     often = met.where("n is not null").select("batch", "w", F.when(F.col("best"), 1).otherwise(0).cast("long").alias("n_best"), F.col("n").alias("count_sum"))
     rare = met.where("n is null").groupBy("batch", "w", "link").agg(F.count("*").alias("times")).join(n, "link")
     rare = rare.select("batch", "w", F.when(F.col("best"), F.col("times")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("times")).alias("count_sum"))
-    summed = work.put("sums", often.unionByName(rare).groupBy("batch", "w").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
+    both = often if few else often.unionByName(rare)
+    summed = work.put("sums", both.groupBy("batch", "w").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
     # two small numbers in one, so that a text adds up two arrays instead of three
     own = words.select("batch", "w", F.size("cuts").alias("n_groups"), groups_of().alias("groups")).join(summed, ["batch", "w"])
     each = own.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", _packed(F.col("n_groups"), F.col("n_best")).alias("small"), "count_sum", "groups"))).alias("of"))
