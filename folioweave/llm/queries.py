@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, collocations, decontaminate, html, licenses, lines, mixing, quality, simhash, suffix_dedup, urls, warc
+from . import alignment, collocations, decontaminate, html, licenses, lines, mixing, quality, simhash, suffix_dedup, toxicity, urls, warc
 from .workspace import Workspace
 
 
@@ -70,11 +70,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_main_text, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_warc, op11_token_alignment, op13_collocations)
+    for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_main_text, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_warc, op11_token_alignment, op12_toxicity, op13_collocations)
 }
