@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -87,24 +88,28 @@ class _Slice:
             found = np.fromiter(map(self.numbers.__getitem__, filter(None, words)), np.int32)
             self.parts += [found, np.zeros(1, np.int32)]
 
-    def phrases(self, k: int, known: tuple[np.ndarray, int] | None) -> tuple[list[bytes], np.ndarray]:
+    def phrases(self, k: int, known: tuple[np.ndarray, int] | None) -> tuple[pa.Array, np.ndarray]:
         """The different phrases of k words of which both parts may be frequent, and how often each occurs."""
         ids = np.concatenate(self.parts) if self.parts else np.empty(0, np.int32)
         words = list(self.numbers)
+        names = pa.array(words, pa.binary())
         if k == 1:
             times = np.bincount(ids, minlength=len(words))
             times[0] = 0
             some = np.flatnonzero(times)
-            return [words[i] for i in some], times[some]
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[ids]
+            return names.take(pa.array(some)), times[some]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = len(ids) - k + 1
         if n <= 0:
-            return [], np.empty(0, np.int64)
+            return names[:0], np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(ids == 0)])
         within = np.flatnonzero(ends[k:] == ends[:-k])
-        may = np.zeros(len(ids) - k + 2, bool)
-        parts = np.unique(np.concatenate([within, within + 1]))
-        may[parts] = passing(_prints(hashes, k - 1, _salt(self.lang))[parts], *known)
+        if k == 2:  # a word passes or not wherever it stands
+            may = passing(_prints(hashes, 1, _salt(self.lang)), *known)[ids]
+        else:
+            may = np.zeros(n + 1, bool)
+            may[within] = may[within + 1] = True
+            may[may] = passing(_prints(hashes[ids], k - 1, _salt(self.lang))[may], *known)
         at = within[may[within] & may[within + 1]]
         codes = ids[at].astype(np.int64)
         for j in range(1, k):
@@ -112,8 +117,7 @@ class _Slice:
             if j < k - 1:
                 codes = np.unique(codes, return_inverse=True)[1]
         _, first, times = np.unique(codes, return_index=True, return_counts=True)
-        starts = at[first]
-        return [b" ".join([words[i] for i in ids[s : s + k]]) for s in starts.tolist()], times
+        return pc.binary_join_element_wise(*(names.take(pa.array(ids[at[first] + j])) for j in range(k)), b" "), times
 
 
 def _emitted(df: DataFrame, k: int, known: Broadcast | None, lang: str, text: str) -> DataFrame:
@@ -123,8 +127,8 @@ def _emitted(df: DataFrame, k: int, known: Broadcast | None, lang: str, text: st
     def out(part: _Slice) -> Iterator[pa.RecordBatch]:
         found, times = part.phrases(k, known.value if known else None)
         for i in range(0, len(found), 20_000):
-            some = pa.array(found[i : i + 20_000], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([part.lang] * len(some), pa.string()), some, pa.array(times[i : i + 20_000], pa.int64())], schema=schema)
+            some = found.slice(i, 20_000).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part.lang, pa.string()), len(some)), some, pa.array(times[i : i + 20_000], pa.int64())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, _Slice] = {}
