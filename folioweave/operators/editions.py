@@ -33,17 +33,6 @@ _NOTE = "path string, document int, name string, nth int, id string, number stri
 _AT = ("path", "document")
 
 
-def documents_of(files: DataFrame) -> DataFrame:
-    """(path, document, name, xhtml) of EPUB files (path, content): their documents in the order of the archive."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(path, i, *d) for path, content in zip(f["path"], f["content"], strict=True) for i, d in enumerate(editions.epub_documents(content))]
-            yield pd.DataFrame(rows, columns=["path", "document", "name", "xhtml"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, document int, name string, xhtml string")
-
-
 def _each(documents: DataFrame, read: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
     """What ``read`` finds in each document, numbered in its order."""
     names = [c.split()[0] for c in schema.split(", ")]

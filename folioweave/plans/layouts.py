@@ -10,6 +10,7 @@ from ..schema import PARTS_SQL
 from .model import Library
 from .registry import query
 from .relational import _CITES, _COUNTED, _HIDDEN, aliases
+from .session import folder
 
 _VOLUMES = """f AS (SELECT book_id, page_number, id, part1_type AS t, part1_value AS v FROM m_places),
 num AS (SELECT book_id, t, v, row_number() OVER (PARTITION BY book_id ORDER BY pg, i) AS volume FROM (SELECT book_id, t, v, page_number AS pg, id AS i, row_number() OVER (PARTITION BY book_id, t, v ORDER BY page_number, id) AS k FROM f) AS x WHERE k = 1),
@@ -19,10 +20,6 @@ pl AS (SELECT book_id, page_number, t || ':' || CAST(v AS VARCHAR) AS part FROM
 vols AS (SELECT DISTINCT n.book_id, CAST(n.volume AS INT) AS volume, n.t AS part_type, n.v AS part_value, pl.page_number FROM pl JOIN num n ON n.book_id = pl.book_id AND coalesce(n.t || ':' || CAST(n.v AS VARCHAR) = pl.part, n.volume = 1))"""
 
 
-def _folder(lib: Library, name: str) -> str:
-    return f"{lib.spark.sparkContext.getCheckpointDir()}/{name}-{lib.spark.sparkContext.applicationId}-{id(lib)}"
-
-
 def volumes(lib: Library) -> DataFrame:
     return layout.volumes(lib.pages, lib.places)
 
@@ -221,7 +218,7 @@ def _(lib: Library) -> DataFrame:
     "j23_archive_plan",
     """WITH c AS (SELECT id AS ord, 'https://archive.example/details/item' || CAST(id % 500 AS VARCHAR) AS archive_url, 'f' || CAST(id % 250 AS VARCHAR) AS stem, CASE WHEN id % 9 = 0 THEN '.txt' ELSE '.pdf' END AS kind FROM m_citations),
 i AS (SELECT archive_url, min_by(stem, ord) AS stem, min_by(kind, ord) AS kind, min(ord) AS ord, count(*) AS citations FROM c GROUP BY 1),
-m AS (SELECT *, archive_url IN (SELECT 'https://archive.example/details/item' || CAST(id AS VARCHAR) FROM m_queue WHERE id < 100000) AS queued, stem IN (SELECT 'f' || id[2:] FROM m_books WHERE length(id) < 3) AS book FROM i),
+m AS (SELECT *, archive_url IN (SELECT 'https://archive.example/details/item' || CAST(id AS VARCHAR) FROM m_queue) AS queued, stem IN (SELECT 'f' || id[2:] FROM m_books) AS book FROM i),
 n AS (SELECT *, sum(CASE WHEN NOT queued AND NOT book AND kind = '.pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY stem, kind ORDER BY ord) AS nth FROM m)
 SELECT archive_url, 'https://archive.example/download/' || stem || kind AS pdf_url, stem || kind AS file_name, citations,
   CASE WHEN queued THEN 'already queued' WHEN book AND nth = 0 THEN 'already a book' WHEN book THEN 'already queued' WHEN kind <> '.pdf' THEN 'no .pdf file name' WHEN nth > 1 THEN 'already queued' ELSE 'queue' END AS decision FROM n""",
@@ -230,8 +227,8 @@ def _(lib: Library) -> DataFrame:
     copies = lib.citations.select(
         F.col("id").alias("ord"), F.concat(F.lit("https://archive.example/details/item"), (F.col("id") % 500).cast("string")).alias("archive_url"), F.concat(F.lit("https://archive.example/download/f"), (F.col("id") % 250).cast("string"), F.when(F.col("id") % 9 == 0, ".txt").otherwise(".pdf")).alias("pdf_url")
     )
-    queued = lib.queue.select(F.concat(F.lit("https://archive.example/details/item"), F.col("id").cast("string")).alias("url")).where("length(url) < 42")
-    ids = lib.books.select(F.regexp_replace("id", "b", "f").alias("id")).where("length(id) < 3")
+    queued = lib.queue.select(F.concat(F.lit("https://archive.example/details/item"), F.col("id").cast("string")).alias("url"))
+    ids = lib.books.select(F.regexp_replace("id", "b", "f").alias("id"))
     return linkage.archive_plan(copies, queued, ids)
 
 
@@ -263,7 +260,7 @@ def _(lib: Library) -> DataFrame:
 @query("s11_bulk_insert", "SELECT book_id, page_number, printed FROM m_pages")
 def _(lib: Library) -> DataFrame:
     """Two inserts into one table; Spark writes in parallel parts, which stand for chunks."""
-    path = _folder(lib, "inserted")
+    path = folder(lib.spark, "inserted")
     for rest in (0, 1):
         writes.inserted(lib.pages.where(F.pmod(F.xxhash64("book_id"), F.lit(2)) == rest), path)
     return lib.spark.read.parquet(path).select("book_id", "page_number", "printed")
@@ -272,7 +269,7 @@ def _(lib: Library) -> DataFrame:
 @query("s17_clear_counts", "SELECT book_id, CAST(count(*) AS BIGINT) AS n FROM m_pages WHERE page_number > 1 GROUP BY 1")
 def _(lib: Library) -> DataFrame:
     """A cache of counts is cleared whole, so that only what is counted after it is there."""
-    path = _folder(lib, "counts")
+    path = folder(lib.spark, "counts")
     counts = lambda df: df.groupBy("book_id").agg(F.count("*").alias("n"))
     writes.inserted(counts(lib.pages), path)
     writes.cleared(lib.spark, path)
@@ -283,7 +280,7 @@ def _(lib: Library) -> DataFrame:
 @query("s12_replace_by_key", "SELECT book_id, page_number, printed FROM m_pages WHERE page_number < 4 OR book_id = 'b1'")
 def _(lib: Library) -> DataFrame:
     """Some books' pages are written again over all of them; their partitions alone are replaced."""
-    path = _folder(lib, "pages")
+    path = folder(lib.spark, "pages")
     keyed = lambda df: df.withColumn("part", F.pmod(F.xxhash64("book_id"), F.lit(16)))
     keyed(lib.pages).write.mode("overwrite").partitionBy("part").parquet(path)
     again = keyed(lib.pages.where("page_number < 4 or book_id = 'b1'"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..operators import reading, scans
 from ..sources import books
 from .model import Library
 from .registry import query
+from .session import folder
 
 
 def _text(parts) -> F.Column:
@@ -23,11 +21,6 @@ def _all(places) -> F.Column:
     return F.array_join(F.transform(places, _text), "; ")
 
 
-def _shared(lib: Library, name: str) -> str:
-    base = lib.spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{lib.spark.sparkContext.applicationId}-{id(lib)}"
-
-
 @query("x17_numbers", "SELECT id, CAST(source_page AS BIGINT) AS back FROM m_citations")
 def _(lib: Library) -> DataFrame:
     from ..functions import text as X
@@ -168,7 +161,7 @@ def _(lib: Library) -> DataFrame:
 @query("s02_scan_json", "SELECT book_id, CAST(page_number AS INT) AS page, printed AS html FROM m_pages")
 def _(lib: Library) -> DataFrame:
     """All books are written as the JSON of scans, a line each, and read again."""
-    path = _shared(lib, "scan")
+    path = folder(lib.spark, "scan")
     page = F.struct(F.col("page_number").alias("page"), F.array(F.struct(F.lit("Text").alias("label"), F.col("printed").alias("html"), F.lit(0).alias("reading_order"), F.array(F.lit(0.0)).alias("bbox"))).alias("blocks"))
     book = lib.pages.groupBy("book_id").agg(F.collect_list(page).alias("pages"))
     book.select(F.to_json(F.create_map("book_id", "pages")).alias("value")).write.mode("overwrite").text(path)
@@ -310,13 +303,49 @@ def _prose(n: int) -> str:
     return "<p>" + " ".join(f"word{i}" for i in range(n)) + "</p>"
 
 
-@query("s04_epub", "SELECT 'ethics' AS book_id, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM (VALUES (1, 'Book I, Chapter 1', 'book 1/chapter 1'), (2, 'Book I, Chapter 2', 'book 1/chapter 2'), (3, 'Book II, Chapter 1', 'book 2/chapter 1')) AS x(n, l, p)")
+_EPUB_PAGES = """SELECT b.id AS book_id, CAST(x.n AS INT) AS page_number, replace(x.l, '@', b.title) AS printed, x.p AS place FROM (SELECT id, title, CAST(id[2:] AS BIGINT) % 4 AS k FROM m_books) AS b
+JOIN (VALUES (0, 1, 'Book I, Chapter 1', 'book 1/chapter 1'), (0, 2, 'Book I, Chapter 2', 'book 1/chapter 2'), (0, 3, 'Book II, Chapter 1', 'book 2/chapter 1'),
+  (1, 1, 'Chapter 1', 'chapter 1'), (1, 2, 'Chapter 2', 'chapter 2'), (2, 1, 'Book I, Chapter 1', 'book 1/chapter 1'), (2, 2, 'Book II, Chapter 1', 'book 2/chapter 1'), (2, 3, 'Book II, Chapter 2', 'book 2/chapter 2'),
+  (3, 1, 'Of @', '')) AS x(k, n, l, p) ON x.k = b.k"""
+
+
+def _epubs(lib: Library) -> DataFrame:
+    """The documents of an archive for each book, in four shapes: parts of documents named after books, headed chapters, books as lines with bare numbers, and no marks at all."""
+    body = lambda *x: F.concat(F.lit("<html><body>"), *(F.lit(y) if isinstance(y, str) else y for y in x), F.lit("</body></html>"))
+    prose, shape = _prose(40), F.expr("cast(substring(id, 2) as bigint) % 4")
+    document = lambda name, xhtml: F.struct(F.lit(name).alias("name"), xhtml.alias("xhtml"))
+    shapes = [
+        [document("c1_Work_Book_I.xhtml", body(f"<p>Part 1</p>{prose}<p>Part 2</p>{prose}")), document("c2_Work_Book_II.xhtml", body(f"<p>Part 1</p>{prose}"))],
+        [document("c1_Work.xhtml", body(f"<h2>Chapter I. On beginnings</h2>{prose}<h2>CHAPTER II.</h2>{prose}"))],
+        [document("c1_Work.xhtml", body(f"<p>BOOK I</p><p>i.</p>{prose}<p>Book Two</p><p>1</p>{prose}<p>2</p>{prose}"))],
+        [document("c1_Work.xhtml", body("<h1>Of ", F.col("title"), f"</h1>{prose}"))],
+    ]
+    chosen = F.when(shape == 0, F.array(*shapes[0])).when(shape == 1, F.array(*shapes[1])).when(shape == 2, F.array(*shapes[2])).otherwise(F.array(*shapes[3]))
+    return lib.books.select(F.concat("id", F.lit(".epub")).alias("path"), F.posexplode(chosen).alias("document", "d")).select("path", "document", "d.name", "d.xhtml")
+
+
+@query("s04_epub", _EPUB_PAGES)
+def _(lib: Library) -> DataFrame:
+    """An archive is written for each book, and all are read again by the data source."""
+    path = folder(lib.spark, "epub")
+    books.write_epubs(_epubs(lib), path)
+    return _pages(books.epub_pages(lib.spark, path, ""))
+
+
+@query("s03_thml_ranges", """SELECT m.title AS file_title, CAST(x.p AS INT) AS depth, replace(x.t, '@', m.title) AS title, replace(x.o, '@', m.title) AS own FROM m_books m
+CROSS JOIN (VALUES (0, '@', ''), (1, 'Book I of @', '<p>a</p>'), (2, 'Chapter 1', '<p>b &lt; @</p>'), (1, 'Book II', '')) AS x(p, t, o)""")
 def _(lib: Library) -> DataFrame:
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("c1_Ethics_Book_I.xhtml", f"<html><body><p>Part 1</p>{_prose(40)}<p>Part 2</p>{_prose(40)}</body></html>")
-        z.writestr("c2_Ethics_Book_II.xhtml", f"<html><body><p>Part 1</p>{_prose(40)}</body></html>")
-    return _pages(books.epub_pages(lib.spark.createDataFrame([("Ethics.epub", bytearray(data.getvalue()))], "path string, content binary"), "Aristotle"))
+    """All volumes in a few large files, read in blocks: each div under its ancestors, with its own markup."""
+    pieces = ('<div1 title="', '"><div2 title="Book I of ', '"><p>a</p><div3 title="Chapter 1"><p>b &lt; ', '</p></div3></div2><div2 title="Book II"/></div1>')
+    path = folder(lib.spark, "volumes")
+    _files(lib, ".xml", "xml", *pieces).select("xml").write.text(path, lineSep=" ")
+    found = books.thml_file_divs(lib.spark, path)
+    up = found.select(F.col("path").alias("_path"), F.col("div").alias("_div"), F.col("title").alias("_title"), F.col("parent").alias("_parent"))
+    one = found.join(up, (F.col("path") == F.col("_path")) & (F.col("parent") == F.col("_div")), "left").select("path", "title", F.trim("own").alias("own"), "_title", "_parent")
+    two = up.select(F.col("_path").alias("p2"), F.col("_div").alias("d2"), F.col("_title").alias("t2"))
+    top = one.join(two, (F.col("path") == F.col("p2")) & (F.col("_parent") == F.col("d2")), "left")
+    depth = F.when(F.col("_title").isNull(), 0).when(F.col("t2").isNull(), 1).otherwise(2)
+    return top.select(F.coalesce("t2", "_title", "title").alias("file_title"), depth.cast("int").alias("depth"), "title", "own")
 
 
 @query(

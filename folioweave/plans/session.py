@@ -1,17 +1,33 @@
-"""What operators need of the session."""
+"""The session's shared folder: checkpoints, and tables that queries write and read again."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints: the session's own; a temporary one only on one machine where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not found and sc.master.split("[")[0] != "local":
+    """Checkpoints go to ``spark.checkpoint.dir``; a temporary folder only on one machine where it is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not found and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioweave-"))
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioweave-"))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one at every call; it goes when the Python process ends, as frames may read it until then."""
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: nothing is left to ask
+        pass

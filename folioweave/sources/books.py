@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import editions, thml, volumes
 from ..functions.volume_authors import VOLUME_AUTHORS
-from ..operators.editions import documents_of
 from ..operators.editions import pages as pages_of_editions
+from .archives import register
 
 SCAN = "map<string, array<struct<page: int, blocks: array<struct<label: string, html: string, reading_order: int, bbox: array<double>>>>>>"
 
@@ -55,6 +55,51 @@ def thml_divs(files: DataFrame) -> DataFrame:
     return files.select("path", "xml").mapInPandas(run, "path string, div int, parent int, level int, id string, title string, short_title string, kind string, own string")
 
 
+def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
+    """``thml_divs`` of files at a path, a large file by all tasks.
+
+    Files are read as rows that end with a tag (at ``>``), which Spark splits by bytes; a row starts with the text before its tag.
+    Depths and numbers of divs are sums over the rows before: within a block of a file, and of the blocks before it. A run is what
+    stands between two div tags; the div it belongs to is the last one opened at the depth there, looked up among the runs, which carry no text. A
+    closing tag without a div to close is passed over.
+    """
+    rows = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    tag = F.regexp_extract("value", r"(?s)<(/?div\d\b[^<>]*)\z", 1)
+    read = rows.withColumn("tag", tag).withColumn("text", F.when(F.col("tag") == "", F.concat("value", F.lit(">"))).otherwise(F.expr("left(value, length(value) - length(tag) - 1)")))
+    closes, alone = F.col("tag").startswith("/"), F.rtrim("tag").endswith("/")
+    step = F.when(F.col("tag") == "", 0).when(closes, -1).when(alone, 0).otherwise(1)
+    opened = ((F.col("tag") != "") & ~closes).cast("long")
+    within = Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = read.withColumn("step", step).withColumn("opened", opened).withColumn("s", F.sum("step").over(within)).withColumn("low", F.min("s").over(within))
+    local = local.withColumn("divs", F.sum("opened").over(within)).withColumn("run", F.sum((F.col("tag") != "").cast("long")).over(within))
+    # what the blocks before have: a row a block
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = local.groupBy("path", "block").agg(F.max_by("s", "seq").alias("all_s"), F.min("s").alias("all_low"), F.sum("opened").alias("all_divs"), F.max("run").alias("all_runs"))
+    blocks = blocks.withColumn("s0", F.coalesce(F.sum("all_s").over(before), F.lit(0)))
+    blocks = blocks.select("path", "block", "s0", F.coalesce(F.min(F.col("s0") + F.col("all_low")).over(before), F.lit(0)).alias("low0"), *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"{c}0") for c in ("divs", "runs")))
+    met = local.join(blocks, ["path", "block"])
+    total, low = F.col("s") + F.col("s0"), F.least(F.col("low0"), F.col("low") + F.col("s0"), F.lit(0))
+    met = met.select("path", "block", "seq", "text", "tag", "opened", (total - low).alias("depth"), (F.col("divs") + F.col("divs0") - 1).alias("div"), (F.col("run") + F.col("runs0")).alias("run"), closes.alias("closes"), alone.alias("alone"))
+    # a row's text belongs to the run before its tag
+    ahead = F.col("run") - (F.col("tag") != "").cast("long")
+    texts = met.where("text <> ''").groupBy("path", ahead.alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    tags = met.where("tag <> ''").select("path", "run", "tag", "opened", "alone", "div", F.when(F.col("alone"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.col("depth").alias("inside"))
+    own_run = F.when(F.col("alone") & (F.col("opened") == 1), F.col("inside")).otherwise(F.col("depth"))
+    # asks look for the last div opened at a depth, at most at their run
+    opens = tags.where("opened = 1 and not alone").select("path", F.col("depth").alias("at"), "run", F.lit(0).alias("asks"), "div")
+    parents = tags.where("opened = 1").select("path", (F.col("depth") - 1).alias("at"), (F.col("run") - 1).alias("run"), F.lit(1).alias("asks"), "div")
+    owners = tags.select("path", own_run.alias("at"), "run", F.lit(2).alias("asks"), F.lit(None).cast("long").alias("div"))
+    so_far = Window.partitionBy("path", "at").orderBy("run", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = opens.unionByName(parents).unionByName(owners).withColumn("last", F.last(F.when(F.col("asks") == 0, F.col("div")), ignorenulls=True).over(so_far))
+    parent = found.where("asks = 1").select("path", "div", F.coalesce("last", F.lit(-1)).alias("parent"))
+    owner = found.where("asks = 2 and at > 0 and last is not null").select("path", "run", F.col("last").alias("div"))
+    own = texts.join(owner, ["path", "run"]).groupBy("path", "div").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "").alias("own"))
+    value = lambda name: F.regexp_extract("tag", rf'\b{name}="([^"]*)"', 1)
+    named = tags.where("opened = 1").select("path", "div", F.regexp_extract("tag", r"div(\d)", 1).cast("int").alias("level"), value("id").alias("id"), value("title").alias("title"), value("shorttitle").alias("short_title"), value("type").alias("kind"))
+    out = named.join(parent, ["path", "div"]).join(own, ["path", "div"], "left")
+    return out.select("path", F.col("div").cast("int").alias("div"), F.col("parent").cast("int").alias("parent"), "level", "id", "title", "short_title", "kind", F.coalesce("own", F.lit("")).alias("own"))
+
+
 def thml_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
@@ -104,8 +149,16 @@ def bible_pages(files: DataFrame, book_id: str = "douay-rheims") -> DataFrame:
     return _books(files, "xml", lambda path, xml: [{"book_id": book_id, "title": "The Holy Bible", "author": "Bible", "pages": volumes.bible_pages(xml)}])
 
 
-def epub_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def epub_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, document, name, xhtml) of the EPUB archives at a path; filters on path and name reach the listing."""
+    register(spark)
+    return spark.read.format("epub").load(path)
+
+
+def write_epubs(documents: DataFrame, path: str) -> None:
+    """An archive for each path of (path, document, name, xhtml)."""
+    register(documents.sparkSession)
+    documents.select("path", "document", "name", "xhtml").repartition("path").sortWithinPartitions("path", "document").write.format("epub").mode("append").save(path)
 
 
 def edition_pages(documents: DataFrame, author: str, **reading) -> DataFrame:
@@ -117,9 +170,9 @@ def edition_pages(documents: DataFrame, author: str, **reading) -> DataFrame:
     return found.select("path", book_id.alias("book_id"), title.alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
 
-def epub_pages(files: DataFrame, author: str, **reading) -> DataFrame:
-    """Pages of EPUB files (path, content), a work each."""
-    return edition_pages(documents_of(files), author, **reading)
+def epub_pages(spark: SparkSession, path: str, author: str, **reading) -> DataFrame:
+    """Pages of the EPUB archives at a path, a work each."""
+    return edition_pages(epub_documents(spark, path), author, **reading)
 
 
 def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:

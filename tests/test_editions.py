@@ -200,7 +200,7 @@ def test_epub_files(spark, tmp_path):
         z.writestr("mimetype", "application/epub+zip")
         z.writestr("c1_Ethics_Book_I.xhtml", f"<html><body><p>Part 1</p>{words(40)}</body></html>")
     (tmp_path / "My_Ethics.epub").write_bytes(data.getvalue())
-    rows = books.epub_pages(books.epub_files(spark, str(tmp_path)), "Aristotle").collect()
+    rows = books.epub_pages(spark, str(tmp_path), "Aristotle").collect()
     assert [(r.book_id, r.page_number, r.printed, [(p.type, p.value) for p in r.parts]) for r in rows] == [("my-ethics", 1, "Book I, Chapter 1", [("book", 1), ("chapter", 1)])]
 
 
