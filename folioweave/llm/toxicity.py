@@ -152,7 +152,7 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label:
     return rows.select("toxic", F.pmod(order, F.lit(2)).cast("int").alias("half"), F.pmod(F.shiftright(order, 8), F.lit(4)).cast("int").alias("part"), "text")
 
 
-def lexicons(rows: DataFrame, most: int = LEXICON) -> list[dict[str, float]]:
+def lexicons(rows: DataFrame, work: Workspace, most: int = LEXICON) -> list[dict[str, float]]:
     """The lexicons of half 0, half 1 and both: at most ``most`` entries each, with their weights."""
     schema = pa.schema([("entry", pa.string()), ("half", pa.int32()), ("toxic", pa.int32()), ("texts", pa.int64()), ("times", pa.int64())])
 
@@ -174,6 +174,7 @@ def lexicons(rows: DataFrame, most: int = LEXICON) -> list[dict[str, float]]:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(texts.values(), pa.int64()), pa.array(times.values(), pa.int64())], schema=schema)
 
     found = rows.select("toxic", "half", "text").mapInArrow(run, "entry string, half int, toxic int, texts long, times long").groupBy("entry", "half", "toxic").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times"))
+    found = work.put("entries", found)
     each = found.select("entry", F.explode(F.array(F.col("half"), F.lit(2))).alias("of"), "toxic", "texts", "times")
     bad, good = F.col("toxic") == 1, F.col("toxic") == 0
     one = each.groupBy("entry", "of").agg(*(F.coalesce(F.sum(F.when(c, v)), F.lit(0)).alias(n) for c, v, n in ((bad, F.col("texts"), "in_bad"), (bad, F.col("times"), "bad"), (good, F.col("times"), "good"))))
@@ -216,7 +217,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     share = seen.get(1, 0) / max(1, sum(seen.values()))
     if not seen.get(0) or not seen.get(1):
         return Model({}, None, None, share)
-    first, second, both = lexicons(rows)
+    first, second, both = lexicons(rows, work)
     halves = measured(rows.where("half = 0"), second).unionByName(measured(rows.where("half = 1"), first))
     table = work.put("features", halves.select(F.col("toxic").cast("double").alias("label"), "part", "features")).coalesce(4)
     learnt, kept = table.where("part <> 0"), table.where("part = 0")
