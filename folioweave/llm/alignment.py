@@ -38,7 +38,7 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: So many pairs are broadcast, whatever the size of the corpus; about 20 MB.
 HOT = 1 << 18
 #: Texts of about this many bytes share their words.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 _CHUNK, _ROWS = 1 << 16, 20_000
 #: A fixed value: the expression that splits text before the merges of byte-level BPE.
 _BYTE_BPE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
