@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 #: White space as browsers and Unicode count it; Java's plain \\s leaves out the no-break kinds.
 SPACE = r"[\s\p{Z}\x{FEFF}]"
@@ -207,6 +208,73 @@ def same_title(cited: Column, other: Column) -> Column:
     return (F.size(c) > 0) & (F.size(o) > 0) & (ruled | close)
 
 
+#: Letters and digits from rare to common; any order does, this one tells most apart by the first few.
+_RARE = "zqjxkvwyfbghpm0123456789cdulrsontaie "
+#: So many of each character have a bit of their own; the rest are only counted.
+_EACH = 5
+_LIKE = 0.93
+#: By the characters that two texts begin with in common (3 standing for three or more): what m/a + m/b of their lengths and common characters has to be for ``_LIKE``.
+_NEEDED = {n: 3 * (_LIKE - 0.1 * most) / (1 - 0.1 * most) - 1 - 1e-9 for n, most in ((0, 0), (1, 1), (2, 2), (3, 4))}
+_LIKENESS = StructType([StructField("n", IntegerType()), StructField("bits", ArrayType(LongType())), StructField("more", IntegerType()), StructField("keys", ArrayType(StringType()))])
+
+
+def _likeness(s: str) -> tuple[int, list[int], int, list[str]]:
+    seen: dict[str, int] = {}
+    bits, more, all_ = 0, 0, []
+    for c in s:
+        seen[c] = nth = seen.get(c, 0) + 1
+        code = _RARE.find(c)
+        all_.append((code if code >= 0 else -1, c, nth))
+        if code < 0 or nth > _EACH:
+            more += 1
+        else:
+            bits |= 1 << (code * _EACH + nth - 1)
+    all_.sort()
+    keys = [f"3:{s[:3]}"] if len(s) > 2 else []
+    for begin in range(min(3, len(s) + 1)):
+        least = math.ceil((_NEEDED[begin] - 1) * len(s))
+        keys += [f"{begin}:{s[:begin]}:{c}{nth}" for _, c, nth in all_[: len(s) - least + 1]]
+    return len(s), [(bits >> (62 * i)) & ((1 << 62) - 1) for i in range(3)], more, keys
+
+
+@pandas_udf(_LIKENESS)
+def likeness(s: pd.Series) -> pd.DataFrame:
+    """Of each text its length, its characters as bits, the number of those without a bit, and keys: texts as near as ``_LIKE`` share a key.
+
+    The nearer their beginnings, the fewer characters two texts need in common. Of m common ones of n, one is
+    among the first n - m + 1 in any order of all; m is at least what ``_NEEDED`` asks of a text's own length.
+    """
+    return pd.DataFrame([_likeness(x or "") for x in s], columns=["n", "bits", "more", "keys"])
+
+
+def may_be_similar(key: Column, a: Column, b: Column) -> Column:
+    """Whether two ``likeness`` rows that share a key can be as near as ``_LIKE``: bits in common bound their common characters."""
+    common = F.least(a["more"], b["more"])
+    for i in range(3):
+        common = common + F.bit_count(F.get(a["bits"], F.lit(i)).bitwiseAND(F.get(b["bits"], F.lit(i))))
+    needed = F.lit(None)
+    for n, least in _NEEDED.items():
+        needed = F.coalesce(needed, F.when(F.substring(key, 1, 2) == f"{n}:", F.lit(least)))
+    return common / a["n"] + common / b["n"] >= needed
+
+
+def title_keys(forms: Column, cited: bool) -> Column:
+    """What a title (``title_forms``) is found by, but for likeness: titles that the rules of ``same_title`` take for one share a key.
+
+    A cited title is looked for as a whole among beginnings and runs of words of others, and by its beginnings among their main titles.
+    """
+    words, main = forms["words"], forms["main"]
+    keys = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(f"{kind} "), F.array_join(x, " ")))
+    upto = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), lambda n: F.slice(c, F.lit(1), n))
+    if cited:
+        return F.array_distinct(F.concat(keys("words", F.array(words)), keys("main", F.array(main)), keys("begins", upto(words))))
+    n = F.size(main)
+    # runs of at least three words and six tenths of the main title
+    sizes = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda z: (z >= 3) & (z >= 0.6 * n))
+    inner = F.flatten(F.transform(sizes, lambda z: F.transform(F.sequence(F.lit(1), n - z + 1), lambda i: F.slice(main, i, z))))
+    return F.array_distinct(F.concat(keys("words", F.concat(upto(words), inner)), keys("main", F.array(main)), keys("begins", F.array(main))))
+
+
 def decoded(html: Column) -> Column:
     """Character references in one pass, so that none is read twice."""
     pieces = F.split(html, r"(?=&(?:amp|lt|gt|quot|nbsp|#x27|#39);)|(?<=&(?:amp|lt|gt|quot|nbsp|#x27|#39);)")

@@ -80,6 +80,33 @@ def cited_counts(pages: DataFrame, places: DataFrame, groups: DataFrame, of: Dat
     return cites.groupBy("book_id", "page_number").agg(F.countDistinct("citation_id").alias("n"))
 
 
+def page_citations(pages: DataFrame, places: DataFrame, groups: DataFrame, of: DataFrame) -> DataFrame:
+    """(book_id, page_number, citation_id, n): in how many ways each citation cites a page; what counts are kept by."""
+    cites = prefix_matches(places, groups, of).unionByName(number_matches(pages, groups, of))
+    return cites.groupBy("book_id", "page_number", "citation_id").agg(F.count("*").alias("n"))
+
+
+def changed(stored: DataFrame, counts: DataFrame, gone: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``page_citations`` and ``cited_counts`` after a change, without a recount.
+
+    gone, new: ``page_citations`` of the citations that no longer count and of those that do now, by the old places and by the
+    new. Only pages with a change are looked up; a page's count moves by the citations that appear there or leave.
+    """
+    keys = ["book_id", "page_number", "citation_id"]
+    signed = new.unionByName(gone.withColumn("n", -F.col("n"))).groupBy(*keys).agg(F.sum("n").alias("by")).where("by <> 0")
+    before = stored.withColumnRenamed("n", "was")
+    met = signed.join(before, keys, "left").withColumn("was", F.coalesce("was", F.lit(0))).withColumn("is", F.col("was") + F.col("by"))
+    kept = stored.join(signed.select(*keys), keys, "left_anti").unionByName(met.where(F.col("is") > 0).select(*keys, F.col("is").alias("n")))
+    moved = met.select("book_id", "page_number", ((F.col("is") > 0).cast("long") - (F.col("was") > 0).cast("long")).alias("by")).groupBy("book_id", "page_number").agg(F.sum("by").alias("by")).where("by <> 0")
+    after = counts.join(moved, ["book_id", "page_number"], "full").select("book_id", "page_number", (F.coalesce("n", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("n"))
+    return kept, after.where("n > 0")
+
+
+def count_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of two ``counted`` (book_id, citation_id): what no longer counts and what does now; a withheld source takes its citations along."""
+    return old.exceptAll(new), new.exceptAll(old)
+
+
 def citations_of_pages(pages: DataFrame, places: DataFrame, groups: DataFrame, citations: DataFrame, aliases: DataFrame, checks: DataFrame) -> DataFrame:
     """(book_id, page_number, citation columns): the citations that a page lists.
 

@@ -90,37 +90,62 @@ def contents(places: DataFrame, pages: DataFrame, names: DataFrame | None = None
 
 
 def place_on_page(asked: DataFrame, places: DataFrame) -> DataFrame:
-    """(asked columns, snapped) of (book_id, place): the place if a row's parts begin it, else the first row under it, else null."""
-    keyed = asked.withColumn("_n", F.xxhash64("book_id", "place"))
-    rows = places.select(F.col("book_id").alias("_b"), F.struct("page_number", "id").alias("_at"), "parts")
-    met = keyed.join(rows, (F.col("book_id") == F.col("_b")) & (F.get("place", F.lit(0)) == F.get("parts", F.lit(0))))
-    on = F.slice("place", F.lit(1), F.size("parts")) == F.col("parts")
-    under = F.slice("parts", F.lit(1), F.size("place")) == F.col("place")
-    best = met.groupBy("_n").agg(F.bool_or(on).alias("_on"), F.min_by(F.when(under, F.col("parts")), F.when(under, F.col("_at"))).alias("_under"))
-    return keyed.join(best, "_n", "left").select(*asked.columns, F.when(F.col("_on"), F.col("place")).otherwise(F.col("_under")).alias("snapped"))
+    """(asked columns, snapped) of (book_id, place): the place if a row's parts begin it, else the first row under it, else null.
+
+    Both sides meet on whole paths: the beginnings of a place on the parts of rows, a place on the beginnings of rows.
+    """
+    beginnings = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.slice(c, F.lit(1), n))
+    wanted = asked.select(F.col("book_id").alias("_b"), F.col("place").alias("_place")).where("size(place) > 0").distinct()
+    known = places.select(F.col("book_id").alias("_pb"), F.col("parts").alias("_parts")).where("size(parts) > 0")
+    on = wanted.select("_b", "_place", F.explode(beginnings(F.col("_place"))).alias("_up")).join(known.distinct(), (F.col("_b") == F.col("_pb")) & (F.col("_up") == F.col("_parts")), "left_semi")
+    on = on.select("_b", "_place").distinct().withColumn("_on", F.lit(True))
+    rows = places.select(F.col("book_id").alias("_b"), F.struct("page_number", "id").alias("_at"), "parts", F.explode(beginnings(F.col("parts"))).alias("_place"))
+    under = rows.groupBy("_b", "_place").agg(F.min_by("parts", "_at").alias("_under"))
+    met = asked
+    for side in (on, under):
+        named = side.withColumnsRenamed({"_b": "_book", "_place": "_path"})
+        met = met.join(named, (F.col("book_id") == F.col("_book")) & (F.col("place") == F.col("_path")), "left").drop("_book", "_path")
+    return met.select(*asked.columns, F.when(F.col("_on"), F.col("place")).otherwise(F.col("_under")).alias("snapped"))
 
 
 def path_to_page(entries: DataFrame, asked: DataFrame) -> DataFrame:
     """(book_id, page, path): the deepest entry reached by taking at each level the last one that starts at or before the page.
 
-    Levels are walked one after the other, an as-of choice each; as deep as places go.
+    Levels are walked one after the other, as deep as entries go, over entries that are made once (a checkpoint). At each, entries and pages are one stream in page order, and a page takes
+    the furthest entry so far: no page meets an entry that it does not take.
     """
     at = asked.select("book_id", "page", F.expr("cast(array() as array<struct<type: string, value: int>>)").alias("path"))
-    done = None
-    for depth in range(1, 9):
-        level = entries.where(F.col("depth") == depth).select(F.col("book_id").alias("_b"), F.col("path").alias("_path"), F.slice("path", F.lit(1), F.lit(depth - 1)).alias("_up"), "page_number", "reached")
-        met = at.join(level, (F.col("book_id") == F.col("_b")) & (F.col("path") == F.col("_up")) & (F.col("page_number") <= F.col("page")), "left")
-        next_ = met.groupBy("book_id", "page", "path").agg(F.max_by("_path", "reached").alias("_path"))
-        stopped = next_.where("_path is null").select("book_id", "page", "path")
-        done = stopped if done is None else done.unionByName(stopped)
-        at = next_.where("_path is not null").select("book_id", "page", F.col("_path").alias("path"))
-    return done.unionByName(at)
+    entries = entries.select("book_id", "path", "depth", "page_number", "reached").checkpoint()
+    done = at.limit(0)
+    for depth in range(1, 1 + (entries.agg(F.max("depth")).first()[0] or 0)):
+        level = entries.where(F.col("depth") == depth).select("book_id", F.slice("path", F.lit(1), F.lit(depth - 1)).alias("path"), F.col("page_number").alias("page"), F.struct("reached", F.col("path").alias("to")).alias("entry"))
+        so_far = Window.partitionBy("book_id", "path").orderBy("page", F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        merged = level.unionByName(at.withColumn("entry", F.lit(None)), allowMissingColumns=True)
+        next_ = merged.withColumn("last", F.max("entry").over(so_far)["to"]).where("entry is null").select("book_id", "page", "path", "last")
+        done = done.unionByName(next_.where("last is null").select("book_id", "page", "path"))
+        at = next_.where("last is not null").select("book_id", "page", F.col("last").alias("path"))
+    return done.unionByName(at).distinct()
+
+
+#: Blocks of 2 to the ``l`` pages that make up the pages from ``low`` to ``high``: at most two of each size.
+_BLOCKS = """flatten(transform(sequence(0, 31), l -> transform(filter(array(
+    struct(ceil(low / shiftleft(1L, l)) AS n, ceil(low / shiftleft(1L, l)) % 2 = 1 AS takes), struct(floor((high + 1) / shiftleft(1L, l)) - 1 AS n, floor((high + 1) / shiftleft(1L, l)) % 2 = 1 AS takes)),
+  b -> b.takes AND ceil(low / shiftleft(1L, l)) < floor((high + 1) / shiftleft(1L, l))), b -> struct(l AS size, b.n AS n))))"""
 
 
 def page_volumes(pages: DataFrame, vols: DataFrame) -> DataFrame:
-    """(book_id, page_number, volume): the last volume whose first to last page takes the page in."""
-    span = vols.groupBy("book_id", "volume").agg(F.min("page_number").alias("low"), F.max("page_number").alias("high"))
-    met = pages.join(span, "book_id").where(F.col("page_number").between(F.col("low"), F.col("high")))
+    """(book_id, page_number, volume): the last volume whose first to last page takes the page in.
+
+    Spans are cut into aligned blocks, twice the logarithm of their length at most; a page is in one block of each
+    size, so that pages and spans meet by equality.
+    """
+    span = vols.groupBy("book_id", "volume").agg(F.min("page_number").cast("long").alias("low"), F.max("page_number").cast("long").alias("high"))
+    blocks = span.select("book_id", "volume", F.explode(F.expr(_BLOCKS)).alias("b")).select(F.col("book_id").alias("_b"), "b.size", "b.n", "volume")
+    last = blocks.groupBy("_b", "size", "n").agg(F.max("volume").alias("volume"))
+    used = blocks.groupBy("_b").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    asked = pages.select("book_id", "page_number").distinct().join(used, F.col("book_id") == F.col("_b")).select("book_id", "page_number", F.explode("sizes").alias("_size"))
+    asked = asked.withColumn("_n", F.expr("shiftright(cast(page_number as bigint), _size)"))
+    met = asked.join(last, (F.col("book_id") == F.col("_b")) & (F.col("_size") == F.col("size")) & (F.col("_n") == F.col("n")))
     return met.groupBy("book_id", "page_number").agg(F.max("volume").alias("volume"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .numbering import numbered
 
 
 def same_books(pairs: DataFrame) -> DataFrame:
@@ -18,22 +19,39 @@ def same_books(pairs: DataFrame) -> DataFrame:
 def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
     """(author, title, id): works that different (author, title) pairs may mean.
 
-    A work's author has one of the key names of the cited one: pairs are joined on those tokens, which loses none,
-    and titles are compared in the pairs that meet. Works of the same author and title (editions, copies) are
-    compared once.
+    A work's author has one of the key names of the cited one, and titles that are the same share a key (``title_keys``): pairs
+    meet on both, so that a name with many works is as many keys. Works of the same author and title (editions, copies) are
+    compared once, and the similarity of titles is computed only where their letters allow it.
     """
     asked = F.when(X.cited_title(F.col("title")) != "", X.cited_title(F.col("title"))).otherwise(F.col("title"))
     pairs = cited.select("author", "title").distinct().select("author", "title", X.key_names(F.col("author")).alias("names"), X.title_forms(asked).alias("forms"))
     known = works.select(F.col("author").alias("w_author"), F.col("title").alias("w_title")).distinct()
     known = known.select("w_author", "w_title", X.surnames(F.col("w_author")).alias("names"), X.title_forms(F.col("w_title")).alias("w_forms"))
-    keys = pairs.select("author", "title", "forms", F.explode(F.array_distinct("names")).alias("token"))
-    names = known.select("w_author", "w_title", "w_forms", F.explode(F.array_distinct("names")).alias("token"))
-    met = keys.join(names, "token").dropDuplicates(["author", "title", "w_author", "w_title"])
+    met = candidate_titles(pairs, known)
     same = met.where(X.same_title(F.col("forms"), F.col("w_forms"))).select("author", "title", "w_author", "w_title")
     ids = works.select("id", F.col("author").alias("w_author"), F.col("title").alias("w_title"))
     return same.join(ids, ["w_author", "w_title"]).select("author", "title", "id")
 
 
+def candidate_titles(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(author, title, forms, w_author, w_title, w_forms): all pairs that share a name and may be the same title, once each.
+
+    pairs: (author, title, names, forms); known: (w_author, w_title, names, w_forms).
+    """
+    asked = pairs.where("size(forms.words) > 0").select("author", "title", "forms", F.array_join("forms.words", " ").alias("text"), F.explode(F.array_distinct("names")).alias("token"))
+    works = known.where("size(w_forms.words) > 0").select("w_author", "w_title", "w_forms", F.array_join("w_forms.words", " ").alias("text"), F.explode(F.array_distinct("names")).alias("token"))
+    ruled = asked.withColumn("key", F.explode(X.title_keys(F.col("forms"), True))).join(works.withColumn("key", F.explode(X.title_keys(F.col("w_forms"), False))).drop("text"), ["token", "key"])
+    near = asked.where(F.length("text") >= 12).withColumn("a", X.likeness("text")).withColumn("key", F.explode("a.keys")).withColumn("a", F.struct("a.n", "a.bits", "a.more"))
+    others = works.withColumn("b", X.likeness("text")).withColumn("key", F.explode("b.keys")).withColumn("b", F.struct("b.n", "b.bits", "b.more"))
+    short = lambda df, *kept: df.select("token", F.col("key"), *kept)
+    left, right = short(near, "author", "title", "a"), short(others, "w_author", "w_title", "b")
+    met = left.join(right.withColumnsRenamed({"token": "_token", "key": "_key"}), (F.col("token") == F.col("_token")) & (F.col("key") == F.col("_key")) & X.may_be_similar(F.col("key"), F.col("a"), F.col("b")))
+    alike = met.select("author", "title", "w_author", "w_title").distinct()
+    alike = alike.join(pairs.select("author", "title", "forms"), ["author", "title"]).join(known.select("w_author", "w_title", "w_forms"), ["w_author", "w_title"])
+    columns = ("author", "title", "forms", "w_author", "w_title", "w_forms")
+    return ruled.select(*columns).unionByName(alike.select(*columns)).dropDuplicates(["author", "title", "w_author", "w_title"])
+
+
 def match_cited_books(citations: DataFrame, books: DataFrame, queued: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(citation_id, book_id) of citations that cite a book, and the citations to look for.
 
@@ -125,9 +143,5 @@ def find_or_create_authors(wanted: DataFrame, names: DataFrame, authors: DataFra
     met = asked.join(known, "k", "left")
     top = authors.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     fresh = met.where("author_id is null").select("k", "name")
-    ranged = fresh.repartitionByRange("k").sortWithinPartitions("k").withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("k")))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select(F.col("_p").alias("_q"), "_o")
-    numbered = local.join(before, F.col("_p") == F.col("_q")).select("name", (top + F.col("_o") + F.col("_n")).cast("long").alias("author_id"), F.lit(True).alias("created"))
-    return met.where("author_id is not null").select("name", "author_id", F.lit(False).alias("created")).unionByName(numbered)
+    made = numbered(fresh, ["k"], name="_id").select("name", (top + F.col("_id")).cast("long").alias("author_id"), F.lit(True).alias("created"))
+    return met.where("author_id is not null").select("name", "author_id", F.lit(False).alias("created")).unionByName(made)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def inserted(df: DataFrame, path: str) -> None:
     """Rows added to a table."""
@@ -49,11 +51,7 @@ def appended(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     Rows are numbered within range partitions and lifted by the sizes of those before, so nothing is sorted in one place.
     """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select(F.col("_p").alias("_q"), "_o")
-    new = local.join(before, F.col("_p") == F.col("_q")).withColumn("id", (top + F.col("_o") + F.col("_n")).cast("long"))
+    new = numbered(rows, order, name="_id").withColumn("id", (top + F.col("_id")).cast("long"))
     return table.unionByName(new.select(*table.columns))
 
 

@@ -10,7 +10,7 @@ from ..schema import PARTS_SQL
 from .model import Library
 from .registry import query
 from .relational import _CITES, _COUNTED, _HIDDEN, aliases
-from .session import folder
+from .session import folder, tables
 
 _VOLUMES = """f AS (SELECT book_id, page_number, id, part1_type AS t, part1_value AS v FROM m_places),
 num AS (SELECT book_id, t, v, row_number() OVER (PARTITION BY book_id ORDER BY pg, i) AS volume FROM (SELECT book_id, t, v, page_number AS pg, id AS i, row_number() OVER (PARTITION BY book_id, t, v ORDER BY page_number, id) AS k FROM f) AS x WHERE k = 1),
@@ -248,7 +248,7 @@ SELECT id, root, CAST((row_number() OVER (PARTITION BY root ORDER BY id) - 1) //
 )
 def _(lib: Library) -> DataFrame:
     words = lib.insights.select("id", F.col("keyword1").alias("keyword")).union(lib.insights.select("id", "keyword2"))
-    return insights.consolidation_groups(lib.insights, words)
+    return insights.consolidation_groups(lib.insights, words, tables(lib.spark, "insight-groups"))
 
 
 @query("a16_consolidation_check", "SELECT id FROM m_insights WHERE id % 3 <> 0")

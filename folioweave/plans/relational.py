@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import citing, filters
+from ..operators import citing, filters, numbering
 from ..schema import COPYRIGHT_STATUSES, QUEUE_STATUSES
 from .model import Library
 from .registry import query
+from .session import folder, tables
 
 _HIDDEN = "SELECT book_id FROM (SELECT book_id, status, row_number() OVER (PARTITION BY book_id ORDER BY created_at DESC, id DESC) AS rn FROM m_checks) AS x WHERE rn = 1 AND status = 'likely_copyrighted'"
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY created_at DESC, id DESC) AS rn FROM m_checks) AS x WHERE rn = 1"
@@ -296,6 +297,27 @@ def cited_counts(lib: Library) -> DataFrame:
     return citing.cited_counts(lib.pages, lib.places, lib.groups, citing.counted(lib.citations, aliases(lib), lib.checks))
 
 
+@query("a04_kept_counts", f"WITH {_COUNTED.replace('FROM m_citations c JOIN', 'FROM (SELECT * FROM m_citations WHERE id % 5 <> 0) c JOIN')}, {_CITES} SELECT book_id, page_number, CAST(count(DISTINCT citation_id) AS BIGINT) AS n FROM cites GROUP BY book_id, page_number")
+def _(lib: Library) -> DataFrame:
+    """Stored counts follow a change: some citations go, others come, and later checks withhold or show sources; SQL counts anew."""
+    a, table = aliases(lib), tables(lib.spark, "counts")
+    before = table(citing.counted(lib.citations.where("id % 7 <> 3"), a, lib.checks.where("id % 10 <> 0")))
+    after = table(citing.counted(lib.citations.where("id % 5 <> 0"), a, lib.checks))
+    stored = table(citing.page_citations(lib.pages, lib.places, lib.groups, before))
+    counts = stored.groupBy("book_id", "page_number").agg(F.count("*").alias("n"))
+    gone, new = (citing.page_citations(lib.pages, lib.places, lib.groups, of) for of in citing.count_changes(before, after))
+    return citing.changed(stored, counts, gone, new)[1]
+
+
+@query("o01_deep_page", "SELECT id, title FROM m_citations ORDER BY title, id LIMIT 20 OFFSET (SELECT count(*) // 2 FROM m_citations)")
+def _(lib: Library) -> DataFrame:
+    """A page from the middle of all citations: one range of the stored order is read and sorted."""
+    path = folder(lib.spark, "ordered")
+    numbering.stored_in_order(lib.citations.select("id", "title"), ["title", "id"], path)
+    stored = lib.spark.read.parquet(path)
+    return numbering.page_of(stored, ["title", "id"], stored.count() // 2, 20)
+
+
 @query("a05_locations", """WITH f AS (SELECT *, min(id) OVER (PARTITION BY citation_id, raw) AS first_id FROM m_groups),
 e AS (SELECT citation_id, first_id, id, 0 AS n, part1_type AS t, part1_value AS v FROM f UNION ALL SELECT citation_id, first_id, id, 1, part2_type, part2_value FROM f WHERE part2_type IS NOT NULL UNION ALL SELECT citation_id, first_id, id, 2, part3_type, part3_value FROM f WHERE part3_type IS NOT NULL)
 SELECT citation_id, string_agg(t || ' ' || CAST(v AS VARCHAR), ', ' ORDER BY first_id, n, id) AS locations FROM e GROUP BY citation_id""")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -25,6 +27,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tables(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a frame as a table of its own and reads it again, which cuts its lineage."""
+    root, numbers = folder(spark, name), count()
+
+    def table(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(numbers)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,8 +4,8 @@
     spark.read.format("epub").load(folder)           # (path, document, name, xhtml), documents in the order of the archive
     documents.write.format("epub").save(folder)      # an archive for each path
 
-Archives are listed on the driver by their tables of contents alone; a partition is some documents of one archive, so that a large
-archive is read by several tasks and none holds a whole one. Equality filters on ``path`` and ``name`` are applied to the
+Archives are listed on the driver by their tables of contents alone; a partition is documents of a bounded size together: small
+archives share one, and a large one is read by several tasks. Equality filters on ``path`` and ``name`` are applied to the
 listing, before any document is read. Files are found and opened through ``pyarrow.fs``, which has local, HDFS and object stores.
 
 Defined results: members that are no (X)HTML are passed over; bytes that are no UTF-8 are replaced; an empty archive or folder has no
@@ -29,6 +29,8 @@ SCHEMA = "path string, document int, name string, xhtml string"
 _DOCUMENT = re.compile(r"\.x?html?$")
 #: A partition has about this many bytes of documents.
 PARTITION_BYTES = 16 << 20
+#: Opening an archive counts as so many bytes more.
+OPENING_BYTES = 64 << 10
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,14 +40,13 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Documents(InputPartition):
-    """Some documents of one archive: (position, name) of each."""
+    """Some documents of some archives: of each archive the (position, name) of its documents."""
 
-    path: str
-    members: list[tuple[int, str]]
+    archives: dict[str, list[tuple[int, str]]]
 
-    def __init__(self, path: str, members: list[tuple[int, str]]):
+    def __init__(self, archives: dict[str, list[tuple[int, str]]]):
         super().__init__(0)
-        self.path, self.members = path, members
+        self.archives = archives
 
 
 class EpubReader(DataSourceReader):
@@ -66,6 +67,7 @@ class EpubReader(DataSourceReader):
         about = store.get_file_info(root)
         found = [about] if about.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         out: list[Documents] = []
+        size, some = 0, {}
         for file in sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(".epub")), key=lambda f: f.path):
             if self.wanted.get("path", posixpath.basename(file.path)) != posixpath.basename(file.path):
                 continue
@@ -74,25 +76,24 @@ class EpubReader(DataSourceReader):
                     members = [m for m in archive.infolist() if _DOCUMENT.search(m.filename)]
             except zipfile.BadZipFile as e:
                 raise ValueError(f"{file.path} is no archive") from e
-            size, some = 0, []
+            size += OPENING_BYTES
             for i, m in enumerate(members):
                 if self.wanted.get("name", m.filename) == m.filename:
-                    some.append((i, m.filename))
+                    some.setdefault(file.path, []).append((i, m.filename))
                     size += m.file_size
                 if some and size >= self.size:
-                    out.append(Documents(file.path, some))
-                    size, some = 0, []
-            if some:
-                out.append(Documents(file.path, some))
-        return out
+                    out.append(Documents(some))
+                    size, some = 0, {}
+        return [*out, *([Documents(some)] if some else [])]
 
     def read(self, partition: Documents) -> Iterator[tuple]:
         if not isinstance(partition, Documents):  # Spark reads an empty listing as one partition of nothing
             return
         store, _ = _opened(self.root)
-        with store.open_input_file(partition.path) as raw, zipfile.ZipFile(raw) as archive:
-            for i, name in partition.members:
-                yield posixpath.basename(partition.path), i, name, archive.read(name).decode("utf-8", "replace")
+        for path, members in partition.archives.items():
+            with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
+                for i, name in members:
+                    yield posixpath.basename(path), i, name, archive.read(name).decode("utf-8", "replace")
 
 
 @dataclass

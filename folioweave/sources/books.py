@@ -76,13 +76,13 @@ def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = local.groupBy("path", "block").agg(F.max_by("s", "seq").alias("all_s"), F.min("s").alias("all_low"), F.sum("opened").alias("all_divs"), F.max("run").alias("all_runs"))
     blocks = blocks.withColumn("s0", F.coalesce(F.sum("all_s").over(before), F.lit(0)))
-    blocks = blocks.select("path", "block", "s0", F.coalesce(F.min(F.col("s0") + F.col("all_low")).over(before), F.lit(0)).alias("low0"), *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"{c}0") for c in ("divs", "runs")))
+    blocks = blocks.select("path", "block", "s0", F.coalesce(F.min(F.col("s0") + F.col("all_low")).over(before), F.lit(0)).alias("low0"), *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"{c}0") for c in ("divs", "runs")), F.sum("all_runs").over(Window.partitionBy("path")).alias("tags"))
     met = local.join(blocks, ["path", "block"])
     total, low = F.col("s") + F.col("s0"), F.least(F.col("low0"), F.col("low") + F.col("s0"), F.lit(0))
-    met = met.select("path", "block", "seq", "text", "tag", "opened", (total - low).alias("depth"), (F.col("divs") + F.col("divs0") - 1).alias("div"), (F.col("run") + F.col("runs0")).alias("run"), closes.alias("closes"), alone.alias("alone"))
-    # a row's text belongs to the run before its tag
+    met = met.select("path", "block", "seq", "text", "tag", "opened", (total - low).alias("depth"), (F.col("divs") + F.col("divs0") - 1).alias("div"), (F.col("run") + F.col("runs0")).alias("run"), "tags", closes.alias("closes"), alone.alias("alone"))
+    # a row's text belongs to the run before its tag; what comes behind the last tag is in no div that ends
     ahead = F.col("run") - (F.col("tag") != "").cast("long")
-    texts = met.where("text <> ''").groupBy("path", ahead.alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    texts = met.where("text <> ''").where(ahead < F.col("tags")).groupBy("path", ahead.alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "").alias("text"))
     tags = met.where("tag <> ''").select("path", "run", "tag", "opened", "alone", "div", F.when(F.col("alone"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.col("depth").alias("inside"))
     own_run = F.when(F.col("alone") & (F.col("opened") == 1), F.col("inside")).otherwise(F.col("depth"))
     # asks look for the last div opened at a depth, at most at their run

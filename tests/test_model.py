@@ -171,13 +171,13 @@ def test_insight_groups(spark):
     rows = [(1, ["a", "b"]), (2, ["B "]), (3, ["c"]), (4, []), (5, ["d", "c"]), (6, [])]
     df = spark.createDataFrame(rows, "id long, keywords array<string>")
     words = df.select("id", F.explode("keywords").alias("keyword"))
-    got = {r.id: r.root for r in insights.consolidation_groups(df.select("id"), words).collect()}
+    got = {r.id: r.root for r in insights.consolidation_groups(df.select("id"), words, tables(spark, "t")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 5: 3, 4: None, 6: None}
     common = spark.createDataFrame([(i, "x") for i in range(40)], "id long, keyword string")
-    alone = insights.consolidation_groups(common.select("id"), common).collect()
+    alone = insights.consolidation_groups(common.select("id"), common, tables(spark, "t")).collect()
     assert {r.id: r.root for r in alone} == {i: i for i in range(40)}
     chain = spark.createDataFrame([(i, f"k{j}") for i in range(1, 65) for j in (i, i + 1)], "id long, keyword string")
-    out = insights.consolidation_groups(chain.select("id").distinct(), chain).collect()
+    out = insights.consolidation_groups(chain.select("id").distinct(), chain, tables(spark, "t")).collect()
     assert {r.root for r in out} == {1} and max(r.chunk for r in out) == 2
     cleaned = insights.clean_keywords(spark.createDataFrame([(1, [" Sent. ", "sent.", "ab", "P.  L."]), (2, [])], "id long, keywords array<string>"))
     assert {r.id: r.keywords for r in cleaned.collect()} == {1: ["Sent.", "P. L."], 2: []}
