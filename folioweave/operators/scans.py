@@ -183,56 +183,44 @@ def placed_citations(citations: DataFrame, page_blocks: DataFrame) -> DataFrame:
     return citations.join(first, "id", "left")
 
 
-_PARAGRAPH_MARK = re.compile(r"^\s*<p>\s*(?:<sup>\s*([^<]+?)\s*</sup>|(\d{1,3}\)?|[*†‡])\s)", re.I)
+_PARAGRAPH_MARK = r"(?i)^\s*<p>\s*(?:<sup>\s*([^<]+?)\s*</sup>|(\d{1,3}\)?|[*†‡])\s)"
+_NOT_SHOWN = ("PageHeader", "PageFooter", "Footnote")
 
 
-def _mark(paragraph: str) -> str | None:
-    m = _PARAGRAPH_MARK.match(paragraph)
-    return re.sub(r"[).]+$", "", (m[1] or m[2]).strip()) if m else None
+def note_paragraphs(page_blocks: DataFrame) -> DataFrame:
+    """(book_id, page_number, block, at, mark, note): the paragraphs of a page's footnotes in order; ``note`` counts the marked ones so far."""
+    each = F.filter(F.split("html", r"(?i)(?=<p[\s>])"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+    notes = page_blocks.where("label = 'Footnote'").select("book_id", "page_number", "position", F.col("id").alias("block"), F.posexplode(each).alias("nth", "paragraph"))
+    written = F.coalesce(F.nullif(F.regexp_extract("paragraph", _PARAGRAPH_MARK, 1), F.lit("")), F.regexp_extract("paragraph", _PARAGRAPH_MARK, 2))
+    marked = notes.withColumn("mark", F.when(F.col("paragraph").rlike(_PARAGRAPH_MARK), _bare_mark(written))).withColumn("at", F.struct("position", "nth"))
+    return marked.withColumn("note", F.count("mark").over(Window.partitionBy("book_id", "page_number").orderBy("at")))
 
 
-def _paragraphs(notes: list[tuple[int, str]]) -> Iterator[tuple[int, str, str | None]]:
-    for key, html in notes:
-        for p in re.split(r"(?=<p[\s>])", html, flags=re.I):
-            if p.strip():
-                yield key, p, _mark(p)
-
-
-def source_page_html(page: list[tuple[int, str, str]], block: int, footnote: str) -> str:
-    """A page's blocks (id, label, html) as a reader of one citation sees them: of the footnotes its own alone.
-
-    The footnote starts at the paragraph with its mark in the citation's block (without a mark, at the block's
-    first paragraph, if that has none) and runs on through unmarked ones; else the whole block is shown.
-    """
-    notes = list(_paragraphs([(k, h) for k, label, h in page if label == "Footnote"]))
-    wanted = re.sub(r"[).]+$", "", footnote.strip())
-    start = next((i for i, (k, _, m) in enumerate(notes) if k == block and (not wanted or m == wanted)), None)
-    if start is not None and not wanted and notes[start][2] is not None:
-        start = None
-    shown: dict[int, str] = {}
-    if start is None:
-        shown = {k: h for k, label, h in page if label == "Footnote" and k == block}
-    else:
-        for i in range(start, len(notes)):
-            k, p, m = notes[i]
-            if i > start and m is not None:
-                break
-            shown[k] = shown.get(k, "") + p
-    kept = [(k, label, h) for k, label, h in page if label not in ("PageHeader", "PageFooter") and (label != "Footnote" or k in shown)]
-    return "\n".join(shown[k].strip() if label == "Footnote" else h for k, label, h in kept)
+def _bare_mark(mark: Column) -> Column:
+    return F.regexp_replace(F.trim(F.coalesce(mark, F.lit(""))), r"[).]+$", "")
 
 
 def source_pages(citations: DataFrame, page_blocks: DataFrame) -> DataFrame:
-    """(id, html) of citations (id, block_id, book_id, page_number, footnote): the page of each with its own footnote."""
-    ordered = page_blocks.groupBy("book_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("position", F.col("id").alias("block"), "label", "html"))).alias("blocks"))
-    joined = citations.select("id", "block_id", "book_id", "page_number", "footnote").join(ordered, ["book_id", "page_number"]).select("id", "block_id", "footnote", "blocks")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            html = [source_page_html([(b["block"], b["label"], b["html"]) for b in blocks], block, mark or "") for block, mark, blocks in zip(f.block_id, f.footnote, f.blocks, strict=True)]
-            yield pd.DataFrame({"id": f.id, "html": html})
+    """(id, html) of citations (id, block_id, book_id, page_number, footnote): the page of each, with no footnote but its own.
 
-    return joined.mapInPandas(run, "id long, html string")
+    The paragraphs of a page's footnotes fall into runs, each a marked one and the unmarked ones after it, over blocks too. A citation
+    shows the run that its mark opens in its block; without a mark, the rest of the run that goes on into the block; where there is neither,
+    the block as it is. Heads and feet are left out; a page of which nothing is shown is empty, and one without blocks gives no row.
+    """
+    page = ["book_id", "page_number"]
+    paragraphs = note_paragraphs(page_blocks)
+    asked = citations.select("id", "block_id", *page, _bare_mark(F.col("footnote")).alias("wanted"))
+    opens = F.when(F.col("wanted") == "", (F.col("nth") == 0) & F.col("mark").isNull()).otherwise(F.col("mark") == F.col("wanted"))
+    begun = asked.join(paragraphs, page).where(F.col("block") == F.col("block_id")).where(opens).groupBy("id", *page).agg(F.min(F.struct("at", "note")).alias("start"))
+    run = begun.join(paragraphs, page).where((F.col("note") == F.col("start.note")) & (F.col("at") >= F.col("start.at")))
+    own = run.groupBy("id", "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "paragraph"))), lambda x: x["paragraph"]), "").alias("html"))
+    blocks = page_blocks.select(*page, "position", F.col("id").alias("block"), "label", "html")
+    whole = asked.join(begun.select("id"), "id", "left_anti").join(blocks.where("label = 'Footnote'"), page).where(F.col("block") == F.col("block_id"))
+    body = asked.join(blocks.where(~F.col("label").isin(*_NOT_SHOWN)), page).select("id", "position", "html")
+    notes = own.unionByName(whole.select("id", "position", "html")).withColumn("html", F.regexp_replace("html", r"^\s+|\s+$", ""))
+    shown = body.unionByName(notes).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    known = asked.join(page_blocks.select(*page).distinct(), page).select("id")
+    return known.join(shown, "id", "left").select("id", F.coalesce("html", F.lit("")).alias("html"))
 
 
 #: The answer of a footnote reader, a page each.

@@ -122,13 +122,22 @@ NOTES = [(1, "PageHeader", "<p>Running head</p>"), (2, "Text", "<p>Body text.</p
 
 
 def test_source_pages(spark):
-    see = lambda block, mark: scans.source_page_html(NOTES, block, mark)
-    assert see(3, "1") == "<p>Body text.</p>\n<p><sup>1</sup> First note.</p>"
-    assert see(3, "2)") == "<p>Body text.</p>\n<p><sup>2</sup> Second note.</p>\n<p>continued second note.</p>"
-    assert see(4, "9") == "<p>Body text.</p>\n" + NOTES[3][2] and see(4, "") == "<p>Body text.</p>\n<p>continued second note.</p>"
-    blocks = spark.createDataFrame([(k, "b", 7, k, label, h) for k, label, h in NOTES], "id long, book_id string, page_number int, position int, label string, html string")
+    blocks = spark.createDataFrame([(k, "b", 7, k, label, h) for k, label, h in NOTES] + [(20, "b", 8, 1, "PageHeader", "<p>x</p>")], "id long, book_id string, page_number int, position int, label string, html string")
+    asked = [(10, 3, 7, "1"), (11, 3, 7, "2)"), (12, 4, 7, "9"), (13, 4, 7, ""), (14, 3, 7, ""), (15, 4, 7, " 3. "), (16, 99, 7, "1"), (17, 3, 7, None), (18, 20, 8, "1"), (19, 1, 9, "1")]
+    shown = scans.source_pages(spark.createDataFrame([(i, k, "b", n, m) for i, k, n, m in asked], "id long, block_id long, book_id string, page_number int, footnote string"), blocks)
+    body, whole = "<p>Body text.</p>", NOTES[2][2]
+    assert {r.id: r.html for r in shown.collect()} == {
+        10: f"{body}\n<p><sup>1</sup> First note.</p>",
+        11: f"{body}\n<p><sup>2</sup> Second note.</p>\n<p>continued second note.</p>",
+        12: f"{body}\n{NOTES[3][2]}",
+        13: f"{body}\n<p>continued second note.</p>",
+        14: f"{body}\n{whole}",
+        15: f"{body}\n<p><sup>3</sup> Third note.</p>",
+        16: body,
+        17: f"{body}\n{whole}",
+        18: "",
+    }
     cited = spark.createDataFrame([(10, 3, "b", 7, "1"), (11, 4, "b", 7, "3"), (12, 3, "b", 7, "9")], "id long, block_id long, book_id string, page_number int, footnote string")
-    assert {r.id: r.html for r in scans.source_pages(cited, blocks).collect()}[10] == see(3, "1")
     placed = {r.id: r.position for r in scans.placed_citations(cited, blocks).collect()}
     assert placed == {10: 3, 11: 4, 12: None}
 
