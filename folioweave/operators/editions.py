@@ -156,3 +156,66 @@ def pages(documents: DataFrame, title: Column, **reading) -> DataFrame:
     text = F.transform("body", lambda b: _block(b["label"], b["html"]))
     last = F.transform(F.coalesce("feet", F.array().cast(feet.schema["feet"].dataType)), lambda n: _block(F.lit("Footnote"), n["html"]))
     return body.select("path", "page_number", F.coalesce(F.nullif(label, F.lit("")), titled, F.lit("Introduction")).alias("printed"), parts.alias("parts"), F.array().cast(f"array<{PARTS_SQL}>").alias("also"), F.concat(top, text, last).alias("blocks"))
+
+
+# a book of songs and prose
+
+_EVENT = "path string, i int, kind string, n int, name string, html string, refs array<string>"
+_QUOTED = r"(?:Bk\.\s*([IVX]+)\.,\s*)?ch\.\s*([ivx]+)\.,\s*p\.\s*\d+\s*,\s*l\.\s*\d+:\s*(.*?)(?=\s*(?:Bk\.\s*[IVX]+\.,\s*)?ch\.\s*[ivx]+\.,\s*p\.|$)"
+
+
+def song_events(files: DataFrame) -> DataFrame:
+    """(path, i, kind, n, name, html, refs) of HTML editions (path, html): ``functions.editions.song_events``, numbered."""
+    names = [c.split()[0] for c in _EVENT.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(path, i, x["kind"], x["n"], x["name"], x["html"], x["refs"]) for path, html in zip(f["path"], f["html"], strict=True) for i, x in enumerate(editions.song_events(html or ""))]
+            made = pd.DataFrame(rows, columns=names)
+            yield made.assign(n=made["n"].astype("Int32"))
+
+    return files.select("path", "html").mapInPandas(run, _EVENT)
+
+
+def quotations(texts: DataFrame) -> DataFrame:
+    """(path, book, prose, nth, source) of lists (path, text) of the sources of quotations; a book goes on until the next is named."""
+    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
+    group = lambda i: F.regexp_extract_all(plain, F.lit(_QUOTED), i)
+    each = texts.select("path", F.posexplode(F.arrays_zip(group(1).alias("book"), group(2).alias("prose"), group(3).alias("source"))).alias("nth", "q"))
+    so_far = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = F.when(F.col("q.book") != "", roman_to_int(F.lower("q.book")))
+    return each.select("path", F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.lit(0)).alias("book"), roman_to_int(F.lower("q.prose")).alias("prose"), "nth", F.trim("q.source").alias("source"))
+
+
+def song_pages(files: DataFrame, title: str) -> DataFrame:
+    """(path, page_number, printed, parts, also, blocks) of HTML editions (path, html): a page for each song (metre) and prose section.
+
+    Events are cut where a section starts; what stands before the first book, after an epilogue and among the references is in none. A
+    page has the notes it refers to, as it does, and a prose section the sources of its quotations.
+    """
+    so_far = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.col("kind") == "book"
+    told = song_events(files).withColumn("book", F.last(F.when(head, F.col("n")), ignorenulls=True).over(so_far))
+    told = told.withColumn("over", F.max(head & F.col("name").rlike(r"^EPILOGUE\.?$")).over(so_far)).withColumn("listed", F.last(F.when(head, F.upper("name").startswith("REFERENCES TO QUOTATIONS")), ignorenulls=True).over(so_far))
+    inside = told.where("book is not null and not over and not listed and kind in ('song', 'prose', 'text')").withColumn("page_number", F.count(F.when(F.col("kind") != "text", 1)).over(so_far).cast("int")).where("page_number > 0")
+    sections = inside.where("kind <> 'text'").select("path", "page_number", "kind", "n", "name", "book")
+    texts = inside.where("kind = 'text' and html <> ''").groupBy("path", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "html"))), lambda x: x["html"]).alias("texts"))
+    notes = told.where("kind = 'note'").groupBy("path", F.col("name").alias("ref")).agg(F.max_by("html", "i").alias("note"))
+    asked = inside.select("path", "page_number", "i", F.posexplode("refs").alias("nth", "ref")).join(notes, ["path", "ref"])
+    feet = asked.groupBy("path", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "nth", "note"))), lambda x: x["note"]).alias("notes"))
+    lists = told.where("kind = 'sources'").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "html"))), lambda x: x["html"]), " ").alias("text"))
+    quoted = quotations(lists).groupBy("path", "book", F.col("prose").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "source"))), lambda x: x["source"]).alias("quoted")).withColumn("kind", F.lit("prose"))
+    made = sections.join(texts, ["path", "page_number"], "left").join(feet, ["path", "page_number"], "left").join(quoted, ["path", "book", "n", "kind"], "left")
+    none = F.array().cast("array<string>")
+    block = lambda label, tag, lead="": lambda x: _block(F.lit(label), F.concat(F.lit(f"<{tag}>{lead}"), x, F.lit(f"</{tag}>")))
+    book, kind = F.concat(F.lit("Book "), to_roman(F.col("book"))), F.concat(F.initcap("kind"), F.lit(" "), to_roman(F.col("n")))
+    named = F.concat(kind, F.when(F.col("name") != "", F.concat(F.lit(". "), _escaped(F.col("name")))).otherwise(""))
+    blocks = F.concat(
+        F.array(block("PageHeader", "p")(_escaped(F.lit(title))), block("PageHeader", "p")(book), block("SectionHeader", "h3")(named)),
+        F.transform(F.coalesce("texts", none), block("Text", "p")),
+        F.transform(F.coalesce("notes", none), block("Footnote", "p")),
+        F.transform(F.coalesce("quoted", none), lambda x: block("Footnote", "p", "Quoted: ")(_escaped(x))),
+    )
+    part = F.when(F.col("kind") == "song", "metre").otherwise("prose")
+    parts = F.array(F.struct(F.lit("book").alias("type"), F.col("book").cast("int").alias("value")), F.struct(part.alias("type"), F.col("n").cast("int").alias("value")))
+    return made.select("path", "page_number", F.concat(book, F.lit(", "), kind).alias("printed"), parts.alias("parts"), F.array().cast(f"array<{PARTS_SQL}>").alias("also"), blocks.alias("blocks"))

@@ -361,12 +361,26 @@ def _(lib: Library) -> DataFrame:
     return books.edition_pages(documents, "").select("book_id", "page_number", "printed")
 
 
-@query("s06_songs_and_prose", "SELECT m.id || '.html' AS path, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place FROM m_books m CROSS JOIN (VALUES (1, 'Book I, Song I', 'book 1/metre 1'), (2, 'Book I, Prose I', 'book 1/prose 1')) AS x(n, l, p)")
+_SONG_SHAPES = (
+    '<h2>BOOK I.</h2><h3>SONG I.<br> A Complaint.</h3><div class="poem"><span>line</span></div><h3>I.</h3><p>While I was pondering @.</p><h2>EPILOGUE.</h2><p>x</p>',
+    '<h2>PREFACE.</h2><h3>I.</h3><p>@</p><h2>BOOK II.</h2><div><h3>IV.</h3><p>@<a class="fnanchor" href="#Footnote_1">[1]</a></p></div><div class="footnote"><p><a id="Footnote_1"></a><span class="label">[1]</span> Of @.</p></div>',
+    '<h2>BOOK V.</h2><h3>VI.</h3><p>a</p><h3>Unnumbered</h3><p>@</p><h2>REFERENCES TO QUOTATIONS IN THE TEXT.</h2><ul class="Quot"><li>Bk. V., ch. vi., p. 7, l. 6: @. ch. ii., p. 8, l. 1: none.</li></ul>',
+    "<h2>Contents</h2><p>@</p>",
+)
+
+
+@query(
+    "s06_songs_and_prose",
+    """SELECT m.id || '.html' AS path, CAST(x.n AS INT) AS page_number, x.l AS printed, x.p AS place, replace(x.h, '@', m.title) AS last FROM m_books m JOIN (VALUES (0, 1, 'Book I, Song I', 'book 1/metre 1', '<p>line</p>'), (0, 2, 'Book I, Prose I', 'book 1/prose 1', '<p>While I was pondering @.</p>'),
+  (1, 1, 'Book II, Prose IV', 'book 2/prose 4', '<p><sup>1</sup> Of @.</p>'), (2, 1, 'Book V, Prose VI', 'book 5/prose 6', '<p>Quoted: @.</p>')) AS x(k, n, l, p, h) ON x.k = CAST(m.id[2:] AS BIGINT) % 4""",
+)
 def _(lib: Library) -> DataFrame:
-    """An edition of songs and prose for each book."""
-    files = _files(lib, ".html", "html", '<body><h2>BOOK I.</h2><h3>SONG I.<br> A Complaint.</h3><div class="poem"><span>line</span></div><h3>I.</h3><p>While I was pondering ', ".</p><h2>EPILOGUE.</h2></body>")
+    """An edition of songs and prose for each book, in four shapes: a song and a section; a note, after a preface; quotations' sources; and no book at all."""
+    shape = F.expr("cast(substring(id, 2) as bigint) % 4")
+    html = F.element_at(F.array(*(F.lit(f"<body>{x}</body>") for x in _SONG_SHAPES)), (shape + 1).cast("int"))
+    files = lib.books.select(F.concat("id", F.lit(".html")).alias("path"), F.replace(html, F.lit("@"), F.col("title")).alias("html"))
     found = books.song_pages(files, "consolation", "The Consolation", "Boethius")
-    return found.select("path", "page_number", "printed", _text(F.col("parts")).alias("place"))
+    return found.select("path", "page_number", "printed", _text(F.col("parts")).alias("place"), F.element_at("blocks", -1)["html"].alias("last"))
 
 
 @query(

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import editions, thml, volumes
+from ..functions import thml, volumes
 from ..functions.volume_authors import VOLUME_AUTHORS
 from ..operators.editions import pages as pages_of_editions
+from ..operators.editions import song_pages as pages_of_songs
 from .archives import register
 
 SCAN = "map<string, array<struct<page: int, blocks: array<struct<label: string, html: string, reading_order: int, bbox: array<double>>>>>>"
@@ -177,7 +178,8 @@ def epub_pages(spark: SparkSession, path: str, author: str, **reading) -> DataFr
 
 def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:
     """Pages of HTML editions (path, html) of songs and prose."""
-    return _books(files, "html", lambda path, html: [{"book_id": book_id, "title": title, "author": author, "pages": editions.song_pages(html, title)}])
+    found = pages_of_songs(files, title)
+    return found.select("path", F.lit(book_id).alias("book_id"), F.lit(title).alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
 
 def marked_blocks(blocks: DataFrame) -> DataFrame:

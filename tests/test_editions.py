@@ -212,14 +212,19 @@ SONGS = """<html><body><ul class="TOC"><li>BOOK I.</li></ul><h2>PREFACE.</h2><p>
 
 
 def test_songs_and_prose(spark):
-    assert editions.quotations("Bk. I., ch. iv., p. 17 , l. 6: 'Iliad,' I. ch. v., p. 30 , l. 19: 'Iliad,' II. Bk. V., ch. i., p. 227 , l. 16: Physics.") == [(1, 4, "'Iliad,' I."), (1, 5, "'Iliad,' II."), (5, 1, "Physics.")]
-    pages = editions.song_pages(SONGS, "The Consolation")
-    assert [(p["printed"], p["parts"]) for p in pages] == [("Book I, Song I", [("book", 1), ("metre", 1)]), ("Book I, Prose I", [("book", 1), ("prose", 1)]), ("Book II, Song I", [("book", 2), ("metre", 1)])]
-    assert [b[1] for b in pages[0]["blocks"][2:]] == ["<h3>Song I. A Complaint.</h3>", "<p>First line<br/>second line,</p>"]
-    assert [b[1] for b in pages[1]["blocks"][3:]] == ["<p>While I was pondering,<sup>A</sup> and more.</p>", "<p><sup>A</sup> A note.</p>", "<p>Quoted: 'Iliad,' I. 363.</p>"]
-    assert pages[2]["blocks"][2][1] == "<h3>Song I. Malice.</h3>" and pages[2]["blocks"][-1][1] == "<p><sup>B</sup> On Fortune.</p>"
-    rows = books.song_pages(spark.createDataFrame([("f", SONGS)], "path string, html string"), "consolation", "C", "Boethius").collect()
-    assert [r.page_number for r in rows] == [1, 2, 3]
+    quoted = "Bk. I., ch. iv., p. 17 , l. 6: 'Iliad,' I. ch. v., p. 30 , l. 19: 'Iliad,' II. Bk. V., ch. i., p. 227 , l. 16: Physics."
+    found = operators.quotations(spark.createDataFrame([("f", quoted), ("g", "")], "path string, text string")).orderBy("nth").collect()
+    assert [(r.path, r.book, r.prose, r.source) for r in found] == [("f", 1, 4, "'Iliad,' I."), ("f", 1, 5, "'Iliad,' II."), ("f", 5, 1, "Physics.")]
+    files = spark.createDataFrame([("f", SONGS), ("none", "<p>x</p>"), ("null", None), ("twice", SONGS)], "path string, html string")
+    rows = books.song_pages(files, "consolation", "The Consolation", "Boethius").orderBy("path", "page_number").collect()
+    assert [r.path for r in rows] == ["f"] * 3 + ["twice"] * 3
+    pages = rows[:3]
+    parts = [[(p.type, p.value) for p in r.parts] for r in pages]
+    assert [r.page_number for r in pages] == [1, 2, 3] and [r.printed for r in pages] == ["Book I, Song I", "Book I, Prose I", "Book II, Song I"] and parts == [[("book", 1), ("metre", 1)], [("book", 1), ("prose", 1)], [("book", 2), ("metre", 1)]]
+    blocks = [[(b.label, b.html) for b in r.blocks] for r in pages]
+    assert blocks[0] == [("PageHeader", "<p>The Consolation</p>"), ("PageHeader", "<p>Book I</p>"), ("SectionHeader", "<h3>Song I. A Complaint.</h3>"), ("Text", "<p>First line<br/>second line,</p>")]
+    assert blocks[1][2:] == [("SectionHeader", "<h3>Prose I</h3>"), ("Text", "<p>While I was pondering,<sup>A</sup> and more.</p>"), ("Footnote", "<p><sup>A</sup> A note.</p>"), ("Footnote", "<p>Quoted: 'Iliad,' I. 363.</p>")]
+    assert blocks[2][2:] == [("SectionHeader", "<h3>Song I. Malice.</h3>"), ("Text", "<p>Mad Fortune</p>"), ("Footnote", "<p><sup>B</sup> On Fortune.</p>")]
 
 
 def test_authors_of_the_volumes():
