@@ -94,9 +94,13 @@ def _(lib: Library) -> DataFrame:
     return lib.table("part").select(F.col("p_partkey").alias("id"), X.roman_to_int(X.to_roman(F.col("p_size"))).cast("long").alias("back"))
 
 
-@query("x24_summa", "SELECT id, false AS summa, raw ILIKE 'ibid%' AS ibid FROM m_citations")
+@query("x24_summa", "SELECT id, id % 5 IN (0, 3) AS summa, id % 3 = 0 AS ibid FROM m_citations")
 def _(lib: Library) -> DataFrame:
-    return lib.citations.select("id", X.is_summa(F.col("title"), F.col("author")).alias("summa"), X.is_ibid(F.col("raw")).alias("ibid"))
+    """Titles of the Summa, one broken over a line, and of other Summae and another author; citations that go back to the one before and not."""
+    title = F.element_at(F.array(*map(F.lit, ("Summa Theologica", "Summa Theologica", "Summa Contra Gentiles", "summa theo- logiae", "Summa Theol. Mor."))), (F.col("id") % 5 + 1).cast("int"))
+    author = F.when(F.col("id") % 5 == 1, F.col("author")).otherwise("St. Thomas Aquinas")
+    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("(Ibid., "), "raw")).otherwise(F.concat("raw", F.lit(" ibid.")))
+    return lib.citations.select("id", X.is_summa(title, author).alias("summa"), X.is_ibid(raw).alias("ibid"))
 
 
 @query("x27_summa_parts", "SELECT id, 'book 2/question ' || CAST(source_page AS VARCHAR) || '/article 4' AS place FROM m_citations")
@@ -148,16 +152,27 @@ def _(lib: Library) -> DataFrame:
     return lib.books.select("id", X.fold(F.concat(F.lit("ÉLAN vï- tal "), "title")).alias("t"))
 
 
-@query("x09_same_author", "SELECT id, true AS same, false AS other FROM m_books")
+@query("x09_same_author", "SELECT id, author_id % 6 IN (0, 1, 2) AS same FROM m_books")
 def _(lib: Library) -> DataFrame:
-    named = lib.books.select("id", F.col("title").alias("a"), F.concat(F.lit("Rev. "), "title").alias("b"), F.lit("St. Thomas Aquinas").alias("c"))
-    return named.select("id", X.same_author(F.col("a"), F.col("b")).alias("same"), X.same_author(F.col("a"), F.col("c")).alias("other"))
+    """One name with a title before it, with the surname first, and by its surname alone; another surname, a first name only, and nobody."""
+    kind, name = F.col("author_id") % 6, lambda form: F.replace(F.lit(form), F.lit("@"), F.concat(F.lit("Scribe"), F.substring("id", 2, 9)))
+    cited = F.element_at(F.array(*map(name, ("Rev. John @", "@, John", "@", "John Other", "John", "Anonymous"))), (kind + 1).cast("int"))
+    return lib.books.select("id", X.same_author(cited, name("J. @")).alias("same"))
 
 
-@query("x11_same_title", "SELECT id, true AS same, false AS other FROM m_books")
+@query("x11_same_title", "SELECT id, author_id % 7 < 5 AS same FROM m_books")
 def _(lib: Library) -> DataFrame:
-    forms = lib.books.select("id", X.title_forms(F.concat(F.lit("The "), "title", F.lit(", vol. 3"))).alias("a"), X.title_forms(F.concat("title", F.lit(": a study"))).alias("b"), X.title_forms(F.lit("Outlines of Dogma")).alias("c"))
-    return forms.select("id", X.same_title(F.col("a"), F.col("b")).alias("same"), X.same_title(F.col("a"), F.col("c")).alias("other"))
+    """A volume, a title before its subtitle, the main title alone, a run of words inside, a slip of the pen; another title, and one of which too little is left."""
+    kind = F.col("author_id") % 7
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    shapes = (
+        pair("The Book of @, vol. 3", "Book of @"), pair("Letters on @", "Letters on @: a study in two parts"), pair("Of @ and faith: with notes", "Of @ and faith"), pair("life of @", "The whole life of @ explained"),
+        pair("Discourses upon @ of old", "Discuorses upon @ of old"), pair("A treatise on @", "Outlines of dogma"), pair("Of @", "The history of the church of @ in the days of old"),
+    )
+    one = F.element_at(F.array(*shapes), (kind + 1).cast("int"))
+    named = lambda c: X.title_forms(F.replace(c, F.lit("@"), F.split("title", " ")[0]))
+    forms = lib.books.select("id", "title", one.alias("p")).select("id", named(F.col("p.a")).alias("a"), named(F.col("p.b")).alias("b"))
+    return forms.select("id", X.same_title(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("x16_citable_numbers", "SELECT book_id, page_number, CAST(printed AS BIGINT) AS number FROM m_pages WHERE regexp_matches(printed, '^[0-9]+$')")

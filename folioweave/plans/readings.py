@@ -44,36 +44,69 @@ def _(lib: Library) -> DataFrame:
     return reading.bible_books(lib.citations.select("id", name.alias("text"))).select("id", F.col("found").alias("book"))
 
 
-@query("x21_work_references", "SELECT id, 'De Trin.' AS title, 'Lib. ' || CAST(source_page AS VARCHAR) || ', 3' AS location FROM m_citations")
+def _shaped(shapes: list, key: F.Column) -> F.Column:
+    """One of the shapes, by a number from 0."""
+    return F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in shapes)), (key + 1).cast("int"))
+
+
+def _with_page(text: str) -> F.Column:
+    return F.replace(F.lit(text), F.lit("@"), F.col("source_page").cast("string"))
+
+
+@query(
+    "x21_work_references",
+    """SELECT m.id, CAST(x.n AS INT) AS n, x.a AS author, x.t AS title, replace(x.l, '@', CAST(m.source_page AS VARCHAR)) AS location FROM m_citations m LEFT JOIN (VALUES (0, 0, '', 'De Trin.', 'Lib. @, 3'), (1, 0, 'Dionysius', 'De Div. Nom.', 'iv, @'),
+  (2, 0, '', 'Metaph.', 'xii, text. @'), (2, 1, '', 'De Anima', 'iii, @'), (3, 0, 'Neale', '', 'i. @'), (4, 0, '', 'Gen. ad lit.', 'p. @'), (4, 1, '', 'Gen. ad lit.', 'x, 2')) AS x(k, n, a, t, l) ON x.k = m.id % 7""",
+)
 def _(lib: Library) -> DataFrame:
-    texts = lib.citations.select("id", F.concat(F.lit("De Trin. Lib. "), F.col("source_page").cast("string"), F.lit(", 3")).alias("text"))
-    one = F.get("found", F.lit(0))
-    return reading.work_references(texts).select("id", one["title"].alias("title"), one["location"].alias("location"))
+    """A label, an author before the title, two works, an author alone, a place in the work before; a chapter of the book itself and a town with a year are no works."""
+    shapes = ["De Trin. Lib. @, 3", "cf. Dionysius, De Div. Nom. iv, @", "Metaph. xii, text. @; De Anima iii, @.", "Neale, i. @", "Gen. ad lit. p. @; x, 2", "Chapter @", "Rome, 1742"]
+    texts = lib.citations.select("id", _shaped([_with_page(x) for x in shapes], F.col("id") % 7).alias("text"))
+    return reading.work_references(texts).select("id", F.posexplode_outer("found").alias("n", "w")).select("id", "n", "w.author", "w.title", "w.location")
 
 
-@query("x22_marked_text", "SELECT CAST(id AS VARCHAR) AS key, 'As Damascene says (De Fide Orth. ' || CAST(source_page AS VARCHAR) || ', 2)<sup>1</sup> and (Ps. 118)<sup>2</sup>' AS html, CAST(2 AS INT) AS n FROM m_citations")
+@query(
+    "x22_marked_text",
+    """SELECT CAST(m.id AS VARCHAR) AS key, replace(x.h, '@', CAST(m.source_page AS VARCHAR)) AS html, x.k AS kinds FROM m_citations m JOIN (VALUES
+  (0, 'As Damascene says (De Fide Orth. @, 2)<sup>1</sup> and (Ps. 118)<sup>2</sup>', 'work scripture'), (1, 'text<sup>1</sup> more', 'note'), (2, '(i.e., the prophets) (1) none', ''),
+  (3, '(<scripRef passage="Rom. 1:@">Rom. 1:@</scripRef>)<sup>1</sup> so', 'scripture')) AS x(n, h, k) ON x.n = m.id % 4""",
+)
 def _(lib: Library) -> DataFrame:
-    text = F.concat(F.lit("As Damascene says (De Fide Orth. "), F.col("source_page").cast("string"), F.lit(", 2) and (Ps. 118)"))
-    found = books.marked_blocks(lib.citations.select(F.col("id").alias("key"), text.alias("thml")))
-    return found.select("key", "html", F.size("footnotes").alias("n"))
+    """A work and a psalm in parentheses, a note, no citation at all, and marked scripture."""
+    shapes = ["As Damascene says (De Fide Orth. @, 2) and (Ps. 118)", "text<note n='1'><p>De Trin. i, @.</p></note> more", "(i.e., the prophets) (1) none", '(<scripRef passage="Rom. 1:@">Rom. 1:@</scripRef>) so']
+    found = books.marked_blocks(lib.citations.select(F.col("id").alias("key"), _shaped([_with_page(x) for x in shapes], F.col("id") % 4).alias("thml")))
+    return found.select("key", "html", F.array_join(F.transform("footnotes", lambda n: n["kind"]), " ").alias("kinds"))
+
+
+_SUMMA_SHAPES = (
+    ("S. Theol., 1a 2ae, qu. @, art. 4.", "book 2/question @/article 4"),
+    ("Summa Theologica, 1a: XLIX: 2. L: @.", "book 1/question 49/article 2; book 1/question 50/article @"),
+    ("Sum. theol., ii-ii, @, 3, ad 2; Suppl., qu. 95", "book 3/question @/article 3/ad 2; book 5/question 95"),
+    ("Summa Theol., 1-11, q. 3, a. @ and 3a, qu. 5", "book 2/question 3/article @; book 4/question 5"),
+    ("Summa Theol., of that @", ""),
+)
 
 
-@query("x23_summa_places", "SELECT id, 'book 2/question ' || CAST(source_page AS VARCHAR) || '/article 4' AS places FROM m_citations")
+@query("x23_summa_places", f"SELECT m.id, replace(x.p, '@', CAST(m.source_page AS VARCHAR)) AS places FROM m_citations m JOIN (VALUES {', '.join(f"({i}, '{p}')" for i, (_, p) in enumerate(_SUMMA_SHAPES))}) AS x(n, p) ON x.n = m.id % 5")
 def _(lib: Library) -> DataFrame:
-    raw = F.concat(F.lit("S. Theol., 1a 2ae, qu. "), F.col("source_page").cast("string"), F.lit(", art. 4."))
+    """Labels, numbers with colons over two questions, another part behind a reply, a misread part, and no place."""
+    raw = _shaped([_with_page(x) for x, _ in _SUMMA_SHAPES], F.col("id") % 5)
     df = lib.citations.withColumn("title", F.lit("Summa Theologica")).withColumn("author", F.lit("Aquinas")).withColumn("raw", raw)
     return reading.summa_places(df).select("id", _all(F.col("places")).alias("places"))
 
 
 @query(
     "w07_ibid",
-    """WITH c AS (SELECT id, source_book_id, source_page, CASE WHEN id % 3 = 0 THEN source_page END AS q FROM m_citations),
-p AS (SELECT *, last_value(q IGNORE NULLS) OVER (PARTITION BY source_book_id ORDER BY source_page, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM c)
-SELECT id, CASE WHEN id % 3 = 0 THEN 'book 3/question ' || CAST(q AS VARCHAR) WHEN carried IS NOT NULL THEN 'book 3/question ' || CAST(carried AS VARCHAR) || '/article 6' ELSE '' END AS places FROM p""",
+    """WITH c AS (SELECT id, source_book_id, source_page, id % 5 AS k, CASE WHEN id % 5 < 2 THEN source_page WHEN id % 5 = 3 THEN 7 END AS q, CASE id % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS b FROM m_citations),
+p AS (SELECT *, last_value(b IGNORE NULLS) OVER w AS book, last_value(q IGNORE NULLS) OVER w AS known, count(b) OVER w AS named FROM c WINDOW w AS (PARTITION BY source_book_id ORDER BY source_page, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, last_value(CASE WHEN k < 2 THEN q WHEN k = 3 AND named > 0 THEN 7 END IGNORE NULLS) OVER (PARTITION BY source_book_id ORDER BY source_page, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS question FROM p)
+SELECT id, CASE WHEN k = 0 THEN 'book 3/question ' || CAST(q AS VARCHAR) WHEN k = 1 THEN 'book 1/question ' || CAST(q AS VARCHAR) || '/article 2' WHEN named = 0 OR k = 4 THEN ''
+  WHEN k = 2 THEN 'book ' || CAST(book AS VARCHAR) || '/question ' || CAST(question AS VARCHAR) || '/article 6' ELSE 'book ' || CAST(book AS VARCHAR) || '/question 7' END AS places FROM r""",
 )
 def _(lib: Library) -> DataFrame:
-    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Summa Theol., 2a 2ae, q. "), F.col("source_page").cast("string"))).otherwise("Ibid., a. 6")
-    df = lib.citations.withColumn("title", F.lit("Summa Theologica")).withColumn("author", F.lit("Aquinas")).withColumn("raw", raw)
+    """Two whole places, "Ibid." with an article, with another question, and with nothing: places go on from the last one in the book."""
+    shapes = [_with_page("Summa Theol., 2a 2ae, q. @"), _with_page("S. Theol., 1a, qu. @, a. 2"), "Ibid., a. 6", "Ibid., q. 7.", "Ibid."]
+    df = lib.citations.withColumn("title", F.lit("Summa Theologica")).withColumn("author", F.lit("Aquinas")).withColumn("raw", _shaped(shapes, F.col("id") % 5))
     return reading.summa_places(df).select("id", _all(F.col("places")).alias("places"))
 
 
