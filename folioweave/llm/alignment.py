@@ -38,7 +38,7 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: So many pairs are broadcast, whatever the size of the corpus; about 20 MB.
 HOT = 1 << 18
 #: Texts of about this many bytes share their words.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
 _CHUNK, _ROWS = 1 << 16, 20_000
 #: A fixed value: the expression that splits text before the merges of byte-level BPE.
 _BYTE_BPE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -264,11 +264,12 @@ def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOK
     rare = rare.select("batch", "w", F.when(F.col("best"), F.col("times")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("times")).alias("count_sum"))
     both = often if few else often.unionByName(rare)
     summed = work.put("sums", both.groupBy("batch", "w").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
+    own = words.select("batch", "w", F.size("cuts").alias("n_groups"), groups_of().alias("groups"))
+    # a batch's words are bounded, and so are the arrays; each word has a link, so a word's number is its place in both
+    listed = lambda df, *columns: df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", *columns))).alias("of")).select("batch", *(F.col(f"of.{c}").alias(c) for c in columns))
+    arrays = listed(own, "n_groups", "groups").join(listed(summed, "n_best", "count_sum"), "batch")
     # two small numbers in one, so that a text adds up two arrays instead of three
-    own = words.select("batch", "w", F.size("cuts").alias("n_groups"), groups_of().alias("groups")).join(summed, ["batch", "w"])
-    each = own.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", _packed(F.col("n_groups"), F.col("n_best")).alias("small"), "count_sum", "groups"))).alias("of"))
-    # a batch's words are bounded, and so are the arrays; each word has a link, so a word's number is its place
-    arrays = each.select(F.col("batch").alias("_batch"), *(F.col(f"of.{c}").alias(c) for c in ("small", "count_sum", "groups")))
+    arrays = arrays.select(F.col("batch").alias("_batch"), F.zip_with("n_groups", "n_best", _packed).alias("small"), "count_sum", "groups")
     texts = found.where("docs is not null").select("batch", "docs").join(arrays, F.col("batch") == F.col("_batch"), "left")
     return _texts(texts).withColumnRenamed("key", key)
 
