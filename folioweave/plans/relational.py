@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import citing, filters, numbering
+from ..operators import citing, filters, numbering, summaries
 from ..schema import COPYRIGHT_STATUSES, QUEUE_STATUSES
 from .model import Library
 from .registry import query
@@ -466,6 +466,41 @@ def _(lib: Library) -> DataFrame:
     return found.select("book_id", "page_number", "rank", "source_book_id", "source_page", n.alias("context_pages"))
 
 
+_SOURCES = f"""{_LISTED}, hidden AS ({_HIDDEN}), s AS (SELECT l.book_id, l.page_number, c.source_book_id, c.source_page, min(c.id) AS first FROM listed l JOIN m_citations c ON c.id = l.citation_id WHERE c.source_book_id NOT IN (SELECT book_id FROM hidden) GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY source_book_id, source_page, first) AS rank FROM s)"""
+
+
+def sources(lib: Library) -> DataFrame:
+    listed = citing.citations_of_pages(lib.pages, lib.places, lib.groups, lib.citations, aliases(lib), lib.checks)
+    return citing.insight_sources(listed, lib.pages, lib.blocks)
+
+
+@query(
+    "o11_page_questions",
+    f"""WITH {_SOURCES} SELECT r.book_id, r.page_number, 'PAGE: "' || b.title || '" by ' || CASE WHEN b.author = '' THEN 'an unknown author' ELSE b.author END || ', [scan page ' || CAST(r.page_number AS VARCHAR) || CASE WHEN m.printed <> '' THEN ', printed page ' || m.printed ELSE '' END || ']' AS head,
+  CAST(least(count(*), 10) AS BIGINT) AS n_sources FROM r JOIN m_books b ON b.id = r.book_id JOIN m_pages m ON m.book_id = r.book_id AND m.page_number = r.page_number GROUP BY 1, 2, 3""",
+)
+def _(lib: Library) -> DataFrame:
+    """What is asked about each cited page: its head, and as many sources as there are, ten at most."""
+    found = summaries.questions(sources(lib), lib.books, lib.pages, lib.blocks)
+    counted = F.size(F.regexp_extract_all("question", F.lit(r"(?m)^SOURCE S\d+: "), F.lit(0))).cast("long")
+    return found.select("book_id", "page_number", F.split("question", "\n")[0].alias("head"), counted.alias("n_sources"))
+
+
+@query(
+    "o11_page_summaries",
+    f"""WITH {_SOURCES} SELECT book_id, page_number, CAST(rank AS INT) AS rank, source_book_id, source_page, CASE WHEN rank % 2 = 1 THEN 'on ' || CAST(rank AS VARCHAR) ELSE '' END AS summary FROM r WHERE rank <= 10 AND page_number % 3 <> 0""",
+)
+def _(lib: Library) -> DataFrame:
+    """Answers for pages: two of three are JSON, with every other source and one that was made up."""
+    asked, table = sources(lib), tables(lib.spark, "sources")
+    asked = table(asked.select("book_id", "page_number", "rank", "source_book_id", "source_page"))
+    odd = F.transform(F.filter(F.array_sort(F.collect_list("rank")), lambda r: r % 2 == 1), lambda r: F.struct(F.concat(F.lit("S"), r.cast("string")).alias("sourceId"), F.concat(F.lit("on "), r.cast("string")).alias("summary")))
+    given = asked.groupBy("book_id", "page_number").agg(F.concat(odd, F.array(F.struct(F.lit("S99").alias("sourceId"), F.lit("none").alias("summary")))).alias("sources"))
+    answers = given.select("book_id", "page_number", F.when(F.col("page_number") % 3 == 0, "no answer").otherwise(F.to_json(F.struct(F.lit("o").alias("overview"), "sources"))).alias("answer"))
+    return summaries.summaries(asked, answers).drop("overview")
+
+
 # set operations
 
 

@@ -179,3 +179,23 @@ def test_epub_source(spark, tmp_path):
     (tmp_path / "bad.epub").write_text("none")
     with pytest.raises(Exception, match="no archive"):
         books.epub_documents(spark, str(tmp_path)).count()
+
+
+def test_questions_summaries_and_what_is_stored(spark):
+    from folioweave.operators import summaries
+
+    found = [("b", 1, 1, "x", 4, ["1", "*"], "four"), ("b", 1, 2, "y", 2, [], "two and more"), ("b", 1, 3, "z", 9, [], "six"), ("c", 1, 1, "x", 4, [], "")]
+    sources = spark.createDataFrame(found, "book_id string, page_number int, rank int, source_book_id string, source_page int, footnotes array<string>, context string")
+    named = spark.createDataFrame([("b", "Title", "Author"), ("x", "Other", "")], "id string, title string, author string")
+    pages = spark.createDataFrame([("b", 1, "i"), ("b", 2, "7")], "book_id string, page_number int, printed string")
+    blocks = spark.createDataFrame([("b", 1, 1, "Text", "<p>Said.</p>")], "book_id string, page_number int, position int, label string, html string")
+    asked = {(r.book_id, r.page_number): (r.question, r.n_sources) for r in summaries.questions(sources, named, pages, blocks, most=10).collect()}
+    want = 'PAGE: "Title" by Author, [scan page 1, printed page i]\n\nSaid.\n\nSOURCE S1: "Other" by an unknown author. Footnote 1, * on scan page 4.\n\nfour\n\nSOURCE S2: y. Footnote (unnumbered) on scan page 2.\n\nSOURCE S3: z. Footnote (unnumbered) on scan page 9.'
+    assert asked[("b", 1)] == (want, 3) and asked[("c", 1)][0].startswith("PAGE: c, [scan page 1]\n\nSOURCE S1")
+    answers = spark.createDataFrame([("b", 1, '{"overview": "o", "sources": [{"sourceId": "S2", "summary": "two"}, {"sourceId": "S8", "summary": "none"}]}'), ("c", 1, "no")], "book_id string, page_number int, answer string")
+    assert sorted((r.rank, r.overview, r.summary) for r in summaries.summaries(sources, answers).collect()) == [(1, "o", ""), (2, "o", "two"), (3, "o", "")]
+    schema = "book_id string, page_number int, text string"
+    groups = spark.createDataFrame([(5, [{"type": "page", "value": 7}])], f"citation_id long, parts {PART}")
+    changed = spark.createDataFrame([("b", 5)], "book_id string, citation_id long")
+    left = summaries.stored(spark.createDataFrame([("b", 1, "old"), ("b", 2, "stale")], schema), spark.createDataFrame([("b", 1, "new"), ("c", 1, "first")], schema), pages, groups, changed)
+    assert sorted(tuple(r) for r in left.collect()) == [("b", 1, "new"), ("c", 1, "first")]
