@@ -1,12 +1,12 @@
 """Two tokenizers' tokens of one text, aligned by the byte offsets at which tokens of both end.
 
 Python only tokenises. Words (a word here is a run of text up to a space that follows something else than white space)
-are what neither tokenizer's tokens cross, so each is tokenised once for a batch of texts, and a batch is handed on as its
+are what neither tokenizer's tokens cross, so each different word of the corpus is tokenised and aligned once. A batch of texts is handed on as its
 different words and, for each text, the numbers of its words. All the rest are functions of arrays in Spark: the cuts of a word
 are ``array_intersect`` of its two arrays of ends, and groups are slices between cuts. The marks of a word are the ends of both sides with the numbers of
 their tokens (``sequence``), sorted; every stretch between two marks lies in one token of each side, which makes it a link. Links are counted
-over the corpus by (A id, B id), each word's once with its number of occurrences; the counts come back to the words, and a
-text sums its words' by ``aggregate``.
+over the corpus by (A id, B id), each word's once with its number of occurrences; the counts come back to the words, the words' sums to the batches
+that have them, and a text sums its words' by ``aggregate``.
 
 A count is needed wherever its pair occurs. ``HOT`` pairs with the highest counts, a bound that does not grow
 with the data, are broadcast, and what is not among them meets its count in a shuffled join; both ways are exact.
@@ -20,7 +20,7 @@ Ties of counts: all links of a B id whose pairs have its highest count are best.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import count
 from pathlib import Path
@@ -38,8 +38,10 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: So many pairs are broadcast, whatever the size of the corpus; about 20 MB.
 HOT = 1 << 18
 #: Texts of about this many bytes share their words.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 _CHUNK, _ROWS = 1 << 16, 20_000
+#: Its tables are ids and texts of digits, which it takes to a good third of what the default codec leaves.
+_CODEC = "zstd"
 #: A fixed value: the expression that splits text before the merges of byte-level BPE.
 _BYTE_BPE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_ENDS = re.compile(r"(?<=\S)(?= )")
@@ -140,42 +142,28 @@ def _lists(values: np.ndarray, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _chosen(side: Side, words: np.ndarray) -> Side:
-    """The tokens of some of the words."""
-    ids, ends, n = side
-    starts = np.cumsum(n) - n
-    at = np.repeat(starts[words] - (np.cumsum(n[words]) - n[words]), n[words]) + np.arange(n[words].sum())
-    return ids[at], ends[at], n[words]
-
-
-def tokenised(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of two kinds for each batch of texts: one (batch, docs) with the keys and the numbers of the words of its texts, and one (batch, w, times, a, a_ends, b, b_ends) for each word."""
+def numbered(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of two kinds for each batch of texts: one (batch, docs) with the keys and the numbers of the words of its texts, and one (batch, w, word, times) for each word."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind, arrow_key = rows.schema["key"].dataType.simpleString(), rows.select("key").limit(0).toArrow().schema[0].type
-    doc = pa.struct([("key", arrow_key), ("n_a", pa.int64()), ("n_b", pa.int64()), ("words", _INTS)])
-    schema = pa.schema([("batch", pa.int64()), ("docs", pa.list_(doc)), ("w", pa.int32()), ("times", pa.int64()), ("a", _INTS), ("a_ends", _INTS), ("b", _INTS), ("b_ends", _INTS)])
+    doc = pa.struct([("key", arrow_key), ("words", _INTS)])
+    schema = pa.schema([("batch", pa.int64()), ("docs", pa.list_(doc)), ("w", pa.int32()), ("word", pa.string()), ("times", pa.int64())])
 
-    def batch(name: int, keys: list, texts: list[str | None], both: Pair) -> Iterator[pa.RecordBatch]:
+    def batch(name: int, keys: list, texts: list[str | None], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
-        docs = [np.fromiter((number.setdefault(w, len(number)) for w in (words_of(t) if both.by_words else [f" {t}"])), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        joins, *sides = both.words(list(number))
-        if not joins.all():  # what does not join takes its text along; the other words are numbered anew
-            docs = [d if joins[d].all() else d[:0] for d in docs]
-            left = np.unique(np.concatenate(docs))
-            docs = [np.searchsorted(left, d).astype(np.int32) for d in docs]
-            sides = [_chosen(side, left) for side in sides]
-        times = np.bincount(np.concatenate([np.empty(0, np.int32), *docs]), minlength=len(sides[0][2]))
-        sums = [pa.array([int(side[2][d].sum()) for d in docs], pa.int64()) for side in sides]
-        listed = pa.StructArray.from_arrays([pa.array(keys, arrow_key), *sums, _lists(np.concatenate([np.empty(0, np.int32), *docs]), [len(d) for d in docs])], fields=list(doc))
+        docs = [np.fromiter((number.setdefault(w, len(number)) for w in cut(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
+        joined = np.concatenate([np.empty(0, np.int32), *docs])
+        listed = pa.StructArray.from_arrays([pa.array(keys, arrow_key), _lists(joined, [len(d) for d in docs])], fields=list(doc))
         whole = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), whole, *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
-        columns = [_lists(side[c], side[2]) for side in sides for c in (0, 1)]
-        for i in range(0, len(times), _ROWS):
-            n = min(_ROWS, len(times) - i)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.nulls(n, schema.field("docs").type), pa.array(range(i, i + n), pa.int32()), pa.array(times[i : i + n], pa.int64()), *(c.slice(i, n) for c in columns)], schema=schema)
+        times, words = np.bincount(joined, minlength=len(number)), list(number)
+        for i in range(0, len(words), _ROWS):
+            part = words[i : i + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), pa.nulls(len(part), schema.field("docs").type), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.string()), pa.array(times[i : i + _ROWS], pa.int64())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, keys, texts, size = pair(a_path, b_path), [], [], 0
+        cut = words_of if pair(a_path, b_path).by_words else lambda t: [f" {t}"]
+        keys, texts, size = [], [], 0
         names = count(TaskContext.get().partitionId() << 32)
         for got in batches:
             for k, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
@@ -183,26 +171,64 @@ def tokenised(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
                 texts.append(t)
                 size += len(t or "")
                 if size >= BATCH_BYTES:
-                    yield from batch(next(names), keys, texts, both)
+                    yield from batch(next(names), keys, texts, cut)
                     keys, texts, size = [], [], 0
         if keys:
-            yield from batch(next(names), keys, texts, both)
+            yield from batch(next(names), keys, texts, cut)
+
+    return rows.mapInArrow(run, f"batch bigint, docs array<struct<key: {kind}, words: array<int>>>, w int, word string, times bigint")
+
+
+def tokenised(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(id, word, times, joins, a, a_ends, b, b_ends) of rows (word, times); a word whose tokens of A or B do not join to it has none."""
+    schema = pa.schema([("id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("joins", pa.bool_()), ("a", _INTS), ("a_ends", _INTS), ("b", _INTS), ("b_ends", _INTS)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, begin = pair(a_path, b_path), TaskContext.get().partitionId() << 40
+        for got in batches:
+            joins, *sides = both.words(got.column(0).to_pylist())
+            columns = [_lists(side[c], side[2]) for side in sides for c in (0, 1)]
+            ids = pa.array(range(begin, begin + got.num_rows), pa.int64())
+            begin += got.num_rows
+            yield pa.RecordBatch.from_arrays([ids, got.column(0), got.column(1), pa.array(joins), *columns], schema=schema)
 
     ints = "array<int>"
-    return rows.mapInArrow(run, f"batch bigint, docs array<struct<key: {kind}, n_a: bigint, n_b: bigint, words: {ints}>>, w int, times bigint, a {ints}, a_ends {ints}, b {ints}, b_ends {ints}")
+    return words.select("word", "times").mapInArrow(run, f"id bigint, word string, times bigint, joins boolean, a {ints}, a_ends {ints}, b {ints}, b_ends {ints}")
+
+
+def without_broken(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``known`` words with ``times`` less those in texts with a word that does not join; found: what ``numbered`` gives."""
+    listed = found.where("word is not null").select("batch", "w", "word")
+    broken = listed.join(known.where("not joins").select("word"), "word", "left_semi").groupBy("batch").agg(F.collect_set("w").alias("broken"))
+    docs = found.where("docs is not null").join(broken, "batch").select("batch", "broken", F.explode("docs.words").alias("words")).where(F.arrays_overlap("words", "broken"))
+    less = docs.select("batch", F.explode("words").alias("w")).groupBy("batch", "w").agg(F.count("*").alias("n"))
+    less = less.join(listed, ["batch", "w"]).groupBy("word").agg(F.sum("n").alias("n"))
+    return known.join(less, "word", "left").withColumn("times", F.col("times") - F.coalesce("n", F.lit(0))).drop("n")
 
 
 #: Added to the numbers of B tokens in marks, so that at a cut A comes first.
 _SIDE = 1 << 30
-#: Words of more marks than this have their cuts found in the sorted marks, shorter ones by looking for each.
+#: Words of more tokens than this have their cuts found in the sorted marks, shorter ones by looking for each.
 _SHORT = 64
-_MARKS = "array<struct<end: int, number: int>>"
 
 
-def with_marks(words: DataFrame) -> DataFrame:
-    """Beside (a, a_ends, b, b_ends) the cuts, and the marks in order."""
-    side = lambda ends, base: F.arrays_zip(ends, F.sequence(F.lit(base), F.size(ends) - 1 + base)).cast(_MARKS)
-    return words.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "marks": F.sort_array(F.concat(side(F.col("a_ends"), 0), side(F.col("b_ends"), _SIDE)))})
+def _packed(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def marks() -> Column:
+    """Of (a_ends, b_ends) the ends of both sides in order, each in the high half with its token's number in the low one."""
+    side = lambda ends, base: F.zip_with(ends, F.sequence(F.lit(base), F.size(ends) - 1 + base), _packed)
+    return F.sort_array(F.concat(side("a_ends", 0), side("b_ends", _SIDE)))
+
+
+def _closes(own: Column, m: Column, r: Column) -> Column:
+    """Whether a mark is B's at the same end as A's before it."""
+    return (_low(m) >= _SIDE) & F.coalesce(F.shiftright(F.get(own, r - 1), 32) == F.shiftright(m, 32), F.lit(False))
 
 
 def with_links(words: DataFrame) -> DataFrame:
@@ -210,36 +236,36 @@ def with_links(words: DataFrame) -> DataFrame:
 
     Of a mark's rank as many as are not its own side's before it are the other side's, which gives the number of the token there.
     """
-    each = words.select("*", F.posexplode("marks").alias("r", "m"))
-    second = (F.col("m.number") >= _SIDE) & F.coalesce(F.get("marks", F.col("r") - 1)["end"] == F.col("m.end"), F.lit(False))
-    of_a = F.when(F.col("m.number") < _SIDE, F.col("m.number")).otherwise(F.col("r") - F.col("m.number") + _SIDE)
-    return each.where(~second).withColumn("link", _packed(F.get("a", of_a), F.get("b", F.col("r") - of_a))).drop("r", "m")
-
-
-def _packed(high: Column, low: Column) -> Column:
-    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+    each = words.withColumn("marks", marks()).select("*", F.posexplode("marks").alias("r", "m"))
+    number = _low(F.col("m"))
+    of_a = F.when(number < _SIDE, number).otherwise(F.col("r") - number + _SIDE).cast("int")
+    return each.where(~_closes(F.col("marks"), F.col("m"), F.col("r"))).withColumn("link", _packed(F.get("a", of_a), F.get("b", F.col("r") - of_a))).drop("r", "m", "marks")
 
 
 def groups_of() -> Column:
-    """Of (a, a_ends, b, b_ends, cuts, marks) the groups as ``a1,a2|b1;a3|b2,b3``."""
+    """Of (a, a_ends, b, b_ends, cuts) the groups as ``a1,a2|b1;a3|b2,b3``."""
     ids = lambda c: F.array_join(c.cast("array<string>"), ",")
 
-    # a side's ids in one text with its groups apart
-    def split(side: str) -> Column:
-        marked = F.transform(f"{side}_ends", lambda e, i: F.concat(F.get(side, i).cast("string"), F.when(F.array_contains("cuts", e), ";").otherwise(",")))
-        return F.split(F.array_join(marked, ""), ";")
+    # tells how many tokens of each side end up to each cut, and joins what lies between
+    def joined(a_at: Column, b_at: Column) -> Column:
+        def piece(of: str, at: Column, k: Column) -> Column:
+            before = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+            return ids(F.slice(of, before + 1, F.get(at, k) - before))
+
+        each = lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), lambda k: F.concat(piece("a", at["a"], k), F.lit("|"), piece("b", at["b"], k))), ";")
+        return F.transform(F.array(F.struct(a_at.alias("a"), b_at.alias("b"))), each)[0]
 
-    looked_for = F.slice(F.zip_with(split("a"), split("b"), lambda x, y: F.concat(x, F.lit("|"), y)), 1, F.size("cuts"))
+    place = lambda ends: F.transform("cuts", lambda c: F.array_position(ends, c).cast("int"))
+    looked_for = joined(place("a_ends"), place("b_ends"))
 
-    # the numbers of the tokens that end at a cut, from the marks of B there
-    at_cut = lambda m, r: (m["number"] >= _SIDE) & F.coalesce(F.get("marks", r - 1)["end"] == m["end"], F.lit(False))
-    both = F.transform("marks", lambda m, r: F.when(at_cut(m, r), F.struct((r - 1 - m["number"] + _SIDE).alias("a"), (m["number"] - _SIDE).alias("b"))))
-    cut_at = lambda at, side, k: F.when(k < 0, 0).otherwise(F.get(at, k)[side] + 1)
-    piece = lambda at, side, k: ids(F.slice(side, cut_at(at, side, k - 1) + 1, cut_at(at, side, k) - cut_at(at, side, k - 1)))
-    found = F.transform(F.array(F.array_compact(both)), lambda at: F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), lambda k: F.concat(piece(at, "a", k), F.lit("|"), piece(at, "b", k))))[0]
+    # from the marks of B at cuts
+    def found(own: Column) -> Column:
+        at = F.filter(F.transform(own, lambda m, r: F.when(_closes(own, m, r), F.struct((r - _low(m) + _SIDE).cast("int").alias("a"), (_low(m) - _SIDE + 1).cast("int").alias("b")))), lambda x: x.isNotNull())
+        return F.transform(F.array(at), lambda x: joined(x["a"], x["b"]))[0]
 
+    in_marks = F.transform(F.array(marks()), found)[0]
     whole = F.concat(ids(F.col("a")), F.lit("|"), ids(F.col("b")))
-    return F.when(F.size("cuts") == 1, whole).when(F.size("marks") <= _SHORT, F.array_join(looked_for, ";")).otherwise(F.array_join(found, ";"))
+    return F.when(F.size("cuts") == 1, whole).when(F.size("a") + F.size("b") <= _SHORT, looked_for).otherwise(in_marks)
 
 
 def counts(links: DataFrame) -> DataFrame:
@@ -252,39 +278,48 @@ def counts(links: DataFrame) -> DataFrame:
 def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOKENIZERS}/{B}", key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each row; groups as ``a1,a2|b1;a3|b2,b3``."""
     work = Workspace(df.sparkSession, "alignment")
-    found = work.put("tokens", tokenised(df, a_path, b_path, key, text))
-    words = with_marks(found.where("w is not null").drop("docs"))
+    found = work.put("numbers", numbered(df, a_path, b_path, key, text), compression=_CODEC)
+    listed = found.where("word is not null").drop("docs")
+    vocabulary = work.put("tokens", tokenised(listed.groupBy("word").agg(F.sum("times").alias("times")), a_path, b_path), compression=_CODEC)
+    if not vocabulary.where("not joins").isEmpty():
+        vocabulary = work.put("corrected", without_broken(vocabulary, found))
+    words = vocabulary.where("joins")
     links = with_links(words)
-    n = work.put("counts", counts(links.select("link", "times")))
+    n = work.put("counts", counts(links.where("times > 0").select("link", "times")))
     known = F.broadcast(n.orderBy(F.desc("n"), "link").limit(hot).withColumnRenamed("link", "_link"))
     few = n.limit(hot + 1).count() <= hot
-    met = links.select("batch", "w", "link").join(known, F.col("link") == F.col("_link"), "inner" if few else "left")
-    often = met.where("n is not null").select("batch", "w", F.when(F.col("best"), 1).otherwise(0).cast("long").alias("n_best"), F.col("n").alias("count_sum"))
-    rare = met.where("n is null").groupBy("batch", "w", "link").agg(F.count("*").alias("times")).join(n, "link")
-    rare = rare.select("batch", "w", F.when(F.col("best"), F.col("times")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("times")).alias("count_sum"))
+    # a word that is in broken texts only has pairs without a count
+    met = links.where("times > 0").select("id", "link").join(known, F.col("link") == F.col("_link"), "inner" if few else "left")
+    often = met.where("n is not null").select("id", F.when(F.col("best"), 1).otherwise(0).cast("long").alias("n_best"), F.col("n").alias("count_sum"))
+    rare = met.where("n is null").groupBy("id", "link").agg(F.count("*").alias("times")).join(n, "link")
+    rare = rare.select("id", F.when(F.col("best"), F.col("times")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("times")).alias("count_sum"))
     both = often if few else often.unionByName(rare)
-    summed = work.put("sums", both.groupBy("batch", "w").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
-    own = words.select("batch", "w", F.size("cuts").alias("n_groups"), groups_of().alias("groups"))
-    # a batch's words are bounded, and so are the arrays; each word has a link, so a word's number is its place in both
-    listed = lambda df, *columns: df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", *columns))).alias("of")).select("batch", *(F.col(f"of.{c}").alias(c) for c in columns))
-    arrays = listed(own, "n_groups", "groups").join(listed(summed, "n_best", "count_sum"), "batch")
-    # two small numbers in one, so that a text adds up two arrays instead of three
-    arrays = arrays.select(F.col("batch").alias("_batch"), F.zip_with("n_groups", "n_best", _packed).alias("small"), "count_sum", "groups")
+    summed = both.groupBy("id").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    # two small numbers in one, so that a text adds up three arrays instead of five
+    own = words.withColumn("cuts", F.array_intersect("a_ends", "b_ends")).select("id", "word", F.size("cuts").alias("n_groups"), _packed(F.size("a"), F.size("b")).alias("sizes"), groups_of().alias("groups"))
+    own = work.put("words", own.join(summed, "id").select("word", "sizes", _packed(F.col("n_groups"), F.col("n_best")).alias("small"), "count_sum", "groups"), compression=_CODEC)
+    work.drop("tokens", "corrected", "counts")
+    # every word of a batch has its place in the arrays, those without tokens with nulls, which the sums of their texts take on
+    each = listed.select("batch", "w", "word").join(own, "word", "left")
+    of = ("sizes", "small", "count_sum", "groups")
+    arrays = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", *of))).alias("of")).select(F.col("batch").alias("_batch"), *(F.col(f"of.{c}").alias(c) for c in of))
     texts = found.where("docs is not null").select("batch", "docs").join(arrays, F.col("batch") == F.col("_batch"), "left")
     return _texts(texts).withColumnRenamed("key", key)
 
 
 def _texts(batches: DataFrame) -> DataFrame:
-    """The rows of the texts, from the numbers of their words and the arrays of the words' sums."""
+    """The rows of the texts, from the numbers of their words and the arrays of the words' sums; zeros where a sum is null."""
 
     def total(doc: Column, of: str) -> Column:
         return F.aggregate(doc["words"], F.lit(0).cast("long"), lambda so_far, w: so_far + F.get(of, w))
 
     def row(doc: Column) -> Column:
         groups = F.array_join(F.transform(doc["words"], lambda w: F.get("groups", w)), ";")
-        return F.struct(doc["key"].alias("key"), doc["n_a"].alias("n_a"), doc["n_b"].alias("n_b"), total(doc, "small").alias("small"), total(doc, "count_sum").alias("count_sum"), groups.alias("groups"))
+        return F.struct(doc["key"].alias("key"), *(total(doc, c).alias(c) for c in ("sizes", "small", "count_sum")), groups.alias("groups"))
 
-    rows = batches.select(F.explode(F.transform("docs", row)).alias("d")).select("d.*").withColumn("n_groups", F.shiftright("small", 32))
+    rows = batches.select(F.explode(F.transform("docs", row)).alias("d")).select("d.key", *(F.coalesce(f"d.{c}", F.lit(0)).alias(c) for c in ("sizes", "small", "count_sum")), F.when(F.col("d.sizes").isNull(), "").otherwise(F.col("d.groups")).alias("groups"))
+    low = lambda c: F.expr(f"{c} & 4294967295")
+    rows = rows.select("key", F.shiftright("sizes", 32).alias("n_a"), low("sizes").alias("n_b"), F.shiftright("small", 32).alias("n_groups"), low("small").alias("n_best"), "count_sum", "groups")
     # each stretch between two ends is a link, and the ends at cuts are of both sides
     n_links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
-    return rows.select("key", "n_a", "n_b", "n_groups", n_links.alias("n_links"), F.expr("small & 4294967295").alias("n_best"), "count_sum", "groups")
+    return rows.select("key", "n_a", "n_b", "n_groups", n_links.alias("n_links"), "n_best", "count_sum", "groups")

@@ -53,9 +53,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, **options: str) -> DataFrame:
         with step_settings(self.spark):
-            df.write.parquet(self.path(name))
+            df.write.parquet(self.path(name), **options)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
