@@ -282,7 +282,7 @@ def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOK
     listed = found.where("word is not null").drop("docs")
     vocabulary = work.put("tokens", tokenised(listed.groupBy("word").agg(F.sum("times").alias("times")), a_path, b_path), compression=_CODEC)
     if not vocabulary.where("not joins").isEmpty():
-        vocabulary = work.put("corrected", without_broken(vocabulary, found))
+        vocabulary = work.put("corrected", without_broken(vocabulary, found), compression=_CODEC)
     words = vocabulary.where("joins")
     links = with_links(words)
     n = work.put("counts", counts(links.where("times > 0").select("link", "times")))
@@ -300,8 +300,10 @@ def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOK
     own = work.put("words", own.join(summed, "id").select("word", "sizes", _packed(F.col("n_groups"), F.col("n_best")).alias("small"), "count_sum", "groups"), compression=_CODEC)
     work.drop("tokens", "corrected", "counts")
     # every word of a batch has its place in the arrays, those without tokens with nulls, which the sums of their texts take on
-    each = listed.select("batch", "w", "word").join(own, "word", "left")
+    # rows of a word lie together in the table, which leaves little of them there
     of = ("sizes", "small", "count_sum", "groups")
+    each = work.put("each", listed.select("batch", "w", "word").join(own, "word", "left").select("batch", "w", *of), compression=_CODEC)
+    work.drop("words")
     arrays = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", *of))).alias("of")).select(F.col("batch").alias("_batch"), *(F.col(f"of.{c}").alias(c) for c in of))
     texts = found.where("docs is not null").select("batch", "docs").join(arrays, F.col("batch") == F.col("_batch"), "left")
     return _texts(texts).withColumnRenamed("key", key)
