@@ -64,7 +64,7 @@ LEFT JOIN opn ON opn.book_id = m.book_id AND opn.page_number = m.page_number LEF
 )
 def _(lib: Library) -> DataFrame:
     """Page orders with volume marks and counts of all books; books of fewer pages per volume list pages only."""
-    counts = citing.cited_counts(lib.pages, lib.places, lib.groups, citing.counted(lib.citations, aliases(lib), lib.checks))
+    counts = citing.cited_counts(lib.pages, lib.places, lib.groups, citing.counting(lib.citations, aliases(lib), lib.checks), aliases(lib))
     return layout.page_order(lib.pages, volumes(lib), counts)
 
 
@@ -310,9 +310,8 @@ def _(lib: Library) -> DataFrame:
 @query("s16_invalidate", f"""WITH q AS (SELECT a.book_id, c.id AS citation_id FROM m_citations c JOIN (SELECT id AS book_id, id AS cited_id FROM m_books UNION SELECT book_id, alternate_id FROM m_alternate_ids) a ON a.cited_id = c.reference_book_id WHERE c.id % 2 = 0)
 SELECT book_id, page_number FROM m_pages p WHERE NOT EXISTS (SELECT 1 FROM q JOIN m_groups g ON g.citation_id = q.citation_id AND g.part1_type = 'page' WHERE q.book_id = p.book_id AND CASE WHEN regexp_matches(p.printed, '^[0-9]+$') THEN CAST(p.printed AS BIGINT) END = g.part1_value)""")
 def _(lib: Library) -> DataFrame:
-    a = aliases(lib)
-    changed = lib.citations.where("id % 2 = 0").join(a, F.col("reference_book_id") == F.col("cited_id")).select("book_id", F.col("id").alias("citation_id"))
-    return citing.invalidated(lib.pages, lib.pages, lib.groups, changed).select("book_id", "page_number")
+    changed = citing.pointing(lib.citations.where("id % 2 = 0"))
+    return citing.invalidated(lib.pages, lib.pages, lib.groups, changed, aliases(lib)).select("book_id", "page_number")
 
 
 @query("s19_append", "SELECT id, name FROM m_authors UNION ALL SELECT (SELECT max(id) FROM m_authors) + row_number() OVER (ORDER BY title), title FROM (SELECT DISTINCT title FROM m_books) AS t")
