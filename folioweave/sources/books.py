@@ -15,6 +15,9 @@ from ..operators.editions import pages as pages_of_editions
 from ..operators.editions import song_pages as pages_of_songs
 from .archives import register
 
+#: Pages of one frame from Python, at least where more are to come.
+FRAME = 5_000
+
 SCAN = "map<string, array<struct<page: int, blocks: array<struct<label: string, html: string, reading_order: int, bbox: array<double>>>>>>"
 
 
@@ -42,6 +45,11 @@ def edition_texts(files: DataFrame) -> DataFrame:
     return marked.where("head is null").select("path", "book", "position", "paragraph")
 
 
+def _spread(files: DataFrame, *by: str) -> DataFrame:
+    """Files dealt to all tasks by path, or by the columns given: a table of them may come as a partition or two, which is little to read and long to parse."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(by or ("path",)))
+
+
 def thml_divs(files: DataFrame) -> DataFrame:
     """(path, div, parent, level, id, title, short_title, kind, own) of (path, xml): the divs of each file in reading order.
 
@@ -53,7 +61,7 @@ def thml_divs(files: DataFrame) -> DataFrame:
             rows = [(path, *d) for path, xml in zip(f.path, f.xml, strict=True) for d in thml.divs(xml or "")]
             yield pd.DataFrame(rows, columns=["path", "div", "parent", "level", "id", "title", "short_title", "kind", "own"])
 
-    return files.select("path", "xml").mapInPandas(run, "path string, div int, parent int, level int, id string, title string, short_title string, kind string, own string")
+    return _spread(files.select("path", "xml")).mapInPandas(run, "path string, div int, parent int, level int, id string, title string, short_title string, kind string, own string")
 
 
 def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
@@ -125,11 +133,16 @@ def _books(files: DataFrame, column: str, read) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in "path, book_id, title, author, page_number, printed, parts, also, blocks".split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for f in frames:
             for path, content in zip(f["path"], f[column], strict=True):
-                yield pd.DataFrame([row for book in read(path, content) for row in _rows(path, book)], columns=names)
+                rows += (row for book in read(path, content) for row in _rows(path, book))
+                if len(rows) >= FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", column).mapInPandas(run, PAGES)
+    return _spread(files.select("path", column)).mapInPandas(run, PAGES)
 
 
 def volume_pages(files: DataFrame, authors: dict[str, dict] = VOLUME_AUTHORS) -> DataFrame:
@@ -166,7 +179,7 @@ def edition_pages(documents: DataFrame, author: str, **reading) -> DataFrame:
     """Pages of works in documents (path, document, name, xhtml); the path's name gives id and title."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
     title = F.replace(stem, F.lit("_"), F.lit(" "))
-    found = pages_of_editions(documents, title, **reading)
+    found = pages_of_editions(_spread(documents, "path", "document"), title, **reading)
     book_id = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return found.select("path", book_id.alias("book_id"), title.alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
@@ -178,7 +191,7 @@ def epub_pages(spark: SparkSession, path: str, author: str, **reading) -> DataFr
 
 def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:
     """Pages of HTML editions (path, html) of songs and prose."""
-    found = pages_of_songs(files, title)
+    found = pages_of_songs(_spread(files), title)
     return found.select("path", F.lit(book_id).alias("book_id"), F.lit(title).alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
 

@@ -81,3 +81,9 @@ def test_files(spark, tmp_path):
     assert [(r.book, r.paragraph) for r in got] == [("I", "First paragraph."), ("I", "Second."), ("II", "Third.")]
     marked = books.marked_blocks(spark.createDataFrame([(1, "Dionysius says (Coel. Hier. xii)"), (2, None)], "key long, thml string")).collect()
     assert {r.key: len(r.footnotes) for r in marked} == {"1": 1, "2": 0}
+
+
+def test_files_of_one_partition_are_parsed_by_all_tasks(spark):
+    files = spark.createDataFrame([(f"v{i}.xml", "<ThML.body></ThML.body>") for i in range(40)], "path string, xml string").coalesce(1)
+    parsed = [books.thml_divs(files), books.volume_pages(files), books.summa_pages(files), books.bible_pages(files)]
+    assert files.rdd.getNumPartitions() == 1 and min(p.rdd.getNumPartitions() for p in parsed) > 1
