@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioweave.operators import citing
+from folioweave.operators import citing, insights
 
 PART = "array<struct<type: string, value: int>>"
 KINDS = ("cited_counts", "cited_ways", "set_matches", "prefix_matches", "number_matches", "counted", "citations_of_pages", "page_sources")
@@ -104,3 +104,22 @@ def test_counts_move_by_what_changed(spark):
     counts, gone, new, want = (citing.cited_counts(t["pages"], t["places"], t["groups"], of, t["aliases"]) for of in (before, *citing.count_changes(before, after), after))
     assert sorted(map(tuple, citing.moved(counts, gone, new).collect())) == sorted(map(tuple, want.collect()))
     assert gone.agg(F.sum("n")).first()[0] and new.agg(F.sum("n")).first()[0]
+
+
+def test_insights_of_a_keyword_on_many_pages(spark):
+    pages = spark.createDataFrame([(i, f"a large economy {i} small" if i % 2 else f"the economy {i}") for i in range(400)], "page_id long, text string")
+    known = spark.createDataFrame([(i, 5) for i in range(400)], "id long, score int")
+    words = spark.createDataFrame([(i, w) for i in range(400) for w in ("Economy", "SMALL", "large economy", "nowhere")[i % 4 :]], "id long, keyword string")
+    sc, was = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = insights.for_pages(pages, known, words).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("insight_id").alias("d")).collect()
+        sc.setJobGroup("insights", "insights")
+        insights.for_pages(pages, known, words).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.page_id, r.n, r.d) for r in got} == {(i, n, n) for i in range(400) for n in [300 if i % 2 else 100]}
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("insights") for s in tracker.getJobInfo(j).stageIds}
+    assert max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 400 * 400 / 8
