@@ -4,9 +4,10 @@
     spark.read.format("epub").load(folder)           # (path, document, name, xhtml), documents in the order of the archive
     documents.write.format("epub").save(folder)      # an archive for each path
 
-Archives are listed on the driver by their tables of contents alone; a partition is documents of a bounded size together: small
-archives share one, and a large one is read by several tasks. Equality filters on ``path`` and ``name`` are applied to the
-listing, before any document is read. Files are found and opened through ``pyarrow.fs``, which has local, HDFS and object stores.
+Archives are listed on the driver, folder by folder, by their names and sizes; tasks open them. A partition is archives of a bounded
+size together, their names packed; a large archive is read by several tasks, each a share of its documents. Equality filters on ``path`` are
+applied to the listing, those on ``name`` to the tables of contents, before any document is read. Archives are written into folders by a hash
+of their names, so that no folder has them all. Files are found and opened through ``pyarrow.fs``, which has local, HDFS and object stores.
 
 Defined results: members that are no (X)HTML are passed over; bytes that are no UTF-8 are replaced; an empty archive or folder has no
 rows; a file that is no archive fails the read, with its name.
@@ -18,6 +19,7 @@ import posixpath
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,10 @@ SCHEMA = "path string, document int, name string, xhtml string"
 _DOCUMENT = re.compile(r"\.x?html?$")
 #: A partition has about this many bytes of documents.
 PARTITION_BYTES = 16 << 20
-#: Opening an archive counts as so many bytes more.
-OPENING_BYTES = 64 << 10
+#: Opening an archive counts as so many bytes more; documents are so many times larger than in the archive, about.
+OPENING_BYTES, PACKED = 64 << 10, 4
+#: Archives are written into so many folders; what a task has not committed is in one with this beginning.
+FOLDERS, HIDDEN = 256, "_temporary-"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -39,14 +43,35 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Documents(InputPartition):
-    """Some documents of some archives: of each archive the (position, name) of its documents."""
+class Archives(InputPartition):
+    """Some archives of a folder, by name; or a share, one of several, of the documents of a large one."""
 
-    archives: dict[str, list[tuple[int, str]]]
+    folder: str
+    packed: bytes
+    share: int
+    shares: int
 
-    def __init__(self, archives: dict[str, list[tuple[int, str]]]):
+    def __init__(self, folder: str, names: list[str], share: int = 0, shares: int = 1):
         super().__init__(0)
-        self.archives = archives
+        self.folder, self.packed, self.share, self.shares = folder, zlib.compress("\n".join(names).encode()), share, shares
+
+    @property
+    def names(self) -> list[str]:
+        return zlib.decompress(self.packed).decode().split("\n")
+
+
+def _archives(store: fs.FileSystem, root: str) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """Each folder at a path with its archives' (name, bytes) in order; one folder's are held at a time."""
+    about = store.get_file_info(root)
+    if about.type == fs.FileType.File:
+        yield posixpath.dirname(root), [(posixpath.basename(root), about.size)] if root.endswith(".epub") else []
+        return
+    folders = [root]
+    while folders:
+        folder = folders.pop()
+        found = store.get_file_info(fs.FileSelector(folder))
+        folders += sorted((f.path for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(HIDDEN)), reverse=True)
+        yield folder, sorted((f.base_name, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".epub"))
 
 
 class EpubReader(DataSourceReader):
@@ -62,57 +87,63 @@ class EpubReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Documents]:
+    def partitions(self) -> list[Archives]:
         store, root = _opened(self.root)
-        about = store.get_file_info(root)
-        found = [about] if about.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        out: list[Documents] = []
-        size, some = 0, {}
-        for file in sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(".epub")), key=lambda f: f.path):
-            if self.wanted.get("path", posixpath.basename(file.path)) != posixpath.basename(file.path):
-                continue
-            try:
-                with store.open_input_file(file.path) as raw, zipfile.ZipFile(raw) as archive:
-                    members = [m for m in archive.infolist() if _DOCUMENT.search(m.filename)]
-            except zipfile.BadZipFile as e:
-                raise ValueError(f"{file.path} is no archive") from e
-            size += OPENING_BYTES
-            for i, m in enumerate(members):
-                if self.wanted.get("name", m.filename) == m.filename:
-                    some.setdefault(file.path, []).append((i, m.filename))
-                    size += m.file_size
-                if some and size >= self.size:
-                    out.append(Documents(some))
-                    size, some = 0, {}
-        return [*out, *([Documents(some)] if some else [])]
-
-    def read(self, partition: Documents) -> Iterator[tuple]:
-        if not isinstance(partition, Documents):  # Spark reads an empty listing as one partition of nothing
+        out: list[Archives] = []
+        for folder, found in _archives(store, root):
+            some, size = [], 0
+            for name, packed in found:
+                if self.wanted.get("path", name) != name:
+                    continue
+                shares = -(-packed * PACKED // self.size)
+                if shares > 1:
+                    out += [Archives(folder, [name], i, shares) for i in range(shares)]
+                    continue
+                some.append(name)
+                size += OPENING_BYTES + packed * PACKED
+                if size >= self.size:
+                    out.append(Archives(folder, some))
+                    some, size = [], 0
+            if some:
+                out.append(Archives(folder, some))
+        return out
+
+    def read(self, partition: Archives) -> Iterator[tuple]:
+        if not isinstance(partition, Archives):  # Spark reads an empty listing as one partition of nothing
             return
         store, _ = _opened(self.root)
-        for path, members in partition.archives.items():
-            with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
-                for i, name in members:
-                    yield posixpath.basename(path), i, name, archive.read(name).decode("utf-8", "replace")
+        for name in partition.names:
+            path = posixpath.join(partition.folder, name)
+            try:
+                with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
+                    documents = [m for m in archive.infolist() if _DOCUMENT.search(m.filename)]
+                    whole, before = sum(m.file_size for m in documents) or 1, 0
+                    for i, m in enumerate(documents):
+                        # a document is in the share in which it begins
+                        share = min(before * partition.shares // whole, partition.shares - 1)
+                        before += m.file_size
+                        if share == partition.share and self.wanted.get("name", m.filename) == m.filename:
+                            yield name, i, m.filename, archive.read(m).decode("utf-8", "replace")
+            except zipfile.BadZipFile as e:
+                raise ValueError(f"{path} is no archive") from e
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Archives of one task: (temporary path, path)."""
+    """The folder in which a task has left its archives, None if it had none."""
 
-    files: list[tuple[str, str]]
+    folder: str | None
 
 
 class EpubWriter(DataSourceWriter):
-    """Writes beside the folder's archives first; the commit moves what the tasks that count have written."""
+    """Tasks write into folders of their own; the commit moves the archives of the tasks that count to their places."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.root, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator) -> Written:
         store, root = _opened(self.root)
-        store.create_dir(root)
-        done: list[tuple[str, str]] = []
+        hidden = f"{root}/{HIDDEN}{uuid.uuid4().hex}"
         now, archive, raw = None, None, None
         try:
             for row in iterator:
@@ -120,30 +151,44 @@ class EpubWriter(DataSourceWriter):
                     if archive:
                         archive.close()
                         raw.close()
-                    now, hidden = row["path"], f"{root}/_{uuid.uuid4().hex}"
-                    done.append((hidden, f"{root}/{now}"))
-                    raw = store.open_output_stream(hidden)
+                    else:
+                        store.create_dir(hidden)
+                    now = row["path"]
+                    raw = store.open_output_stream(f"{hidden}/{now}")
                     archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                 archive.writestr(zipfile.ZipInfo(row["name"]), row["xhtml"] or "")
         finally:
             if archive:
                 archive.close()
                 raw.close()
-        return Written(done)
+        return Written(hidden if archive else None)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _opened(self.root)
-        if self.overwrite and store.get_file_info(root).type == fs.FileType.Directory:
-            for f in store.get_file_info(fs.FileSelector(root)):
-                if f.path.endswith(".epub"):
-                    store.delete_file(f.path)
-        for hidden, path in (f for m in messages if m for f in m.files):
-            store.move(hidden, path)
+        store.create_dir(root)
+        if self.overwrite:
+            for folder, found in _archives(store, root):
+                if folder == root or re.fullmatch(r"[0-9a-f]{2}", posixpath.basename(folder)):
+                    for name, _ in found:
+                        store.delete_file(f"{folder}/{name}")
+        # archives that others have put beside the folders give way to those of the same name
+        beside = {f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
+        made: set[str] = set()
+        for hidden in (m.folder for m in messages if m and m.folder):
+            for file in store.get_file_info(fs.FileSelector(hidden)):
+                folder = f"{root}/{zlib.crc32(file.base_name.encode()) % FOLDERS:02x}"
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                store.move(file.path, f"{folder}/{file.base_name}")
+                if file.base_name in beside:
+                    store.delete_file(f"{root}/{file.base_name}")
+            store.delete_dir(hidden)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = _opened(self.root)
-        for hidden, _path in (f for m in messages if m for f in m.files):
-            store.delete_file(hidden)
+        for hidden in (m.folder for m in messages if m and m.folder):
+            store.delete_dir(hidden)
 
 
 class EpubSource(DataSource):

@@ -181,6 +181,24 @@ def test_epub_source(spark, tmp_path):
         books.epub_documents(spark, str(tmp_path)).count()
 
 
+def test_epub_archives_are_opened_by_tasks(spark, tmp_path):
+    import pickle
+
+    from folioweave.sources import archives
+
+    n = 3000
+    rows = spark.range(n).select(F.format_string("b%d.epub", "id").alias("path"), F.lit(0).alias("document"), F.lit("d.xhtml").alias("name"), F.col("id").cast("string").alias("xhtml"))
+    books.write_epubs(rows, str(tmp_path))
+    assert max(sum(f.is_file() for f in d.iterdir()) for d in [tmp_path, *(d for d in tmp_path.iterdir() if d.is_dir())]) < n // 50
+    books.write_epubs(rows.where("id < 2").withColumn("xhtml", F.lit("again")), str(tmp_path))
+    (tmp_path / "bad.epub").write_text("none")  # is opened by a task, not for the listing
+    parts = archives.EpubReader({"path": str(tmp_path)}).partitions()
+    assert len(pickle.dumps(parts)) < 40 * n and sum(len(p.names) for p in parts) == n + 1
+    (tmp_path / "bad.epub").unlink()
+    got = {r.path: r.xhtml for r in books.epub_documents(spark, str(tmp_path)).collect()}
+    assert len(got) == n and got["b1.epub"] == "again" and got["b2.epub"] == "2" and books.epub_documents(spark, str(tmp_path)).count() == n
+
+
 def test_questions_summaries_and_what_is_stored(spark):
     from folioweave.operators import summaries
 
