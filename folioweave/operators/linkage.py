@@ -16,8 +16,8 @@ def same_books(pairs: DataFrame) -> DataFrame:
     return read.withColumn("same", X.same_author(F.col("author"), F.col("w_author")) & X.same_title(F.col("_c"), F.col("_o"))).drop("_c", "_o")
 
 
-def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
-    """(author, title, id): works that different (author, title) pairs may mean.
+def matching_titles(cited: DataFrame, works: DataFrame) -> DataFrame:
+    """(author, title, w_author, w_title): the different authors and titles of works that different (author, title) pairs may mean.
 
     A work's author has one of the key names of the cited one, and titles that are the same share a key (``title_keys``): pairs
     meet on both, so that a name with many works is as many keys. Works of the same author and title (editions, copies) are
@@ -28,9 +28,13 @@ def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
     known = works.select(F.col("author").alias("w_author"), F.col("title").alias("w_title")).distinct()
     known = known.select("w_author", "w_title", X.surnames(F.col("w_author")).alias("names"), X.title_forms(F.col("w_title")).alias("w_forms"))
     met = candidate_titles(pairs, known)
-    same = met.where(X.same_title(F.col("forms"), F.col("w_forms"))).select("author", "title", "w_author", "w_title")
+    return met.where(X.same_title(F.col("forms"), F.col("w_forms"))).select("author", "title", "w_author", "w_title")
+
+
+def matching_works(cited: DataFrame, works: DataFrame) -> DataFrame:
+    """(author, title, id): works that different (author, title) pairs may mean, every copy of each."""
     ids = works.select("id", F.col("author").alias("w_author"), F.col("title").alias("w_title"))
-    return same.join(ids, ["w_author", "w_title"]).select("author", "title", "id")
+    return matching_titles(cited, works).join(ids, ["w_author", "w_title"]).select("author", "title", "id")
 
 
 def candidate_titles(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -57,16 +61,21 @@ def match_cited_books(citations: DataFrame, books: DataFrame, queued: DataFrame)
 
     Of several matches the volume that the citation names counts, if any match is a volume; the first by id wins.
     Citations without much to go by are to be looked for; those that match something queued are neither.
+
+    Of books with the same author and title only the first can win, so those alone meet the titles; a citation meets the
+    winner of its author, title and volume, a row however many copies there are.
     """
     open_ = citations.where("reference_book_id is null").withColumn("skip", X.should_be_skipped(F.col("author"), F.col("title")))
     asked = open_.where(~F.col("skip")).withColumn("wanted", F.coalesce(X.volume_of(F.col("title")), X.volume_of(F.col("location"))))
-    named = books.select(F.col("id").alias("book_id"), X.volume_of(F.col("title")).alias("volume"))
-    hits = matching_works(asked, books).withColumnRenamed("id", "book_id").join(named, "book_id")
-    w = Window.partitionBy("citation_id")
-    met = asked.select(F.col("id").alias("citation_id"), "author", "title", "wanted").join(hits, ["author", "title"]).withColumn("any_volume", F.count("volume").over(w) > 0)
-    fit = met.where(F.col("wanted").isNull() | ~F.col("any_volume") | F.coalesce(F.col("volume") == F.col("wanted"), F.lit(False)))
-    links = fit.groupBy("citation_id").agg(F.min("book_id").alias("book_id"))
-    waiting = matching_works(asked, queued.withColumn("id", F.monotonically_increasing_id()) if "id" not in queued.columns else queued).select("author", "title").distinct()
+    firsts = books.groupBy(F.col("author").alias("w_author"), F.col("title").alias("w_title")).agg(F.min("id").alias("book_id")).withColumn("volume", X.volume_of(F.col("w_title")))
+    hits = matching_titles(asked, books).join(firsts, ["w_author", "w_title"])
+    # a pair's first book of each volume, of none as null
+    won = hits.groupBy("author", "title", "volume").agg(F.min("book_id").alias("book_id"))
+    won = won.groupBy("author", "title").agg(F.min("book_id").alias("first"), F.map_from_entries(F.collect_list(F.when(F.col("volume").isNotNull(), F.struct("volume", "book_id")))).alias("of"))
+    met = asked.select(F.col("id").alias("citation_id"), "author", "title", "wanted").join(won, ["author", "title"])
+    book = F.when(F.col("wanted").isNull() | (F.size("of") == 0), F.col("first")).otherwise(F.try_element_at("of", F.col("wanted")))
+    links = met.select("citation_id", book.alias("book_id")).where("book_id is not null").groupBy("citation_id").agg(F.min("book_id").alias("book_id"))
+    waiting = matching_titles(asked, queued).select("author", "title").distinct()
     rest = asked.drop("wanted").join(links, asked["id"] == links["citation_id"], "left_anti").join(waiting, ["author", "title"], "left_anti")
     return links, rest.select(*open_.columns).unionByName(open_.where("skip")).drop("skip")
 

@@ -167,6 +167,20 @@ def test_volumes_in_blocks(spark, tmp_path):
     assert got == sorted((name, *d) for name, xml in texts.items() for d in thml.divs(xml))
 
 
+def test_copies_of_a_book_do_not_meet_every_citation(spark):
+    copies = [(f"b{i:03}", "Migne, J.", "History of the Church") for i in range(200)]
+    volumes = [(f"v{i}{c}", "Newman, J.", f"Sermons on Faith, vol. {i}") for i in (1, 2) for c in "ab"]
+    books = spark.createDataFrame([*copies, *volumes], "id string, author string, title string")
+    named = [("J. Migne", "History of the Church"), ("J. Newman", "Sermons on Faith, vol. 2"), ("J. Newman", "Sermons on Faith, vol. 7"), ("J. Newman", "Sermons on Faith"), ("J. Migne", "Another Thing Altogether")]
+    rows = [(i, *named[i % 5], None, None) for i in range(500)]
+    citations = spark.createDataFrame(rows, "id long, author string, title string, location string, reference_book_id string")
+    links, rest = linkage.match_cited_books(citations, books, books.limit(0))
+    want = ["b000", "v2a", None, "v1a", None]
+    assert {r.citation_id: r.book_id for r in links.collect()} == {i: want[i % 5] for i in range(500) if want[i % 5]}
+    assert sorted(r.id for r in rest.collect()) == [i for i in range(500) if not want[i % 5]]
+    assert "Window" not in plan(links)  # citations times copies went through one
+
+
 def test_epub_source(spark, tmp_path):
     rows = [("a.epub", i, f"d{i:02}.xhtml", f"<p>{i}</p>" * 50) for i in range(12)] + [("b.epub", 0, "x.html", None), ("c.epub", 0, "notes.txt", "no document")]
     books.write_epubs(spark.createDataFrame(rows, "path string, document int, name string, xhtml string"), str(tmp_path))
