@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,16 +197,19 @@ def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataF
 
 
 def marked_blocks(blocks: DataFrame) -> DataFrame:
-    """(key, html, footnotes) of (key, thml): citations in the text numbered, each with its footnote."""
-    kind = "array<struct<identifier: string, kind: string, raw: string, citations: array<struct<author: string, title: string, location: string, raw: string, reference_book_id: string>>>>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [thml.marked(x or "") for x in f.thml]
-            notes = [[n | {"citations": [{k: v for k, v in c.items() if k != "passages"} for c in n["citations"]]} for n in notes] for _, notes in found]
-            yield pd.DataFrame({"key": f.key, "html": [h for h, _ in found], "footnotes": notes})
-
-    return blocks.select(F.col("key").cast("string").alias("key"), "thml").mapInPandas(run, f"key string, html string, footnotes {kind}")
+    """(key, html, footnotes) of (key, thml): citations in the text numbered, each with its footnote. A text that comes again in a batch is read once."""
+    cited = pa.struct([(c, pa.string()) for c in ("author", "title", "location", "raw", "reference_book_id")])
+    kind = pa.list_(pa.struct([("identifier", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("citations", pa.list_(cited))]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).dictionary_encode()
+            found = [thml.marked(x) for x in texts.dictionary.to_pylist()]
+            columns = (pa.array([h for h, _ in found], pa.string()), pa.array([n for _, n in found], kind))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(c.take(texts.indices) for c in columns)], names=["key", "html", "footnotes"])
+
+    rows = blocks.select(F.col("key").cast("string").alias("key"), F.coalesce("thml", F.lit("")).alias("thml"))
+    return rows.mapInArrow(run, f"key string, html string, footnotes array<struct<identifier: string, kind: string, raw: string, citations: array<{_CITATION}>>>")
 
 
 def file_stem(path: str) -> str:

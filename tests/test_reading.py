@@ -147,3 +147,54 @@ def test_answers(spark):
     answer = json.dumps({"footnotes": [{"identifier": "1", "citations": [cite, cite]}, {"identifier": "", "citations": []}], "additionalInsights": []})
     rows = scans.answered_citations(spark.createDataFrame([("b", 4, answer), ("b", 5, "no json")], "book_id string, page int, answer string")).collect()
     assert [(r.footnote, r.n, r.title, r.locations[0][0].values) for r in rows] == [("1", 0, "John", [3.0]), ("1", 1, "John", [3.0])]
+
+
+def test_texts_that_come_again_are_read_once_a_batch(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from folioweave.operators import reading, scans
+    from folioweave.sources import books
+
+    class Caught:
+        """Takes the function that a frame is given, to be run here."""
+
+        def __init__(self, kept):
+            self.kept = kept
+
+        columns = ("pattern", "prefix", "work")
+
+        def __getattr__(self, name):
+            return lambda *x, **y: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.kept.append(run)
+            return self
+
+    for of, name in ((reading.readers, "father_places"), (reading.readers, "summa_places"), (books.thml, "marked")):
+        n = []
+        read = getattr(of, name)
+        monkeypatch.setattr(of, name, lambda *x, read=read, n=n: n.append(x) or read(*x))
+        kept = []
+        if name == "father_places":
+            reading.father_places(Caught(kept))
+            batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.nulls(9, pa.string()), pa.array([f"c. {i % 3 + 1}" for i in range(9)]), *([pa.array([""] * 9)] * 2), pa.array([["chapter"]] * 9), *([pa.nulls(9, pa.string())] * 2)], names=list("abcdefgh"))
+            got = [p[0][0]["value"] for p in next(kept[0](iter([batch]))).column(2).to_pylist()]
+            assert got == [i % 3 + 1 for i in range(9)] and len(n) == 3
+        elif name == "summa_places":
+            reading.summa_places(Caught(kept))
+            raws = ["Summa Theol., 1a, q. 1", "Ibid., a. 2", "Ibid., a. 2", "Summa Theol., 1a, q. 3", "Ibid., a. 2", "Summa Theol., 1a, q. 1"]
+            batch = pa.RecordBatch.from_arrays([pa.array(["b"] * 6), pa.array(range(6)), pa.array(raws)], names=list("abc"))
+            got = [[p["value"] for p in x[0]] for x in next(kept[0](iter([batch]))).column(1).to_pylist()]
+            assert got == [[1, 1], [1, 1, 2], [1, 1, 2], [1, 3], [1, 3, 2], [1, 1]] and len(n) == 4
+        else:
+            books.marked_blocks(Caught(kept))
+            batch = pa.RecordBatch.from_arrays([pa.array(list("abcd")), pa.array(["(De Trin. i, 1)", "none", "(De Trin. i, 1)", ""])], names=["key", "thml"])
+            got = next(kept[0](iter([batch]))).to_pylist()
+            assert [len(r["footnotes"]) for r in got] == [1, 0, 1, 0] and got[0]["html"] == got[2]["html"] and len(n) == 3
+    want = np.arange(-20, 12000)
+    for c in (0, 3, 9, 10, 38, 109, 1880):
+        digits = lambda w: w >= 0 and len(str(w)) == len(str(c)) and [x for x in zip(str(c), str(w), strict=True) if x[0] != x[1]]  # noqa: B023, E731
+        assert scans.nearly(c, want).tolist() == [bool(d) and len(d) == 1 and "".join(d[0]) in scans.CONFUSED for d in map(digits, want.tolist())]
+    each = scans.nearly(np.array([[0], [38], [1880]]), want[None, :])
+    assert all((each[i] == scans.nearly(c, want)).all() for i, c in enumerate((0, 38, 1880)))
