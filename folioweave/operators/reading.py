@@ -23,6 +23,13 @@ def _arrow(places: list[readers.Place]) -> list[list[dict[str, object]]]:
     return [[{"type": t, "value": v} for t, v in p] for p in places if all(v <= 2147483647 for _, v in p)]
 
 
+def _numbered(asked: Iterable[tuple]) -> tuple[list[tuple], pa.Array]:
+    """The different ones of a batch, in the order in which they come, and the number of each; what comes again is read once."""
+    known: dict[tuple, int] = {}
+    at = [known.setdefault(x, len(known)) for x in asked]
+    return list(known), pa.array(at, pa.int64())
+
+
 def father_places(df: DataFrame) -> DataFrame:
     """(id, places) of (id, location, raw, title, types): the places that citations of a divided work give.
 
@@ -30,14 +37,17 @@ def father_places(df: DataFrame) -> DataFrame:
     the places that are read, ``work`` is returned with them.
     """
 
+    def read_place(loc: str | None, raw: str | None, title: str | None, types: tuple[str, ...], pattern: str | None, before: tuple[tuple[str, int], ...]) -> list:
+        found = readers.father_places(readers.location_text(loc or "", raw or "", title or "", pattern), list(types[len(before) :]))
+        return _arrow([[*before, *place] for place in found])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for loc, raw, title, types, pattern, prefix in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True):
-                before = [(p["type"], p["value"]) for p in prefix or []]
-                read = readers.father_places(readers.location_text(loc or "", raw or "", title or "", pattern), (types or [])[len(before) :])
-                found.append(_arrow([before + place for place in read]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _PLACES)], names=["id", "work", "places"])
+            loc, raw, title, types, pattern, prefix = (b.column(i).to_pylist() for i in range(2, 8))
+            asked = zip(loc, raw, title, (tuple(t or ()) for t in types), pattern, (tuple((p["type"], p["value"]) for p in x or ()) for x in prefix), strict=True)
+            known, at = _numbered(asked)
+            found = pa.array([read_place(*x) for x in known], _PLACES).take(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["id", "work", "places"])
 
     with_work = "work" in df.columns
     for name, kind in (("pattern", "string"), ("prefix", PARTS_SQL), ("work", "string")):
@@ -75,14 +85,21 @@ def summa_places(citations: DataFrame, order: tuple[str, ...] = ("source_page",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, before = None, None
         for b in batches:
-            out = []
+            # a text, with what came before it if that counts, is read once a batch
+            known: dict[tuple, int] = {}
+            read, lasts, out = [], [], []
             for of, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if of != book:
                     book, before = of, None
-                found = readers.summa_places(raw or "", before if readers.is_ibid(raw or "") else None)
-                before = readers.last_place(found) or before
-                out.append(_arrow(found))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, _PLACES)], names=["id", "places"])
+                asked = (raw or "", before if readers.is_ibid(raw or "") else None)
+                at = known.setdefault(asked, len(known))
+                if at == len(read):
+                    found = readers.summa_places(*asked)
+                    read.append(_arrow(found))
+                    lasts.append(readers.last_place(found))
+                before = lasts[at] or before
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(read, _PLACES).take(pa.array(out, pa.int64()))], names=["id", "places"])
 
     return sorted_.mapInArrow(run, f"id long, places {_PLACES_SQL}")
 
