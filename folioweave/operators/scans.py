@@ -25,6 +25,8 @@ CONFUSED = frozenset(("38", "83", "56", "65", "17", "71", "08", "80", "09", "90"
 READS, NEARLY, OTHERS, NEAR_COST, FAR_COST, NEAR = 2, 1, -1, 4, 30, 12
 #: Pages and their share with two numbers from which scans show two pages; pages beyond the outermost sure one.
 TWIN_PAGES, TWIN_SHARE, EDGE = 10, 0.4, 2
+#: So many pairs of a page and an offset are looked at together, about.
+CELLS = 100_000
 
 _ROMAN_PAGE = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 
@@ -54,13 +56,14 @@ _ALIKE = np.zeros((10, 10), bool)
 _ALIKE[[int(x[0]) for x in CONFUSED], [int(x[1]) for x in CONFUSED]] = True
 
 
-def nearly(read: int, wanted: np.ndarray) -> np.ndarray:
-    """Which of the wanted numbers differ from the one read in one digit that scanning confuses."""
-    places = 10 ** np.arange(len(str(read)))
-    wanted = np.atleast_1d(wanted)
-    a, b = read // places % 10, wanted[:, None] // places % 10
-    as_long = (wanted >= (places[-1] if read > 9 else 0)) & (wanted < 10 * places[-1])
-    return as_long & ((a != b).sum(1) == 1) & ((a == b) | _ALIKE[a, b]).all(1)
+def nearly(read: int | np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted numbers differ from the one read, or from those read (of a shape that goes with theirs), in one digit that scanning confuses."""
+    read, wanted = np.broadcast_arrays(np.asarray(read, np.int64), np.atleast_1d(wanted))
+    places = 10 ** np.arange(len(str(read.max(initial=0))))
+    top = places[np.maximum(np.searchsorted(places, read, side="right") - 1, 0)]
+    a, b = read[..., None] // places % 10, wanted[..., None] // places % 10
+    as_long = (wanted >= np.where(read > 9, top, 0)) & (wanted < 10 * top)
+    return as_long & ((a != b).sum(-1) == 1) & ((a == b) | _ALIKE[a, b]).all(-1)
 
 
 def near_numbers(read: Column, wanted: Column) -> Column:
@@ -71,12 +74,16 @@ def near_numbers(read: Column, wanted: Column) -> Column:
 
 
 def _gains(at: np.ndarray, numbers: list[list[int]], offsets: np.ndarray) -> np.ndarray:
-    """What each page (row) says for each offset (column)."""
+    """What each page (row) says for each offset (column); many pages at a time."""
     out = np.zeros((len(at), len(offsets)), np.int64)
-    for i, read in enumerate(numbers):
-        want = at[i] + offsets
-        each = [np.select([want == c, nearly(c, want)], [READS, NEARLY], OTHERS) for c in read]
-        out[i] = np.max(each, 0) if each else 0
+    some = np.array([i for i, read in enumerate(numbers) if read], np.int64)
+    step = max(CELLS // len(offsets), 1)
+    for pages in (some[i : i + step] for i in range(0, len(some), step)):
+        sizes = [len(numbers[i]) for i in pages]
+        read = np.array([c for i in pages for c in numbers[i]], np.int64)[:, None]
+        want = np.repeat(at[pages], sizes)[:, None] + offsets
+        each = np.select([want == read, nearly(read, want)], [READS, NEARLY], OTHERS)
+        out[pages] = np.maximum.reduceat(each, np.cumsum([0, *sizes[:-1]]), axis=0)
     return out
 
 
