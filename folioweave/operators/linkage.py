@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from .numbering import numbered
 
 
 def same_books(pairs: DataFrame) -> DataFrame:
-    """The pairs (author, title, w_author, w_title, ...) with ``same``: whether a citation's author and title mean the work."""
+    """The pairs (author, title, w_author, w_title, ...) with ``same``: whether a citation's author and title mean the work. Pairs that are the same are compared once."""
+    by = ("author", "title", "w_author", "w_title")
     asked = F.when(X.cited_title(F.col("title")) != "", X.cited_title(F.col("title"))).otherwise(F.col("title"))
-    read = pairs.select("*", X.title_forms(asked).alias("_c"), X.title_forms(F.col("w_title")).alias("_o"))
-    return read.withColumn("same", X.same_author(F.col("author"), F.col("w_author")) & X.same_title(F.col("_c"), F.col("_o"))).drop("_c", "_o")
+    read = pairs.select(*by).distinct().select(*by, X.title_forms(asked).alias("_c"), X.title_forms(F.col("w_title")).alias("_o"))
+    told = read.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), (X.same_author(F.col("author"), F.col("w_author")) & X.same_title(F.col("_c"), F.col("_o"))).alias("same"))
+    met = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)))
+    return pairs.join(told, met).select(*pairs.columns, "same")
 
 
 def matching_titles(cited: DataFrame, works: DataFrame) -> DataFrame:

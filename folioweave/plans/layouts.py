@@ -182,7 +182,7 @@ def _linkable(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
     writer = F.concat(F.lit("scribe"), (F.col("author_id") % 9).cast("string"))
     of = lib.books.select(F.col("id").alias("_s"), F.col("title").alias("_t"), writer.alias("_w"))
     named = lib.citations.join(of, F.col("source_book_id") == F.col("_s"))
-    cited = named.select("id", F.concat(F.lit("J. "), "_w").alias("author"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("A Lost Treatise on the "), "_t")).otherwise(F.concat(F.lit("The "), "_t", F.lit(" of old, vol. 2"))).alias("title"), "location", "reference_book_id")
+    cited = named.select("id", F.concat(F.lit("J. "), "_w").alias("author"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("A Lost Treatise on the "), "_t")).otherwise(F.concat(F.lit("The "), "_t", F.lit(" of old, vol. 2"))).alias("title"), "location", "reference_book_id", "source_book_id")
     books = lib.books.select("id", F.concat(F.initcap(writer), F.lit(", A.")).alias("author"), F.concat("title", F.lit(" of old: a study")).alias("title"))
     queued = lib.queue.select("id", "author", "title")
     return cited, books, queued
@@ -209,8 +209,7 @@ def _(lib: Library) -> DataFrame:
 def _(lib: Library) -> DataFrame:
     """Whether each citation means its own source: a lost treatise is not that book."""
     cited, books, _ = _linkable(lib)
-    of = lib.citations.select(F.col("id").alias("_c"), F.col("source_book_id").alias("_b"))
-    pairs = cited.join(of, F.col("id") == F.col("_c")).join(books.select(F.col("id").alias("_k"), F.col("author").alias("w_author"), F.col("title").alias("w_title")), F.col("_b") == F.col("_k"))
+    pairs = cited.join(books.select(F.col("id").alias("_k"), F.col("author").alias("w_author"), F.col("title").alias("w_title")), F.col("source_book_id") == F.col("_k"))
     return linkage.same_books(pairs.select("id", "author", "title", "w_author", "w_title")).select("id", "same")
 
 
