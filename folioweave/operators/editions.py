@@ -31,6 +31,11 @@ HEADING_WORDS, TINY, OPENING, CHAPTER_LETTERS, TITLE_LETTERS = 15, 30, 100, 200,
 _LEAF = "path string, document int, name string, leaf int, html string, text string, heading boolean, refs array<string>, bold string, anchor string"
 _NOTE = "path string, document int, name string, nth int, id string, number string, note string"
 _AT = ("path", "document")
+Table = Callable[[DataFrame], DataFrame]
+
+
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _each(documents: DataFrame, read: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
@@ -131,9 +136,12 @@ def _block(label: Column, html: Column) -> Column:
     return F.struct(label.alias("label"), html.alias("html"), F.array().cast(_CITATIONS).alias("citations"))
 
 
-def pages(documents: DataFrame, title: Column, **reading) -> DataFrame:
-    """(path, page_number, printed, parts, also, blocks) of documents (path, document, name, xhtml), a work a path; title: of a path."""
-    cut = segments(marked(_each(documents, editions.leaves, _LEAF)), **reading)
+def pages(documents: DataFrame, title: Column, table: Table = as_it_is, **reading) -> DataFrame:
+    """(path, page_number, printed, parts, also, blocks) of documents (path, document, name, xhtml), a work a path; title: of a path.
+
+    table: makes a table of what several steps read, so that documents are parsed once.
+    """
+    cut = segments(marked(table(_each(documents, editions.leaves, _LEAF))), **reading)
     of_work = Window.partitionBy("path")
     made = joined(without_contents(cut)).withColumn("has_books", F.bool_or(F.col("book").isNotNull()).over(of_work))
     made = made.withColumn("page_number", F.row_number().over(of_work.orderBy("document", "page"))).drop("page", "words")
@@ -187,15 +195,15 @@ def quotations(texts: DataFrame) -> DataFrame:
     return each.select("path", F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.lit(0)).alias("book"), roman_to_int(F.lower("q.prose")).alias("prose"), "nth", F.trim("q.source").alias("source"))
 
 
-def song_pages(files: DataFrame, title: str) -> DataFrame:
+def song_pages(files: DataFrame, title: str, table: Table = as_it_is) -> DataFrame:
     """(path, page_number, printed, parts, also, blocks) of HTML editions (path, html): a page for each song (metre) and prose section.
 
     Events are cut where a section starts; what stands before the first book, after an epilogue and among the references is in none. A
-    page has the notes it refers to, as it does, and a prose section the sources of its quotations.
+    page has the notes it refers to, as it does, and a prose section the sources of its quotations. table: as for ``pages``.
     """
     so_far = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.col("kind") == "book"
-    told = song_events(files).withColumn("book", F.last(F.when(head, F.col("n")), ignorenulls=True).over(so_far))
+    told = table(song_events(files)).withColumn("book", F.last(F.when(head, F.col("n")), ignorenulls=True).over(so_far))
     told = told.withColumn("over", F.max(head & F.col("name").rlike(r"^EPILOGUE\.?$")).over(so_far)).withColumn("listed", F.last(F.when(head, F.upper("name").startswith("REFERENCES TO QUOTATIONS")), ignorenulls=True).over(so_far))
     inside = told.where("book is not null and not over and not listed and kind in ('song', 'prose', 'text')").withColumn("page_number", F.count(F.when(F.col("kind") != "text", 1)).over(so_far).cast("int")).where("page_number > 0")
     sections = inside.where("kind <> 'text'").select("path", "page_number", "kind", "n", "name", "book")

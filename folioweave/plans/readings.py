@@ -10,7 +10,7 @@ from ..operators import reading, scans
 from ..sources import books
 from .model import Library
 from .registry import query
-from .session import folder
+from .session import folder, tables
 
 
 def _text(parts) -> F.Column:
@@ -362,7 +362,7 @@ def _(lib: Library) -> DataFrame:
     """An archive is written for each book, and all are read again by the data source."""
     path = folder(lib.spark, "epub")
     books.write_epubs(_epubs(lib), path)
-    return _pages(books.epub_pages(lib.spark, path, ""))
+    return _pages(books.epub_pages(lib.spark, path, "", table=tables(lib.spark, "epub-leaves")))
 
 
 @query("s03_thml_ranges", """SELECT m.title AS file_title, CAST(x.p AS INT) AS depth, replace(x.t, '@', m.title) AS title, replace(x.o, '@', m.title) AS own FROM m_books m
@@ -391,7 +391,7 @@ def _(lib: Library) -> DataFrame:
     chapters = lambda mark, words: F.array_join(F.transform(F.sequence(F.lit(1), F.length("title") % 4 + 1), lambda n: F.concat(F.lit(f"<p>{mark} "), n.cast("string"), F.lit(f".</p>{_prose(words)}"))), "")
     html = F.concat(F.lit("<body><h2>Contents</h2>"), chapters("Chap.", 40), chapters("Chapter", 200), F.lit("</body>"))
     documents = lib.books.select(F.col("id").alias("path"), F.lit(0).alias("document"), F.lit("W.xhtml").alias("name"), html.alias("xhtml"))
-    return books.edition_pages(documents, "").select("book_id", "page_number", "printed")
+    return books.edition_pages(documents, "", table=tables(lib.spark, "segments")).select("book_id", "page_number", "printed")
 
 
 _SONG_SHAPES = (
@@ -412,7 +412,7 @@ def _(lib: Library) -> DataFrame:
     shape = F.expr("cast(substring(id, 2) as bigint) % 4")
     html = F.element_at(F.array(*(F.lit(f"<body>{x}</body>") for x in _SONG_SHAPES)), (shape + 1).cast("int"))
     files = lib.books.select(F.concat("id", F.lit(".html")).alias("path"), F.replace(html, F.lit("@"), F.col("title")).alias("html"))
-    found = books.song_pages(files, "consolation", "The Consolation", "Boethius")
+    found = books.song_pages(files, "consolation", "The Consolation", "Boethius", table=tables(lib.spark, "songs"))
     return found.select("path", "page_number", "printed", _text(F.col("parts")).alias("place"), F.element_at("blocks", -1)["html"].alias("last"))
 
 

@@ -190,9 +190,9 @@ def epub_pages(spark: SparkSession, path: str, author: str, **reading) -> DataFr
     return edition_pages(epub_documents(spark, path), author, **reading)
 
 
-def song_pages(files: DataFrame, book_id: str, title: str, author: str) -> DataFrame:
+def song_pages(files: DataFrame, book_id: str, title: str, author: str, **reading) -> DataFrame:
     """Pages of HTML editions (path, html) of songs and prose."""
-    found = pages_of_songs(_spread(files), title)
+    found = pages_of_songs(_spread(files), title, **reading)
     return found.select("path", F.lit(book_id).alias("book_id"), F.lit(title).alias("title"), F.lit(author).alias("author"), "page_number", "printed", "parts", "also", "blocks")
 
 
