@@ -39,6 +39,8 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HOT = 1 << 18
 #: Texts of about this many bytes share their words.
 BATCH_BYTES = 16 << 20
+#: Words meet their sums in so many rounds, each with its share of the words; the shuffle of one is gone before the next.
+ROUNDS = 2
 _CHUNK, _ROWS = 1 << 16, 20_000
 #: Its tables are ids and texts of digits, which it takes to a good third of what the default codec leaves.
 _CODEC = "zstd"
@@ -302,10 +304,16 @@ def align(df: DataFrame, a_path: str = f"{TOKENIZERS}/{A}", b_path: str = f"{TOK
     # every word of a batch has its place in the arrays, those without tokens with nulls, which the sums of their texts take on
     # rows of a word lie together in the table, which leaves little of them there
     of = ("sizes", "small", "count_sum", "groups")
-    each = work.put("each", listed.select("batch", "w", "word").join(own, "word", "left").select("batch", "w", *of), compression=_CODEC)
+    for i in range(ROUNDS):
+        here = lambda rows: rows.where(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == i)  # noqa: B023, E731
+        work.put(f"each/round={i}", here(listed.select("batch", "w", "word")).join(here(own), "word", "left").select("batch", "w", *of), compression=_CODEC)
     work.drop("words")
+    each = work.spark.read.schema("batch bigint, w int, sizes bigint, small bigint, count_sum bigint, groups string").parquet(*[work.path(f"each/round={i}") for i in range(ROUNDS)])
+    # the words' rows go before their sums are shuffled
+    docs = work.put("docs", found.where("docs is not null").select("batch", "docs"), compression=_CODEC)
+    work.drop("numbers")
     arrays = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("w", *of))).alias("of")).select(F.col("batch").alias("_batch"), *(F.col(f"of.{c}").alias(c) for c in of))
-    texts = found.where("docs is not null").select("batch", "docs").join(arrays, F.col("batch") == F.col("_batch"), "left")
+    texts = docs.join(arrays, F.col("batch") == F.col("_batch"), "left")
     return _texts(texts).withColumnRenamed("key", key)
 
 

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from folioweave.llm import alignment
 from folioweave.llm.queries import QUERIES
+from folioweave.llm.workspace import Workspace
 
 A, B = f"{alignment.TOKENIZERS}/{alignment.A}", f"{alignment.TOKENIZERS}/{alignment.B}"
 ODD = [
@@ -96,3 +97,17 @@ def test_every_character_splits_alike(both):
         ids = pair._encoded(" " + text)
         want = both[0].encode(" " + text, add_special_tokens=False).ids
         assert ids is None or list(ids[0]) == want
+
+
+def test_words_rows_are_gone_before_the_last_step(spark, monkeypatch):
+    """Words meet their sums in rounds, and only the texts' numbers are still on disk when the sums are shuffled to the batches."""
+    from pathlib import Path
+
+    spaces, last = [], alignment._texts
+    monkeypatch.setattr(alignment, "Workspace", lambda *a: spaces.append(w := Workspace(*a)) or w)
+    seen = []
+    monkeypatch.setattr(alignment, "_texts", lambda df: seen.extend(sorted(p.name for p in Path(spaces[0].root.removeprefix("file://")).iterdir())) or last(df))
+    df = spark.createDataFrame([(1, "one two one"), (2, "two three"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_a > 0) for r in alignment.align(df).collect()) == [(1, True), (2, True), (3, False)]
+    assert seen == ["docs", "each"]
+    assert [r.docs is None for r in spark.read.parquet(spaces[0].path("docs")).select("docs").collect()].count(True) == 0
