@@ -372,7 +372,7 @@ def _(lib: Library) -> DataFrame:
     pieces = ('<div1 title="', '"><div2 title="Book I of ', '"><p>a</p><div3 title="Chapter 1"><p>b &lt; ', '</p></div3></div2><div2 title="Book II"/></div1>')
     path = folder(lib.spark, "volumes")
     _files(lib, ".xml", "xml", *pieces).select("xml").write.text(path, lineSep=" ")
-    found = books.thml_file_divs(lib.spark, path)
+    found = books.thml_file_divs(lib.spark, path, tables(lib.spark, "divs"))
     up = found.select(F.col("path").alias("_path"), F.col("div").alias("_div"), F.col("title").alias("_title"), F.col("parent").alias("_parent"))
     one = found.join(up, (F.col("path") == F.col("_path")) & (F.col("parent") == F.col("_div")), "left").select("path", "title", F.trim("own").alias("own"), "_title", "_parent")
     two = up.select(F.col("_path").alias("p2"), F.col("_div").alias("d2"), F.col("_title").alias("t2"))

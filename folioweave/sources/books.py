@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -65,11 +66,65 @@ def thml_divs(files: DataFrame) -> DataFrame:
     return _spread(files.select("path", "xml")).mapInPandas(run, "path string, div int, parent int, level int, id string, title string, short_title string, kind string, own string")
 
 
-def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
+_SO_FAR = "path string, block long, seq long, text string, tag string, opened long, s long, low long, divs long, run long"
+
+
+def _so_far(rows: DataFrame) -> DataFrame:
+    """Rows with sums over the rows of their block up to them: ``s`` of steps and ``low``, its least, ``divs`` of those opened, ``run`` of tags. Rows of a block are those of one task, in order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s, low, divs, tags = None, 0, 0, 0, 0
+        for batch in batches:
+            blocks, paths = batch.column("block").to_numpy(), batch.column("path").dictionary_encode()
+            ids = paths.indices.to_numpy()
+            starts = np.flatnonzero((np.diff(blocks, prepend=blocks[:1]) != 0) | (np.diff(ids, prepend=ids[:1]) != 0)) if len(ids) else []
+            sums: list[list[np.ndarray]] = [[], [], [], []]
+            for a, b in zip([0, *starts], [*starts, len(ids)], strict=True):
+                if a == b:
+                    continue
+                here = (paths.dictionary[int(ids[a])].as_py(), int(blocks[a]))
+                if here != last:
+                    last, s, low, divs, tags = here, 0, None, 0, 0
+                each = [batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("step", "opened", "tagged")]
+                total = np.cumsum(each[0]) + s
+                least = np.minimum.accumulate(total if low is None else np.minimum(total, low))
+                for kept, x in zip(sums, (total, least, np.cumsum(each[1]) + divs, np.cumsum(each[2]) + tags), strict=True):
+                    kept.append(x.astype(np.int64))
+                s, low, divs, tags = (int(kept[-1][-1]) for kept in sums)
+            found = [np.concatenate(x) if x else np.empty(0, np.int64) for x in sums]
+            names = ["path", "block", "seq", "text", "tag", "opened"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, pa.int64()) for x in found)], names=[*names, "s", "low", "divs", "run"])
+
+    return rows.mapInArrow(run, _SO_FAR)
+
+
+def _run_texts(rows: DataFrame) -> DataFrame:
+    """(path, block, seq, run, text, whole): what stands between two tags, joined within a batch; ``whole`` if both tags are there, else the rest is in a row before or after it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, number = batch.column("block").to_numpy(), batch.column("run").to_numpy()
+            path, text = batch.column("path").dictionary_encode().indices.to_numpy(), batch.column("text").to_pylist()
+            apart = (np.diff(block) != 0) | (np.diff(path) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(apart | (np.diff(number) != 0)) + 1])
+            ends = np.append(starts[1:], len(text))
+            same = ~apart[starts[1:] - 1]  # whether a run and the one before it are of one block
+            whole = np.append(False, same) & np.append(same, False)
+            first = batch.take(pa.array(starts))
+            joined = pa.array(["".join(text[a:b]) for a, b in zip(starts, ends, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(first.column(c) for c in ("path", "block", "seq", "run")), joined, pa.array(whole)], names=["path", "block", "seq", "run", "text", "whole"])
+
+    return rows.mapInArrow(run, "path string, block long, seq long, run long, text string, whole boolean")
+
+
+def thml_file_divs(spark: SparkSession, path: str, table: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``thml_divs`` of files at a path, a large file by all tasks.
 
     Files are read as rows that end with a tag (at ``>``), which Spark splits by bytes; a row starts with the text before its tag.
-    Depths and numbers of divs are sums over the rows before: within a block of a file, and of the blocks before it. A run is what
+    Depths and numbers of divs are sums over the rows before: within a block of a file, which a task reads in order and adds up as it goes (``_so_far``), and of the
+    blocks before it. No task sorts or holds the rows of a block. ``table`` keeps what is read again: a row a block, and a row a div tag. A run is what
     stands between two div tags; the div it belongs to is the last one opened at the depth there, looked up among the runs, which carry no text. A
     closing tag without a div to close is passed over.
     """
@@ -79,21 +134,25 @@ def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
     closes, alone = F.col("tag").startswith("/"), F.rtrim("tag").endswith("/")
     step = F.when(F.col("tag") == "", 0).when(closes, -1).when(alone, 0).otherwise(1)
     opened = ((F.col("tag") != "") & ~closes).cast("long")
-    within = Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = read.withColumn("step", step).withColumn("opened", opened).withColumn("s", F.sum("step").over(within)).withColumn("low", F.min("s").over(within))
-    local = local.withColumn("divs", F.sum("opened").over(within)).withColumn("run", F.sum((F.col("tag") != "").cast("long")).over(within))
+    local = _so_far(read.select("path", "block", "seq", "text", "tag", step.alias("step"), opened.alias("opened"), (F.col("tag") != "").cast("long").alias("tagged")))
     # what the blocks before have: a row a block
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = local.groupBy("path", "block").agg(F.max_by("s", "seq").alias("all_s"), F.min("s").alias("all_low"), F.sum("opened").alias("all_divs"), F.max("run").alias("all_runs"))
     blocks = blocks.withColumn("s0", F.coalesce(F.sum("all_s").over(before), F.lit(0)))
     blocks = blocks.select("path", "block", "s0", F.coalesce(F.min(F.col("s0") + F.col("all_low")).over(before), F.lit(0)).alias("low0"), *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"{c}0") for c in ("divs", "runs")), F.sum("all_runs").over(Window.partitionBy("path")).alias("tags"))
+    blocks = table(blocks)
     met = local.join(blocks, ["path", "block"])
     total, low = F.col("s") + F.col("s0"), F.least(F.col("low0"), F.col("low") + F.col("s0"), F.lit(0))
     met = met.select("path", "block", "seq", "text", "tag", "opened", (total - low).alias("depth"), (F.col("divs") + F.col("divs0") - 1).alias("div"), (F.col("run") + F.col("runs0")).alias("run"), "tags", closes.alias("closes"), alone.alias("alone"))
     # a row's text belongs to the run before its tag; what comes behind the last tag is in no div that ends
     ahead = F.col("run") - (F.col("tag") != "").cast("long")
-    texts = met.where("text <> ''").where(ahead < F.col("tags")).groupBy("path", ahead.alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    joined = _run_texts(local.select("path", "block", "seq", ahead.alias("run"), "text")).where("text <> ''").join(blocks.select("path", "block", "runs0", "tags"), ["path", "block"])
+    joined = joined.withColumn("run", F.col("run") + F.col("runs0")).where(F.col("run") < F.col("tags"))
+    # only runs that batches or blocks cut are put together by a shuffle
+    cut = joined.where("not whole").groupBy("path", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    texts = joined.where("whole").select("path", "run", "text").unionByName(cut)
     tags = met.where("tag <> ''").select("path", "run", "tag", "opened", "alone", "div", F.when(F.col("alone"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.col("depth").alias("inside"))
+    tags = table(tags)
     own_run = F.when(F.col("alone") & (F.col("opened") == 1), F.col("inside")).otherwise(F.col("depth"))
     # asks look for the last div opened at a depth, at most at their run
     opens = tags.where("opened = 1 and not alone").select("path", F.col("depth").alias("at"), "run", F.lit(0).alias("asks"), "div")
@@ -103,10 +162,11 @@ def thml_file_divs(spark: SparkSession, path: str) -> DataFrame:
     found = opens.unionByName(parents).unionByName(owners).withColumn("last", F.last(F.when(F.col("asks") == 0, F.col("div")), ignorenulls=True).over(so_far))
     parent = found.where("asks = 1").select("path", "div", F.coalesce("last", F.lit(-1)).alias("parent"))
     owner = found.where("asks = 2 and at > 0 and last is not null").select("path", "run", F.col("last").alias("div"))
-    own = texts.join(owner, ["path", "run"]).groupBy("path", "div").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "").alias("own"))
+    # a table of tags is far smaller than its rows, so that Spark would take these sides for small ones and broadcast them
+    own = texts.join(owner.hint("merge"), ["path", "run"]).groupBy("path", "div").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "").alias("own"))
     value = lambda name: F.regexp_extract("tag", rf'\b{name}="([^"]*)"', 1)
     named = tags.where("opened = 1").select("path", "div", F.regexp_extract("tag", r"div(\d)", 1).cast("int").alias("level"), value("id").alias("id"), value("title").alias("title"), value("shorttitle").alias("short_title"), value("type").alias("kind"))
-    out = named.join(parent, ["path", "div"]).join(own, ["path", "div"], "left")
+    out = named.join(parent.hint("merge"), ["path", "div"]).join(own.hint("merge"), ["path", "div"], "left")
     return out.select("path", F.col("div").cast("int").alias("div"), F.col("parent").cast("int").alias("parent"), "level", "id", "title", "short_title", "kind", F.coalesce("own", F.lit("")).alias("own"))
 
 

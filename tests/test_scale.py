@@ -167,6 +167,19 @@ def test_volumes_in_blocks(spark, tmp_path):
     assert got == sorted((name, *d) for name, xml in texts.items() for d in thml.divs(xml))
 
 
+def test_a_block_is_added_up_as_it_is_read(spark, tmp_path):
+    """No task sorts or collects the rows of a block: only runs that a batch or block cuts, and the runs of a div, are put together."""
+    (tmp_path / "one.xml").write_text("".join(f'<div1 title="t{i}"><p>{i}</p><p>b</p></div1>' for i in range(2000)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = books.thml_file_divs(spark, str(tmp_path))
+        assert "Window [sum(step" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.own for r in found.orderBy("div").collect()] == [f"<p>{i}</p><p>b</p>" for i in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_copies_of_a_book_do_not_meet_every_citation(spark):
     copies = [(f"b{i:03}", "Migne, J.", "History of the Church") for i in range(200)]
     volumes = [(f"v{i}{c}", "Newman, J.", f"Sermons on Faith, vol. {i}") for i in (1, 2) for c in "ab"]
